@@ -33,9 +33,9 @@ HARD = [
     "card 4111 1111 1111 1111 and 4111-1111-1111-1111-  4111111111111111111111 and 4111  1111 1111 1111",
     "4111 1111 1111 1111 4111 1111 1111 1111 é 4111111111111111",
     "+1 (499) 555-6503%%% +12 +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6 +49 30 1234567. ++49 30 1234567",
-    "a" * 50_000 + "@" + "b" * 50_000,
-    "1 " * 50_000,
-    "+1" + " " * 50_000 + "2",
+    "a" * 4_000 + "@" + "b" * 4_000,
+    "1 " * 4_000,
+    "+1" + " " * 4_000 + "2",
 ]
 
 
