@@ -10,12 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space of the query contracts: blank, tab, line feed, VT, FF, CR.
-SPACE = " \t\n\x0b\x0c\r"
-#: In bytes, each white-space character to 0 and A-Z to a-z.
-FOLD = bytes(0 if chr(b) in SPACE else b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the cluster's shared folder.
 

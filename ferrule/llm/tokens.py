@@ -8,6 +8,7 @@ size; chunks are handed to the library a batch at a time.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,28 +19,63 @@ END_ID = 2
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.most, self.now, self.before = most, {}, {}
+        self.final = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.library.get_vocab().items():
+            self.final[i] = token.endswith("</w>")
+
+    def _words(self, words: list[str]) -> None:
+        """Words of plain letters, many in one call: each is one unit of the vocabulary's
+        pre-tokenizer, whose last id, and no other, is marked as the end of a word."""
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(part):  # not a vocabulary of this kind
+                self._chunks(part)
+                continue
+            flat, start = ids.tobytes(), 0
+            for word, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.now[word] = flat[start:end]
+                start = end
+
+    def _chunks(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 4096):
+            part = chunks[at : at + 4096]
+            for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.now[chunk] = array("I", e.ids).tobytes()
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The chunks of each text, all of them known afterwards."""
-        if len(self.now) > self.most:
-            self.before, self.now = self.now, {}
+        now = self.now
+        if len(now) > self.most:
+            self.before, self.now = now, {}
+            now = self.now
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = []
-        for chunk in set().union(*cut) - self.now.keys():
+        words, stops, rest = set(), [], []
+        for chunk in set().union(*cut) - now.keys():
             got = self.before.get(chunk)
-            if got is None:
-                new.append(chunk)
+            if got is not None:
+                now[chunk] = got
+                continue
+            stop = chunk[-1:] in (",", ".")
+            word = chunk[:-1] if stop else chunk
+            # letters up to U+00FF stay single letters when normalised and lower-cased
+            if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                if word not in now:
+                    words.add(word)
+                if stop:
+                    stops.append((chunk, word))
             else:
-                self.now[chunk] = got
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.now[chunk] = np.array(e.ids, "<u4").tobytes()
+                rest.append(chunk)
+        self._words(sorted(words))
+        self._chunks([*rest, *({",", "."} - now.keys())])
+        for chunk, word in stops:
+            now[chunk] = now[word] + now[chunk[-1]]
         return cut
 
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[bytes]:
