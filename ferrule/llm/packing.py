@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +50,7 @@ def assign(lengths: np.ndarray, most: int, linear: float, quadratic: float) -> t
 def packer(path: str, most: int, window: int, linear: float, quadratic: float, schema: pa.Schema):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        base = TaskContext.get().partitionId() << 32
+        base = None
         ids: list[bytes] = []
         docs: list[int | None] = []
         held = 0
@@ -69,6 +68,9 @@ def packer(path: str, most: int, window: int, linear: float, quadratic: float, s
             return out
 
         for b in small_batches(batches, "text", 8 << 20):
+            if not b.num_rows:
+                continue
+            base = (b.column("scan")[0].as_py() << 32) if base is None else base
             got = encode(b.column("text").to_pylist())
             ids += got
             docs += b.column("doc_id").to_pylist()
@@ -106,5 +108,5 @@ def pack_documents(
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
     if max_tokens < 1 or window_tokens < 1:
         raise ValueError("max_tokens and window_tokens must be positive")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.spark_partition_id().cast("long").alias("scan"))
     return rows.mapInArrow(packer(tokenizer or default_path(), max_tokens, window_tokens, linear, quadratic, schema), SCHEMA)

@@ -12,8 +12,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ferrule.llm.common import as_batch, parallelism, small_batches
 
@@ -49,9 +49,11 @@ def from_docs(docs: DataFrame, f: Callable[[int, list, list], Iterable[tuple[int
     same scan gives the same numbers again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = TaskContext.get().partitionId() << 24
-        ids, texts, size = [], [], 0
+        n, ids, texts, size = None, [], [], 0
         for b in small_batches(batches, "text", 2 << 20):
+            if not b.num_rows:
+                continue
+            n = (b.column("scan")[0].as_py() << 24) if n is None else n
             ids += b.column("doc_id").to_pylist()
             texts += b.column("text").to_pylist()
             size += b.column("text").nbytes if b.num_rows else 0
@@ -61,7 +63,8 @@ def from_docs(docs: DataFrame, f: Callable[[int, list, list], Iterable[tuple[int
         if ids:
             yield from emit(f(n, ids, texts))
 
-    return docs.mapInArrow(run, PACKED)
+    # the number of the scan's own partition, which stays the same below a union
+    return docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("scan")).mapInArrow(run, PACKED)
 
 
 def deal(rows: DataFrame, partitions: int | None = None) -> DataFrame:
