@@ -19,6 +19,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "cost")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.common import learns
+    from ferrule.llm.toxicity import score_toxicity, train
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~learns("doc_id", 3)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferrule.llm.exact_dedup import exact_groups
 
@@ -45,8 +60,20 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.ngram_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.katz import katz_scores
+
+    return katz_scores(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_exact_dedup, op6_pii, op7_secret_scan, op8_token_files)}
+    return {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_toxicity, op4_exact_dedup, op6_pii, op7_secret_scan, op8_token_files, op9_ngram_join, op10_katz)}
 
 
 SQL: dict[str, str] = {}
