@@ -40,6 +40,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.segments import sample_segmentations
+
+    rows = sample_segmentations(_table(spark, sf_dir, "documents"), k=2, seed=0)
+    return rows.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion_log")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferrule.llm.pii import digest, find_pii
 
@@ -73,7 +80,7 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_toxicity, op4_exact_dedup, op6_pii, op7_secret_scan, op8_token_files, op9_ngram_join, op10_katz)}
+    return {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_toxicity, op4_exact_dedup, op5_segments, op6_pii, op7_secret_scan, op8_token_files, op9_ngram_join, op10_katz)}
 
 
 SQL: dict[str, str] = {}
