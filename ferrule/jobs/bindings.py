@@ -1,11 +1,418 @@
-"""The operators bound to the driver's tables, and the same in SQL."""
+"""The operators bound to the driver's tables, each with the same in SQL.
+
+The tables have no version history, so roles are played by columns: orders are
+commits (customer = author, priority = project), line items with their part are
+file changes, events are an author's activity, labelled documents are scored
+items.  Doubles are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ferrule.functions import c_code, features, paths
+from ferrule.operators import changes, effort, stats, szz, warnings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[_r(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# -- inputs ------------------------------------------------------------------
+
+
+def _commits(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").select(F.col("o_orderpriority").alias("project"), F.col("o_orderkey").alias("commit_id"), F.col("o_custkey").alias("author"), F.unix_timestamp("o_orderdate").alias("time_stamp"), F.col("o_orderkey").alias("pos"))
+
+
+C = "c AS (SELECT o_orderpriority AS project, o_orderkey AS commit_id, o_custkey AS author, CAST(epoch(o_orderdate) AS BIGINT) AS time_stamp, o_orderkey AS pos FROM orders)"
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    part = _table(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type", F.concat(F.col("p_partkey").cast("string"), F.lit(".c"))).alias("path"))
+    rows = _table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("added"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("deleted"))
+    rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey")).join(_commits(spark, d), F.col("l_orderkey") == F.col("commit_id"))
+    return rows.select("project", "commit_id", "author", "time_stamp", "pos", "path", "added", "deleted")
+
+
+CH = C + """, f AS (SELECT l_orderkey, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS added, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS deleted FROM lineitem GROUP BY ALL),
+ch AS (SELECT c.*, p_brand || '/' || p_type || '/' || p_partkey || '.c' AS path, added, deleted FROM f JOIN part ON l_partkey = p_partkey JOIN c ON l_orderkey = commit_id)"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    labels = _table(spark, d, "labels")
+    docs = _table(spark, d, "documents").select("doc_id", F.col("lang").alias("project"), F.col("n_chars").cast("double").alias("effort"))
+    score = (F.col("doc_id") * 37 % 101) / 101.0
+    return docs.join(labels, "doc_id").select("project", "doc_id", "effort", F.col("toxic").cast("int").alias("label"), score.alias("score"))
+
+
+I = "i AS (SELECT lang AS project, d.doc_id, CAST(n_chars AS DOUBLE) AS effort, CAST(toxic AS INTEGER) AS label, (d.doc_id * 37 % 101) / 101.0 AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+RANKED = I + """, r AS (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred, row_number() OVER w AS rank, sum(effort) OVER w AS churn, sum(label) OVER w AS bugs,
+ sum(effort) OVER (PARTITION BY project) AS e, sum(label) OVER (PARTITION BY project) AS n, count(*) OVER (PARTITION BY project) AS m FROM i
+ WINDOW w AS (PARTITION BY project ORDER BY CASE WHEN score >= 0.5 THEN 1 ELSE 0 END DESC, score / (effort + EPSILON) DESC, doc_id ROWS UNBOUNDED PRECEDING))"""
+ITEMS = ("project", "doc_id", "score", "effort", "label")
+
+
+# -- effort-aware evaluation --------------------------------------------------
+
+
+@_query("WITH " + RANKED.replace("EPSILON", "1e-6") + """,
+o AS (SELECT *, sum(effort) OVER a AS c1, sum(label) OVER a AS d1, row_number() OVER a AS r1, sum(effort) OVER b AS c2, sum(label) OVER b AS d2, row_number() OVER b AS r2 FROM r
+ WINDOW a AS (PARTITION BY project ORDER BY label DESC, rank ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY project ORDER BY label, rank ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT project, any_value(n) AS n, any_value(m) AS m, count(*) FILTER (churn - effort <= 0.2 * e) AS k, sum(label) FILTER (churn - effort <= 0.2 * e) AS h, min(rank) FILTER (label = 1) AS hit,
+ coalesce(sum(0.5 * (2 * bugs - label) * effort / (n * e)) FILTER (rank > 1), 0) AS model, coalesce(sum(0.5 * (2 * d1 - label) * effort / (n * e)) FILTER (r1 > 1), 0) AS opt, coalesce(sum(0.5 * (2 * d2 - label) * effort / (n * e)) FILTER (r2 > 1), 0) AS worst FROM o GROUP BY project)
+SELECT project, round(h / nullif(n, 0), 6) AS recall20p, round(h / k, 6) AS precision20p, round(coalesce(2.0 * h / nullif(n + k, 0), 0), 6) AS fmeasure20p, round(k / m, 6) AS pci20p,
+ CAST(greatest(coalesce(hit - 1, m) - 1, 0) AS BIGINT) AS ifa, round(1 - (opt - model) / nullif(opt - worst, 0), 6) AS popt FROM g""")
+def effort_measures(spark, d):
+    return _rounded(effort.effort_measures(_items(spark, d), ["project"], "doc_id", "score", "effort", "label"))
+
+
+@_query("WITH " + RANKED.replace("EPSILON", "1e-5") + " SELECT project, doc_id, CAST(rank AS BIGINT) AS rank, round(churn / nullif(e, 0), 6) AS effort_share, round(bugs / nullif(n, 0), 6) AS hit_share FROM r")
+def lift_curve(spark, d):
+    return _rounded(effort.lift_curve(_items(spark, d), ["project"], "doc_id", "score", "effort", "label"))
+
+
+@_query("WITH " + RANKED.replace("EPSILON", "1e-5") + """,
+b AS (SELECT *, sum(effort) OVER w AS c1, row_number() OVER w AS r1 FROM r WHERE label = 1 WINDOW w AS (PARTITION BY project ORDER BY effort, doc_id ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT project, coalesce(sum(0.5 * (2 * r1 - 1) * effort / (e * n)) FILTER (r1 > 1), 0) + 1 - max(c1 / e) AS opt FROM b GROUP BY project),
+g AS (SELECT project, sum(0.5 * (2 * bugs - label) * effort / (e * n)) FILTER (rank > 1) AS model FROM r GROUP BY project)
+SELECT project, round(1 - (opt - model) / nullif(2 * opt - 1, 0), 6) AS popt FROM g JOIN o USING (project)""")
+def popt_normalized(spark, d):
+    return _rounded(effort.popt_normalized(_items(spark, d), ["project"], "doc_id", "score", "effort", "label"))
+
+
+@_query("WITH " + I + """, g AS (SELECT project, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) AS n, avg((label - score) ** 2) AS brier FROM i GROUP BY project)
+SELECT project, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round((n - fp - fn) / n, 6) AS accuracy, round(brier, 6) AS brier FROM g""")
+def classification_measures(spark, d):
+    return _rounded(effort.classification_measures(_items(spark, d), ["project"], "score", "label"))
+
+
+@_query("WITH " + C + """, p AS (SELECT project, commit_id, time_stamp, row_number() OVER (PARTITION BY project ORDER BY time_stamp, commit_id) AS position, count(*) OVER (PARTITION BY project) AS m FROM c),
+q AS (SELECT *, m // 12 AS b, m - 11 * (m // 12) + (fold - 1) * (m // 12) AS s FROM p, (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS fold))
+SELECT project, commit_id, position, fold, CASE WHEN position <= s THEN 'train' ELSE 'test' END AS role FROM q WHERE position <= s + b""")
+def time_series_folds(spark, d):
+    rows = effort.time_series_folds(_commits(spark, d), ["project"], "time_stamp", "commit_id")
+    return rows.select("project", "commit_id", "position", "fold", "role")
+
+
+HASHED = I + ", h AS (SELECT *, row_number() OVER (PARTITION BY project, label ORDER BY md5(doc_id || ':1'), doc_id) AS k FROM i)"
+
+
+@_query("WITH " + HASHED + ", s AS (SELECT project, min(n) AS least FROM (SELECT project, label, count(*) AS n FROM i GROUP BY ALL) GROUP BY project) SELECT h.project, doc_id, label FROM h JOIN s ON h.project = s.project WHERE k <= least")
+def undersample(spark, d):
+    return effort.undersample(_items(spark, d), ["project"], "doc_id", "label").select("project", "doc_id", "label")
+
+
+@_query("WITH " + HASHED + " SELECT project, doc_id, label, CAST((k - 1) % 10 AS INTEGER) AS fold FROM h")
+def stratified_folds(spark, d):
+    return effort.stratified_folds(_items(spark, d), ["project"], "doc_id", "label").select("project", "doc_id", "label", "fold")
+
+
+@_query()
+def cross_validate(spark, d):
+    rows = _changes(spark, d).groupBy("project", "commit_id", "time_stamp").agg(F.sum("added").alias("la"), F.sum("deleted").alias("ld"), F.count("*").alias("nf"))
+    rows = rows.withColumns({"label": (F.col("nf") * 7 + F.col("ld") > F.expr("20 + commit_id % 40")).cast("int"), "effort": (F.col("la") + F.col("ld")).cast("double")})
+    return stats.cross_validate(rows, ["project"], "time_stamp", "commit_id", ["la", "ld", "nf"], "label", "effort")
+
+
+# -- change metrics -----------------------------------------------------------
+
+
+@_query("WITH " + CH + """, t AS (SELECT *, added + deleted AS n FROM ch),
+q AS (SELECT project, commit_id, n / sum(n) OVER (PARTITION BY project, commit_id) AS p FROM t WHERE n > 0),
+h AS (SELECT project, commit_id, sum(-p * log2(p)) AS h, abs(log2(min(p))) AS d FROM q GROUP BY ALL)
+SELECT t.project, t.commit_id, count(DISTINCT split_part(path, '/', 1)) AS ns, count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) AS nd, count(DISTINCT (path, added, deleted)) AS nf,
+ CAST(sum(added) AS BIGINT) AS la, CAST(sum(deleted) AS BIGINT) AS ld, round(coalesce(any_value(CASE WHEN d > 0 THEN h / d ELSE h END), 0), 6) AS entropy FROM t LEFT JOIN h ON t.project = h.project AND t.commit_id = h.commit_id GROUP BY ALL""")
+def diffusion(spark, d):
+    rows = _changes(spark, d).withColumn("in_scope", paths.in_extensions(F.col("path"), [".c", ".h"]))
+    return _rounded(changes.diffusion(rows)).select("project", "commit_id", "ns", "nd", "nf", "la", "ld", "entropy")
+
+
+def _activity(spark, d):
+    e = _table(spark, d, "events")
+    return e.select(F.lit("events").alias("project"), F.col("event_id").alias("commit_id"), F.col("user_id").alias("author"), F.unix_timestamp("ts").alias("time_stamp"), F.col("event_id").alias("pos"), F.col("event_type").alias("subsystem"))
+
+
+A = "a AS (SELECT 'events' AS project, event_id AS commit_id, user_id AS author, CAST(floor(epoch(ts)) AS BIGINT) AS time_stamp, event_type AS subsystem FROM events)"
+
+
+@_query("WITH " + A + " SELECT project, commit_id, row_number() OVER (PARTITION BY author ORDER BY time_stamp, commit_id) - 1 AS exp FROM a")
+def experience(spark, d):
+    return changes.experience(_activity(spark, d))
+
+
+@_query("WITH " + A + """, o AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY time_stamp, commit_id) AS k FROM a)
+SELECT x.project, x.commit_id, round(coalesce(sum(1 / ((x.time_stamp - y.time_stamp) / (86400 * 365.0) + 1)), 0), 6) AS rexp FROM o x LEFT JOIN o y ON x.author = y.author AND y.k < x.k GROUP BY ALL""")
+def recent_experience(spark, d):
+    return _rounded(changes.recent_experience(_activity(spark, d)))
+
+
+@_query("WITH " + A + " SELECT project, commit_id, round(CAST(row_number() OVER (PARTITION BY author, subsystem ORDER BY time_stamp, commit_id) - 1 AS DOUBLE), 6) AS sexp FROM a")
+def subsystem_experience(spark, d):
+    rows = _activity(spark, d)
+    return _rounded(changes.subsystem_experience(rows, rows.select("project", "commit_id", "subsystem")))
+
+
+@_query("WITH " + CH + """, s AS (SELECT *, lag(time_stamp) OVER w AS last, coalesce(sum(added - deleted) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lines FROM ch WINDOW w AS (PARTITION BY project, path ORDER BY time_stamp, pos)),
+o AS (SELECT project, commit_id, count(*) AS nf, sum(coalesce((time_stamp - last) / 86400.0, 0)) AS days, avg(lines) AS lt FROM s GROUP BY ALL),
+u AS (SELECT x.project, x.commit_id, count(DISTINCT y.author) AS ndev, count(DISTINCT (y.author, y.time_stamp)) AS uses FROM ch x JOIN ch y ON x.project = y.project AND x.path = y.path AND (y.time_stamp, y.pos) < (x.time_stamp, x.pos) GROUP BY ALL)
+SELECT o.project, o.commit_id, coalesce(ndev, 0) AS ndev, round(coalesce(uses, 0) / nf, 6) AS nuc, round(days / nf, 6) AS age, round(lt, 6) AS lt FROM o LEFT JOIN u ON o.project = u.project AND o.commit_id = u.commit_id""")
+def history(spark, d):
+    return _rounded(changes.history(_changes(spark, d).withColumnRenamed("path", "lineage")))
+
+
+def _count(pattern: str) -> str:
+    return f"len(regexp_extract_all(t, '{pattern}'))"
+
+
+@_query(r"WITH x AS (SELECT source AS project, doc_id AS commit_id, regexp_replace(text, '(?s)//.*?\n|/\*.*?\*/', '', 'g') AS t FROM documents), m AS (SELECT *, list_transform(regexp_extract_all(t, '\*+'), lambda s: length(s)) AS d FROM x) SELECT project, commit_id, "
+ + f"{_count('malloc')} + {_count('calloc')} + {_count('realloc')} AS meminc, {_count('free')} AS memdec, {_count('realloc')} AS memchg, len(list_filter(d, lambda v: v = 1)) AS singlepointer, len(list_filter(d, lambda v: v > 1)) AS multiplepointer, CAST(coalesce(list_max(d), 0) AS BIGINT) AS maxpointerdepth, "
+ + _count(r"goto\s+[\p{L}\p{N}_]+\s*;") + " AS gotostm, " + _count(r"\[[\p{L}\p{N}_]+\]") + " AS indexused, " + _count(r"\+\+") + " + " + _count("--") + " AS autoincredecre FROM m")
+def c_features(spark, d):
+    rows = _table(spark, d, "documents").select(F.col("source").alias("project"), F.col("doc_id").alias("commit_id"), F.lit("a.c").alias("path"), F.col("text").alias("body"))
+    return changes.c_features(rows)
+
+
+#: Words of the corpus in the part of the keyword lists.
+CATEGORIES = [("Corrective", ["free", "error"]), ("Feature Addition", ["apache", "licensed"]), ("Perfective", ["ation"])]
+
+
+@_query("SELECT doc_id, CASE WHEN contains(lower(text), 'free') OR contains(lower(text), 'error') THEN 'Corrective' WHEN contains(lower(text), 'apache') OR contains(lower(text), 'licensed') THEN 'Feature Addition' WHEN contains(lower(text), 'ation') THEN 'Perfective' ELSE 'None' END AS classification FROM documents")
+def classify_message(spark, d):
+    return _table(spark, d, "documents").select("doc_id", paths.classify_message(F.col("text"), F.lit(False), CATEGORIES).alias("classification"))
+
+
+@_query("WITH " + CH + " SELECT project, commit_id, array_to_string(list_slice(list_sort(list(DISTINCT path)), 1, 3), ';') AS files FROM ch GROUP BY ALL")
+def changed_files(spark, d):
+    return changes.changed_files(_changes(spark, d), limit=3)
+
+
+@_query("WITH " + C + ", e AS (SELECT *, lag(commit_id) OVER (PARTITION BY author ORDER BY time_stamp, pos) AS parent_id FROM c) SELECT parent_id, count(*) AS sons FROM e WHERE parent_id IS NOT NULL GROUP BY ALL")
+def son_count(spark, d):
+    w = Window.partitionBy("author").orderBy("time_stamp", "pos")
+    commits = _commits(spark, d).withColumn("parents", F.array_compact(F.array(F.lag("commit_id").over(w)))).withColumn("project", F.lit("all"))
+    return changes.son_count(changes.commit_edges(commits)).select("parent_id", "sons")
+
+
+@_query("WITH " + C + ", e AS (SELECT *, row_number() OVER (PARTITION BY project, author, time_stamp ORDER BY pos) AS k FROM c) SELECT project, commit_id FROM e WHERE k = 1")
+def dedupe_identical(spark, d):
+    return changes.dedupe_identical(_commits(spark, d).withColumnRenamed("author", "committer_email")).select("project", "commit_id")
+
+
+# -- the feature table --------------------------------------------------------
+
+
+@_query("WITH " + CH + """, s AS (SELECT project, commit_id, CAST(sum(added) AS BIGINT) AS la, count(*) AS nf FROM ch GROUP BY ALL),
+x AS (SELECT project, commit_id, row_number() OVER (PARTITION BY project, author ORDER BY time_stamp, pos) - 1 AS exp FROM c),
+j AS (SELECT c.*, la, nf, exp, o_orderstatus = 'F' AS is_fix FROM c JOIN orders ON o_orderkey = c.commit_id LEFT JOIN s ON c.commit_id = s.commit_id LEFT JOIN x ON c.commit_id = x.commit_id)
+SELECT j.project, commit_id, la, nf, exp, is_fix FROM j JOIN (SELECT project, max(pos) FILTER (is_fix) AS last FROM j GROUP BY project) l ON j.project = l.project WHERE (last IS NULL OR pos <= last) AND la IS NOT NULL AND nf IS NOT NULL AND exp IS NOT NULL""")
+def feature_table(spark, d):
+    commits = _commits(spark, d)
+    sizes = _changes(spark, d).groupBy("project", "commit_id").agg(F.sum("added").alias("la"), F.count("*").alias("nf"))
+    fix = _table(spark, d, "orders").select(F.col("o_orderpriority").alias("project"), F.col("o_orderkey").alias("commit_id"), (F.col("o_orderstatus") == "F").alias("is_fix"))
+    joined = changes.combine_features(commits, fix, sizes, changes.experience(commits))
+    return changes.complete_until_last_fix(joined, ["la", "nf", "exp"]).select("project", "commit_id", "la", "nf", "exp", "is_fix")
+
+
+@_query("WITH " + CH + ", s AS (SELECT commit_id, CAST(sum(added) AS BIGINT) AS la FROM ch GROUP BY ALL) SELECT project, c.commit_id, coalesce(la, 0) AS la FROM c LEFT JOIN s ON c.commit_id = s.commit_id")
+def merge_c_features(spark, d):
+    c = _changes(spark, d).groupBy("project", "commit_id").agg(F.sum("added").alias("la"))
+    return changes.merge_c_features(_commits(spark, d).select("project", "commit_id"), c)
+
+
+@_query("SELECT l_orderkey, l_partkey, l_linenumber, round(CASE WHEN l_quantity > 0 THEN ln(l_quantity + 1) ELSE l_quantity END, 6) AS log_e, round(CASE WHEN l_discount > 0 THEN log2(l_discount + 1) ELSE l_discount END, 6) AS log_2, round(CASE WHEN l_tax <> 0 THEN l_quantity / l_tax / l_linenumber ELSE 0 END, 6) AS churn, CASE WHEN l_returnflag = 'R' THEN 'buggy' ELSE 'clean' END AS label, CASE WHEN l_quantity > 0 AND l_quantity <= 10 THEN '0-10' WHEN l_quantity > 10 AND l_quantity <= 30 THEN '10-30' WHEN l_quantity > 30 AND l_quantity <= 1000 THEN '>30' END AS bin FROM lineitem")
+def feature_values(spark, d):
+    q, x, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
+    return _table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", _r(features.log_feature(q)).alias("log_e"), _r(features.log_feature(x, 2.0)).alias("log_2"),
+        _r(features.normalized_churn(q, t, F.col("l_linenumber"))).alias("churn"), features.recode(F.col("l_returnflag") == "R").alias("label"), features.bin_label(q, [0, 10, 30, 1000]).alias("bin"),
+    )
+
+
+@_query("SELECT o_orderpriority AS project, o_orderkey, round(1000000 * o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority), 4) AS share FROM orders")
+def share_of_total(spark, d):
+    rows = _table(spark, d, "orders").select(F.col("o_orderpriority").alias("project"), "o_orderkey", "o_totalprice")
+    return features.share_of_total(rows, ["project"], "o_totalprice", "s").select("project", "o_orderkey", F.round(F.col("s") * 1_000_000, 4).alias("share"))
+
+
+# -- fixes and their origins --------------------------------------------------
+
+L = """li AS (SELECT l_returnflag AS kind, l_orderkey AS commit_id, l_partkey, l_linenumber, min(l_shipdate) AS at FROM lineitem GROUP BY ALL),
+bl AS (SELECT x.commit_id AS fix, x.l_partkey, x.l_linenumber, y.commit_id AS origin, CAST(epoch(x.at) AS BIGINT) AS ft, CAST(epoch(y.at) AS BIGINT) AS ot, row_number() OVER (PARTITION BY x.commit_id, x.l_partkey, x.l_linenumber ORDER BY y.at DESC, y.commit_id DESC) AS k
+ FROM li x JOIN li y ON x.kind = 'R' AND y.kind <> 'R' AND x.l_partkey = y.l_partkey AND x.l_linenumber = y.l_linenumber AND (y.at, y.commit_id) < (x.at, x.commit_id)),
+lk AS (SELECT * FROM bl WHERE k = 1)"""
+
+
+def _fix_lines(spark, d):
+    li = _table(spark, d, "lineitem").groupBy("l_returnflag", "l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_shipdate").alias("at"))
+    line = li.select(F.lit("all").alias("project"), F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("line_no"), "at", (F.col("l_returnflag") == "R").alias("is_fix"))
+    return line
+
+
+def _links(spark, d):
+    line = _fix_lines(spark, d)
+    fixes, others = line.where("is_fix"), line.where("not is_fix")
+    # the blame table: the latest earlier change of the same line
+    last = fixes.alias("x").join(others.alias("y"), ["project", "path", "line_no"]).where("struct(y.at, y.commit_id) < struct(x.at, x.commit_id)")
+    last = last.groupBy("project", "path", "line_no", F.col("x.commit_id").alias("at_commit"), F.col("x.at").alias("fix_at")).agg(F.max(F.struct(F.col("y.at"), F.col("y.commit_id"))).alias("o"))
+    blame = last.select("project", "at_commit", "path", "line_no", F.col("o.commit_id").alias("origin_commit"), F.col("path").alias("origin_path"), F.col("line_no").alias("origin_line"), F.lit(False).alias("is_boundary"))
+    # a commit's time differs by line here, so the two times come with the link
+    times = last.select("project", F.col("at_commit").alias("fix"), "path", F.col("line_no").alias("origin_line"), F.unix_timestamp("fix_at").alias("fix_time"), F.unix_timestamp("o.at").alias("origin_time"))
+    commits = line.select("project", "commit_id").distinct().withColumn("time_stamp", F.lit(0).cast("long"))
+    links = szz.szz_link(fixes.select("project", "commit_id", "path", "line_no"), blame, commits)
+    return links.drop("fix_time", "origin_time").join(times, ["project", "fix", "path", "origin_line"])
+
+
+@_query("WITH " + L + " SELECT fix, origin, l_partkey AS path, l_linenumber AS origin_line, ft - ot AS gap FROM lk")
+def szz_link(spark, d):
+    return _links(spark, d).select("fix", "origin", "path", "origin_line", (F.col("fix_time") - F.col("origin_time")).alias("gap"))
+
+
+@_query("WITH " + L + ", p AS (SELECT origin, fix, min(ft) AS t, min(ft - ot) AS gap, count(*) AS n FROM lk GROUP BY ALL) SELECT origin, array_to_string(list(fix ORDER BY t, fix), ',') AS fix_by, min(gap) AS find_interval, CAST(sum(n) AS BIGINT) AS buggy_lines FROM p GROUP BY ALL")
+def bug_summary(spark, d):
+    return szz.bug_summary(_links(spark, d)).select("origin", F.array_join("fix_by", ",").alias("fix_by"), "find_interval", "buggy_lines")
+
+
+@_query("WITH " + L + ", f AS (SELECT commit_id AS fix, count(DISTINCT l_partkey) AS fix_file_num, count(*) AS deleted_lines FROM li WHERE kind = 'R' GROUP BY ALL), o AS (SELECT fix, array_to_string(list_sort(list(DISTINCT origin)), ',') AS fixes FROM lk GROUP BY ALL) SELECT f.fix, fix_file_num, deleted_lines, fixes FROM f LEFT JOIN o ON f.fix = o.fix")
+def fix_summary(spark, d):
+    return szz.fix_summary(_links(spark, d), _fix_lines(spark, d).where("is_fix")).select("fix", "fix_file_num", "deleted_lines", F.array_join("fixes", ",").alias("fixes"))
+
+
+@_query("WITH " + L + " SELECT round(quantile_cont(g / 86400.0, 0.25), 6) AS q1, round(quantile_cont(g / 86400.0, 0.5), 6) AS median, round(quantile_cont(g / 86400.0, 0.75), 6) AS q3, round(avg(g / 86400.0), 6) AS mean FROM (SELECT min(ft - ot) AS g FROM lk GROUP BY origin)")
+def interval_quantiles(spark, d):
+    return _rounded(szz.interval_quantiles(szz.bug_summary(_links(spark, d))).drop("project"))
+
+
+@_query("WITH " + L + " SELECT CAST(least(n, 5) AS INTEGER) AS files, count(*) AS commits FROM (SELECT count(DISTINCT l_partkey) AS n FROM li WHERE kind = 'R' GROUP BY commit_id) GROUP BY ALL")
+def fix_size_histogram(spark, d):
+    return szz.fix_size_histogram(szz.fix_summary(_links(spark, d), _fix_lines(spark, d).where("is_fix"))).drop("project")
+
+
+@_query("WITH " + L + " SELECT origin AS commit_id, array_to_string(list(f ORDER BY p), ' ') AS lines FROM (SELECT origin, l_partkey AS p, l_partkey || ':' || array_to_string(list_sort(list(l_linenumber)), ',') AS f FROM lk GROUP BY origin, l_partkey) GROUP BY origin")
+def buggy_lines(spark, d):
+    rows = szz.lines_by_file(_links(spark, d), ["project", "origin"], "path", "origin_line")
+    text = F.transform(F.map_entries("lines"), lambda e: F.concat_ws(":", e["key"].cast("string"), F.array_join(F.transform(e["value"], lambda v: v.cast("string")), ",")))
+    return rows.select(F.col("origin").alias("commit_id"), F.array_join(text, " ").alias("lines"))
+
+
+@_query("WITH " + L + " SELECT DISTINCT commit_id, l_partkey AS path FROM li WHERE (commit_id, l_partkey) NOT IN (SELECT (origin, l_partkey) FROM lk)")
+def clean_files(spark, d):
+    touched = _fix_lines(spark, d).select("project", "commit_id", "path").distinct()
+    return szz.clean_files(touched, _links(spark, d).select("project", F.col("origin").alias("commit_id"), "path")).select("commit_id", "path")
+
+
+@_query("SELECT o_orderpriority AS project, count(DISTINCT o_custkey) AS authors FROM orders GROUP BY ALL")
+def author_count(spark, d):
+    return szz.author_count(_commits(spark, d))
+
+
+# -- warnings -----------------------------------------------------------------
+
+V = "v AS (SELECT l_returnflag AS project, l_orderkey AS commit_id, l_partkey AS path, l_linenumber AS line_no, 1 + l_linenumber % 3 AS priority, l_linestatus AS rule FROM lineitem)"
+LEVELS = "count(*) FILTER (priority = 1) AS block, count(*) FILTER (priority = 2) AS critical, count(*) FILTER (priority = 3) AS major"
+
+
+def _violations(spark, d):
+    return _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("project"), F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("line_no"), (F.col("l_linenumber") % 3 + 1).alias("priority"), F.col("l_linestatus").alias("rule"))
+
+
+@_query(f"WITH {V} SELECT project, commit_id, path, {LEVELS} FROM v GROUP BY ALL")
+def warning_counts(spark, d):
+    return warnings.warning_counts(_violations(spark, d), ["project", "commit_id", "path"])
+
+
+@_query(f"WITH {V} SELECT project, commit_id, array_to_string(list(rule || ':' || n ORDER BY rule), ',') AS rules FROM (SELECT project, commit_id, rule, count(*) AS n FROM v GROUP BY ALL) GROUP BY ALL")
+def rule_histogram(spark, d):
+    rows = warnings.rule_histogram(_violations(spark, d), ["project", "commit_id"])
+    return rows.withColumn("rules", F.array_join(F.transform(F.map_entries("rules"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","))
+
+
+@_query(f"WITH {V} SELECT project, path, line_no, min(priority) AS priority FROM v GROUP BY ALL")
+def severity_per_line(spark, d):
+    return warnings.severity_per_line(_violations(spark, d))
+
+
+@_query(f"WITH {V} SELECT project, path, {LEVELS} FROM v GROUP BY GROUPING SETS ((project, path), (project))")
+def snapshot_totals(spark, d):
+    return warnings.snapshot_totals(_violations(spark, d))
+
+
+@_query(f"WITH {V} SELECT v.project, v.commit_id, count(*) AS n FROM v WHERE (commit_id, path, line_no) IN (SELECT (l_orderkey, l_partkey, l_linenumber) FROM lineitem WHERE l_quantity > 25) GROUP BY ALL")
+def warnings_on_added_lines(spark, d):
+    added = _table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("line_no"))
+    rows = _violations(spark, d)
+    added = rows.join(added.distinct(), ["commit_id", "path", "line_no"], "left_semi")
+    return warnings.warnings_on_added_lines(rows, added).groupBy("project", "commit_id").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {V}, t AS (SELECT project, commit_id, path, {LEVELS} FROM v GROUP BY ALL), x AS (SELECT *, commit_id % 5 = 0 AS gone FROM t), y AS (SELECT project, commit_id, path, CASE WHEN gone THEN 0 ELSE block END AS b, CASE WHEN gone THEN 0 ELSE critical END AS c, CASE WHEN gone THEN 0 ELSE major END AS m FROM x), z AS (SELECT project, commit_id, b - coalesce(lag(b) OVER w, 0) AS b, c - coalesce(lag(c) OVER w, 0) AS c, m - coalesce(lag(m) OVER w, 0) AS m FROM y WINDOW w AS (PARTITION BY project, path ORDER BY commit_id)), s AS (SELECT project, commit_id, sum(b) AS b, sum(c) AS c, sum(m) AS m FROM z GROUP BY ALL) SELECT project, commit_id, CAST(sum(b) OVER w AS BIGINT) AS block, CAST(sum(c) OVER w AS BIGINT) AS critical, CAST(sum(m) OVER w AS BIGINT) AS major FROM s WINDOW w AS (PARTITION BY project ORDER BY commit_id)")
+def running_warning_totals(spark, d):
+    counts = warnings.warning_counts(_violations(spark, d), ["project", "commit_id", "path"])
+    return warnings.running_totals(counts.withColumns({"pos": F.col("commit_id"), "gone": F.col("commit_id") % 5 == 0}))
+
+
+@_query(f"WITH {V}, t AS (SELECT project, commit_id, {LEVELS} FROM v GROUP BY ALL) SELECT project = 'R' AS contains_bug, round(avg(block), 6) AS block, round(avg(critical), 6) AS critical, round(avg(major), 6) AS major FROM t GROUP BY ALL")
+def warnings_by_label(spark, d):
+    counts = warnings.warning_counts(_violations(spark, d), ["project", "commit_id"])
+    return _rounded(warnings.warnings_by_label(counts.withColumn("contains_bug", F.col("project") == "R")))
+
+
+# -- statistics ---------------------------------------------------------------
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _numbered(spark, d):
+    keys = ["l_returnflag", "l_orderkey", "l_partkey", "l_linenumber"]
+    return _table(spark, d, "lineitem").groupBy(*keys).agg(*[F.max(f).alias(f) for f in FEATURES]).withColumn("id", F.struct(*keys[1:])).withColumnRenamed("l_returnflag", "project")
+
+
+@_query("WITH k AS (SELECT l_returnflag AS project, l_orderkey, l_partkey, l_linenumber, max(l_quantity) AS q, max(l_extendedprice) AS e, max(l_discount) AS d, max(l_tax) AS t FROM lineitem GROUP BY ALL), "
+ "r AS (SELECT project, " + ", ".join(f"rank() OVER (PARTITION BY project ORDER BY {c}) + (count(*) OVER (PARTITION BY project, {c}) - 1) / 2.0 AS {c}" for c in "qedt") + " FROM k), "
+ + "m AS (" + " UNION ALL ".join(f"SELECT project, '{a[1]}' AS a, '{b[1]}' AS b, corr({a[0]}, {b[0]}) AS rho FROM r GROUP BY project" for i, a in enumerate(zip("qedt", FEATURES, strict=True)) for b in list(zip("qedt", FEATURES, strict=True))[i + 1 :])
+ + ") SELECT project, a, b, round(rho, 6) AS rho FROM m")
+def spearman_matrix(spark, d):
+    return _rounded(stats.spearman_matrix(_numbered(spark, d), ["project"], "id", FEATURES))
+
+
+@_query()
+def redundant_features(spark, d):
+    rows = _table(spark, d, "lineitem").withColumn("project", F.col("l_returnflag")).withColumn("both", F.col("l_quantity") + F.col("l_tax"))
+    return stats.redundant_features(rows, ["project"], [*FEATURES, "both"])
+
+
+@_query("WITH " + I + " SELECT project, round(avg(score), 6) AS score, round(avg(effort), 6) AS effort FROM i GROUP BY ALL")
+def average_measures(spark, d):
+    return _rounded(stats.average_measures(_items(spark, d), ["project"], ["score", "effort"]))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
