@@ -84,7 +84,7 @@ ITEMS = ("project", "doc_id", "score", "effort", "label")
 o AS (SELECT *, sum(effort) OVER a AS c1, sum(label) OVER a AS d1, row_number() OVER a AS r1, sum(effort) OVER b AS c2, sum(label) OVER b AS d2, row_number() OVER b AS r2 FROM r
  WINDOW a AS (PARTITION BY project ORDER BY label DESC, rank ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY project ORDER BY label, rank ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT project, any_value(n) AS n, any_value(m) AS m, count(*) FILTER (churn - effort <= 0.2 * e) AS k, sum(label) FILTER (churn - effort <= 0.2 * e) AS h, min(rank) FILTER (label = 1) AS hit,
- coalesce(sum(0.5 * (2 * bugs - label) * effort / (n * e)) FILTER (rank > 1), 0) AS model, coalesce(sum(0.5 * (2 * d1 - label) * effort / (n * e)) FILTER (r1 > 1), 0) AS opt, coalesce(sum(0.5 * (2 * d2 - label) * effort / (n * e)) FILTER (r2 > 1), 0) AS worst FROM o GROUP BY project)
+ coalesce(sum(0.5 * (2 * bugs - label) * effort / nullif(n * e, 0)) FILTER (rank > 1), 0) AS model, coalesce(sum(0.5 * (2 * d1 - label) * effort / nullif(n * e, 0)) FILTER (r1 > 1), 0) AS opt, coalesce(sum(0.5 * (2 * d2 - label) * effort / nullif(n * e, 0)) FILTER (r2 > 1), 0) AS worst FROM o GROUP BY project)
 SELECT project, round(h / nullif(n, 0), 6) AS recall20p, round(h / k, 6) AS precision20p, round(coalesce(2.0 * h / nullif(n + k, 0), 0), 6) AS fmeasure20p, round(k / m, 6) AS pci20p,
  CAST(greatest(coalesce(hit - 1, m) - 1, 0) AS BIGINT) AS ifa, round(1 - (opt - model) / nullif(opt - worst, 0), 6) AS popt FROM g""")
 def effort_measures(spark, d):
