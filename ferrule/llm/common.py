@@ -52,8 +52,22 @@ def as_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     )
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this Python worker have freed; Spark reuses workers for many tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of ``column`` (a longer row stands alone)."""
+    release_memory()
     for b in batches:
         size = b.column(column).nbytes if b.num_rows else 0
         step = max(1, int(b.num_rows * most / max(size, 1)))

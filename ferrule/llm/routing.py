@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import as_batch, parallelism, small_batches
+from ferrule.llm.common import as_batch, parallelism, release_memory, small_batches
 
 PACKED = "slot long, batch long, body binary"
 ARROW = pa.schema([("slot", pa.int64()), ("batch", pa.int64()), ("body", pa.binary())])
@@ -58,7 +58,7 @@ def emit(rows: Iterable[tuple[int, int, bytes]], most: int = 8 << 20) -> Iterato
         yield as_batch(ARROW, zip(*held, strict=True))
 
 
-def from_docs(docs: DataFrame, f: Callable[[int, list, list], Iterable[tuple[int, int, bytes]]], text_bytes: int = 12 << 20) -> DataFrame:
+def from_docs(docs: DataFrame, f: Callable[[int, list, list], Iterable[tuple[int, int, bytes]]], text_bytes: int = 10 << 20) -> DataFrame:
     """Packed rows from ``f(batch number, ids, texts)`` over batches of ``docs``
     (doc_id, text).  The number is made of the partition's and a count, so the
     same scan gives the same numbers again."""
@@ -88,6 +88,7 @@ def deal(rows: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, dict]]]]:
     """(slot, its rows unpacked) of dealt rows, one slot at a time in memory."""
+    release_memory()
     slot, held = None, []
     for b in batches:
         for s, n, body in zip(b.column("slot").to_pylist(), b.column("batch").to_pylist(), b.column("body").to_pylist(), strict=True):

@@ -48,7 +48,7 @@ class Model:
         load = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d + bytes(32), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=form)
         return load(toxic), load(ordinary)
 
-    def features(self, texts: list[str], cache: dict[str, int], most: int = 400_000) -> np.ndarray:
+    def features(self, texts: list[str], cache: dict[str, int], most: int = 150_000) -> np.ndarray:
         """Per text, how many windows gain at least 1..MOST bytes from the toxic
         dictionary over the other, apart by whether it covers them wholly."""
         toxic, ordinary = self.compressors
