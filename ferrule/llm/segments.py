@@ -1,14 +1,17 @@
-"""Sampled SentencePiece segmentations: Gumbel top-k, without replacement."""
+"""Sampled SentencePiece segmentations: Gumbel top-k, without replacement.
+
+A batch of texts is worked on at once, as arrays: the lattices of its distinct
+words, then one step of the best-first search of every text after another.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
-from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, expm1, log, log1p
+from itertools import chain
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -22,69 +25,168 @@ SCHEMA = "doc_id long, sample int, ids binary, n_pieces long, log_prob double, p
 UNIT = re.compile("▁*[^▁]+|▁+")
 #: A branch this far (in nats) below what is needed has a chance under 1e-17, less than a random number resolves.
 BEYOND = 40.0
+NONE = float("-inf")
+Sample = tuple[bytes, int, float, float, float]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well mixed 64-bit numbers, one for each of ``x``."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _numbered(key: np.ndarray, n) -> np.ndarray:
+    """The n-th random 64-bit number of each key."""
+    return _mixed(key + (np.atleast_1d(n).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _gumbel(bits: np.ndarray) -> np.ndarray:
+    return -np.log(-np.log(((bits >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52))
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each span, one span after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
 
+class Pieces:
+    """A vocabulary as sorted hashes of its pieces' beginnings, by length."""
 
-class Lattice:
-    """The segmentations of one word: at each position the pieces that start
-    there, with the chance of each given that the path got there."""
-
-    __slots__ = ("edges", "table")
-
-    def __init__(self, word: str, vocabulary: dict[str, tuple[int, float]], longest: int, byte_ids: list[tuple[int, float]]):
-        n = len(word)
-        mass = [float("-inf")] * n + [0.0]
-        self.edges: list[list[tuple[float, float, int, bytes, int]]] = [[] for _ in range(n)]
-        for i in range(n - 1, -1, -1):
-            found = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = vocabulary.get(word[i:j])
-                if p and mass[j] > float("-inf"):
-                    found.append((p[1] + mass[j], p[1], j, p[0].to_bytes(4, "little"), 1))
-            if word[i] not in vocabulary:
-                raw = word[i].encode("utf-8", "surrogatepass")
-                w = sum(byte_ids[b][1] for b in raw)
-                found.append((w + mass[i + 1], w, i + 1, b"".join(byte_ids[b][0].to_bytes(4, "little") for b in raw), len(raw)))
-            top = max(f[0] for f in found)
-            mass[i] = top + log(sum(exp(f[0] - top) for f in found))
-            at = 0.0
-            for t, _, j, ids, k in found:
-                at += exp(t - mass[i])
-                self.edges[i].append((at, t - mass[i], j, ids, k))
-        #: Whole segmentations by cumulated chance, where they are few.
-        self.table = None
-        if n <= 12:
-            paths = [(0, 0.0, b"", 0)]
-            whole = []
-            while paths and len(whole) + len(paths) <= 64:
-                i, w, ids, k = paths.pop()
-                if i == n:
-                    whole.append((w, ids, k))
-                else:
-                    paths += [(j, w + lp, ids + x, k + c) for _, lp, j, x, c in self.edges[i]]
-            if not paths:
-                self.table = (np.cumsum([exp(w) for w, *_ in whole]).tolist(), whole)
-
-    def draw(self, u: float, more, i: int = 0) -> tuple[float, bytes, int]:
-        """A random rest of the word from position ``i``: log chance, ids, pieces."""
-        if i == 0 and self.table:
-            return self.table[1][min(bisect(self.table[0], u), len(self.table[1]) - 1)]
-        w, out, k = 0.0, [], 0
-        while i < len(self.edges):
-            e = self.edges[i]
-            at = 0
-            while at < len(e) - 1 and e[at][0] < u:
-                at += 1
-            _, lp, i, ids, c = e[at]
-            w, k = w + lp, k + c
-            out.append(ids)
-            u = more()
-        return w, b"".join(out), k
+    BASE = np.uint64(0x100000001B3)
+
+    def __init__(self, weights: dict[str, tuple[int, float]]):
+        by_length: dict[int, dict[str, tuple[int, float]]] = {}
+        for piece in weights:
+            for n in range(1, len(piece) + 1):
+                by_length.setdefault(n, {})[piece[:n]] = weights.get(piece[:n], (-1, NONE))
+        self.longest, self.tables = max(by_length), {}
+        for n, found in by_length.items():
+            codes = np.frombuffer("".join(found).encode("utf-32-le"), "<u4").reshape(-1, n)
+            h = np.zeros(len(codes), np.uint64)
+            for i in range(n):
+                h = h * self.BASE + codes[:, i] + np.uint64(1)
+            order = np.argsort(h)
+            at, weight = (np.array(x)[order] for x in zip(*found.values(), strict=True))
+            self.tables[n] = (h[order], codes[order], at, weight)
+
+
+class Lattices:
+    """The segmentations of many words.
+
+    Nodes are positions in words; edges are pieces, in the order of their nodes
+    (``off``: a node's first).  ``step`` is the log chance of an edge given that
+    the path got to its node, ``to`` the next node (-1: the word's end), ``key``
+    the node and the cumulated chance in units of 2**-32.  A character outside
+    the vocabulary is a chain of bytes.
+    """
+
+    def __init__(self, words: list[str], pieces: Pieces, byte_ids: list[tuple[int, float]]):
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        n = len(codes)
+        self.start = np.cumsum(lengths) - lengths
+        left = np.repeat(self.start + lengths, lengths) - np.arange(n)
+        source, size, piece, weight = [], [], [], []
+        at, h, single = np.arange(n), np.zeros(n, np.uint64), np.zeros(n, bool)
+        for length in range(1, pieces.longest + 1):
+            fits = left[at] >= length
+            at, h = at[fits], h[fits]
+            if not len(at):
+                break
+            h = h * pieces.BASE + codes[at + length - 1] + np.uint64(1)
+            hashes, texts, ids, weights = pieces.tables[length]
+            row = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            same = hashes[row] == h
+            at, h, row = at[same], h[same], row[same]
+            hit = ids[row] >= 0
+            p, row = at[hit], row[hit]
+            true = (codes[p[:, None] + np.arange(length)] == texts[row]).all(axis=1)
+            p, row = p[true], row[true]
+            if length == 1:
+                single[p] = True
+            source.append(p)
+            size.append(np.full(len(p), length))
+            piece.append(ids[row])
+            weight.append(weights[row])
+        lone = np.flatnonzero(~single)
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[lone].tolist()]
+        source.append(lone)
+        size.append(np.ones(len(lone), np.int64))
+        piece.append(np.array([byte_ids[r[0]][0] for r in raw], np.int64))
+        weight.append(np.array([sum(byte_ids[b][1] for b in r) for r in raw], np.float64))
+        source, size, piece, weight = map(np.concatenate, (source, size, piece, weight))
+
+        # log mass of all that may follow a node, from the words' ends on
+        order = np.lexsort((source, left[source]))
+        source, size, piece, weight = source[order], size[order], piece[order], weight[order]
+        distance, mass = left[source], np.zeros(n + 1)
+        ends = distance == size
+        cuts = np.flatnonzero(np.diff(distance, prepend=0)).tolist()
+        total = np.empty(len(source))
+        for a, b in zip(cuts, [*cuts[1:], len(source)], strict=True):
+            t = weight[a:b] + np.where(ends[a:b], 0.0, mass[source[a:b] + size[a:b]])
+            first = np.flatnonzero(np.diff(source[a:b], prepend=-1))
+            top = np.maximum.reduceat(t, first)
+            mass[source[a:b][first]] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, np.diff(first, append=b - a))), first))
+            total[a:b] = t
+        step = total - mass[source]
+        to = np.where(ends, -1, source + size)
+
+        order = np.argsort(source, kind="stable")
+        source, piece, step, to = source[order], piece[order], step[order], to[order]
+        off = np.searchsorted(source, np.arange(n + 1))
+        # bytes after the first of a character: nodes with one edge each
+        more = [(e, r) for e, r in zip(off[lone + 1].tolist(), raw, strict=True) if len(r) > 1]
+        extra_id, extra_to, node = [], [], n
+        for end, r in more:
+            e = end - 1  # found last, so it may stand anywhere among the node's edges
+            while piece[e] != byte_ids[r[0]][0]:
+                e -= 1
+            then, to[e] = int(to[e]), node
+            for b in r[1:]:
+                node += 1
+                extra_id.append(byte_ids[b][0])
+                extra_to.append(node)
+            extra_to[-1] = then
+        extra = node - n
+        cum, rank = np.exp(step), np.arange(len(source)) - off[source]
+        for r in range(1, int(rank.max(initial=0)) + 1):
+            e = np.flatnonzero(rank == r)
+            cum[e] += cum[e - 1]
+        cum = np.minimum(cum * 2.0**32, 2.0**32).astype(np.uint64)
+        cum[off[1:] - 1] = 2**32
+        self.off = np.concatenate([off, off[-1] + np.arange(1, extra + 1)])
+        self.piece = np.concatenate([piece, np.array(extra_id, np.int64)]).astype("<u4")
+        self.to = np.concatenate([to, np.array(extra_to, np.int64)])
+        self.step = np.concatenate([step, np.zeros(extra)])
+        self.key = np.concatenate([(source.astype(np.uint64) << np.uint64(32)) + cum, np.arange(n + 1, n + 1 + extra).astype(np.uint64) << np.uint64(32)])
+
+    def draw(self, node: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Random rests of words from ``node`` on: piece ids (one word after another), pieces and log chance of each."""
+        count, chance, found = np.zeros(len(node), np.int64), np.zeros(len(node)), []
+        who = np.argsort(node, kind="stable")  # neighbours in memory, one after another
+        node, random = node[who], random[who]
+        while len(who):
+            u = _numbered(random, len(found)) >> np.uint64(32)
+            e = np.searchsorted(self.key, (node.astype(np.uint64) << np.uint64(32)) + u, "right")
+            found.append((who, self.piece[e]))
+            count[who] += 1
+            chance[who] += self.step[e]
+            node = self.to[e]
+            on = np.flatnonzero(node >= 0)
+            node, random, who = node[on], random[on], who[on]
+        at, ids = np.cumsum(count) - count, np.empty(int(count.sum()), "<u4")
+        for i, (who, x) in enumerate(found):
+            ids[at[who] + i] = x
+        return ids, count, chance
 
 
 class Sampler:
     """Pieces get log chances that fall with the logarithm of their merge rank, as word frequencies do."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -94,74 +196,138 @@ class Sampler:
         self.vocabulary = {self.sp.id_to_piece(i): (i, weight[i]) for i in ids if not self.sp.is_byte(i)}
         at = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes = [(i, weight.get(i, -20.0)) for i in at]
-        self.longest = max(map(len, self.vocabulary))
-        self.most, self.cache = most, {}
-
-    def lattice(self, word: str) -> Lattice:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) > self.most:
-                self.cache.clear()
-            got = self.cache[word] = Lattice(word, self.vocabulary, self.longest, self.bytes)
-        return got
-
-    def sample(self, text: str, k: int, key: bytes) -> list[tuple[bytes, int, float, float, float]]:
-        """Up to ``k`` distinct segmentations: ids, pieces, log chance, perturbed log chance, log inclusion chance.
-
-        Best first over partial paths: a path's value is the largest perturbed
-        log chance of all its completions, so its best child inherits it and the
-        others get Gumbel values below it.  Once no branch off a path can still
-        be among the k + 1 best, the rest of that path is drawn word by word.
+        self.pieces = Pieces(self.vocabulary)
+
+    def sample(self, texts: list[str], k: int, keys: list[bytes]) -> list[list[Sample]]:
+        """For each text up to ``k`` distinct segmentations: ids, pieces, log chance, perturbed log chance, log inclusion chance."""
+        units = [UNIT.findall(self.sp.normalize(t)) for t in texts]
+        out: list[list[Sample]] = [[(b"", 0, 0.0, 0.0, 0.0)] for _ in texts]
+        full = [i for i, u in enumerate(units) if u]
+        if not full:
+            return out
+        units = [units[i] for i in full]
+        index = {w: i for i, w in enumerate(set(chain.from_iterable(units)))}
+        lattices = Lattices(list(index), self.pieces, self.bytes)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        words = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64, int(lengths.sum()))
+        random = np.array([int.from_bytes(hashlib.blake2b(keys[i], digest_size=8).digest(), "little") for i in full], np.uint64)
+        for i, got in zip(full, self._sampled(lattices, lattices.start[words], lengths, random, k), strict=True):
+            out[i] = got
+        return out
+
+    def _search(self, lattices: Lattices, start: np.ndarray, first: np.ndarray, lengths: np.ndarray, random: np.ndarray, k: int):
+        """Best first over partial paths, all texts a step at a time.
+
+        A path's value is the largest perturbed log chance of all its
+        completions, so its best child inherits it and the others get Gumbel
+        values below it.  Only the k + 1 best paths of a text can still count.
+        Once no branch off a path can be among them, the path is done and its
+        rest is left to be drawn word by word.
         """
-        rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(key, digest_size=16).digest(), "little"))
-        pool: list[float] = []
-
-        def more() -> float:
-            if not pool:
-                pool.extend(rng.random(256).tolist())
-            return pool.pop()
-
-        words = [self.lattice(w) for w in UNIT.findall(self.sp.normalize(text))]
-        if not words:
-            return [(b"", 0, 0.0, 0.0, 0.0)]
-        gumbel = lambda: -log(-log(more() or 5e-324) or 5e-324)
-        # entries: -value, order, log chance, word, position, ids, pieces
-        heap, done, tie = [(-gumbel(), 0, 0.0, 0, 0, (), 0)], [], 1
-        while heap and len(done) <= k:
-            value, _, lp, w, i, path, n = heapq.heappop(heap)
-            others = sorted([-h[0] for h in heap] + [d[0] for d in done], reverse=True)
-            bar = others[k - 1] if len(others) >= k else float("-inf")
-            if w == len(words) or lp - bar < -BEYOND:
-                done.append((-value, lp, w, i, path, n))
+        d = len(lengths)
+        value, lp = np.full((d, k + 1), NONE), np.zeros((d, k + 1))
+        word, node = np.zeros((d, k + 1), np.int64), np.repeat(start[first][:, None], k + 1, axis=1)
+        back, done = np.full((d, k + 1), -1), np.zeros((d, k + 1), bool)
+        value[:, 0] = _gumbel(_numbered(random, 0))
+        came, by, logged, turn = [], [], 0, 0
+        width = self.pieces.longest + 2
+        live = np.arange(d)
+        while len(live):
+            turn += 1
+            open_ = np.where(done[live], NONE, value[live])
+            best = open_.argmax(axis=1)
+            on = open_[np.arange(len(live)), best] > NONE
+            live, best = live[on], best[on]
+            z, p, w, x = value[live, best], lp[live, best], word[live, best], node[live, best]
+            others = value[live].copy()
+            others[np.arange(len(live)), best] = np.inf
+            bar = others.min(axis=1)
+            over = (w == lengths[live]) | (p - bar < -BEYOND)
+            done[live[over], best[over]] = True
+            go = np.flatnonzero(~over)
+            if not len(go):
                 continue
-            edges = words[w].edges[i]
-            raw = [lp + e[1] + gumbel() for e in edges]
-            top = max(raw)
-            for e, g in zip(edges, raw, strict=True):
+            doc, best, z, p, w, x = live[go], best[go], z[go], p[go], w[go], x[go]
+            off, degree = lattices.off[x], lattices.off[x + 1] - lattices.off[x]
+            slots = np.arange(int(degree.max()))
+            real = slots < degree[:, None]
+            edge = np.where(real, off[:, None] + slots, off[:, None])
+            chance = p[:, None] + lattices.step[edge]
+            g = np.where(real, chance + _gumbel(_numbered(random[doc][:, None], turn * width + slots)), NONE)
+            top = g.max(axis=1, keepdims=True)
+            with np.errstate(invalid="ignore", divide="ignore"):
                 # the children's values given that their largest is the parent's (numerically stable form)
-                v = -value - g + (log1p(-exp(g - top)) if g < top else float("-inf"))
-                g = -value - max(0.0, v) - log1p(exp(-abs(v))) if g < top else -value
-                end = e[2] == len(words[w].edges)
-                heapq.heappush(heap, (-g, tie, lp + e[1], w + end, 0 if end else e[2], (path, e[3]), n + e[4]))
-                tie += 1
-            if len(heap) > 4 * k + 64:
-                heap = heapq.nsmallest(k + 1, heap)  # only k + 1 can still count
-        rest = done[k][0] if len(done) > k else float("-inf")
-        out = []
-        for value, lp, w, i, path, n in done[:k]:
-            ids = []
-            while path:
-                path, x = path
-                ids.append(x)
-            ids.reverse()
-            u = rng.random(len(words) - w).tolist()
-            for lattice, x in zip(words[w:], u, strict=True):
-                q, b, c = lattice.draw(x, more, i)
-                lp, n, i = lp + q, n + c, 0
-                ids.append(b)
-            x = lp - rest
-            chance = 0.0 if rest == float("-inf") or x > 4 else log(-expm1(-exp(x))) if x > -30 else x
-            out.append((b"".join(ids), n, lp, value, chance))
+                v = z[:, None] - g + np.log1p(-np.exp(g - top))
+                child = z[:, None] - np.maximum(0.0, v) - np.log1p(np.exp(-np.abs(v)))
+            child = np.where(g == top, z[:, None], np.where(real, child, NONE))
+            own = value[doc]
+            own[np.arange(len(doc)), best] = NONE
+            every = np.concatenate([own, child], axis=1)
+            pick = np.argsort(-every, axis=1, kind="stable")[:, : k + 1]
+            old, rows = pick <= k, np.arange(len(doc))[:, None]
+            from_, took = np.minimum(pick, k), np.maximum(pick - k - 1, 0)
+            e = edge[rows, took]
+            to, ended = lattices.to[e], lattices.to[e] < 0
+            w = w[:, None] + ended
+            more = w < lengths[doc][:, None]
+            to = np.where(ended, start[first[doc][:, None] + np.minimum(w, lengths[doc][:, None] - 1)], to)
+            new = ~old & (every[rows, pick] > NONE)
+            number = np.where(new, logged - 1 + np.cumsum(new).reshape(new.shape), -1)
+            came.append(np.broadcast_to(back[doc, best][:, None], new.shape)[new])
+            by.append(e[new])
+            logged += len(by[-1])
+            at = doc[:, None]
+            value[doc], lp[doc], back[doc] = every[rows, pick], np.where(old, lp[at, from_], chance[rows, took]), np.where(old, back[at, from_], number)
+            word[doc], node[doc] = np.where(old, word[at, from_], w), np.where(old, node[at, from_], np.where(more, to, 0))
+            done[doc] = old & done[at, from_]
+        order = np.argsort(-value, axis=1, kind="stable")
+        none = [np.empty(0, np.int64)]
+        return [np.take_along_axis(a, order, 1) for a in (value, lp, word, node, back)], np.concatenate(came or none), np.concatenate(by or none)
+
+    def _sampled(self, lattices: Lattices, start: np.ndarray, lengths: np.ndarray, random: np.ndarray, k: int) -> list[list[Sample]]:
+        first = np.cumsum(lengths) - lengths
+        (value, lp, word, node, back), came, by = self._search(lattices, start, first, lengths, random, k)
+        out: list[list[Sample]] = [[] for _ in lengths]
+        for s in range(k):
+            docs = np.flatnonzero(value[:, s] > NONE)
+            if not len(docs):
+                break
+            # the searched part, from its end
+            at, who, parts = back[docs, s], np.arange(len(docs)), []
+            searched = np.zeros(len(docs), np.int64)
+            while len(on := np.flatnonzero(at >= 0)):
+                at, who = at[on], who[on]
+                parts.append((who, lattices.piece[by[at]]))
+                searched[who] += 1
+                at = came[at]
+            ends, head = np.cumsum(searched), np.empty(int(searched.sum()), "<u4")
+            for i, (who, x) in enumerate(parts):
+                head[ends[who] - 1 - i] = x
+            # the rest, of as many words at a time as fit in the caches
+            w = word[docs, s]
+            rest = lengths[docs] - w
+            begun = np.flatnonzero(rest > 0)
+            origin = np.cumsum(rest) - rest
+            words = _spans(first[docs] + w, rest)
+            nodes = start[words]
+            nodes[origin[begun]] = node[docs[begun], s]
+            keys = _numbered(np.repeat(_numbered(random[docs], (1 << 40) + s), rest), _spans(w, rest))
+            drawn = [lattices.draw(nodes[a : a + (1 << 18)], keys[a : a + (1 << 18)]) for a in range(0, len(nodes), 1 << 18)]
+            tail = np.concatenate([x[0] for x in drawn] or [np.empty(0, "<u4")])
+            edges = np.zeros(len(nodes) + 1, np.int64)
+            np.cumsum(np.concatenate([x[1] for x in drawn] or [np.empty(0, np.int64)]), out=edges[1:])
+            total = lp[docs, s].copy()
+            if len(begun):
+                total[begun] += np.add.reduceat(np.concatenate([x[2] for x in drawn]), origin[begun])
+            x = total - value[docs, k]
+            with np.errstate(all="ignore"):
+                chance = np.where(value[docs, k] == NONE, 0.0, np.where(x > 4, 0.0, np.where(x > -30, np.log(-np.expm1(-np.exp(x))), x)))
+            lo, hi = edges[origin], edges[origin + rest]
+            pieces = searched + hi - lo
+            head, tail = head.tobytes(), tail.tobytes()
+            columns = (docs, ends - searched, ends, lo, hi, pieces, total, value[docs, s], chance)
+            for doc, a, b, c, e, n, p, v, q in zip(*(y.tolist() for y in columns), strict=True):
+                out[doc].append((head[4 * a : 4 * b] + tail[4 * c : 4 * e], n, p, v, q))
         return out
 
 
@@ -184,7 +350,8 @@ def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 0, model: str
     probability, in whose order samples are numbered from 1; inclusion_log is
     the log of the chance to be among the sample given its threshold (0 where
     all segmentations are returned).  The random numbers depend on ``seed`` and
-    doc_id alone, so the same row gives the same samples anywhere.
+    doc_id alone, so the same row gives the same samples anywhere.  Words behind
+    the searched part are drawn by chances in units of 2**-32.
 
     A text without pieces (null, empty) gives one empty segmentation; texts with
     fewer than ``k`` segmentations give all of them.  Rows of a null doc_id
@@ -197,11 +364,10 @@ def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 0, model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = sampler(path)
-        for b in small_batches(batches, "text", 1 << 20):
-            rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for n, x in enumerate(one.sample(text, k, f"{seed}:{doc}".encode()), 1):
-                    rows.append((doc, n, *x))
+        for b in small_batches(batches, "text", 4 << 20):
+            ids = b.column("doc_id").to_pylist()
+            got = one.sample(b.column("text").to_pylist(), k, [f"{seed}:{doc}".encode() for doc in ids])
+            rows = [(doc, n, *x) for doc, samples in zip(ids, got, strict=True) for n, x in enumerate(samples, 1)]
             if rows:
                 yield as_batch(schema, zip(*rows, strict=True))
 

@@ -1,5 +1,5 @@
 from collections import Counter
-from math import exp
+from math import exp, log
 
 import numpy as np
 import pytest
@@ -8,20 +8,24 @@ from ferrule.llm.segments import Sampler, decode_segmentations, default_path, sa
 
 
 def every(s, text):
-    """All segmentations of a text with their chances."""
+    """All segmentations of a text with their log chances, by trying all cuts of each word."""
     import re
 
+    def cuts(word):
+        if not word:
+            return [(0.0, b"")]
+        heads = [(i, w, n) for n in range(1, len(word) + 1) for i, w in [s.vocabulary.get(word[:n], (-1, 0.0))] if i >= 0]
+        own = [(w, i.to_bytes(4, "little"), n) for i, w, n in heads]
+        if word[0] not in s.vocabulary:
+            raw = word[0].encode()
+            own.append((sum(s.bytes[b][1] for b in raw), b"".join(s.bytes[b][0].to_bytes(4, "little") for b in raw), 1))
+        return [(w + p, x + y) for w, x, n in own for p, y in cuts(word[n:])]
+
     out = [(0.0, b"")]
     for w in re.findall("▁*[^▁]+|▁+", s.sp.normalize(text)):
-        e, grown = s.lattice(w).edges, []
-        paths = [(0, 0.0, b"")]
-        while paths:
-            i, p, ids = paths.pop()
-            if i == len(e):
-                grown.append((p, ids))
-            else:
-                paths += [(j, p + q, ids + x) for _, q, j, x, _ in e[i]]
-        out = [(a + b, x + y) for a, x in out for b, y in grown]
+        grown = cuts(w)
+        whole = log(sum(exp(p) for p, _ in grown))
+        out = [(a + b - whole, x + y) for a, x in out for b, y in grown]
     return {ids: p for p, ids in out}
 
 
@@ -31,8 +35,7 @@ def test_samples_follow_the_lattice():
     assert sum(map(exp, truth.values())) == pytest.approx(1)
     first, both = Counter(), Counter()
     n = 6000
-    for i in range(n):
-        got = s.sample("ab ca", 2, str(i).encode())
+    for got in s.sample(["ab ca"] * n, 2, [str(i).encode() for i in range(n)]):
         assert len({g[0] for g in got}) == 2 and got[0][3] >= got[1][3]
         assert all(g[2] == pytest.approx(truth[g[0]]) for g in got)
         first[got[0][0]] += 1
@@ -47,10 +50,28 @@ def test_samples_follow_the_lattice():
 def test_all_segmentations_of_a_short_text():
     s = Sampler(default_path())
     truth = every(s, "ab")
-    got = s.sample("ab", 500, b"1")
+    got = s.sample(["ab"], 500, [b"1"])[0]
     assert {g[0] for g in got} == set(truth) and {g[4] for g in got} == {0.0}
 
 
+def test_bytes_and_the_drawn_rest(monkeypatch):
+    """With a short search nearly all is drawn word by word; the chances stay those of the lattice."""
+    from ferrule.llm import segments
+
+    s = Sampler(default_path())
+    for beyond in (40.0, 1.0, -1.0):
+        monkeypatch.setattr(segments, "BEYOND", beyond)
+        for text in ("a\u0001b \U0001f9ffx c", "the cat ab", "\u4e00\u0002 no"):
+            truth, n = every(s, text), 3000
+            runs = s.sample([text] * n, 1, [f"{beyond}{i}".encode() for i in range(n)])
+            seen = Counter(g[0] for r in runs for g in r)
+            assert all(g[2] == pytest.approx(truth[g[0]]) and g[1] == len(g[0]) // 4 for r in runs for g in r)
+            if beyond > 0:
+                for ids, p in truth.items():
+                    x = exp(p)
+                    assert abs(seen[ids] / n - x) < 4.5 * (x * (1 - x) / n) ** 0.5 + 2e-3
+
+
 def test_round_trip_and_seeds(docs_of, odd, sample):
     docs = docs_of(odd, range(-1, -50, -1)).unionByName(sample.limit(40))
     s = Sampler(default_path())
