@@ -1,17 +1,21 @@
 """Sampled SentencePiece segmentations: Gumbel top-k, without replacement.
 
-A batch of texts is worked on at once, as arrays: the lattices of its distinct
-words, then one step of the best-first search of every text after another.
+Each text is searched best first over parts of its lattice.  A part is all
+completions of a path's beginning; its value is the largest perturbed log chance
+among them.  The best part is opened: its best completion is drawn, and what is
+left of it falls into the parts that leave this completion piece by piece.  A
+batch of texts is worked on at once, as arrays.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from math import log
+from math import exp, expm1, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from ferrule.llm.common import as_batch, small_batches, text_of
 SCHEMA = "doc_id long, sample int, ids binary, n_pieces long, log_prob double, perturbed double, inclusion_log double"
 #: Pieces do not cross from one word into the next.
 UNIT = re.compile("▁*[^▁]+|▁+")
-#: A branch this far (in nats) below what is needed has a chance under 1e-17, less than a random number resolves.
+#: Parts that leave a completion behind this many nats have less than 1e-17 of the mass of those before, less than a random number resolves.
 BEYOND = 40.0
 NONE = float("-inf")
 Sample = tuple[bytes, int, float, float, float]
@@ -41,8 +45,17 @@ def _numbered(key: np.ndarray, n) -> np.ndarray:
     return _mixed(key + (np.atleast_1d(n).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _gumbel(bits: np.ndarray) -> np.ndarray:
-    return -np.log(-np.log(((bits >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52))
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
+def _before(x: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sum of what stands before each element of ``x`` in its group.
+
+    In units of 2**-36, so that it does not depend on the batch."""
+    total = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(np.round(x * 2.0**36).astype(np.int64), out=total[1:])
+    return (total[:-1] - np.repeat(total[first], lengths)) * 2.0**-36
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -161,26 +174,80 @@ class Lattices:
         self.piece = np.concatenate([piece, np.array(extra_id, np.int64)]).astype("<u4")
         self.to = np.concatenate([to, np.array(extra_to, np.int64)])
         self.step = np.concatenate([step, np.zeros(extra)])
+        self.node = np.concatenate([source, np.arange(n, n + extra)])
         self.key = np.concatenate([(source.astype(np.uint64) << np.uint64(32)) + cum, np.arange(n + 1, n + 1 + extra).astype(np.uint64) << np.uint64(32)])
-
-    def draw(self, node: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Random rests of words from ``node`` on: piece ids (one word after another), pieces and log chance of each."""
-        count, chance, found = np.zeros(len(node), np.int64), np.zeros(len(node)), []
-        who = np.argsort(node, kind="stable")  # neighbours in memory, one after another
-        node, random = node[who], random[who]
+        self._likely()
+
+    def _likely(self) -> None:
+        """One likely segmentation of each word, and all pieces that leave it, with their chances."""
+        most = np.repeat(np.maximum.reduceat(self.step, self.off[:-1]), np.diff(self.off)) if len(self.step) else self.step
+        best, e = np.zeros(len(self.off) - 1, np.int64), np.flatnonzero(self.step == most)[::-1]
+        best[self.node[e]] = e
+        self.main, self.count, self.chance = self._walk(self.start, lambda who, node, i: best[node])
+        self.at = np.cumsum(self.count) - self.count
+        lp = _before(self.step[self.main], self.at, self.count)
+        edge, self.parent = self.leaving(self.main)
+        word = np.repeat(np.arange(len(self.count)), self.count)[self.parent]
+        self.leave, self.leave_lp = edge, lp[self.parent] + self.step[edge]
+        mass = np.exp(self.leave_lp)
+        total = np.bincount(word, mass, len(self.count))
+        share = np.round(mass / np.where(total > 0, total, 1.0)[word] * 2.0**40).astype(np.int64)
+        self.upto = np.concatenate([[0], np.cumsum(share)])
+        ends = np.searchsorted(word, np.arange(len(self.count) + 1))
+        self.low, self.span = self.upto[ends[:-1]], np.diff(self.upto[ends])
+        self.upto, self.likely = self.upto[1:], np.where(self.span > 0, 1 - total, 1.0)
+
+    def leaving(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The other edges of the nodes of ``edges``, and which of these each belongs to."""
+        x = self.node[edges]
+        degree = self.off[x + 1] - self.off[x]
+        other, parent = _spans(self.off[x], degree), np.repeat(np.arange(len(edges)), degree)
+        kept = other != edges[parent]
+        return other[kept], parent[kept]
+
+    def _walk(self, node: np.ndarray, choose) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Paths from ``node`` to the words' ends: edges (one path after another), number and log chance of each."""
+        count, chance, found, who = np.zeros(len(node), np.int64), np.zeros(len(node)), [], np.arange(len(node))
         while len(who):
-            u = _numbered(random, len(found)) >> np.uint64(32)
-            e = np.searchsorted(self.key, (node.astype(np.uint64) << np.uint64(32)) + u, "right")
-            found.append((who, self.piece[e]))
+            e = choose(who, node, len(found))
+            found.append((who, e))
             count[who] += 1
             chance[who] += self.step[e]
             node = self.to[e]
             on = np.flatnonzero(node >= 0)
-            node, random, who = node[on], random[on], who[on]
-        at, ids = np.cumsum(count) - count, np.empty(int(count.sum()), "<u4")
-        for i, (who, x) in enumerate(found):
-            ids[at[who] + i] = x
-        return ids, count, chance
+            node, who = node[on], who[on]
+        at, edges = np.cumsum(count) - count, np.empty(int(count.sum()), np.int64)
+        for i, (who, e) in enumerate(found):
+            edges[at[who] + i] = e
+        return edges, count, chance
+
+    def rests(self, node: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Random rests of words from ``node`` on."""
+        choose = lambda who, at, i: np.searchsorted(self.key, (at.astype(np.uint64) << np.uint64(32)) + (_numbered(random[who], i + 1) >> np.uint64(32)), "right")
+        return self._walk(node, choose)
+
+    def draw(self, word: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Random segmentations of words: the likely one, or one that leaves it somewhere and goes on at random."""
+        u, q = _uniform(_numbered(random, 0)), self.likely[word]
+        count, chance = self.count[word], self.chance[word]
+        own = u < q
+        left = np.flatnonzero(~own)
+        w = word[left]
+        part = ((u[left] - q[left]) / (1 - q[left]) * self.span[w]).astype(np.int64)
+        x = np.searchsorted(self.upto, self.low[w] + np.minimum(part, self.span[w] - 1), "right")
+        e, kept = self.leave[x], self.parent[x] - self.at[w]
+        on = np.flatnonzero(self.to[e] >= 0)
+        edges, more, lp = self.rests(self.to[e[on]], random[left[on]])
+        count[left], chance[left] = kept + 1, self.leave_lp[x]
+        count[left[on]] += more
+        chance[left[on]] += lp
+        at, out = np.cumsum(count) - count, np.empty(int(count.sum()), np.int64)
+        n = count[own]
+        out[_spans(at[own], n)] = self.main[_spans(self.at[word[own]], n)]
+        out[_spans(at[left], kept)] = self.main[_spans(self.at[w], kept)]
+        out[at[left] + kept] = e
+        out[_spans(at[left[on]] + kept[on] + 1, more)] = edges
+        return out, count, chance
 
 
 class Sampler:
@@ -211,126 +278,113 @@ class Sampler:
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         words = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64, int(lengths.sum()))
         random = np.array([int.from_bytes(hashlib.blake2b(keys[i], digest_size=8).digest(), "little") for i in full], np.uint64)
-        for i, got in zip(full, self._sampled(lattices, lattices.start[words], lengths, random, k), strict=True):
+        for i, got in zip(full, self._sampled(lattices, words, lengths, random, k), strict=True):
             out[i] = got
         return out
 
-    def _search(self, lattices: Lattices, start: np.ndarray, first: np.ndarray, lengths: np.ndarray, random: np.ndarray, k: int):
-        """Best first over partial paths, all texts a step at a time.
-
-        A path's value is the largest perturbed log chance of all its
-        completions, so its best child inherits it and the others get Gumbel
-        values below it.  Only the k + 1 best paths of a text can still count.
-        Once no branch off a path can be among them, the path is done and its
-        rest is left to be drawn word by word.
-        """
-        d = len(lengths)
-        value, lp = np.full((d, k + 1), NONE), np.zeros((d, k + 1))
-        word, node = np.zeros((d, k + 1), np.int64), np.repeat(start[first][:, None], k + 1, axis=1)
-        back, done = np.full((d, k + 1), -1), np.zeros((d, k + 1), bool)
-        value[:, 0] = _gumbel(_numbered(random, 0))
-        came, by, logged, turn = [], [], 0, 0
-        width = self.pieces.longest + 2
-        live = np.arange(d)
-        while len(live):
-            turn += 1
-            open_ = np.where(done[live], NONE, value[live])
-            best = open_.argmax(axis=1)
-            on = open_[np.arange(len(live)), best] > NONE
-            live, best = live[on], best[on]
-            z, p, w, x = value[live, best], lp[live, best], word[live, best], node[live, best]
-            others = value[live].copy()
-            others[np.arange(len(live)), best] = np.inf
-            bar = others.min(axis=1)
-            over = (w == lengths[live]) | (p - bar < -BEYOND)
-            done[live[over], best[over]] = True
-            go = np.flatnonzero(~over)
-            if not len(go):
-                continue
-            doc, best, z, p, w, x = live[go], best[go], z[go], p[go], w[go], x[go]
-            off, degree = lattices.off[x], lattices.off[x + 1] - lattices.off[x]
-            slots = np.arange(int(degree.max()))
-            real = slots < degree[:, None]
-            edge = np.where(real, off[:, None] + slots, off[:, None])
-            chance = p[:, None] + lattices.step[edge]
-            g = np.where(real, chance + _gumbel(_numbered(random[doc][:, None], turn * width + slots)), NONE)
-            top = g.max(axis=1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                # the children's values given that their largest is the parent's (numerically stable form)
-                v = z[:, None] - g + np.log1p(-np.exp(g - top))
-                child = z[:, None] - np.maximum(0.0, v) - np.log1p(np.exp(-np.abs(v)))
-            child = np.where(g == top, z[:, None], np.where(real, child, NONE))
-            own = value[doc]
-            own[np.arange(len(doc)), best] = NONE
-            every = np.concatenate([own, child], axis=1)
-            pick = np.argsort(-every, axis=1, kind="stable")[:, : k + 1]
-            old, rows = pick <= k, np.arange(len(doc))[:, None]
-            from_, took = np.minimum(pick, k), np.maximum(pick - k - 1, 0)
-            e = edge[rows, took]
-            to, ended = lattices.to[e], lattices.to[e] < 0
-            w = w[:, None] + ended
-            more = w < lengths[doc][:, None]
-            to = np.where(ended, start[first[doc][:, None] + np.minimum(w, lengths[doc][:, None] - 1)], to)
-            new = ~old & (every[rows, pick] > NONE)
-            number = np.where(new, logged - 1 + np.cumsum(new).reshape(new.shape), -1)
-            came.append(np.broadcast_to(back[doc, best][:, None], new.shape)[new])
-            by.append(e[new])
-            logged += len(by[-1])
-            at = doc[:, None]
-            value[doc], lp[doc], back[doc] = every[rows, pick], np.where(old, lp[at, from_], chance[rows, took]), np.where(old, back[at, from_], number)
-            word[doc], node[doc] = np.where(old, word[at, from_], w), np.where(old, node[at, from_], np.where(more, to, 0))
-            done[doc] = old & done[at, from_]
-        order = np.argsort(-value, axis=1, kind="stable")
-        none = [np.empty(0, np.int64)]
-        return [np.take_along_axis(a, order, 1) for a in (value, lp, word, node, back)], np.concatenate(came or none), np.concatenate(by or none)
-
-    def _sampled(self, lattices: Lattices, start: np.ndarray, lengths: np.ndarray, random: np.ndarray, k: int) -> list[list[Sample]]:
+    def _drawn(self, lattices: Lattices, node: np.ndarray, words: np.ndarray, rest: np.ndarray, keys: np.ndarray):
+        """Random completions, one a text: of a begun word (``node``, -1 if none), then of ``rest`` whole words.
+
+        Gives edges, pieces and log chance of each word, begun ones included, text by text."""
+        begun = node >= 0
+        n = rest + begun
+        at, drawn = np.cumsum(n) - n, []
+        whole = np.ones(int(n.sum()), bool)
+        whole[at[begun]] = False
+        own = keys[whole]
+        for a in range(0, len(words), 1 << 18):  # as many as fit in the caches
+            drawn.append(lattices.draw(words[a : a + (1 << 18)], own[a : a + (1 << 18)]))
+        edges, count, chance = (np.concatenate(x) for x in zip(*drawn, strict=True)) if drawn else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        if not begun.any():
+            return n, edges, count, chance
+        first, few, lp = lattices.rests(node[begun], keys[~whole])
+        counts, chances = np.empty(len(whole), np.int64), np.empty(len(whole))
+        counts[whole], counts[~whole], chances[whole], chances[~whole] = count, few, chance, lp
+        out, start = np.empty(len(edges) + len(first), np.int64), np.cumsum(counts) - counts
+        out[_spans(start[whole], count)] = edges
+        out[_spans(start[~whole], few)] = first
+        return n, out, counts, chances
+
+    def _sampled(self, lattices: Lattices, words: np.ndarray, lengths: np.ndarray, random: np.ndarray, k: int) -> list[list[Sample]]:
+        """Open the best part of each text, ``k`` times.
+
+        The largest value of the whole is a Gumbel number; those of parts that
+        leave a completion of value z are independent Gumbel numbers about
+        their log mass, given that they are below z."""
         first = np.cumsum(lengths) - lengths
-        (value, lp, word, node, back), came, by = self._search(lattices, start, first, lengths, random, k)
         out: list[list[Sample]] = [[] for _ in lengths]
+        parts: list[list[tuple]] = [[] for _ in lengths]  # -value, sample left, its pieces kept, edge taken, its word, log chance
+        docs, value = np.arange(len(lengths)), -np.log(-np.log(_uniform(_numbered(random, 0))))
+        base, word, node = np.zeros(len(docs)), np.zeros(len(docs), np.int64), np.full(len(docs), -1)
+        heads = [b""] * len(docs)
         for s in range(k):
-            docs = np.flatnonzero(value[:, s] > NONE)
-            if not len(docs):
+            # complete each opened part at random
+            rest = lengths[docs] - word
+            begun = node >= 0
+            whole = rest - begun
+            keys = _numbered(np.repeat(_numbered(random[docs], (1 << 40) + s), rest), _spans(word, rest))
+            n, edges, count, chance = self._drawn(lattices, node, words[_spans(first[docs] + word + begun, whole)], whole, keys)
+            token = np.cumsum(n) - n
+            ends = np.zeros(len(count) + 1, np.int64)
+            np.cumsum(count, out=ends[1:])
+            lo, hi = ends[token], ends[token + n]
+            lp = base + np.bincount(np.repeat(np.arange(len(docs)), n), chance, len(docs))
+            tail = lattices.piece[edges].tobytes()
+            kept = np.fromiter((len(h) // 4 for h in heads), np.int64, len(heads))
+            for doc, h, a, b, p, v in zip(docs.tolist(), heads, lo.tolist(), hi.tolist(), lp.tolist(), value.tolist(), strict=True):
+                ids = h + tail[4 * a : 4 * b]
+                out[doc].append((ids, len(ids) // 4, p, v, 0.0))
+            # the parts that leave the completions
+            before = _before(chance, token, n)
+            ahead = np.bincount(np.repeat(np.arange(len(docs)), n), before >= -BEYOND, len(docs)).astype(np.int64)
+            size = ends[token + ahead] - lo
+            e = edges[_spans(lo, size)]
+            at = np.cumsum(size) - size
+            lp_before = np.repeat(base, size) + _before(lattices.step[e], at, size)
+            owner = np.repeat(np.arange(len(docs)), size)
+            in_word = np.repeat(_spans(word, ahead), count[_spans(token, ahead)])
+            index = _spans(kept, size)
+            other, parent = lattices.leaving(e)
+            mass = lp_before[parent] + lattices.step[other]
+            text = owner[parent]
+            many = np.bincount(text, minlength=len(docs))
+            bits = _numbered(np.repeat(_numbered(random[docs], (1 << 41) + s), many), _spans(np.zeros(len(docs), np.int64), many))
+            values = -np.logaddexp(-value[text], np.log(-np.log(_uniform(bits))) - mass)
+            stop, most = np.cumsum(many).tolist(), k - s
+            for i, (doc, b) in enumerate(zip(docs.tolist(), stop, strict=True)):
+                a = b - int(many[i])
+                if a == b:
+                    continue
+                v = values[a:b]
+                top = np.argpartition(-v, most - 1)[:most] if len(v) > most else np.arange(len(v))
+                for x in (top + a).tolist():
+                    y = parent[x]
+                    heapq.heappush(parts[doc], (-float(values[x]), s, int(index[y]), int(other[x]), int(in_word[y]), float(mass[x])))
+            # open the best part of each text that has one
+            docs_, opened = [], []
+            for doc in docs.tolist():
+                if parts[doc] and s + 1 < k:
+                    docs_.append(doc)
+                    opened.append(heapq.heappop(parts[doc]))
+            if not docs_:
                 break
-            # the searched part, from its end
-            at, who, parts = back[docs, s], np.arange(len(docs)), []
-            searched = np.zeros(len(docs), np.int64)
-            while len(on := np.flatnonzero(at >= 0)):
-                at, who = at[on], who[on]
-                parts.append((who, lattices.piece[by[at]]))
-                searched[who] += 1
-                at = came[at]
-            ends, head = np.cumsum(searched), np.empty(int(searched.sum()), "<u4")
-            for i, (who, x) in enumerate(parts):
-                head[ends[who] - 1 - i] = x
-            # the rest, of as many words at a time as fit in the caches
-            w = word[docs, s]
-            rest = lengths[docs] - w
-            begun = np.flatnonzero(rest > 0)
-            origin = np.cumsum(rest) - rest
-            words = _spans(first[docs] + w, rest)
-            nodes = start[words]
-            nodes[origin[begun]] = node[docs[begun], s]
-            keys = _numbered(np.repeat(_numbered(random[docs], (1 << 40) + s), rest), _spans(w, rest))
-            drawn = [lattices.draw(nodes[a : a + (1 << 18)], keys[a : a + (1 << 18)]) for a in range(0, len(nodes), 1 << 18)]
-            tail = np.concatenate([x[0] for x in drawn] or [np.empty(0, "<u4")])
-            edges = np.zeros(len(nodes) + 1, np.int64)
-            np.cumsum(np.concatenate([x[1] for x in drawn] or [np.empty(0, np.int64)]), out=edges[1:])
-            total = lp[docs, s].copy()
-            if len(begun):
-                total[begun] += np.add.reduceat(np.concatenate([x[2] for x in drawn]), origin[begun])
-            x = total - value[docs, k]
-            with np.errstate(all="ignore"):
-                chance = np.where(value[docs, k] == NONE, 0.0, np.where(x > 4, 0.0, np.where(x > -30, np.log(-np.expm1(-np.exp(x))), x)))
-            lo, hi = edges[origin], edges[origin + rest]
-            pieces = searched + hi - lo
-            head, tail = head.tobytes(), tail.tobytes()
-            columns = (docs, ends - searched, ends, lo, hi, pieces, total, value[docs, s], chance)
-            for doc, a, b, c, e, n, p, v, q in zip(*(y.tolist() for y in columns), strict=True):
-                out[doc].append((head[4 * a : 4 * b] + tail[4 * c : 4 * e], n, p, v, q))
+            negative, left, cut, e, word, base = zip(*opened, strict=True)
+            docs, value, base, e, word = np.array(docs_), -np.array(negative), np.array(base), np.array(e), np.array(word)
+            node = lattices.to[e]
+            word = word + (node < 0)
+            heads = [out[doc][j][0][: 4 * c] + int(i).to_bytes(4, "little") for doc, j, c, i in zip(docs_, left, cut, lattices.piece[e], strict=True)]
+        for doc, own in enumerate(out):
+            if parts[doc]:
+                bar = -parts[doc][0][0]
+                out[doc] = [(ids, n, p, v, _inclusion(p - bar)) for ids, n, p, v, _ in own]
         return out
 
 
+def _inclusion(x: float) -> float:
+    """Log of the chance of a Gumbel number about ``x`` to be above 0."""
+    return 0.0 if x > 4 else log(-expm1(-exp(x))) if x > -30 else x
+
+
 @lru_cache(2)
 def sampler(path: str) -> Sampler:
     return Sampler(path)
