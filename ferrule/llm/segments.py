@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import as_batch, small_batches, text_of
 
 SCHEMA = "doc_id long, sample int, ids binary, n_pieces long, log_prob double, perturbed double, inclusion_log double"
-#: Pieces do not cross from one word into the next.
-UNIT = re.compile("▁*[^▁]+|▁+")
 #: Parts that leave a completion behind this many nats have less than 1e-17 of the mass of those before, less than a random number resolves.
 BEYOND = 40.0
 NONE = float("-inf")
@@ -64,25 +62,39 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-class Pieces:
-    """A vocabulary as sorted hashes of its pieces' beginnings, by length."""
+def _stretches(share: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares end to end in units of 2**-36; where each group (from ``off`` on) begins, and its length."""
+    upto = np.zeros(len(share) + 1, np.int64)
+    np.cumsum(np.round(share * 2.0**36).astype(np.int64), out=upto[1:])
+    return upto[1:], upto[off[:-1]], np.diff(upto[off])
+
 
-    BASE = np.uint64(0x100000001B3)
+def _chosen(upto: np.ndarray, low: np.ndarray, span: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The elements of groups whose shares the numbers ``u`` in [0, 1) fall into."""
+    return np.searchsorted(upto, low + np.minimum((u * span).astype(np.int64), span - 1), "right")
+
+
+class Pieces:
+    """A vocabulary as a tree of its pieces' characters: the child of a node by a character is found in sorted keys."""
 
     def __init__(self, weights: dict[str, tuple[int, float]]):
-        by_length: dict[int, dict[str, tuple[int, float]]] = {}
+        number = {"": 0}
         for piece in weights:
             for n in range(1, len(piece) + 1):
-                by_length.setdefault(n, {})[piece[:n]] = weights.get(piece[:n], (-1, NONE))
-        self.longest, self.tables = max(by_length), {}
-        for n, found in by_length.items():
-            codes = np.frombuffer("".join(found).encode("utf-32-le"), "<u4").reshape(-1, n)
-            h = np.zeros(len(codes), np.uint64)
-            for i in range(n):
-                h = h * self.BASE + codes[:, i] + np.uint64(1)
-            order = np.argsort(h)
-            at, weight = (np.array(x)[order] for x in zip(*found.values(), strict=True))
-            self.tables[n] = (h[order], codes[order], at, weight)
+                number.setdefault(piece[:n], len(number))
+        self.longest = max(map(len, weights))
+        keys = np.array([(number[x[:-1]] << 21) + ord(x[-1]) for x in number if x], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], order + 1
+        self.first = np.zeros(0x110000, np.int64)
+        self.first[keys[keys < 1 << 21]] = np.flatnonzero(keys < 1 << 21) + 1
+        self.piece, self.weight = (np.array(x) for x in zip(*(weights.get(x, (-1, NONE)) for x in number), strict=True))
+
+    def next(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Children of nodes by characters, 0 where there is none."""
+        key = (node << 21) + code
+        row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[row] == key, self.child[row], 0)
 
 
 class Lattices:
@@ -90,39 +102,32 @@ class Lattices:
 
     Nodes are positions in words; edges are pieces, in the order of their nodes
     (``off``: a node's first).  ``step`` is the log chance of an edge given that
-    the path got to its node, ``to`` the next node (-1: the word's end), ``key``
-    the node and the cumulated chance in units of 2**-32.  A character outside
-    the vocabulary is a chain of bytes.
+    the path got to its node, ``to`` the next node (-1: the word's end).  A
+    character outside the vocabulary is a chain of bytes.
     """
 
     def __init__(self, words: list[str], pieces: Pieces, byte_ids: list[tuple[int, float]]):
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         n = len(codes)
         self.start = np.cumsum(lengths) - lengths
         left = np.repeat(self.start + lengths, lengths) - np.arange(n)
         source, size, piece, weight = [], [], [], []
-        at, h, single = np.arange(n), np.zeros(n, np.uint64), np.zeros(n, bool)
+        state, at = pieces.first[codes], np.arange(n)
+        single = pieces.piece[state] >= 0
         for length in range(1, pieces.longest + 1):
-            fits = left[at] >= length
-            at, h = at[fits], h[fits]
+            on = np.flatnonzero(state)
+            at, state = at[on], state[on]
             if not len(at):
                 break
-            h = h * pieces.BASE + codes[at + length - 1] + np.uint64(1)
-            hashes, texts, ids, weights = pieces.tables[length]
-            row = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            same = hashes[row] == h
-            at, h, row = at[same], h[same], row[same]
-            hit = ids[row] >= 0
-            p, row = at[hit], row[hit]
-            true = (codes[p[:, None] + np.arange(length)] == texts[row]).all(axis=1)
-            p, row = p[true], row[true]
-            if length == 1:
-                single[p] = True
-            source.append(p)
-            size.append(np.full(len(p), length))
-            piece.append(ids[row])
-            weight.append(weights[row])
+            hit = np.flatnonzero(pieces.piece[state] >= 0)
+            source.append(at[hit])
+            size.append(np.full(len(hit), length))
+            piece.append(pieces.piece[state[hit]])
+            weight.append(pieces.weight[state[hit]])
+            on = np.flatnonzero(left[at] > length)
+            at, state = at[on], state[on]
+            state = pieces.next(state, codes[at + length])
         lone = np.flatnonzero(~single)
         raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[lone].tolist()]
         source.append(lone)
@@ -132,23 +137,21 @@ class Lattices:
         source, size, piece, weight = map(np.concatenate, (source, size, piece, weight))
 
         # log mass of all that may follow a node, from the words' ends on
-        order = np.lexsort((source, left[source]))
+        order = np.argsort(source, kind="stable")
         source, size, piece, weight = source[order], size[order], piece[order], weight[order]
-        distance, mass = left[source], np.zeros(n + 1)
-        ends = distance == size
+        distance, mass, step = left[source], np.zeros(n + 1), np.empty(len(source))
+        final = distance == size
+        order = np.argsort(distance.astype(np.uint16) if n and distance.max() < 1 << 16 else distance, kind="stable")
+        distance, origin, target, own, ends = distance[order], source[order], (source + size)[order], weight[order], final[order]
         cuts = np.flatnonzero(np.diff(distance, prepend=0)).tolist()
-        total = np.empty(len(source))
         for a, b in zip(cuts, [*cuts[1:], len(source)], strict=True):
-            t = weight[a:b] + np.where(ends[a:b], 0.0, mass[source[a:b] + size[a:b]])
-            first = np.flatnonzero(np.diff(source[a:b], prepend=-1))
+            t = own[a:b] + np.where(ends[a:b], 0.0, mass[np.minimum(target[a:b], n)])
+            first = np.flatnonzero(np.diff(origin[a:b], prepend=-1))
             top = np.maximum.reduceat(t, first)
-            mass[source[a:b][first]] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, np.diff(first, append=b - a))), first))
-            total[a:b] = t
-        step = total - mass[source]
-        to = np.where(ends, -1, source + size)
+            mass[origin[a:b][first]] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, np.diff(first, append=b - a))), first))
+            step[order[a:b]] = t - mass[origin[a:b]]
+        to = np.where(final, -1, source + size)
 
-        order = np.argsort(source, kind="stable")
-        source, piece, step, to = source[order], piece[order], step[order], to[order]
         off = np.searchsorted(source, np.arange(n + 1))
         # bytes after the first of a character: nodes with one edge each
         more = [(e, r) for e, r in zip(off[lone + 1].tolist(), raw, strict=True) if len(r) > 1]
@@ -164,18 +167,12 @@ class Lattices:
                 extra_to.append(node)
             extra_to[-1] = then
         extra = node - n
-        cum, rank = np.exp(step), np.arange(len(source)) - off[source]
-        for r in range(1, int(rank.max(initial=0)) + 1):
-            e = np.flatnonzero(rank == r)
-            cum[e] += cum[e - 1]
-        cum = np.minimum(cum * 2.0**32, 2.0**32).astype(np.uint64)
-        cum[off[1:] - 1] = 2**32
         self.off = np.concatenate([off, off[-1] + np.arange(1, extra + 1)])
         self.piece = np.concatenate([piece, np.array(extra_id, np.int64)]).astype("<u4")
         self.to = np.concatenate([to, np.array(extra_to, np.int64)])
         self.step = np.concatenate([step, np.zeros(extra)])
         self.node = np.concatenate([source, np.arange(n, n + extra)])
-        self.key = np.concatenate([(source.astype(np.uint64) << np.uint64(32)) + cum, np.arange(n + 1, n + 1 + extra).astype(np.uint64) << np.uint64(32)])
+        self.upto, self.low, self.span = _stretches(np.exp(self.step), self.off)
         self._likely()
 
     def _likely(self) -> None:
@@ -191,11 +188,9 @@ class Lattices:
         self.leave, self.leave_lp = edge, lp[self.parent] + self.step[edge]
         mass = np.exp(self.leave_lp)
         total = np.bincount(word, mass, len(self.count))
-        share = np.round(mass / np.where(total > 0, total, 1.0)[word] * 2.0**40).astype(np.int64)
-        self.upto = np.concatenate([[0], np.cumsum(share)])
         ends = np.searchsorted(word, np.arange(len(self.count) + 1))
-        self.low, self.span = self.upto[ends[:-1]], np.diff(self.upto[ends])
-        self.upto, self.likely = self.upto[1:], np.where(self.span > 0, 1 - total, 1.0)
+        self.leave_upto, self.leave_low, self.leave_span = _stretches(mass / np.where(total > 0, total, 1.0)[word], ends)
+        self.likely = np.where(self.leave_span > 0, 1 - total, 1.0)
 
     def leaving(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The other edges of the nodes of ``edges``, and which of these each belongs to."""
@@ -223,7 +218,7 @@ class Lattices:
 
     def rests(self, node: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Random rests of words from ``node`` on."""
-        choose = lambda who, at, i: np.searchsorted(self.key, (at.astype(np.uint64) << np.uint64(32)) + (_numbered(random[who], i + 1) >> np.uint64(32)), "right")
+        choose = lambda who, at, i: _chosen(self.upto, self.low[at], self.span[at], _uniform(_numbered(random[who], i + 1)))
         return self._walk(node, choose)
 
     def draw(self, word: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,8 +228,7 @@ class Lattices:
         own = u < q
         left = np.flatnonzero(~own)
         w = word[left]
-        part = ((u[left] - q[left]) / (1 - q[left]) * self.span[w]).astype(np.int64)
-        x = np.searchsorted(self.upto, self.low[w] + np.minimum(part, self.span[w] - 1), "right")
+        x = _chosen(self.leave_upto, self.leave_low[w], self.leave_span[w], (u[left] - q[left]) / (1 - q[left]))
         e, kept = self.leave[x], self.parent[x] - self.at[w]
         on = np.flatnonzero(self.to[e] >= 0)
         edges, more, lp = self.rests(self.to[e[on]], random[left[on]])
@@ -264,10 +258,13 @@ class Sampler:
         at = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes = [(i, weight.get(i, -20.0)) for i in at]
         self.pieces = Pieces(self.vocabulary)
+        # pieces do not cross from one word into the next, nor over a line break unless they have one
+        stops = "".join(c for c in "\n\r\t" if not any(c in x for x in self.vocabulary))
+        self.unit = re.compile(f"▁*[^▁{stops}]+|▁+" + f"|[{stops}]+" * bool(stops))
 
     def sample(self, texts: list[str], k: int, keys: list[bytes]) -> list[list[Sample]]:
         """For each text up to ``k`` distinct segmentations: ids, pieces, log chance, perturbed log chance, log inclusion chance."""
-        units = [UNIT.findall(self.sp.normalize(t)) for t in texts]
+        units = [self.unit.findall(self.sp.normalize(t)) for t in texts]
         out: list[list[Sample]] = [[(b"", 0, 0.0, 0.0, 0.0)] for _ in texts]
         full = [i for i, u in enumerate(units) if u]
         if not full:
@@ -404,8 +401,8 @@ def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 0, model: str
     probability, in whose order samples are numbered from 1; inclusion_log is
     the log of the chance to be among the sample given its threshold (0 where
     all segmentations are returned).  The random numbers depend on ``seed`` and
-    doc_id alone, so the same row gives the same samples anywhere.  Words behind
-    the searched part are drawn by chances in units of 2**-32.
+    doc_id alone, so the same row gives the same samples anywhere.  Pieces are
+    drawn by chances in units of 2**-36.
 
     A text without pieces (null, empty) gives one empty segmentation; texts with
     fewer than ``k`` segmentations give all of them.  Rows of a null doc_id
