@@ -62,6 +62,13 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
+def _placed(place: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
+    out = np.empty(sum(map(len, parts)), np.result_type(*parts))
+    for at, x in zip(place, parts, strict=True):
+        out[at] = x
+    return out
+
+
 def _stretches(share: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shares end to end in units of 2**-36; where each group (from ``off`` on) begins, and its length."""
     upto = np.zeros(len(share) + 1, np.int64)
@@ -75,7 +82,7 @@ def _chosen(upto: np.ndarray, low: np.ndarray, span: np.ndarray, u: np.ndarray)
 
 
 class Pieces:
-    """A vocabulary as a tree of its pieces' characters: the child of a node by a character is found in sorted keys."""
+    """A vocabulary as a tree of its pieces' characters: the child of a node by a character stands in a hash table."""
 
     def __init__(self, weights: dict[str, tuple[int, float]]):
         number = {"": 0}
@@ -84,24 +91,44 @@ class Pieces:
                 number.setdefault(piece[:n], len(number))
         self.longest = max(map(len, weights))
         keys = np.array([(number[x[:-1]] << 21) + ord(x[-1]) for x in number if x], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], order + 1
+        bits = len(keys).bit_length() + 2
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.child = np.full(1 << bits, -1), np.zeros(1 << bits, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]
+            done = self.keys[slot] == keys[left]
+            self.child[slot[done]] = left[done] + 1
+            slot, left = (slot[~done] + 1) & self.mask, left[~done]
         self.first = np.zeros(0x110000, np.int64)
         self.first[keys[keys < 1 << 21]] = np.flatnonzero(keys < 1 << 21) + 1
         self.piece, self.weight = (np.array(x) for x in zip(*(weights.get(x, (-1, NONE)) for x in number), strict=True))
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def next(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Children of nodes by characters, 0 where there is none."""
         key = (node << 21) + code
-        row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[row] == key, self.child[row], 0)
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.child[slot], 0)
+        at = np.flatnonzero((there != key) & (there >= 0))
+        while len(at):  # the slot is another's: look into the next one
+            slot[at] = (slot[at] + 1) & self.mask
+            there = self.keys[slot[at]]
+            same = there == key[at]
+            out[at[same]] = self.child[slot[at[same]]]
+            at = at[~same & (there >= 0)]
+        return out
 
 
 class Lattices:
     """The segmentations of many words.
 
-    Nodes are positions in words; edges are pieces, in the order of their nodes
-    (``off``: a node's first).  ``step`` is the log chance of an edge given that
+    Nodes are positions in words, those nearest to a word's end first; edges are
+    pieces, in the order of their nodes (``off``: a node's first).  ``step`` is the log chance of an edge given that
     the path got to its node, ``to`` the next node (-1: the word's end).  A
     character outside the vocabulary is a chain of bytes.
     """
@@ -112,49 +139,65 @@ class Lattices:
         n = len(codes)
         self.start = np.cumsum(lengths) - lengths
         left = np.repeat(self.start + lengths, lengths) - np.arange(n)
-        source, size, piece, weight = [], [], [], []
+        # nodes by their distance from the end, so that those that may follow come before
+        order = np.argsort(left.astype(np.uint16) if n and lengths.max() < 1 << 16 else left, kind="stable")
+        number = np.empty(n + 1, np.int64)
+        number[order], number[n] = np.arange(n), n
+        self.start = number[self.start]
+        source, size, piece, weight, rank = [], [], [], [], []
         state, at = pieces.first[codes], np.arange(n)
-        single = pieces.piece[state] >= 0
+        single, degree = pieces.piece[state] >= 0, np.zeros(n, np.int64)
         for length in range(1, pieces.longest + 1):
             on = np.flatnonzero(state)
             at, state = at[on], state[on]
             if not len(at):
                 break
             hit = np.flatnonzero(pieces.piece[state] >= 0)
-            source.append(at[hit])
-            size.append(np.full(len(hit), length))
-            piece.append(pieces.piece[state[hit]])
-            weight.append(pieces.weight[state[hit]])
+            p, q = at[hit], state[hit]
+            source.append(p)
+            rank.append(degree[p])
+            degree[p] += 1
+            size.append(length)
+            piece.append(pieces.piece[q])
+            weight.append(pieces.weight[q])
             on = np.flatnonzero(left[at] > length)
             at, state = at[on], state[on]
             state = pieces.next(state, codes[at + length])
         lone = np.flatnonzero(~single)
         raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[lone].tolist()]
         source.append(lone)
-        size.append(np.ones(len(lone), np.int64))
+        rank.append(degree[lone])
+        degree[lone] += 1
+        size.append(1)
         piece.append(np.array([byte_ids[r[0]][0] for r in raw], np.int64))
         weight.append(np.array([sum(byte_ids[b][1] for b in r) for r in raw], np.float64))
-        source, size, piece, weight = map(np.concatenate, (source, size, piece, weight))
+        degree, off = degree[order], np.zeros(n + 1, np.int64)
+        np.cumsum(degree, out=off[1:])
+        place = [off[number[x]] + r for x, r in zip(source, rank, strict=True)]
+        # a word's end counts as node n here
+        follow = [np.where(left[x] == k, n, number[np.minimum(x + k, n)]) for x, k in zip(source, size, strict=True)]
+        to, piece, weight = (_placed(place, x) for x in (follow, piece, weight))
 
         # log mass of all that may follow a node, from the words' ends on
-        order = np.argsort(source, kind="stable")
-        source, size, piece, weight = source[order], size[order], piece[order], weight[order]
-        distance, mass, step = left[source], np.zeros(n + 1), np.empty(len(source))
-        final = distance == size
-        order = np.argsort(distance.astype(np.uint16) if n and distance.max() < 1 << 16 else distance, kind="stable")
-        distance, origin, target, own, ends = distance[order], source[order], (source + size)[order], weight[order], final[order]
-        cuts = np.flatnonzero(np.diff(distance, prepend=0)).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(source)], strict=True):
-            t = own[a:b] + np.where(ends[a:b], 0.0, mass[np.minimum(target[a:b], n)])
-            first = np.flatnonzero(np.diff(origin[a:b], prepend=-1))
+        mass, step, share, best = np.zeros(n + 1), np.empty(len(to)), np.empty(len(to)), np.zeros(n, np.int64)
+        cuts = np.flatnonzero(np.diff(left[order], prepend=0)).tolist()
+        for x, y in zip(cuts, [*cuts[1:], n], strict=True):
+            a, b = int(off[x]), int(off[y])
+            t, first, many = weight[a:b] + mass[to[a:b]], off[x:y] - a, degree[x:y]
             top = np.maximum.reduceat(t, first)
-            mass[origin[a:b][first]] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, np.diff(first, append=b - a))), first))
-            step[order[a:b]] = t - mass[origin[a:b]]
-        to = np.where(final, -1, source + size)
-
-        off = np.searchsorted(source, np.arange(n + 1))
+            t -= np.repeat(top, many)
+            e = np.flatnonzero(t == 0)[::-1]
+            chance = np.exp(t)
+            total = np.add.reduceat(chance, first)
+            rest = np.log(total)
+            mass[x:y] = top + rest
+            step[a:b] = t - np.repeat(rest, many)
+            share[a:b] = chance / np.repeat(total, many)
+            best[np.repeat(np.arange(x, y), many)[e]] = e + a
+        to[to == n] = -1
+        source = np.repeat(np.arange(n), degree)
         # bytes after the first of a character: nodes with one edge each
-        more = [(e, r) for e, r in zip(off[lone + 1].tolist(), raw, strict=True) if len(r) > 1]
+        more = [(e, r) for e, r in zip(off[number[lone] + 1].tolist(), raw, strict=True) if len(r) > 1]
         extra_id, extra_to, node = [], [], n
         for end, r in more:
             e = end - 1  # found last, so it may stand anywhere among the node's edges
@@ -172,14 +215,11 @@ class Lattices:
         self.to = np.concatenate([to, np.array(extra_to, np.int64)])
         self.step = np.concatenate([step, np.zeros(extra)])
         self.node = np.concatenate([source, np.arange(n, n + extra)])
-        self.upto, self.low, self.span = _stretches(np.exp(self.step), self.off)
-        self._likely()
-
-    def _likely(self) -> None:
-        """One likely segmentation of each word, and all pieces that leave it, with their chances."""
-        most = np.repeat(np.maximum.reduceat(self.step, self.off[:-1]), np.diff(self.off)) if len(self.step) else self.step
-        best, e = np.zeros(len(self.off) - 1, np.int64), np.flatnonzero(self.step == most)[::-1]
-        best[self.node[e]] = e
+        self.upto, self.low, self.span = _stretches(np.concatenate([share, np.ones(extra)]), self.off)
+        self._likely(np.concatenate([best, len(step) + np.arange(extra)]))
+
+    def _likely(self, best: np.ndarray) -> None:
+        """One likely segmentation of each word (the ``best`` edge of each node), and all pieces that leave it, with their chances."""
         self.main, self.count, self.chance = self._walk(self.start, lambda who, node, i: best[node])
         self.at = np.cumsum(self.count) - self.count
         lp = _before(self.step[self.main], self.at, self.count)
@@ -415,7 +455,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 0, model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = sampler(path)
-        for b in small_batches(batches, "text", 4 << 20):
+        for b in small_batches(batches, "text", 1 << 20):
             ids = b.column("doc_id").to_pylist()
             got = one.sample(b.column("text").to_pylist(), k, [f"{seed}:{doc}".encode() for doc in ids])
             rows = [(doc, n, *x) for doc, samples in zip(ids, got, strict=True) for n, x in enumerate(samples, 1)]
