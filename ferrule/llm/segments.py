@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -179,23 +180,20 @@ class Lattices:
         to, piece, weight = (_placed(place, x) for x in (follow, piece, weight))
 
         # log mass of all that may follow a node, from the words' ends on
-        mass, step, share, best = np.zeros(n + 1), np.empty(len(to)), np.empty(len(to)), np.zeros(n, np.int64)
+        mass, step, top_one = np.zeros(n + 1), np.empty(len(to)), np.empty(len(to), bool)
         cuts = np.flatnonzero(np.diff(left[order], prepend=0)).tolist()
         for x, y in zip(cuts, [*cuts[1:], n], strict=True):
             a, b = int(off[x]), int(off[y])
             t, first, many = weight[a:b] + mass[to[a:b]], off[x:y] - a, degree[x:y]
             top = np.maximum.reduceat(t, first)
             t -= np.repeat(top, many)
-            e = np.flatnonzero(t == 0)[::-1]
-            chance = np.exp(t)
-            total = np.add.reduceat(chance, first)
-            rest = np.log(total)
+            top_one[a:b] = t == 0
+            rest = np.log(np.add.reduceat(np.exp(t), first))
             mass[x:y] = top + rest
             step[a:b] = t - np.repeat(rest, many)
-            share[a:b] = chance / np.repeat(total, many)
-            best[np.repeat(np.arange(x, y), many)[e]] = e + a
         to[to == n] = -1
-        source = np.repeat(np.arange(n), degree)
+        source, best, e = np.repeat(np.arange(n), degree), np.zeros(n, np.int64), np.flatnonzero(top_one)[::-1]
+        best[source[e]] = e
         # bytes after the first of a character: nodes with one edge each
         more = [(e, r) for e, r in zip(off[number[lone] + 1].tolist(), raw, strict=True) if len(r) > 1]
         extra_id, extra_to, node = [], [], n
@@ -215,7 +213,6 @@ class Lattices:
         self.to = np.concatenate([to, np.array(extra_to, np.int64)])
         self.step = np.concatenate([step, np.zeros(extra)])
         self.node = np.concatenate([source, np.arange(n, n + extra)])
-        self.upto, self.low, self.span = _stretches(np.concatenate([share, np.ones(extra)]), self.off)
         self._likely(np.concatenate([best, len(step) + np.arange(extra)]))
 
     def _likely(self, best: np.ndarray) -> None:
@@ -258,7 +255,14 @@ class Lattices:
 
     def rests(self, node: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Random rests of words from ``node`` on."""
-        choose = lambda who, at, i: _chosen(self.upto, self.low[at], self.span[at], _uniform(_numbered(random[who], i + 1)))
+
+        def choose(who, at, i):
+            low, degree = self.off[at], self.off[at + 1] - self.off[at]
+            off = np.zeros(len(at) + 1, np.int64)
+            np.cumsum(degree, out=off[1:])
+            upto, start, span = _stretches(np.exp(self.step[_spans(low, degree)]), off)
+            return low - off[:-1] + _chosen(upto, start, span, _uniform(_numbered(random[who], i + 1)))
+
         return self._walk(node, choose)
 
     def draw(self, word: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,10 +314,11 @@ class Sampler:
         if not full:
             return out
         units = [units[i] for i in full]
-        index = {w: i for i, w in enumerate(set(chain.from_iterable(units)))}
-        lattices = Lattices(list(index), self.pieces, self.bytes)
+        index: defaultdict[str, int] = defaultdict()
+        index.default_factory = index.__len__  # a new word gets the next number
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         words = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64, int(lengths.sum()))
+        lattices = Lattices(list(index), self.pieces, self.bytes)
         random = np.array([int.from_bytes(hashlib.blake2b(keys[i], digest_size=8).digest(), "little") for i in full], np.uint64)
         for i, got in zip(full, self._sampled(lattices, words, lengths, random, k), strict=True):
             out[i] = got
