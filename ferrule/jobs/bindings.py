@@ -325,6 +325,16 @@ def clean_files(spark, d):
     return szz.clean_files(touched, _links(spark, d).select("project", F.col("origin").alias("commit_id"), "path")).select("commit_id", "path")
 
 
+@_query("WITH " + C + ", " + L + """, f AS (SELECT l_orderkey AS commit_id, l_partkey AS path, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS added FROM lineitem GROUP BY ALL),
+x AS (SELECT commit_id, row_number() OVER (PARTITION BY author ORDER BY time_stamp, pos) - 1 AS exp FROM c)
+SELECT f.commit_id, f.path, added, exp, (f.commit_id, f.path) IN (SELECT (origin, l_partkey) FROM lk) AS contains_bug FROM f JOIN x ON f.commit_id = x.commit_id""")
+def file_level_features(spark, d):
+    files = _table(spark, d, "lineitem").groupBy(F.lit("all").alias("project"), F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path")).agg(F.sum(F.col("l_quantity").cast("long")).alias("added"))
+    exp = changes.experience(_commits(spark, d).withColumn("project", F.lit("all")))
+    buggy = _links(spark, d).select("project", F.col("origin").alias("commit_id"), "path")
+    return changes.file_level_features(files, exp, buggy).select("commit_id", "path", "added", "exp", "contains_bug")
+
+
 @_query("SELECT o_orderpriority AS project, count(DISTINCT o_custkey) AS authors FROM orders GROUP BY ALL")
 def author_count(spark, d):
     return szz.author_count(_commits(spark, d))

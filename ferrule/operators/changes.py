@@ -143,6 +143,13 @@ def combine_features(meta: DataFrame, *parts: DataFrame) -> DataFrame:
     return meta
 
 
+def file_level_features(files: DataFrame, commits: DataFrame, buggy: DataFrame) -> DataFrame:
+    """One row per commit and file: the file's own columns, the commit's, and whether ``buggy`` (project, commit_id, path) has it."""
+    marked = buggy.select(*KEY, "path").distinct().withColumn("contains_bug", F.lit(True))
+    rows = files.join(commits, KEY).join(marked, [*KEY, "path"], "left")
+    return rows.withColumn("contains_bug", F.coalesce("contains_bug", F.lit(False)))
+
+
 def merge_c_features(common: DataFrame, c: DataFrame) -> DataFrame:
     return common.join(c, KEY, "left").na.fill(0, [x for x in c.columns if x not in KEY])
 
