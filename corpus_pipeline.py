@@ -14,17 +14,17 @@ from ferrule.llm.exact_dedup import exact_groups, normalised
 from ferrule.llm.ngram_join import near_duplicates
 from ferrule.llm.packing import pack_documents
 from ferrule.llm.pii import redact
-from ferrule.llm.toxicity import score_toxicity, train
+from ferrule.llm.toxicity import train, with_score
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
-    """Drop documents whose score reaches ``threshold``.
+    """Drop rows whose score reaches ``threshold``.
 
+    Each row is judged by its own text, whatever rows share its doc_id or lack one.
     The model learns from labelled rows of its input, held-out ones excepted; a
     null or empty text is scored like any other."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = score_toxicity(docs, model).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return with_score(docs, model).where(F.col("_score") < threshold).drop("_score")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,18 @@ def test_odd_rows(spark, docs_of, odd):
     empty = docs_of([])
     for name, stage in pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
+def test_toxicity_judges_rows_not_ids(spark, docs_of, sample):
+    sf = "/root/testdata/sf0.001"
+    scores = {r.doc_id: r.score for r in score_toxicity(sample, train(sample, spark.read.parquet(f"{sf}/labels.parquet"))).collect()}
+    texts = {r.doc_id: r.text for r in sample.collect()}
+    bad, good = (texts[f(scores, key=scores.get)] for f in (max, min))
+    assert max(scores.values()) >= 0.7 > min(scores.values())
+    # identifiers without labels, so the model stays the same
+    odd = docs_of([bad, good, good + " x", bad, good, "", None], [None, None, None, 10**9, 10**9, None, 10**9])
+    kept = dict(pipeline.STAGES)["toxicity"](spark, sample.unionByName(odd), sf)
+    added = [(r.doc_id, r.text) for r in kept.where("doc_id is null or doc_id = 1000000000").collect()]
+    want = [(None, good), (None, good + " x"), (10**9, good), (None, ""), (10**9, None)]
+    assert sorted(added, key=str) == sorted(want, key=str) and kept.columns == sample.columns
+    assert {r.doc_id for r in kept.where("doc_id < 1000000000").collect()} == {i for i, s in scores.items() if s < 0.7}
