@@ -211,6 +211,11 @@ def changed_files(spark, d):
     return changes.changed_files(_changes(spark, d), limit=3)
 
 
+@_query("WITH " + CH + " SELECT c.project, c.commit_id, coalesce(array_to_string(list_slice(list_sort(list(DISTINCT path) FILTER (path IS NOT NULL)), 1, 50), ';'), '') AS files FROM c LEFT JOIN ch ON ch.project = c.project AND ch.commit_id = c.commit_id GROUP BY ALL")
+def changed_files_of_commits(spark, d):
+    return changes.changed_files(_changes(spark, d), commits=_commits(spark, d))
+
+
 @_query("WITH " + C + ", e AS (SELECT *, lag(commit_id) OVER (PARTITION BY author ORDER BY time_stamp, pos) AS parent_id FROM c) SELECT parent_id, count(*) AS sons FROM e WHERE parent_id IS NOT NULL GROUP BY ALL")
 def son_count(spark, d):
     w = Window.partitionBy("author").orderBy("time_stamp", "pos")

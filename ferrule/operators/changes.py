@@ -161,10 +161,16 @@ def complete_until_last_fix(features: DataFrame, required: list[str]) -> DataFra
     return rows.dropna(subset=required).drop("_last")
 
 
-def changed_files(changes: DataFrame, limit: int = 50, delimiter: str = ";") -> DataFrame:
-    """The first ``limit`` paths of each commit; ranks come before collecting, so no list exceeds it."""
-    w = Window.partitionBy(*KEY).orderBy("path")
-    top = changes.select(*KEY, "path").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
+def changed_files(changes: DataFrame, limit: int = 50, delimiter: str = ";", commits: DataFrame | None = None) -> DataFrame:
+    """The first ``limit`` paths of each commit; ranks come before collecting, so no list exceeds it.
+
+    With ``commits``, each of them gives a row, '' where it has no changes."""
+    w = Window.partitionBy(*KEY).orderBy(F.col("path").asc_nulls_last())
+    rows = changes.select(*KEY, "path")
+    if commits is not None:
+        # a null path, which is ranked last and not collected, stands for the commit itself
+        rows = rows.unionByName(commits.select(*KEY, F.lit(None).cast("string").alias("path")))
+    top = rows.distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
     return top.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list("path")), delimiter).alias("files"))
 
 
