@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import as_batch, parallelism, small_batches, text_of
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Bytes of a window, windows that compete, wins that select a feature.
-WIDTH, RIVALS, WINS = 64, 64, 16
+#: Bytes of a window; windows that compete in a long text and in ever shorter ones (a quarter of them is the wins that select a feature).
+WIDTH, RIVALS = 32, (64, 32, 16, 8)
+#: A text has at least so many windows for each that competes, down to the least of RIVALS.
+SHARE = 8
+#: Texts under TINY bytes have the GRAM bytes up to each of their bytes as features as well.
+TINY, GRAM = 128, 4
 #: Bits of a filter, bits a feature sets, features a filter takes before the next is chained.
 BITS, HASHES, FILL = 2048, 5, 160
+#: Filters with fewer bits are compared without the dead zone of fuller ones.
+SPARSE = 256
 #: Entropies are told apart in this many steps.
 STEPS = 1000
 #: c * log2(c) for counts, as integers, so that running sums are exact.
@@ -42,7 +48,7 @@ def entropies(data: np.ndarray) -> np.ndarray:
     total = np.cumsum(gain[behind])
     # ``ahead`` of the byte that leaves is what it has left in the window without it
     total[WIDTH:] -= np.cumsum(gain[ahead[: n - WIDTH]])
-    bits = 6 - total[WIDTH - 1 :] / (WIDTH << 16)
+    bits = np.log2(WIDTH) - total[WIDTH - 1 :] / (WIDTH << 16)
     return np.round(bits * (STEPS / 6)).astype(np.int64)
 
 
@@ -87,22 +93,35 @@ def _inside(starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _select(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Window positions that are the rarest of at least WINS neighbourhoods of RIVALS windows."""
+    """Window positions that are the rarest of enough neighbourhoods of windows.
+
+    A neighbourhood has as many windows as RIVALS gives for the text's length,
+    and a quarter of them is enough.  What is selected among more is nearly
+    always selected among fewer too, so texts of unlike length can be compared."""
     step = entropies(data)
     if not len(step):
         return np.zeros(0, np.int64)
-    worst = STEPS + 1
-    key = np.where(_inside(starts, len(step)), rank[step], worst) * (len(step) + 1) + np.arange(len(step))
-    # windows beyond a text's end are worse than all, so a neighbourhood across the end is decided by its own text
-    padded = np.concatenate((key, np.full(RIVALS - 1, worst * (len(step) + 1) + len(step))))
+    inside = _inside(starts, len(step))
+    owner = np.searchsorted(starts, np.arange(len(step)), "right") - 1
+    # texts are set apart by windows that are worse than all, so no neighbourhood reaches another text's
+    slot = np.arange(len(step)) + owner * RIVALS[0]
+    padded = np.full(int(slot[-1]) + RIVALS[0], (STEPS + 1) * (len(step) + 1))
+    padded[slot[inside]] = (rank[step] * (len(step) + 1) + np.arange(len(step)))[inside]
+    windows = np.diff(starts) - WIDTH + 1
+    size = np.full(len(windows), RIVALS[-1])
+    for r in RIVALS[::-1]:
+        size[windows >= SHARE * r] = r
+    chosen = np.zeros(len(step), bool)
     span = 1
-    while span < RIVALS:
+    while span < RIVALS[0]:
         padded = np.minimum(padded[:-span], padded[span:])
         span *= 2
-    best = padded[padded < worst * (len(step) + 1)] % (len(step) + 1)
-    # neighbourhoods that start in the text before are left out
-    home = np.searchsorted(starts, np.flatnonzero(padded < worst * (len(step) + 1)), "right") == np.searchsorted(starts, best, "right")
-    return np.flatnonzero(np.bincount(best[home], minlength=len(step)) >= WINS)
+        if not (size == span).any():
+            continue
+        some = np.flatnonzero(inside & (size[owner] == span))
+        best = padded[slot[some]] % (len(step) + 1)
+        chosen |= np.bincount(best, minlength=len(step)) >= span // 4
+    return np.flatnonzero(chosen)
 
 
 def _feature_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -115,18 +134,34 @@ def _feature_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xC4CEB9FE1A85EC53) ^ h >> np.uint64(29)
 
 
+def _gram_hashes(data: np.ndarray, start: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM bytes that end at ``at``, of which those before ``start`` are zero."""
+    words = np.zeros(len(at), np.uint64)
+    for k in range(GRAM):
+        words |= np.where(at - k >= start, data[np.maximum(at - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+    h = (words ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ h >> np.uint64(29)
+
+
 def fingerprints(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """Each text's chained filters, as an array of (filters, BITS / 8) bytes.
 
-    A text shorter than a window is one feature, the whole of it; an empty one has no filter."""
+    Short texts have the GRAM bytes up to each of their bytes as features as well.
+    A longer one without a rare window is one feature, the whole of it; an empty
+    one has no filter."""
     out: list[np.ndarray] = []
     for data, starts in _chunks(texts):
         at = _select(data, starts, rank)
         owner = np.searchsorted(starts, at, "right") - 1
         h = _feature_hashes(data, at) if len(at) else np.zeros(0, np.uint64)
         length = np.diff(starts)
+        tiny = np.repeat(np.arange(len(length)), np.where(length < TINY, length, 0))
+        if len(tiny):
+            at = np.flatnonzero(np.repeat(length < TINY, length))
+            h, owner = np.append(h, _gram_hashes(data, starts[tiny], at)), np.append(owner, tiny)
         found = np.bincount(owner, minlength=len(length))
-        for k in np.flatnonzero((found == 0) & (length > 0)):  # short, or every byte alike
+        for k in np.flatnonzero((found == 0) & (length > 0)):  # every byte alike
             whole = hashlib.blake2b(data[starts[k] : starts[k + 1]].tobytes(), digest_size=8).digest()
             h, owner = np.append(h, np.frombuffer(whole, "<u8")), np.append(owner, k)
             found[k] = 1
@@ -147,7 +182,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1: for each filter of the shorter chain its best match in the other, on average.
 
     Two filters' common bits count from what chance gives (and three tenths of
-    the way beyond) up to all bits of the sparser one."""
+    the way beyond) up to all bits of the sparser one.  Where that one has few
+    bits, they count from three standard deviations beyond chance, if that is less."""
     if a.shape == b.shape and (a == b).all():
         return 1.0
     if not len(a) or not len(b):
@@ -159,7 +195,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     for f, n in zip(a, na.tolist(), strict=True):
         common = np.bitwise_count(f & b).sum(1, dtype=np.int64)
         most = np.minimum(n, nb)
-        floor = n * nb / BITS + 0.3 * (most - n * nb / BITS)
+        chance = n * nb / BITS
+        zone = 0.3 * (most - chance)
+        sparse = np.minimum(zone, 3 * np.sqrt(chance * (1 - n / BITS) * (1 - nb / BITS)))
+        floor = chance + np.where(most < SPARSE, sparse, zone)
         total += max(0.0, float(((common - floor) / np.maximum(most - floor, 1e-9)).max()))
     return min(1.0, total / len(a))
 

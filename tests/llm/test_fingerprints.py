@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ferrule.llm.fingerprints import STEPS, WIDTH, entropies, fingerprint_documents, fingerprints, from_string, likeness, ranks
+from ferrule.llm.fingerprints import STEPS, WIDTH, edited, entropies, fingerprint_documents, fingerprints, from_string, histogram, likeness, ranks
 
 
 def test_entropies_of_every_window():
@@ -54,3 +54,19 @@ def test_ties_nulls_and_no_rows(docs_of):
     assert len(got) == 5
     assert len(fingerprint_documents(docs_of(["only " * 50])).collect()) == 1
     assert fingerprint_documents(docs_of([])).count() == 0
+
+
+def test_short_texts_stay_near_when_half_is_kept(spark, sample):
+    """Prose cut to every length from 2 bytes on: half of a text is kept, so some likeness is left, and little to other texts."""
+    prose = [r.text.encode() for r in sample.orderBy("doc_id").collect() if r.text and r.text.isascii() and len(r.text) > 600]
+    cut = [prose[k % len(prose)][7 * k % 40 :][: 2 + k] for k in range(600)]
+    rank = ranks(histogram(prose))
+    changed = [edited(t.decode(), cut[k - 200].decode()).encode() for k, t in enumerate(cut)]
+    own, other = fingerprints(cut, rank), fingerprints(changed, rank)
+    near = np.array([likeness(a, b) for a, b in zip(own, other, strict=True)])
+    far = np.array([likeness(own[k], own[k - 200]) for k in range(600)])
+    for low in (0, 14, 30, 62, 125, 198, 298, 400):
+        assert np.median(near[low : low + 100]) > 0.15
+    assert (near == 0).mean() < 0.02 and np.quantile(far, 0.95) < 0.1
+    alone = [fingerprints([t], rank)[0] for t in cut[::40]]
+    assert all((a == b).all() for a, b in zip(alone, own[::40], strict=True))
