@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import as_batch, learns, small_batches, text_of
+from ferrule.llm.common import as_batch, learns, saved, small_batches, text_of
 
 SCHEMA = "doc_id long, score double"
 WORD = re.compile(r"[^\W\d_]+")
@@ -44,8 +44,7 @@ class Model:
     def compressors(self):
         toxic, ordinary, *_, level = self.parts
         form = zstandard.ZstdCompressionParameters.from_level(level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-        # the last bytes of a dictionary are not searched, hence the padding
-        load = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d + bytes(32), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=form)
+        load = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=form)
         return load(toxic), load(ordinary)
 
     def features(self, texts: list[str], cache: dict[str, int], most: int = 150_000) -> np.ndarray:
@@ -74,17 +73,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
 
 
-def fit(texts: list[str], toxic: list[int], share: float, sizes: tuple[int, int] = (2048, 32768), level: int = 9, least_g2: float = 12.0, penalty: float = 1.0) -> Model | None:
+def dictionary(samples: list[str], size: int, k: int, d: int) -> bytes:
+    """What zstandard's trainer makes of ``samples``; too few for it are a dictionary as they are."""
+    body = [f" {x} ".encode() for x in samples if len(x) >= 8]
+    try:
+        return zstandard.train_dictionary(size, body, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        # the last bytes of such a dictionary are not searched, hence the padding
+        return b"".join(dict.fromkeys(body))[-size:] + bytes(32)
+
+
+def fit(texts: list[str], toxic: list[int], share: float, ordinary_bytes: int = 16384, level: int = 9, least_g2: float = 12.0, penalty: float = 1.0) -> Model | None:
     """Fit on labelled texts; ``share`` is the share of toxic rows among all labels.
 
-    The toxic dictionary holds the windows that toxic texts have significantly
-    more often (log-likelihood ratio), the other one the windows of ordinary
-    texts by frequency; the most telling stand last, where matches are cheapest.
-    The gains are calibrated by a penalised logistic fit.
+    Both dictionaries come from zstandard's trainer.  The ordinary one is trained
+    on the windows of ordinary texts, ``ordinary_bytes`` large.  Toxic texts are
+    ordinary but for a few windows, and a dictionary trained on all of theirs is
+    one of common words; so it is trained on those that toxic texts have
+    significantly more often (log-likelihood ratio of ``least_g2``), each text
+    once, is as large as these need, and gets those that the trainer left out.  What windows gain is calibrated by a
+    penalised logistic fit over thresholds of 1 to MOST bytes.
     """
     seen = (Counter(), Counter())
-    for t, y in zip(texts, toxic, strict=True):
-        seen[y].update(set(windows(t)))
+    own = [windows(t) for t in texts]
+    for ws, y in zip(own, toxic, strict=True):
+        seen[y].update(set(ws))
     n = (len(toxic) - sum(toxic), sum(toxic))
     if not all(n):
         return None
@@ -96,15 +109,22 @@ def fit(texts: list[str], toxic: list[int], share: float, sizes: tuple[int, int]
         return 2 * (part(a, n[1] * q) + part(b, n[0] * q))
 
     ratio = lambda w: ((seen[1][w] + 0.5) / (n[1] + 1)) / ((seen[0][w] + 0.5) / (n[0] + 1))
-    telling = sorted((w for w in seen[1] if ratio(w) >= 4 and g2(w) >= least_g2), key=lambda w: (g2(w), w))
-    common = sorted((w for w in seen[0] if seen[0][w] > 1 and ratio(w) < 4), key=lambda w: (seen[0][w], w))
+    telling = {w for w in seen[1] if ratio(w) >= 4 and g2(w) >= least_g2}
     if not telling:
         return None
-    joined = [b"".join(f" {w} ".encode() for w in ws)[-size:] for ws, size in zip((telling, common), sizes, strict=True)]
-    model = Model(*joined, 0, np.zeros(1), np.ones(1), np.zeros(1), level)
-    lengths = sorted(len(model.compressors[0].compress(_bytes(w))) for w in telling)
+    plain = [" ".join(ws) for ws, y in zip(own, toxic, strict=True) if not y]
+    marked = [" ".join(sorted(telling.intersection(ws))) for ws, y in zip(own, toxic, strict=True) if y]
+    room = 4096 + 4 * sum(len(w.encode()) + 1 for w in telling)
+    bare = lambda *d: Model(*d, 0, np.zeros(1), np.ones(1), np.zeros(1), level)
+    dicts = dictionary(marked, room, 32, 6), dictionary(plain, ordinary_bytes, 16, 8)
+    # the trainer may leave some out; a dictionary ends with its content, and its last bytes are not searched
+    small, other = bare(*dicts).compressors
+    missed = [w for w in sorted(telling) if len(small.compress(_bytes(w))) >= len(other.compress(_bytes(w)))]
+    dicts = dicts[0] + b"".join(f" {w} ".encode() for w in missed) + bytes(32), dicts[1]
+    compressor = bare(*dicts).compressors[0]
+    lengths = sorted(len(compressor.compress(_bytes(w))) for w in telling)
     full = lengths[len(lengths) * 3 // 4]
-    x = Model(*joined, full, np.zeros(1), np.ones(1), np.zeros(1), level).features(texts, {}, 1 << 60)
+    x = Model(*dicts, full, *[np.zeros(1)] * 3, level).features(texts, {}, 1 << 60)
     y, mean, spread = np.array(toxic, float), x.mean(0), x.std(0) + 1e-9
     z = np.column_stack((np.ones(len(x)), (x - mean) / spread))
     w = np.zeros(z.shape[1])
@@ -116,14 +136,18 @@ def fit(texts: list[str], toxic: list[int], share: float, sizes: tuple[int, int]
             break
     share = min(max(share, 1e-6), 1 - 1e-6)
     w[0] += log(share / (1 - share)) - log(n[1] / n[0])
-    return Model(*joined, full, mean, spread, w, level)
+    return Model(*dicts, full, mean, spread, w, level)
+
 
+def train(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, rows: int = 3000, label: str = "toxic", most_bytes: int = 64 << 20) -> Model | None:
+    """Fit on a bounded sample of the labelled documents whose crc32(doc_id as
+    text) mod ``mod`` is not ``held``: of each class at most ``rows``, those
+    first by a hash of doc_id, and of these as many as have ``most_bytes`` of
+    text together (a text that alone has more is passed over).  The two bounds
+    keep what the driver holds independent of the corpus.
 
-def train(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, rows: int = 3000, label: str = "toxic") -> Model | None:
-    """Fit on at most ``rows`` labelled documents of each class, those first by a
-    hash of doc_id, out of all whose crc32(doc_id as text) mod ``mod`` is not
-    ``held``.  The bound keeps what the driver holds independent of the corpus.
-    Of an id labelled twice the larger label counts; null labels or ids do not.
+    Of an id labelled twice the larger label counts, of one with several rows
+    the smallest text; null labels or ids do not count.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learns("doc_id", mod, held))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
@@ -132,14 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, rows:
         return None
     first = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = first(0).unionByName(first(1))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where(F.octet_length("text") <= most_bytes)
     # at most 2 * rows identifiers are broadcast
-    got = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
+    one = saved(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    room, ids = most_bytes, []
+    for r in one.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():
+        if r.n <= room:
+            room -= r.n
+            ids.append(r.doc_id)
+    got = one.where(F.col("doc_id").isin(ids)).orderBy("doc_id").collect() if ids else []
     return fit([r.text for r in got], [r.y for r in got], sizes[1] / sum(sizes.values())) if got else None
 
 
-
-
 def _scorer(model: Model | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -171,8 +199,9 @@ def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
 def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score (0 to 1) of every row of ``docs`` (doc_id, text).
 
-    Windows are the words of the whole text.  A null or empty text has none and
-    gets the model's score for that.  Without a model (a class without labels,
+    Windows are the words of the whole text, however long; each row is scored by
+    itself, so repeated rows get equal scores.  A null or empty text has no
+    window and gets the model's score for that; a null doc_id stays null.  Without a model (a class without labels,
     or nothing that sets toxic texts apart) every score is 0.  Only the text
     enters a score.
     """
