@@ -10,27 +10,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark then drops the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the cluster's shared folder.
 
     The folder is what the session has as ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) a temporary folder stands in.
+    that is unset and all runs on one machine, a temporary folder stands in.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc._conf.set("spark.checkpoint.dir", base)
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/ferrule-{uuid.uuid4().hex}"
 
 
+def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``saved`` and the folder's name, for ``discard``.  What was shuffled to
+    get there is not needed again, so those files go when the table is written."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: later jobs read it
     again instead of computing it again, whichever executors have been lost."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return saved_at(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def parallelism(df: DataFrame) -> int:

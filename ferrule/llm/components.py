@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import saved
+from ferrule.llm.common import discard, saved_at
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,18 +20,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); a component is named
     by its smallest node.  Self-loops and repeated edges do not matter; rows with
-    a null are ignored.  Each round is written to the shared folder."""
-    now = saved(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
+    a null are ignored.  Rounds go on until nothing changes, a logarithmic number
+    of them; each is written to the shared folder and replaces the one before."""
+    spark = edges.sparkSession
+    now, path = saved_at(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
     before = None
-    for _ in range(most_rounds):
-        now = saved(_star(_star(now, True), False))
+    while True:
+        after, new = saved_at(_star(_star(now, True), False))
+        discard(spark, path)
+        now, path = after, new
         mark = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -9,16 +9,17 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import as_batch, parallelism, saved, text_of
 from ferrule.llm.components import connected_components
-from ferrule.llm.routing import SPREAD, deal, exchange, from_docs, groups, pack
+from ferrule.llm.routing import SPREAD, deal, exchange, from_docs, groups, pack, unpack
 from ferrule.llm.words import shingles, word_hashes
 
 SETS = "doc_id long, n long, sig string, shared array<long>"
 LINKS = "a long, b long"
+COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
 
 def _need(n: int, percent: int) -> int:
@@ -26,16 +27,58 @@ def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _requests(width: int, slots: int):
-    """A batch's shingle hashes, dealt by their leading bits; one row of facts about its documents."""
+def _slots(h: np.ndarray, slots: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+
+
+def _named(low: np.ndarray, slot: np.ndarray | int) -> np.ndarray:
+    """48 bits of a shingle's hash and up to 15 of its slot."""
+    return (low & np.uint64((1 << 48) - 1) | (np.asarray(slot).astype(np.uint64) & np.uint64(0x7FFF)) << np.uint64(48)).astype(np.int64)
+
+
+def _common(width: int, least: int):
+    def run(batch: int, ids: list, texts: list) -> Iterable[tuple[int, int, bytes]]:
+        h, n = np.unique(np.concatenate(list(shingles(*word_hashes(texts), width))), return_counts=True)
+        yield 0, batch, pack(h=h[n >= least], n=n[n >= least])
+
+    return run
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for body in b.column("body").to_pylist():
+            x = unpack(body)
+            yield as_batch(COUNTS, [x["h"].astype(np.int64), x["n"]])
+
+
+def common_shingles(rows: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that ``least`` documents of one batch have, sorted, with how
+    often those batches have them: at most ``most``, the most frequent first."""
+    counts = from_docs(rows, _common(width, least)).mapInArrow(_pairs, "h long, n long")
+    top = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).collect()
+    h, n = np.array([r.h for r in top], np.int64).astype(np.uint64), np.array([r.n for r in top], np.uint32)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _requests(width: int, slots: int, common: np.ndarray, often: np.ndarray):
+    """A batch's shingle hashes, dealt by their leading bits; one row of facts about its documents.
+
+    Common shingles are known to be shared, so they stay with the facts."""
 
     def run(batch: int, ids: list, texts: list) -> Iterable[tuple[int, int, bytes]]:
         sets = list(shingles(*word_hashes(texts), width))
         sizes = np.array([len(s) for s in sets], np.int64)
         sig = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
-        yield -1 - batch % slots, batch, pack(ids=ids, sizes=sizes, sig=sig)
         h, d = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-        slot = ((h >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+        slot = _slots(h, slots)
+        known = {"h": np.zeros(0, np.int64), "d": np.zeros(0, np.uint16), "df": np.zeros(0, np.uint32)}
+        if len(common):
+            at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+            is_common = common[at] == h
+            known = {"h": _named(h[is_common], slot[is_common]), "d": d[is_common], "df": often[at[is_common]]}
+            h, d, slot = h[~is_common], d[~is_common], slot[~is_common]
+        yield -1 - batch % slots, batch, pack(ids=ids, sizes=sizes, sig=sig, **known)
         order = np.argsort(slot, kind="stable")
         cut = np.searchsorted(slot[order], np.arange(slots + 1))
         low = np.ascontiguousarray(h[order]).view(np.uint8).reshape(-1, 8)[:, :6]
@@ -62,8 +105,7 @@ def _frequencies(slot: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int,
     n = np.diff(edge)
     df = np.empty(len(h), np.uint32)
     df[order] = np.repeat(n, n).astype(np.uint32)
-    # 48 bits and the slot name a shingle
-    h = (h | np.uint64(slot & 0x7FFF) << np.uint64(48)).astype(np.int64)
+    h = _named(h, slot)
     at = 0
     for batch, x in rows:
         part = slice(at, at + len(x["d"]))
@@ -79,9 +121,7 @@ def _sets(percent: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches):
             facts = next(x for n, x in rows if n == -1)
-            parts = [x for n, x in rows if n != -1]
-            cat = lambda k, t: np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, t)  # noqa: B023, E731
-            h, d, df = cat("h", np.int64), cat("d", np.uint16), cat("df", np.uint32)
+            h, d, df = (np.concatenate([x[k] for _, x in rows]) for k in ("h", "d", "df"))
             order = np.lexsort((h, df, d))
             h, counts = h[order], np.bincount(d, minlength=len(facts["ids"]))
             ends = np.cumsum(counts)
@@ -98,7 +138,7 @@ def _sets(percent: int, schema: pa.Schema):
     return run
 
 
-def shingle_sets(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int = 5, percent: int = 80, least: int = 64, most: int = 100_000) -> DataFrame:
     """doc_id, n (size of the shingle set) and, for documents that can have a
     partner at all, sig (a digest of the set) and the shingles that some other
     document has too, rarest first.
@@ -106,26 +146,33 @@ def shingle_sets(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     A shingle in one document alone is in no intersection.  A document whose
     other shingles are fewer than ``percent`` of its set has no partner, which
     leaves out, exactly, whatever only shares passages with others.
+
+    How often a shingle occurs is counted by slots of a hash.  Those that
+    ``least`` documents of one batch share are counted beforehand, the ``most``
+    frequent of them, and are not sent to a slot: a line that a tenth of all
+    documents have would be one task's memory.  Any order of the shingles that
+    is the same everywhere gives the same links.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     slots = parallelism(docs) * SPREAD
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    asked = from_docs(rows, _requests(width, slots))
+    asked = from_docs(rows, _requests(width, slots, *common_shingles(rows, width, least, most)))
     answered = exchange(asked, _frequencies)
     return deal(answered).mapInArrow(_sets(percent, to_arrow_schema(StructType.fromDDL(SETS))), SETS)
 
 
-def divide_skip(ids: list[int], sizes: list[int], sets: list[np.ndarray], percent: int = 80, mu: float = 0.05, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+def divide_skip(ids: list[int], sizes: list[int], sets: list[np.ndarray], percent: int = 80, mu: float = 0.05, apart: np.ndarray | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links among a group of documents, as (document, root) pairs of a spanning forest.
 
     For each document the inverted lists of its shingles hold the earlier ones
     (in order of size).  T is the least overlap it needs.  The longest lists are
     set aside; the rest are heap-merged, and whoever is there often enough is
     looked up in the long lists by binary search.  Documents that are connected
-    already are left out of the lists: their link would add nothing.  ``apart``
-    marks the two halves of a group whose halves have been searched before.
+    already are left out of the lists: their link would add nothing; ``known``
+    names the component that each is in from the start.  ``apart`` marks two
+    sides, of which only links across are wanted.
     """
     rank = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
     ids, sizes, sets = [ids[i] for i in rank], np.array([sizes[i] for i in rank], np.int64), [np.sort(sets[i]) for i in rank]
@@ -138,7 +185,9 @@ def divide_skip(ids: list[int], sizes: list[int], sets: list[np.ndarray], percen
     np.cumsum(np.bincount(inv), out=first[1:])
     place = np.empty(len(flat), np.int64)
     place[order] = np.arange(len(flat))
-    comp, members = np.arange(len(ids)), {i: [i] for i in range(len(ids))}
+    comp = np.arange(len(ids)) if known is None else np.unique(np.array(known)[rank], return_inverse=True)[1]
+    by_comp = np.argsort(comp, kind="stable")
+    members = {int(comp[p[0]]): p.tolist() for p in np.split(by_comp, np.flatnonzero(np.diff(comp[by_comp])) + 1)}
     links: list[tuple[int, int]] = []
 
     def join(x: int, y: int) -> None:
@@ -197,43 +246,90 @@ def _search(percent: int, schema: pa.Schema):
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                halves = np.array([x[3] for x in held])
-                links = divide_skip([x[0] for x in held], [x[1] for x in held], [x[2] for x in held], percent, apart=halves if len(set(halves.tolist())) > 1 else None)
+                ids, sizes, sets, comps, sides = zip(*held, strict=True)
+                links = divide_skip(ids, sizes, sets, percent, apart=np.array(sides) if len(set(sides)) > 1 else None, known=comps)
                 if links:
                     yield as_batch(schema, zip(*links, strict=True))
 
         for b in batches:
             shared = b.column("shared")
-            cols = [b.column(c).to_pylist() for c in ("family", "i", "j", "doc_id", "n", "block")]
-            for k, (family, i, j, doc, n, block) in enumerate(zip(*cols, strict=True)):
+            cols = [b.column(c).to_pylist() for c in ("family", "i", "j", "doc_id", "n", "comp", "side")]
+            for k, (family, i, j, doc, n, comp, side) in enumerate(zip(*cols, strict=True)):
                 if (family, i, j) != key:
                     yield from done()
                     key, held = (family, i, j), []
-                held.append((doc, n, shared[k].values.to_numpy(), block))
+                held.append((doc, n, shared[k].values.to_numpy(), comp, side))
         yield from done()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_shingles: int = 4_000_000) -> DataFrame:
+def _searched(rows: DataFrame, percent: int) -> DataFrame:
+    """Links within each (family, i, j) of ``rows``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    key = ["family", "i", "j"]
+    dealt = rows.select(*key, "doc_id", "n", "comp", "side", "shared").repartition(parallelism(rows), *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(_search(percent, to_arrow_schema(StructType.fromDDL(LINKS))), LINKS)
+
+
+def _upto(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _part(seed: int, n: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+
+
+def _components(members: DataFrame, percent: int, block_shingles: int, pilots: int) -> DataFrame:
+    """(node, component) of linked documents, from members (family, doc_id, n, shared).
+
+    A family is cut into blocks of ``block_shingles``, and each is searched by
+    itself together with the family's pilots, a few of its documents.  So the
+    copies of one text come into one component, in work that grows with the
+    family.  Then whoever is not in the family's largest component is searched
+    for in every block: links within that component would add nothing.
+    """
+    blocks = members.groupBy("family").agg(F.ceil(F.sum(F.size("shared")) / block_shingles).cast("int").alias("m"))
+    placed = members.join(blocks, "family").withColumns({"j": _part(0, "m"), "comp": F.col("doc_id"), "side": F.lit(0)})
+    large = placed.where("m > 1")
+    chosen = large.groupBy("family", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(pilots)).alias("_p")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    everywhere = large.join(chosen, "doc_id", "left_semi").withColumn("to", _upto("m")).where("to <> j").withColumn("j", F.col("to")).drop("to")
+    own = placed.unionByName(everywhere).withColumn("i", F.lit(0))
+    links = saved(_searched(own, percent))
+    first = connected_components(links)
+    if large.isEmpty():
+        return first
+    named = large.drop("comp").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    named = saved(named)
+    largest = named.groupBy("family", "comp").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
+    others = named.join(largest, "family").where("comp <> largest").drop("largest")
+    chunks = others.groupBy("family").agg(F.ceil(F.sum(F.size("shared")) / block_shingles).cast("int").alias("q"))
+    asking = others.join(chunks, "family").withColumns({"i": _part(2, "q"), "side": F.lit(1)}).withColumn("j", _upto("m")).drop("q")
+    asked = named.join(chunks, "family").withColumn("i", _upto("q")).drop("q")
+    across = saved(_searched(asking.unionByName(asked), percent))
+    if across.isEmpty():
+        return first
+    return connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_shingles: int = 250_000, pilots: int = 8, least: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links).
 
     Two documents link when ``100 * intersection >= percent * union`` of their
-    sets of ``width``-word shingles (hashes of 48 bits and a slot number).
+    sets of ``width``-word shingles (hashes of 48 bits and up to 15 of a slot).
     Equal sets are one class, and only one member of a class is searched with.
     Classes that share a rare shingle, of those that any partner must share one
-    of, form a family; a family is searched as one block, or where it is larger
-    than ``block_shingles`` as pairs of blocks, so no task's work is unbounded.
-    Every link between different sets is found; ones that join what is joined
-    already are not looked up.
+    of, form a family; a family is searched in blocks (``_components``), so no
+    task holds more than two of them.  Every link between different sets is
+    found; ones that join what is joined already are not looked up.
 
     A text without words (null or empty too) links with nothing.  Repeated
     doc_ids share a component; a row with a null doc_id gets a null component.
+    A very long text is one set, whatever its length.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    sets = saved(shingle_sets(docs, width, percent))
+    sets = saved(shingle_sets(docs, width, percent, least))
     able = sets.where("sig is not null and doc_id is not null")
     classes = saved(able.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"), F.min_by("shared", "doc_id").alias("shared")))
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "shared")
@@ -241,15 +337,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_sh
     words = reps.select("doc_id", F.explode(F.slice("shared", F.lit(1), F.size("shared") - needed + 1)).alias("h"))
     hubs = words.groupBy("h").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).where("k > 1")
     family = connected_components(words.join(hubs, "h").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-    members = reps.join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-    blocks = members.groupBy("family").agg(F.ceil(F.sum(F.size("shared")) / block_shingles).cast("int").alias("m"))
-    placed = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("m")).cast("int"))
-    # a block meets itself and every other one of its family; a family of one block is searched once
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    pairs = pairs.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "shared", "block")
-    pairs = pairs.repartition(parallelism(docs), "family", "i", "j").sortWithinPartitions("family", "i", "j")
-    links = pairs.mapInArrow(_search(percent, to_arrow_schema(StructType.fromDDL(LINKS))), LINKS)
-    joined = connected_components(links).select(F.col("node").alias("rep"), F.col("component"))
+    members = saved(reps.join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id"))
+    joined = _components(members, percent, block_shingles, pilots).select(F.col("node").alias("rep"), F.col("component"))
     named = able.select("doc_id", "n", "sig").join(classes.select("n", "sig", "rep"), ["n", "sig"]).join(joined, "rep", "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return named.unionByName(sets.where("sig is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

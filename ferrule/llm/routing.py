@@ -22,6 +22,8 @@ PACKED = "slot long, batch long, body binary"
 ARROW = pa.schema([("slot", pa.int64()), ("batch", pa.int64()), ("body", pa.binary())])
 #: Slots for each shuffle partition, so that the hash of the slot spreads them.
 SPREAD = 4
+#: Documents of a batch, which are numbered by 16 bits.
+MOST_DOCS = 1 << 16
 
 
 def _split(a):
@@ -65,16 +67,16 @@ def from_docs(docs: DataFrame, f: Callable[[int, list, list], Iterable[tuple[int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, ids, texts, size = None, [], [], 0
-        for b in small_batches(batches, "text", 2 << 20):
-            if not b.num_rows:
-                continue
-            n = (b.column("scan")[0].as_py() << 24) if n is None else n
-            ids += b.column("doc_id").to_pylist()
-            texts += b.column("text").to_pylist()
-            size += b.column("text").nbytes if b.num_rows else 0
-            if size > text_bytes or len(ids) > 40_000:
-                yield from emit(f(n, ids, texts))
-                n, ids, texts, size = n + 1, [], [], 0
+        # slices of few rows, so that a batch stays below MOST_DOCS however many rows Arrow hands over
+        for whole in small_batches(batches, "text", 2 << 20):
+            for b in (whole.slice(at, 8192) for at in range(0, whole.num_rows, 8192)):
+                n = (b.column("scan")[0].as_py() << 24) if n is None else n
+                ids += b.column("doc_id").to_pylist()
+                texts += b.column("text").to_pylist()
+                size += b.column("text").nbytes
+                if size > text_bytes or len(ids) > MOST_DOCS - 8192:
+                    yield from emit(f(n, ids, texts))
+                    n, ids, texts, size = n + 1, [], [], 0
         if ids:
             yield from emit(f(n, ids, texts))
 

@@ -40,8 +40,8 @@ def family(rng, words, n, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [4_000_000, 300])
-def test_against_brute_force(docs_of, odd, block):
+@pytest.mark.parametrize(("block", "least"), [(250_000, 64), (300, 64), (100, 2)])
+def test_against_brute_force(docs_of, odd, block, least):
     rng = random.Random(5)
     texts = odd + ["A b", "a  B", "one two three four five", "One two three four five six"]
     for words, n, edits in ((30, 12, 2), (120, 25, 8), (60, 10, 4), (6, 6, 1)):
@@ -49,7 +49,7 @@ def test_against_brute_force(docs_of, odd, block):
     passage = " ".join(f"p{i}" for i in range(60))
     texts += [f"{t} {passage}" for t in family(rng, 40, 10, 40)]
     rng.shuffle(texts)
-    got = {tuple(r) for r in near_duplicates(docs_of(texts), block_shingles=block).select("doc_id", "n_shingles", "component_id").collect()}
+    got = {tuple(r) for r in near_duplicates(docs_of(texts), block_shingles=block, pilots=3, least=least).select("doc_id", "n_shingles", "component_id").collect()}
     assert got == brute(list(enumerate(texts)))
 
 
@@ -90,3 +90,25 @@ def test_search_finds_every_component():
 
 def test_no_rows(docs_of):
     assert near_duplicates(docs_of([])).count() == 0
+
+
+def test_large_arrow_batches(spark):
+    """More rows in an Arrow batch than 16 bits number."""
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 200_000)
+    try:
+        docs = spark.range(0, 90_000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six n"), (F.col("id") % 7).cast("string")).alias("text"))
+        got = near_duplicates(docs.coalesce(1)).groupBy("component_id").count().collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.component_id, r["count"]) for r in got) == [(k, len(range(k, 90_000, 7))) for k in range(7)]
+
+
+def test_chains_across_blocks(docs_of):
+    """Neighbours link, documents further apart do not; no block holds the chain."""
+    words = [f"c{k}" for k in range(600)]
+    texts = [" ".join(words[4 * k : 4 * k + 80]) for k in range(60)] + [" ".join(words[300 + 30 * k : 330 + 30 * k]) for k in range(8)]
+    got = {tuple(r) for r in near_duplicates(docs_of(texts), block_shingles=200, pilots=2).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == brute(list(enumerate(texts))) and len({c for *_, c in got}) < 20
