@@ -264,13 +264,13 @@ def _search(percent: int, schema: pa.Schema):
     return run
 
 
-def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Links within each (family, i, j) of ``rows``."""
+def _searched(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within each (family, i, j) of ``rows``, which get their sets only here."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     key = ["family", "i", "j"]
-    dealt = rows.select(*key, "doc_id", "n", "comp", "side", "shared").repartition(parallelism(rows), *key).sortWithinPartitions(*key)
+    dealt = rows.select(*key, "doc_id", "comp", "side").join(sets, "doc_id").repartition(parallelism(rows), *key).sortWithinPartitions(*key)
     return dealt.mapInArrow(_search(percent, to_arrow_schema(StructType.fromDDL(LINKS))), LINKS)
 
 
@@ -282,8 +282,9 @@ def _part(seed: int, n: str) -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
 
 
-def _components(members: DataFrame, percent: int, block_shingles: int, pilots: int) -> DataFrame:
-    """(node, component) of linked documents, from members (family, doc_id, n, shared).
+def _components(members: DataFrame, sets: DataFrame, percent: int, block_shingles: int, pilots: int) -> DataFrame:
+    """(node, component) of linked documents, from members (family, doc_id, w) and
+    their ``sets`` (doc_id, n, shared); w is the number of shared shingles.
 
     A family is cut into blocks of ``block_shingles``, and each is searched by
     itself together with the family's pilots, a few of its documents.  So the
@@ -291,13 +292,13 @@ def _components(members: DataFrame, percent: int, block_shingles: int, pilots: i
     family.  Then whoever is not in the family's largest component is searched
     for in every block: links within that component would add nothing.
     """
-    blocks = members.groupBy("family").agg(F.ceil(F.sum(F.size("shared")) / block_shingles).cast("int").alias("m"))
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("w") / block_shingles).cast("int").alias("m"))
     placed = members.join(blocks, "family").withColumns({"j": _part(0, "m"), "comp": F.col("doc_id"), "side": F.lit(0)})
     large = placed.where("m > 1")
     chosen = large.groupBy("family", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(pilots)).alias("_p")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     everywhere = large.join(chosen, "doc_id", "left_semi").withColumn("to", _upto("m")).where("to <> j").withColumn("j", F.col("to")).drop("to")
     own = placed.unionByName(everywhere).withColumn("i", F.lit(0))
-    links = saved(_searched(own, percent))
+    links = saved(_searched(own, sets, percent))
     first = connected_components(links)
     if large.isEmpty():
         return first
@@ -305,10 +306,10 @@ def _components(members: DataFrame, percent: int, block_shingles: int, pilots: i
     named = saved(named)
     largest = named.groupBy("family", "comp").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
     others = named.join(largest, "family").where("comp <> largest").drop("largest")
-    chunks = others.groupBy("family").agg(F.ceil(F.sum(F.size("shared")) / block_shingles).cast("int").alias("q"))
+    chunks = others.groupBy("family").agg(F.ceil(F.sum("w") / block_shingles).cast("int").alias("q"))
     asking = others.join(chunks, "family").withColumns({"i": _part(2, "q"), "side": F.lit(1)}).withColumn("j", _upto("m")).drop("q")
     asked = named.join(chunks, "family").withColumn("i", _upto("q")).drop("q")
-    across = saved(_searched(asking.unionByName(asked), percent))
+    across = saved(_searched(asking.unionByName(asked), sets, percent))
     if across.isEmpty():
         return first
     return connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
@@ -337,8 +338,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_sh
     words = reps.select("doc_id", F.explode(F.slice("shared", F.lit(1), F.size("shared") - needed + 1)).alias("h"))
     hubs = words.groupBy("h").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).where("k > 1")
     family = connected_components(words.join(hubs, "h").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-    members = saved(reps.join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id"))
-    joined = _components(members, percent, block_shingles, pilots).select(F.col("node").alias("rep"), F.col("component"))
+    members = reps.select("doc_id", F.size("shared").alias("w")).join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+    joined = _components(saved(members), reps, percent, block_shingles, pilots).select(F.col("node").alias("rep"), F.col("component"))
     named = able.select("doc_id", "n", "sig").join(classes.select("n", "sig", "rep"), ["n", "sig"]).join(joined, "rep", "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return named.unionByName(sets.where("sig is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
