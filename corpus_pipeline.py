@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import saved, text_of
+from ferrule.llm.common import fresh, saved, text_of
 from ferrule.llm.exact_dedup import exact_groups, normalised
 from ferrule.llm.ngram_join import near_duplicates
 from ferrule.llm.packing import pack_documents
@@ -22,32 +22,39 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float
 
     Each row is judged by its own text, whatever rows share its doc_id or lack one.
     The model learns from labelled rows of its input, held-out ones excepted; a
-    null or empty text is scored like any other."""
+    null or empty text is scored like any other, and whole texts are, however
+    long.  Repeated rows stay or go together; other columns stay as they are."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_score(docs, model).where(F.col("_score") < threshold).drop("_score")
+    score = fresh(docs, "score")
+    return with_score(docs, model, score).where(F.col(score) < threshold).drop(score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, keep the one of the smallest doc_id.
 
-    Rows that repeat both id and text become one; a missing id ranks last."""
-    id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_id")
-    kept = exact_groups(docs).where("kept").select(id_key("doc_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumns({"_id": id_key("doc_id"), "_sha": F.sha2(normalised(text_of()).cast("binary"), 256)})
-    return own.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    Rows that repeat both id and text become one; a missing id ranks last.  A
+    null text counts as empty.  Other columns stay as they are."""
+    id_, sha = fresh(docs, "id"), fresh(docs, "sha")
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(id_)
+    kept = exact_groups(docs).where("kept").select(id_key, F.col("text_sha256").alias(sha))
+    own = docs.withColumns({id_: id_key, sha: F.sha2(normalised(text_of()).cast("binary"), 256)})
+    return own.join(kept, [id_, sha], "left_semi").dropDuplicates([id_, sha]).drop(id_, sha)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, keep the document of the smallest doc_id.
 
-    A row without an id stays, as none can be named in its stead."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    A row without an id stays, as none can be named in its stead; so does one
+    without words, which is like no other.  Rows that repeat the id that stays
+    all stay.  Other columns stay as they are."""
+    kept = fresh(docs, "kept")
+    ids = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.join(ids, F.col("doc_id").cast("long") == F.col(kept), "left_semi")
     return named.unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind; every document stays."""
+    """Replace personal data by its kind; every row stays, and a null text stays null."""
     return redact(docs)
 
 

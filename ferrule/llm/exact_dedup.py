@@ -157,8 +157,11 @@ def exact_groups(docs: DataFrame, trie_bytes: int = 48 << 20) -> DataFrame:
     Texts are equal if they are the same bytes once runs of white space are one
     blank; a null text counts as empty.  The smallest doc_id of a group stays.
     A null doc_id ranks last: it stays only where no other id is in its group.
-    Rows that repeat an id (or have none) are all marked kept if it stays; call
-    ``keep_first`` for a table with exactly one row a group.
+    Rows of a group that repeat its smallest id (or all lack one) are all marked
+    kept.  The tries compare whole byte strings; a row then finds its group by
+    length and SHA-256, so two texts of one length whose hashes agree would be
+    two groups of which a row may find either.  An empty table gives no rows,
+    and other columns of ``docs`` play no part, whatever their names.
     """
     ids = keyed(docs).select("doc_id", "n_bytes", "text_sha256")
     owners = exact_owners(docs, trie_bytes)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import text_of
+from ferrule.llm.common import fresh, text_of
 
 LOCAL = "[A-Za-z0-9._%+-]"
 
@@ -81,33 +81,81 @@ def _valid(kind: Kind, match: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: Kind, text: Column, reach: int) -> Column:
-    """array<struct<kind, start, end, score, match>> of one kind, validated."""
-    pieces, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"]).cast("long")
-        end = start + F.length(x["match"])
-        one = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string>>")
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("match"))
-    spans = F.aggregate(both, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda a: a["out"])
-    spans = F.filter(spans, lambda s: _valid(kind, s["match"]))
+def running_sums(n: Column, chunk: int = 256) -> Column:
+    """What stands before each of an array's numbers.  An array that grows in an
+    aggregate is copied at each step, so it is summed in chunks, and the chunks' totals in turn."""
+    zero = F.array(F.lit(0).cast("long"))
+    sums = lambda a, f: F.aggregate(a, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + f(x))))
+    at = F.sequence(F.lit(0), F.ceil(F.size(n) / chunk).cast("int") - 1)
+    parts = F.transform(at, lambda k: sums(F.slice(n, k * chunk + 1, chunk), lambda x: x))
+
+    def placed(own: Column) -> Column:
+        before = F.slice(sums(own, lambda c: F.element_at(c, -1)), 1, F.size(own))
+        return F.flatten(F.zip_with(own, before, lambda c, o: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x: x + o)))
+
+    return F.when(F.size(n) > 0, let(parts, placed)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _confirmed(kind: Kind, match: Column) -> Column:
+    """The match, or for an account number what is left of it without up to two
+    last groups, whichever comes first to pass its check; else null."""
+    if kind.check != "mod97":
+        return F.when(_valid(kind, match), match)
+    less = [F.regexp_replace(match, f"(?: [A-Z0-9]{{1,4}}){{{k}}}$", "") for k in range(3)]
+    return F.coalesce(*[F.when((F.length(x) >= 15) & _valid(kind, x), x) for x in less])
+
+
+def _cut(kind: Kind, text: Column) -> Column:
+    """The pieces between matches, one more than there are, and the matches."""
+    return F.struct(F.split(text, kind.pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("found"))
+
+
+def _confirmed_spans(kind: Kind, cut: Column, reach: int, least_score: float) -> Column:
+    """array<struct<kind, start, end, score, match>> of the matches, null where one is not confirmed.
+
+    Context is what stands up to ``reach`` characters around a match and up to its neighbours."""
+    m = F.size(cut["found"])
+    lead, after = F.slice(cut["pieces"], 1, m), F.slice(cut["pieces"], 2, m)
+    steps = F.zip_with(lead, cut["found"], lambda p, x: (F.length(p) + F.length(x)).cast("long"))
     near = "(?i)(?:" + "|".join(kind.words) + ")"
 
-    def scored(s: Column) -> Column:
-        lead = F.substring(text, F.greatest(s["start"] - reach, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(reach)).cast("int"))
-        after = F.substring(text, s["end"].cast("int") + 1, F.lit(reach))
-        score = F.lit(kind.sure) + F.when(lead.rlike(near), 0.3).when(after.rlike(near), 0.15).otherwise(0.0)
-        return F.struct(s["kind"], s["start"], s["end"], F.least(score, F.lit(1.0)).alias("score"), s["match"])
+    def one(x: Column) -> Column:
+        start = x["at"] + F.length(x["lead"])
+        score = F.lit(kind.sure) + F.when(F.right(x["lead"], F.lit(reach)).rlike(near), 0.3).when(F.left(x["after"], F.lit(reach)).rlike(near), 0.15).otherwise(0.0)
+        span = lambda v: F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(v)).alias("end"), F.least(score, F.lit(1.0)).alias("score"), v.alias("match"))
+        kept = F.lit(True) if kind.base else score >= least_score
+        return let(_confirmed(kind, x["match"]), lambda v: F.when(v.isNotNull() & kept, span(v)))
+
+    return F.transform(F.arrays_zip(running_sums(steps).alias("at"), lead.alias("lead"), cut["found"].alias("match"), after.alias("after")), one)
 
-    spans = F.transform(spans, scored)
+
+def _may(kind: Kind, text: Column) -> Column:
+    """Most texts have nothing of the kind: a search for one character, or one scan, settles that."""
+    return (text.contains(kind.hint) if kind.hint and kind.hint != "." else F.lit(True)) & text.rlike(kind.pattern)
+
+
+def _spans(kind: Kind, text: Column, reach: int, least_score: float) -> Column:
+    spans = let(_cut(kind, text), lambda c: F.filter(_confirmed_spans(kind, c, reach, least_score), lambda s: s.isNotNull()))
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double,match:string>>")
-    # most texts have nothing of the kind: a search for one character, or one scan, settles that
-    may = text.contains(kind.hint) if kind.hint and kind.hint != "." else F.lit(True)
-    return F.when(may & text.rlike(kind.pattern), spans).otherwise(empty)
+    return F.when(_may(kind, text), spans).otherwise(empty)
+
+
+def _replaced(kind: Kind, cut: Column, reach: int, least_score: float) -> Column:
+    """The text with the confirmed spans of one kind replaced."""
+
+    def piece(x: Column) -> Column:
+        # what an account number's match has beyond the confirmed part stays
+        rest = F.substr(x["match"], (x["span"]["end"] - x["span"]["start"] + 1).cast("int"))
+        return F.concat(x["lead"], F.when(x["span"].isNull(), x["match"]).otherwise(F.concat(F.lit(f"<{kind.name}>"), rest)))
+
+    lead, spans = F.slice(cut["pieces"], 1, F.size(cut["found"])), _confirmed_spans(kind, cut, reach, least_score)
+    rows = F.arrays_zip(lead.alias("lead"), cut["found"].alias("match"), spans.alias("span"))
+    return F.concat(F.array_join(F.transform(rows, piece), ""), F.element_at(cut["pieces"], -1))
 
 
 def find_pii(docs: DataFrame, reach: int = 32, least_score: float = 0.6) -> DataFrame:
@@ -117,34 +165,30 @@ def find_pii(docs: DataFrame, reach: int = 32, least_score: float = 0.6) -> Data
     start and end count code points, end exclusive.  Base kinds are kept at any
     score; the further ones (iban, ssn) only at ``least_score`` or more, which a
     context word within ``reach`` characters can lift them to.  A null or empty
-    text has no spans.  Every row of ``docs`` gives one row.
+    text has no spans; a long text takes time in proportion to its length and
+    matches.  Every row of ``docs`` gives one row, repeated ones too; a column
+    ``pii`` of ``docs`` is replaced.
     """
-    text = text_of()
-    parts = [p if k.base else F.filter(p, lambda s: s["score"] >= least_score) for k in KINDS for p in [_spans(k, F.col("_text"), reach)]]
-    named = [p.alias(f"_{k.name}") for k, p in zip(KINDS, parts, strict=True)]
-    keep = list(docs.columns)
-    out = docs.withColumn("_text", text).select(*[F.col(f"`{c}`") for c in keep], *named)
-    return out.withColumn("pii", F.concat(*[F.col(f"_{k.name}") for k in KINDS])).select(*[F.col(f"`{c}`") for c in keep], "pii")
+    text = fresh(docs, "_text")
+    parts = {fresh(docs, f"_{k.name}"): _spans(k, F.col(text), reach, least_score) for k in KINDS}
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "pii"]
+    out = docs.withColumn(text, text_of()).select(*keep, *[p.alias(n) for n, p in parts.items()])
+    return out.select(*keep, F.concat(*[F.col(n) for n in parts]).alias("pii"))
 
 
 def redact(docs: DataFrame, reach: int = 32, least_score: float = 0.6) -> DataFrame:
-    """``docs`` with every span of ``find_pii`` replaced by ``<kind>`` in ``text``.
+    """``docs`` with personal data replaced by ``<kind>`` in ``text``.
 
-    Where spans overlap, the one that starts first (then the longer) is replaced
-    and what sticks out of it goes too.  A null text stays null, and so does a
-    text without spans stay as it is; ``n_chars``, if there, is counted anew.
+    The kinds are replaced one after another, as ``find_pii`` finds them in what
+    the ones before left; so of overlapping spans the kind listed first goes.
+    A null text stays null, and a text without spans stays as it is; ``n_chars``,
+    if there, is counted anew.  All other columns stay, whatever their names,
+    and every row gives one row.
     """
-    found = find_pii(docs, reach, least_score)
-    spans = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        lead = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], lead, F.lit("<"), s["kind"], F.lit(">"))).otherwise(acc["out"]).alias("out"))
-
-    rest = lambda a: F.concat(a["out"], F.substr(F.col("text"), (a["at"] + 1).cast("int")))
-    clean = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, rest)
-    out = found.withColumn("text", F.when(F.size("pii") > 0, clean).otherwise(F.col("text"))).drop("pii")
+    out, text = docs, F.col("text")
+    for kind in KINDS:
+        clean = let(_cut(kind, text), lambda c: _replaced(kind, c, reach, least_score))  # noqa: B023
+        out = out.withColumn("text", F.when(text.isNotNull() & _may(kind, text), clean).otherwise(text))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 

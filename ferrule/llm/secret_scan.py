@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import log2
 
@@ -65,12 +66,20 @@ def scan(text: str, width: int, thresholds: dict[str, float]) -> list[tuple[str,
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), window_entropy(m[0], width)) for m in ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), window_entropy(m[0], width)) for m in HEX.finditer(text)]
-    covered = sorted((a, b) for _, a, b, _ in out)
+    # the base spans as disjoint stretches, in order: one search settles whether a candidate meets any
+    covered: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b, _ in out):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    ends = [b for _, b in covered]
     for m in CANDIDATE.finditer(text):
         s = m[0]
         if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or ALLOWED.search(s):
             continue
-        if any(a < m.end() and m.start() < b for a, b in covered):
+        k = bisect_right(ends, m.start())
+        if k < len(covered) and covered[k][0] < m.end():
             continue
         e = window_entropy(s, width)
         if e >= thresholds[char_class(s)]:
@@ -95,7 +104,8 @@ def find_secrets(docs: DataFrame, width: int = 20, thresholds: dict[str, float]
     strings of 20 characters or more, with letters and digits, one window of
     which reaches the threshold of its character class and which the allow list
     does not know; none overlaps a base span.  Positions count code points, end
-    exclusive.  A null or empty text has none; repeated rows are scanned each.
+    exclusive.  A null or empty text has none; repeated rows are scanned each; a
+    null doc_id stays null; a long text takes time in proportion to its length.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

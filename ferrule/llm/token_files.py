@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,6 +129,3 @@ def read_token_files(manifest: DataFrame, folder: str, batch_tokens: int = 1_000
 def token_folder(spark: SparkSession) -> str:
     return shared_dir(spark)
 
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)

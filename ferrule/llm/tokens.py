@@ -2,8 +2,9 @@
 
 The vocabulary drops white space and never joins across it, so the ids of a
 text are those of its blank- or newline-separated chunks, one after another.
-Each task keeps the ids of chunks it has met, in two generations of bounded
-size; chunks are handed to the library a batch at a time.
+Each task keeps the ids of chunks it has met, in two generations of a bounded
+number of short chunks; text written without blanks is one long chunk, which is
+forgotten with its batch.  Chunks are handed to the library a batch at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 #: Appended to each document.
 END_ID = 2
+#: Chunks of more characters are not kept.
+LONGEST = 64
 
 
 class ChunkEncoder:
@@ -23,7 +26,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.most, self.now, self.before = most, {}, {}
+        self.most, self.now, self.before, self.long = most, {}, {}, set()
         self.final = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.library.get_vocab().items():
             self.final[i] = token.endswith("</w>")
@@ -57,7 +60,9 @@ class ChunkEncoder:
             now = self.now
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         words, stops, rest = set(), [], []
-        for chunk in set().union(*cut) - now.keys():
+        new = set().union(*cut) - now.keys()
+        self.long = {x for c in new if len(c) > LONGEST for x in (c, c[:-1])}
+        for chunk in new:
             got = self.before.get(chunk)
             if got is not None:
                 now[chunk] = got
@@ -81,7 +86,11 @@ class ChunkEncoder:
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        return [b"".join(map(self.now.__getitem__, c)) + end for c in self.learn(texts)]
+        cut = self.learn(texts)
+        out = [b"".join(map(self.now.__getitem__, c)) + end for c in cut]
+        for chunk in self.long:
+            self.now.pop(chunk, None)
+        return out
 
 
 @lru_cache(2)

@@ -178,22 +178,22 @@ def _scorer(model: Model | None, schema: pa.Schema):
     return run
 
 
-def _row_scorer(model: Model | None):
+def _row_scorer(model: Model | None, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for b in small_batches(batches, "text", 4 << 20):
             texts = [t or "" for t in b.column("text").to_pylist()]
             score = model.score(texts, cache) if model else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, name])
 
     return run
 
 
-def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Every row of ``docs`` as it is, with ``_score``, which is ``score_toxicity``'s of that row's text."""
+def with_score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """Every row of ``docs`` as it is, with ``name``, which is ``score_toxicity``'s of that row's text."""
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(_row_scorer(model), StructType([*docs.schema.fields]).add("_score", DoubleType()))
+    return docs.mapInArrow(_row_scorer(model, name), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:

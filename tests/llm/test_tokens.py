@@ -83,3 +83,10 @@ def test_null_ids_and_no_rows(spark, docs_of):
     none = docs_of([])
     folder = token_folder(spark)
     assert read_token_files(write_token_files(none, folder), folder).count() == 0 and pack_documents(none).count() == 0
+
+
+def test_long_chunks_are_not_kept():
+    library, ours = Tokenizer.from_file(default_path()), ChunkEncoder(default_path())
+    texts = ["日本語" * 400, "a" * 500 + ",", "b" * 200 + " short", "x" * 65]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(texts)] == [plain(library, t) for t in texts]
+    assert all(len(c) <= 65 for c in ours.now) and "short" in ours.now
