@@ -100,7 +100,7 @@ def lift_curve(spark, d):
 b AS (SELECT *, sum(effort) OVER w AS c1, row_number() OVER w AS r1 FROM r WHERE label = 1 WINDOW w AS (PARTITION BY project ORDER BY effort, doc_id ROWS UNBOUNDED PRECEDING)),
 o AS (SELECT project, coalesce(sum(0.5 * (2 * r1 - 1) * effort / (e * n)) FILTER (r1 > 1), 0) + 1 - max(c1 / e) AS opt FROM b GROUP BY project),
 g AS (SELECT project, sum(0.5 * (2 * bugs - label) * effort / (e * n)) FILTER (rank > 1) AS model FROM r GROUP BY project)
-SELECT project, round(1 - (opt - model) / nullif(2 * opt - 1, 0), 6) AS popt FROM g JOIN o USING (project)""")
+SELECT project, round(1 - (opt - model) / nullif(2 * opt - 1, 0), 6) AS popt FROM g LEFT JOIN o USING (project)""")
 def popt_normalized(spark, d):
     return _rounded(effort.popt_normalized(_items(spark, d), ["project"], "doc_id", "score", "effort", "label"))
 
@@ -266,16 +266,21 @@ def share_of_total(spark, d):
 
 # -- fixes and their origins --------------------------------------------------
 
-L = """li AS (SELECT l_returnflag AS kind, l_orderkey AS commit_id, l_partkey, l_linenumber, min(l_shipdate) AS at FROM lineitem GROUP BY ALL),
+L = """li AS (SELECT *, min(t) OVER (PARTITION BY commit_id) AS at FROM (SELECT l_returnflag AS kind, l_orderkey AS commit_id, l_partkey, l_linenumber, min(l_shipdate) AS t FROM lineitem GROUP BY ALL)),
 bl AS (SELECT x.commit_id AS fix, x.l_partkey, x.l_linenumber, y.commit_id AS origin, CAST(epoch(x.at) AS BIGINT) AS ft, CAST(epoch(y.at) AS BIGINT) AS ot, row_number() OVER (PARTITION BY x.commit_id, x.l_partkey, x.l_linenumber ORDER BY y.at DESC, y.commit_id DESC) AS k
  FROM li x JOIN li y ON x.kind = 'R' AND y.kind <> 'R' AND x.l_partkey = y.l_partkey AND x.l_linenumber = y.l_linenumber AND (y.at, y.commit_id) < (x.at, x.commit_id)),
 lk AS (SELECT * FROM bl WHERE k = 1)"""
 
 
+def _times(spark, d):
+    """A commit's time is that of its first line item."""
+    return _table(spark, d, "lineitem").groupBy(F.lit("all").alias("project"), F.col("l_orderkey").alias("commit_id")).agg(F.min("l_shipdate").alias("at"))
+
+
 def _fix_lines(spark, d):
-    li = _table(spark, d, "lineitem").groupBy("l_returnflag", "l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_shipdate").alias("at"))
-    line = li.select(F.lit("all").alias("project"), F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("line_no"), "at", (F.col("l_returnflag") == "R").alias("is_fix"))
-    return line
+    li = _table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_partkey", "l_linenumber").distinct()
+    line = li.select(F.lit("all").alias("project"), F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("line_no"), (F.col("l_returnflag") == "R").alias("is_fix"))
+    return line.join(_times(spark, d), ["project", "commit_id"])
 
 
 def _links(spark, d):
@@ -283,13 +288,10 @@ def _links(spark, d):
     fixes, others = line.where("is_fix"), line.where("not is_fix")
     # the blame table: the latest earlier change of the same line
     last = fixes.alias("x").join(others.alias("y"), ["project", "path", "line_no"]).where("struct(y.at, y.commit_id) < struct(x.at, x.commit_id)")
-    last = last.groupBy("project", "path", "line_no", F.col("x.commit_id").alias("at_commit"), F.col("x.at").alias("fix_at")).agg(F.max(F.struct(F.col("y.at"), F.col("y.commit_id"))).alias("o"))
+    last = last.groupBy("project", "path", "line_no", F.col("x.commit_id").alias("at_commit")).agg(F.max(F.struct(F.col("y.at"), F.col("y.commit_id"))).alias("o"))
     blame = last.select("project", "at_commit", "path", "line_no", F.col("o.commit_id").alias("origin_commit"), F.col("path").alias("origin_path"), F.col("line_no").alias("origin_line"), F.lit(False).alias("is_boundary"))
-    # a commit's time differs by line here, so the two times come with the link
-    times = last.select("project", F.col("at_commit").alias("fix"), "path", F.col("line_no").alias("origin_line"), F.unix_timestamp("fix_at").alias("fix_time"), F.unix_timestamp("o.at").alias("origin_time"))
-    commits = line.select("project", "commit_id").distinct().withColumn("time_stamp", F.lit(0).cast("long"))
-    links = szz.szz_link(fixes.select("project", "commit_id", "path", "line_no"), blame, commits)
-    return links.drop("fix_time", "origin_time").join(times, ["project", "fix", "path", "origin_line"])
+    commits = _times(spark, d).withColumn("time_stamp", F.unix_timestamp("at"))
+    return szz.szz_link(fixes.select("project", "commit_id", "path", "line_no"), blame, commits)
 
 
 @_query("WITH " + L + " SELECT fix, origin, l_partkey AS path, l_linenumber AS origin_line, ft - ot AS gap FROM lk")
@@ -425,9 +427,134 @@ def average_measures(spark, d):
     return _rounded(stats.average_measures(_items(spark, d), ["project"], ["score", "effort"]))
 
 
+@_query("WITH k AS (SELECT l_returnflag AS project, l_orderkey, l_partkey, l_linenumber, max(l_quantity) AS q, max(l_extendedprice) AS e, max(l_quantity + l_tax) AS b FROM lineitem GROUP BY ALL), "
+ "r AS (SELECT project, " + ", ".join(f"rank() OVER (PARTITION BY project ORDER BY {c}) + (count(*) OVER (PARTITION BY project, {c}) - 1) / 2.0 AS {c}" for c in "qeb") + " FROM k), "
+ "m AS (SELECT project, 'l_quantity' AS a, 'l_extendedprice' AS b, corr(q, e) AS rho FROM r GROUP BY project UNION ALL SELECT project, 'l_quantity', 'both', corr(q, b) FROM r GROUP BY project UNION ALL SELECT project, 'l_extendedprice', 'both', corr(e, b) FROM r GROUP BY project) "
+ "SELECT project, a, b, round(rho, 6) AS rho FROM m WHERE abs(rho) > 0.8")
+def correlated_pairs(spark, d):
+    keys = ["l_returnflag", "l_orderkey", "l_partkey", "l_linenumber"]
+    rows = _table(spark, d, "lineitem").withColumn("both", F.col("l_quantity") + F.col("l_tax"))
+    names = ["l_quantity", "l_extendedprice", "both"]
+    rows = rows.groupBy(*keys).agg(*[F.max(f).alias(f) for f in names]).withColumn("id", F.struct(*keys[1:])).withColumnRenamed("l_returnflag", "project")
+    return _rounded(stats.correlated_pairs(stats.spearman_matrix(rows, ["project"], "id", names)))
+
+
+@_query("WITH " + I + " SELECT 'all' AS model, project, round(avg(score), 6) AS score FROM i GROUP BY project UNION ALL SELECT 'toxic', project, round(avg(score), 6) FROM i WHERE label = 1 GROUP BY project")
+def append_results(spark, d):
+    rows = _items(spark, d)
+    mean = lambda x: _rounded(stats.average_measures(x, ["project"], ["score"]))
+    return stats.append_results({"all": mean(rows), "toxic": mean(rows.where("label = 1"))})
+
+
+@_query("WITH d AS (SELECT l_returnflag AS project, l_linestatus AS feature, round(l_discount - l_tax, 6) AS v FROM lineitem) SELECT project, feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, CAST(dense_rank() OVER (PARTITION BY project ORDER BY round(avg(v), 9) DESC) AS INTEGER) AS place FROM d GROUP BY project, feature")
+def importance_summary(spark, d):
+    rows = _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("project"), F.col("l_linestatus").alias("feature"), F.round(F.col("l_discount") - F.col("l_tax"), 6).alias("drop"))
+    return _rounded(stats.importance_summary(rows, ["project"]))
+
+
+@_query()
+def permutation_importance(spark, d):
+    rows = _changes(spark, d).groupBy("project", "commit_id").agg(F.sum("added").alias("la"), F.sum("deleted").alias("ld"), F.count("*").alias("nf"))
+    rows = rows.withColumns({"label": (F.col("nf") * 7 + F.col("ld") > F.expr("20 + commit_id % 40")).cast("int"), "effort": (F.col("la") + F.col("ld")).cast("double")})
+    weights = stats.fit_logistic(rows.where("commit_id % 3 <> 0"), ["project"], ["la", "ld", "nf"], "label")
+    return stats.permutation_importance(rows.where("commit_id % 3 = 0"), weights, ["project"], "commit_id", ["la", "ld", "nf"], "label", "effort")
+
+
+# -- lines, reports and lineages ------------------------------------------------
+
+
+@_query("WITH " + L + """, a AS (SELECT DISTINCT commit_id, l_partkey, l_linenumber FROM li WHERE kind <> 'R' AND l_linenumber % 4 <> 0 AND commit_id NOT IN (SELECT origin FROM lk) AND commit_id % 6 <> 0)
+SELECT commit_id, array_to_string(list(f ORDER BY p), ' ') AS lines FROM (SELECT commit_id, l_partkey AS p, l_partkey || ':' || array_to_string(list_sort(list(l_linenumber)), ',') AS f FROM a GROUP BY commit_id, l_partkey) GROUP BY commit_id""")
+def clean_lines(spark, d):
+    line = _fix_lines(spark, d)
+    added = line.where("not is_fix").select("project", "commit_id", "path", "line_no", (F.col("line_no") % 4 == 0).alias("is_noise")).distinct()
+    commits = line.select("project", "commit_id", (F.col("commit_id") % 6 == 0).alias("is_merge")).distinct()
+    rows = szz.clean_lines(added, _links(spark, d).select("project", F.col("origin").alias("commit_id")), commits)
+    text = F.transform(F.map_entries("lines"), lambda e: F.concat_ws(":", e["key"].cast("string"), F.array_join(F.transform(e["value"], lambda v: v.cast("string")), ",")))
+    return rows.select("commit_id", F.array_join(text, " ").alias("lines"))
+
+
+@_query("SELECT l_orderkey AS commit_id, l_partkey AS path FROM lineitem GROUP BY ALL HAVING bool_or(l_linenumber % 4 <> 0)")
+def valid_modified_files(spark, d):
+    rows = _table(spark, d, "lineitem").select(F.lit("all").alias("project"), F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"), (F.col("l_linenumber") % 4 == 0).alias("is_noise"))
+    return szz.valid_modified_files(rows).select("commit_id", "path")
+
+
+@_query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey % 7 = 0 AS merged, l_partkey % 5 IN (0, 1) AS old_ok, l_returnflag = 'R' AND l_suppkey % 2 = 0 AS new_ok FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, NOT merged AND (old_ok OR new_ok) AS in_scope FROM x""")
+def in_scope_change(spark, d):
+    end = lambda c, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col(c) % len(xs) + 1).cast("int"))
+    old = F.concat(F.lit("d.x/"), F.col("l_partkey").cast("string"), end("l_partkey", ".c", ".H", ".c/", "/.c", ".cpp"))
+    new = F.concat(F.lit("n/"), F.col("l_suppkey").cast("string"), end("l_suppkey", ".c", ".txt"))
+    scope = paths.in_scope_change(F.col("l_orderkey") % 7 == 0, old, new, F.col("l_returnflag") == "R", [".c", ".h"])
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scope.alias("in_scope"))
+
+
+@_query("WITH " + C + " SELECT project, commit_id, time_stamp, CAST(row_number() OVER (ORDER BY time_stamp DESC, commit_id DESC) AS BIGINT) AS place FROM c ORDER BY place LIMIT 100")
+def order_report(spark, d):
+    top = changes.order_report(_commits(spark, d), limit=100)
+    w = Window.orderBy(F.desc("time_stamp"), F.desc("commit_id"))
+    # a hundred rows
+    return top.select("project", "commit_id", "time_stamp", F.row_number().over(w).cast("long").alias("place"))
+
+
+@_query("SELECT o_orderpriority AS project, count(*) AS n_rows, CAST(5 AS INTEGER) AS n_columns FROM orders GROUP BY ALL")
+def project_shape(spark, d):
+    return changes.project_shape(_commits(spark, d))
+
+
+@_query("WITH " + CH + """, s AS (SELECT project, commit_id, list(path ORDER BY path) AS files, max(added) AS most FROM ch GROUP BY project, commit_id)
+SELECT project, commit_id, CAST(to_json(files) AS VARCHAR) AS files, len(files) AS n, '{"most":[' || most || ']}' AS lines FROM s""")
+def report_json(spark, d):
+    rows = _changes(spark, d).groupBy("project", "commit_id").agg(F.array_sort(F.collect_list("path")).alias("files"), F.create_map(F.lit("most"), F.array(F.max("added"))).alias("lines"))
+    text = changes.to_report_json(rows, ["files", "lines"])
+    back = changes.from_report_json(text.select("project", "commit_id", F.col("files").alias("n")), {"n": "array<string>"})
+    return text.join(back.withColumn("n", F.size("n").cast("long")), ["project", "commit_id"])
+
+
+@_query("WITH " + CH + """, s AS (SELECT project, commit_id, CAST(sum(added) AS BIGINT) AS la FROM ch GROUP BY ALL), h AS (SELECT project, commit_id, count(*) AS nf FROM ch GROUP BY ALL),
+x AS (SELECT project, commit_id, row_number() OVER (PARTITION BY project, author ORDER BY time_stamp, pos) - 1 AS exp FROM c)
+SELECT c.project, c.commit_id, c.time_stamp, la, nf, exp, o_orderstatus = 'F' AS is_fix FROM h JOIN c USING (project, commit_id) JOIN orders ON o_orderkey = commit_id LEFT JOIN s USING (project, commit_id) LEFT JOIN x USING (project, commit_id)""")
+def combine_values_annotations(spark, d):
+    ch, commits = _changes(spark, d), _commits(spark, d)
+    by = lambda e: ch.groupBy("project", "commit_id").agg(e)
+    purpose = _table(spark, d, "orders").select(F.col("o_orderpriority").alias("project"), F.col("o_orderkey").alias("commit_id"), (F.col("o_orderstatus") == "F").alias("is_fix"))
+    size, diffusion = by(F.sum("added").alias("la")), by(F.max("deleted").alias("_most"))
+    rows = changes.combine_values_annotations(commits, purpose, by(F.count("*").alias("nf")), changes.experience(commits), size, diffusion)
+    return rows.select("project", "commit_id", "time_stamp", "la", "nf", "exp", "is_fix")
+
+
+# touches of a file by its supplier's number: kinds by the line number, a rename goes to the next file but one
+T = """t AS (SELECT DISTINCT l_shipdate AS tm, l_orderkey AS commit_id, 'f' || (l_partkey % 200) AS path, CASE WHEN l_linenumber % 4 = 1 THEN 'f' || ((l_partkey + 2) % 200) END AS new_path, CASE l_linenumber % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'rename' WHEN 2 THEN 'delete' ELSE 'modify' END AS change_type, l_orderkey * 10000 + l_partkey % 200 * 10 + l_linenumber AS pos FROM lineitem),
+u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY pos ORDER BY tm) = 1)"""
+
+
+@_query("WITH RECURSIVE " + T + """, e AS (SELECT *, path AS p, 0 AS way, CAST(change_type = 'add' AS INT) AS s, CAST(change_type IN ('delete', 'rename') AS INT) AS d FROM u UNION ALL SELECT *, new_path, 1, 1, 0 FROM u WHERE change_type = 'rename'),
+n AS (SELECT *, p || '#' || (sum(s) OVER w + coalesce(sum(d) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS name FROM e WINDOW w AS (PARTITION BY p ORDER BY tm, pos, way ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT a.name AS child, b.name AS parent FROM n a JOIN n b ON a.pos = b.pos AND a.way = 1 AND b.way = 0),
+r AS (SELECT child, parent FROM k UNION SELECT r.child, k.parent FROM r JOIN k ON k.child = r.parent),
+f AS (SELECT child, parent FROM r WHERE parent NOT IN (SELECT child FROM k))
+SELECT commit_id, path, pos, coalesce(f.parent, name) AS lineage FROM n LEFT JOIN f ON f.child = n.name WHERE way = 0""".replace("(w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "(PARTITION BY p ORDER BY tm, pos, way ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+def file_lineage(spark, d):
+    rest, name = F.col("l_linenumber") % 4, lambda c: F.concat(F.lit("f"), (c % 200).cast("string"))
+    kind = F.when(rest == 0, "add").when(rest == 1, "rename").when(rest == 2, "delete").otherwise("modify")
+    pos = F.col("l_orderkey") * 10000 + F.col("l_partkey") % 200 * 10 + F.col("l_linenumber")
+    rows = _table(spark, d, "lineitem").select(F.lit("all").alias("project"), F.col("l_orderkey").alias("commit_id"), F.col("l_shipdate").alias("time_stamp"), pos.alias("pos"), name(F.col("l_partkey")).alias("path"), F.when(rest == 1, name(F.col("l_partkey") + 2)).alias("new_path"), kind.alias("change_type"))
+    # pos names the touch but for the date: the first one is taken
+    rows = rows.groupBy("pos").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "pos"]), "time_stamp").alias("x")).select("pos", "x.*")
+    return changes.file_lineage(rows).select("commit_id", "path", "pos", "lineage")
+
+
+def _all() -> None:
+    """Bind the dumps' queries too; their module needs this one's inputs."""
+    from ferrule.jobs import dumps  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ferrule.functions.c_code import is_c_file, metrics
 from ferrule.functions.paths import directory_of, subsystem_of
 from ferrule.operators.running import running
+from ferrule.operators.shared import kept
 
 KEY = ["project", "commit_id"]
 
@@ -45,16 +46,19 @@ def diffusion(changes: DataFrame) -> DataFrame:
     Entropy: of in-scope churn shares, over |log2| of the smallest share unless that is 0."""
     if "new_path" not in changes.columns:
         changes = changes.withColumn("new_path", F.lit(None).cast("string"))
-    n = F.col("added") + F.col("deleted")
-    scoped = changes.where("in_scope")
-    total = scoped.groupBy(*KEY).agg(F.sum(n).alias("_all"))
-    p = F.col("_n") / F.col("_all")
-    shares = scoped.withColumn("_n", n).where("_n > 0").join(total, KEY).groupBy(*KEY).agg(F.sum(-p * F.log2(p)).alias("_h"), F.abs(F.log2(F.min(p))).alias("_d"))
-    spread = changes.select(*KEY, F.explode(F.array_compact(F.array("path", "new_path"))).alias("p")).groupBy(*KEY).agg(F.count_distinct(subsystem_of(F.col("p"))).alias("ns"), F.count_distinct(directory_of(F.col("p"))).alias("nd"))
-    sizes = scoped.groupBy(*KEY).agg(F.count_distinct(F.struct("path", "added", "deleted")).alias("nf"), F.sum("added").alias("la"), F.sum("deleted").alias("ld"))
-    out = spread.join(sizes, KEY, "left").join(shares, KEY, "left")
-    entropy = F.when(F.col("_d") > 0, F.col("_h") / F.col("_d")).otherwise(F.coalesce("_h", F.lit(0.0)))
-    return out.select(*KEY, "ns", "nd", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("nf", "la", "ld")], entropy.alias("entropy"))
+    n, ok = F.col("added") + F.col("deleted"), F.col("in_scope")
+    counted = F.when(ok & (n > 0), n)
+    of = lambda f, c: F.collect_set(F.when(F.col(c).isNotNull(), f(F.col(c))))
+    both = lambda f: F.size(F.array_union(of(f, "path"), of(f, "new_path"))).cast("long")
+    rows = changes.groupBy(*KEY).agg(
+        both(subsystem_of).alias("ns"), both(directory_of).alias("nd"), F.count_distinct(F.when(ok, F.struct("path", "added", "deleted"))).alias("nf"),
+        *[F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0)).cast("long").alias(o) for c, o in (("added", "la"), ("deleted", "ld"))],
+        F.sum(counted).alias("_all"), F.sum(counted * F.log2(counted)).alias("_weighted"), F.min(counted).alias("_least"),
+    )
+    # with p = n / all: -sum p log2 p = log2 all - sum n log2 n / all, and -log2 min p = log2 all - log2 min n
+    spread = F.greatest(F.log2("_all") - F.col("_weighted") / F.col("_all"), F.lit(0.0))
+    entropy = F.when(F.col("_least") < F.col("_all"), spread / (F.log2("_all") - F.log2("_least"))).otherwise(0.0)
+    return rows.select(*KEY, "ns", "nd", "nf", "la", "ld", entropy.alias("entropy"))
 
 
 def experience(commits: DataFrame) -> DataFrame:
@@ -121,16 +125,28 @@ def history(touches: DataFrame) -> DataFrame:
     own = size.groupBy(*KEY).agg(F.count("*").alias("nf"), F.sum(F.coalesce((F.col("time_stamp") - F.col("last")) / 86400.0, F.lit(0.0))).alias("_days"), F.avg("lines").alias("lt"))
     firsts = one.groupBy(*file, "author").agg(F.min("at").alias("then")).withColumnRenamed("author", "dev")
     devs = one.join(firsts, file).where("then < at").groupBy(*KEY).agg(F.count_distinct("dev").alias("ndev"))
+    # a commit of one file has its file's distinct earlier changes, a running count; only commits of several files need pairs, as these may share changes
+    same = Window.partitionBy(*file, "author", "time_stamp").orderBy("pos")
+    counted = one.withColumn("new", (F.row_number().over(same) == 1).cast("long"))
+    counted = counted.withColumns({"sofar": F.coalesce(F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "files": F.count("*").over(Window.partitionBy(*KEY))})
     past = one.select(*file, F.col("at").alias("then"), F.col("author").alias("dev"))
-    uses = one.join(past, file).where("then < at").groupBy(*KEY).agg(F.count_distinct(F.struct("dev", "then.time_stamp")).alias("_uses"))
+    many = counted.where("files > 1").join(past, file).where("then < at").groupBy(*KEY).agg(F.count_distinct(F.struct("dev", "then.time_stamp")).alias("_uses"))
+    uses = many.unionByName(counted.where("files = 1").select(*KEY, F.col("sofar").alias("_uses")))
     zero = F.lit(0).cast("long")
     out = own.join(devs, KEY, "left").join(uses, KEY, "left")
     return out.select(*KEY, F.coalesce("ndev", zero).alias("ndev"), (F.coalesce("_uses", zero) / F.col("nf")).alias("nuc"), (F.col("_days") / F.col("nf")).alias("age"), "lt")
 
 
-def c_features(hunks: DataFrame) -> DataFrame:
-    """Nine C counts by commit of hunks (path, body): sums, and the deepest pointer; 0 where no C file changed."""
-    rows = hunks.where(is_c_file(F.col("path"))).select(*KEY, *[c.alias(n) for n, c in metrics(F.col("body")).items()])
+def c_features(hunks: DataFrame, body_only: bool = False) -> DataFrame:
+    """Nine C counts by commit of hunks (path, body): sums, and the deepest pointer; 0 where no C file changed.
+
+    ``body`` is a hunk as a diff has it.  Signs and removed lines are counted as
+    they stand there; with ``body_only`` the header, the signs and the removed
+    lines are left out first."""
+    body = F.col("body")
+    if body_only:
+        body = F.array_join(F.transform(F.filter(F.split(body, "\n"), lambda x: x.startswith("+") | x.startswith(" ")), lambda x: F.substr(x, F.lit(2))), "\n")
+    rows = hunks.where(is_c_file(F.col("path"))).select(*KEY, body.alias("body")).select(*KEY, *[c.alias(n) for n, c in metrics(F.col("body")).items()])
     names = list(metrics(F.lit("")))
     sums = rows.groupBy(*KEY).agg(*[(F.max if n == "maxpointerdepth" else F.sum)(n).alias(n) for n in names])
     return hunks.select(*KEY).distinct().join(sums, KEY, "left").na.fill(0, names)
@@ -143,6 +159,42 @@ def combine_features(meta: DataFrame, *parts: DataFrame) -> DataFrame:
     return meta
 
 
+def combine_values_annotations(meta: DataFrame, purpose: DataFrame, history: DataFrame, experience: DataFrame, size: DataFrame, diffusion: DataFrame) -> DataFrame:
+    """The values of each commit that has a history, and what its log says of it, newest first."""
+    values = combine_features(history, experience, size, diffusion)
+    return order_report(values.join(combine_features(meta, purpose), KEY))
+
+
+def to_report_json(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Lists and maps as JSON text, the form in which a report keeps them."""
+    return df.withColumns({c: F.to_json(c) for c in columns})
+
+
+def from_report_json(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """JSON text of a report as values of the given types ('map<string,array<int>>'); text that is none gives null."""
+    return df.withColumns({c: F.from_json(c, t) for c, t in kinds.items()})
+
+
+def project_shape(df: DataFrame) -> DataFrame:
+    """Rows of each project's table, and its number of columns."""
+    return df.groupBy("project").agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+
+
+def export_code_repo(commits: DataFrame, numbers: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables of one text column ``value``, fields joined by ';': commits
+    (id, parents, sons, project, email, time, message on one line) and their
+    files (path, commit, parent, status letter, added, deleted, old path)."""
+    sons = commit_edges(commits).groupBy("project", F.col("parent_id").alias("commit_id")).agg(F.array_sort(F.collect_list("child_id")).alias("sons"))
+    rows = commits.join(sons, KEY, "left")
+    listed = lambda c: F.concat_ws(",", F.col(c).cast("array<string>"))
+    text = lambda *cs: F.concat_ws(";", *[F.coalesce(c.cast("string"), F.lit("")) for c in cs]).alias("value")
+    head = rows.select(text(F.col("commit_id"), listed("parents"), listed("sons"), F.col("project"), F.col("author_email"), F.col("time_stamp"), F.regexp_replace("message", r"\s+", " ")))
+    letter = F.upper(F.substring("change_type", 1, 1))
+    new, old = F.coalesce("current_path", "modified_path"), F.when(F.col("current_path").isNotNull(), F.col("modified_path"))
+    files = file_changes(numbers, kinds).select(text(new, F.col("commit_id"), F.col("base_commit"), letter, F.col("added"), F.col("deleted"), old))
+    return head, files
+
+
 def file_level_features(files: DataFrame, commits: DataFrame, buggy: DataFrame) -> DataFrame:
     """One row per commit and file: the file's own columns, the commit's, and whether ``buggy`` (project, commit_id, path) has it."""
     marked = buggy.select(*KEY, "path").distinct().withColumn("contains_bug", F.lit(True))
@@ -177,3 +229,49 @@ def changed_files(changes: DataFrame, limit: int = 50, delimiter: str = ";", com
 def order_report(df: DataFrame, limit: int | None = None) -> DataFrame:
     out = df.orderBy(F.desc("time_stamp"), F.desc("commit_id"))
     return out.limit(limit) if limit else out
+
+
+def ancestors(edges: DataFrame, commits: DataFrame) -> DataFrame:
+    """(project, commit_id, ancestor) of the given ``commits``: all that their parents lead to.
+
+    Each round goes one parent further from what the last one found; rounds are
+    checkpointed, and what is known already is not followed again."""
+    parent = edges.select("project", F.col("child_id").alias("ancestor"), "parent_id")
+    found = kept(commits.select("project", "commit_id", F.col("commit_id").alias("ancestor")).distinct())
+    known, fresh = found.limit(0), found
+    while not fresh.isEmpty():
+        step = fresh.join(parent, ["project", "ancestor"]).select("project", "commit_id", F.col("parent_id").alias("ancestor")).distinct()
+        fresh = kept(step.join(known, ["project", "commit_id", "ancestor"], "left_anti"))
+        known = kept(known.unionByName(fresh))
+    return known
+
+
+def file_lineage(touches: DataFrame) -> DataFrame:
+    """``touches`` (project, commit_id, time_stamp, pos, path, new_path,
+    change_type) with ``lineage``: one name for a file through all its renames.
+
+    A path's time is cut where a file starts there (add, or rename to it) and
+    after one ends (delete, or rename away).  A rename ties the old path's
+    stretch to the new one's, so stretches are chains, and a file is named by
+    its chain's first: (path, number of the stretch).  Chains are followed by
+    doubling, in a number of rounds logarithmic in the longest; renames alone
+    take part in that."""
+    order = [F.col("time_stamp"), F.col("pos"), F.col("into")]
+    renamed = F.col("change_type") == "rename"
+    columns = [*KEY, "time_stamp", "pos", "path", "new_path", "change_type"]
+    own = touches.select(*columns, F.col("path").alias("at"), F.lit(0).alias("into"), (F.col("change_type") == "add").cast("int").alias("starts"), (renamed | (F.col("change_type") == "delete")).cast("int").alias("ends"))
+    moved = touches.where(renamed).select(*columns, F.col("new_path").alias("at"), F.lit(1).alias("into"), F.lit(1).alias("starts"), F.lit(0).alias("ends"))
+    w = Window.partitionBy("project", "at").orderBy(*order)
+    stretch = F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = kept(own.unionByName(moved).withColumn("name", F.concat_ws("#", "at", stretch.cast("string"))))
+    key = [*KEY, "pos", "path", "new_path"]
+    old = placed.where("into = 0 and change_type = 'rename'").select(*key, F.col("name").alias("root"))
+    links = kept(placed.where("into = 1").select(*key, "name").join(old, key).select("project", "name", "root"))
+    while True:
+        up = links.select("project", F.col("name").alias("root"), F.col("root").alias("further"))
+        joined = links.join(up, ["project", "root"], "left")
+        if joined.where("further is not null").isEmpty():
+            break
+        links = kept(joined.select("project", "name", F.coalesce("further", "root").alias("root")))
+    out = placed.where("into = 0").join(links, ["project", "name"], "left")
+    return out.select(*columns, F.coalesce("root", "name").alias("lineage"))

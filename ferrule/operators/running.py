@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def same_group(df: DataFrame, other: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with ``other`` on ``by``, where a missing key is a key like any other."""
+    other = other.withColumnsRenamed({b: f"_j_{b}" for b in by})
+    return df.join(other, [F.col(f"`{b}`").eqNullSafe(F.col(f"`_j_{b}`")) for b in by], how).drop(*[f"_j_{b}" for b in by])
+
+
 def running(df: DataFrame, by: list[str], key: Column, ties: list[Column], sums: dict[str, Column], descending: bool = False, slices: int = 16) -> DataFrame:
     """``df`` with ``rank`` (1, 2, ...) and, for each of ``sums``, its running
     total up to and including the row, in the order of ``key``, then ``ties``.

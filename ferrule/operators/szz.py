@@ -25,7 +25,9 @@ def bug_summary(links: DataFrame) -> DataFrame:
 
 
 def fix_summary(links: DataFrame, fix_lines: DataFrame) -> DataFrame:
-    """Per fix: fixes (the origins), and of its deleted lines the number of files and of lines."""
+    """Per fix: fixes (the origins), and of its deleted lines the number of files and of lines.
+
+    ``lines_by_file`` of the same lines is the map of files to lines."""
     origins = links.select("project", "fix", "origin").distinct().groupBy("project", "fix").agg(F.array_sort(F.collect_list("origin")).alias("fixes"))
     files = fix_lines.groupBy("project", F.col("commit_id").alias("fix")).agg(F.count_distinct("path").alias("fix_file_num"), F.count("*").alias("deleted_lines"))
     return files.join(origins, ["project", "fix"], "left")
@@ -41,6 +43,15 @@ def clean_files(touched: DataFrame, buggy: DataFrame) -> DataFrame:
     return touched.join(buggy, ["project", "commit_id", "path"], "left_anti")
 
 
+def clean_lines(added: DataFrame, buggy: DataFrame, commits: DataFrame) -> DataFrame:
+    """path -> lines, as a map, of what commits added that are neither buggy nor merges.
+
+    ``added`` (project, commit_id, path, line_no, is_noise) has added lines; noise is left out."""
+    key = ["project", "commit_id"]
+    plain = commits.where(~F.coalesce("is_merge", F.lit(False))).select(*key).join(buggy.select(*key).distinct(), key, "left_anti")
+    return lines_by_file(added.where("not is_noise").join(plain, key, "left_semi"), key, "path", "line_no")
+
+
 def valid_modified_files(lines: DataFrame) -> DataFrame:
     """Files of a commit that have a changed line other than noise (``is_noise``)."""
     return lines.groupBy("project", "commit_id", "path").agg(F.bool_or(~F.col("is_noise")).alias("_ok")).where("_ok").drop("_ok")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,30 +75,57 @@ def read_merge_stats(spark: SparkSession, path: str, all_parents: bool = True) -
     return rows.select("project", "commit_id", "base_commit", F.col("f.old").alias("modified_path"), F.col("f.new").alias("current_path"), "f.added", "f.deleted", F.col("f.new").isNotNull().alias("is_rename"))
 
 
-def parse_hunks(diffs: DataFrame) -> DataFrame:
-    """(project, commit_id, path, hunk_no, side, line_no, text, is_noise) of unified diffs (project, commit_id, diff_text)."""
+def read_diffs(spark: SparkSession, path: str) -> DataFrame:
+    """(project, commit_id, diff_text) of a dump of ``commit: <hash>`` records with each commit's diff."""
+    return _records(spark, path).where("commit_id is not null").select("project", "commit_id", F.col("body").alias("diff_text"))
+
+
+def _hunks(diffs: DataFrame) -> DataFrame:
     files = diffs.select("project", "commit_id", F.explode(F.split("diff_text", "(?m)^(?=diff --git )")).alias("part")).where(F.col("part").startswith("diff --git "))
     name = lambda mark, side: F.regexp_extract("part", rf"(?m)^{mark} {side}/(.*)$", 1)
-    files = files.select("project", "commit_id", name("---", "a").alias("old"), name(r"\+\+\+", "b").alias("new"), F.posexplode(F.split("part", "(?m)^(?=@@ )")).alias("hunk_no", "hunk")).where("hunk_no > 0")
+    return files.select("project", "commit_id", name("---", "a").alias("old"), name(r"\+\+\+", "b").alias("new"), F.posexplode(F.split("part", "(?m)^(?=@@ )")).alias("hunk_no", "hunk")).where("hunk_no > 0")
+
+
+def hunk_bodies(diffs: DataFrame) -> DataFrame:
+    """(project, commit_id, path, hunk_no, body) of unified diffs (project, commit_id, diff_text): whole hunks, header and signs included."""
+    path = F.when(F.col("new") != "", F.col("new")).otherwise(F.col("old"))
+    return _hunks(diffs).select("project", "commit_id", path.alias("path"), "hunk_no", F.col("hunk").alias("body"))
+
+
+def parse_hunks(diffs: DataFrame) -> DataFrame:
+    """(project, commit_id, path, hunk_no, side, line_no, text, is_noise) of the
+    removed and added lines of unified diffs (project, commit_id, diff_text).
+
+    Lines of context, where a diff has them, count but are not returned."""
+    files = _hunks(diffs)
     start = parse_hunk_header(F.substring_index("hunk", "\n", 1))
     lines = files.withColumn("s", start).withColumn("all", F.slice(F.split("hunk", "\n"), 2, 1_000_000_000))
 
     def side(mark: str, first: str, path: str) -> Column:
-        own = F.filter("all", lambda x: x.startswith(mark))
-        return F.transform(own, lambda x, i: F.struct(F.lit(mark).alias("side"), F.col(path).alias("path"), (F.col(f"s.{first}") + i).alias("line_no"), F.substr(x, F.lit(2)).alias("text")))
+        seen = F.filter("all", lambda x: x.startswith(mark) | x.startswith(" "))
+        row = F.transform(seen, lambda x, i: F.struct(F.substr(x, F.lit(1), F.lit(1)).alias("side"), F.col(path).alias("path"), (F.col(f"s.{first}") + i).alias("line_no"), F.substr(x, F.lit(2)).alias("text")))
+        return F.filter(row, lambda r: r["side"] == mark)
 
     rows = lines.select("project", "commit_id", "hunk_no", F.explode(F.concat(side("-", "old_start", "old"), side("+", "new_start", "new"))).alias("x"))
     return rows.select("project", "commit_id", "x.path", "hunk_no", "x.side", "x.line_no", "x.text", is_noise_line(F.col("x.text")).alias("is_noise"))
 
 
+BLAME = r"^(\^?)([0-9a-f]{39,40}) +(\S.*?) +(\d+) \(.*?(\d+)\) ?(.*)$"
+
+
 def read_blame(spark: SparkSession, path: str, at_commit: str) -> DataFrame:
-    """Lines of ``blame -f -n -l``: origin commit ('^' marks a boundary), its file and line."""
-    part = lambda i: F.regexp_extract("value", r"^(\^?)([0-9a-f]{39,40}) +(\S+) +(\d+) \(.*?(\d+)\) ?(.*)$", i)
+    """Lines of ``blame -f -n -l``: origin commit ('^' marks a boundary), its file (which may have blanks) and line."""
+    part = lambda i: F.regexp_extract("value", BLAME, i)
     raw = spark.read.text(path).withColumn("project", _project())
     rows = raw.select("project", F.lit(at_commit).alias("at_commit"), part(3).alias("path"), part(5).try_cast("int").alias("line_no"), part(2).alias("origin_commit"), part(3).alias("origin_path"), part(4).try_cast("int").alias("origin_line"), (part(1) == "^").alias("is_boundary"))
     return rows.where("origin_commit <> ''")
 
 
+def rejected_blame(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are no line of blame."""
+    return spark.read.text(path).withColumn("project", _project()).where((F.col("value") != "") & ~F.col("value").rlike(BLAME))
+
+
 def read_violations(spark: SparkSession, path: str, project: str, commit_id: str) -> DataFrame:
     """A linter's CSV: problem, package, file, priority, line, description, set, rule."""
     raw = spark.read.csv(path, header=False)
@@ -105,10 +134,44 @@ def read_violations(spark: SparkSession, path: str, project: str, commit_id: str
     return rows.where("priority is not null")
 
 
-def write_features(df: DataFrame, path: str) -> None:
-    """The feature table as Parquet, a folder for each project, newest first within files."""
-    df.repartition("project").sortWithinPartitions("project", F.desc("time_stamp")).write.partitionBy("project").parquet(path)
+def write_features(df: DataFrame, path: str, kind: str = "parquet", spread: int = 16) -> None:
+    """The feature table as Parquet or CSV, a folder for each project, newest first within files.
+
+    A project is ``spread`` files at most, so that a large one is no one task's work."""
+    rows = df.repartition("project", F.pmod(F.xxhash64("commit_id"), F.lit(spread))).sortWithinPartitions("project", F.desc("time_stamp"))
+    rows.write.partitionBy("project").format(kind).options(**({"header": True} if kind == "csv" else {})).save(path)
+
+
+def read_features(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
+    """A feature table as written; text needs the ``schema`` of its columns but for the project."""
+    reader = spark.read.format(kind)
+    if kind == "csv":
+        reader = reader.option("header", True).schema(f"{schema}, project string")
+    return reader.load(path)
+
+
+def read_table(spark: SparkSession, url: str, table: str, projects: list[str] | None = None, **properties: str) -> DataFrame:
+    """A table of a database, one task for each of ``projects``, whose rows alone are asked for."""
+    rows = spark.read.jdbc(url, table, properties=properties)
+    if projects is None:
+        return rows
+    # the filters are pushed down in the database's own spelling of the name
+    return reduce(DataFrame.unionByName, [rows.where(F.col("project") == p) for p in projects], rows.limit(0))
+
+
+def write_table(df: DataFrame, url: str, table: str, mode: str = "append", **properties: str) -> None:
+    df.write.jdbc(url, table, mode=mode, properties=properties)
+
+
+def read_keywords(spark: SparkSession, path: str) -> DataFrame:
+    """(category, words) of files of comma-separated words, one file for each category, named by it."""
+    raw = spark.read.text(path, wholetext=True)
+    name = F.initcap(F.replace(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1), F.lit("_"), F.lit(" ")))
+    words = F.filter(F.transform(F.split("value", r"[,\n]"), lambda w: F.lower(F.trim(w, F.lit(" \t\r")))), lambda w: w != "")
+    return raw.select(name.alias("category"), words.alias("words"))
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def keyword_lists(keywords: DataFrame, order: list[str]) -> list[tuple[str, list[str]]]:
+    """The lists in the order in which ``classify_message`` tries them; there are a few words a category."""
+    found = {r.category: r.words for r in keywords.collect()}
+    return [(c, found[c]) for c in order if found.get(c)]
