@@ -76,7 +76,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferrule.llm.katz import katz_scores
 
-    return katz_scores(_table(spark, sf_dir, "documents"))
+    return katz_scores(_table(spark, sf_dir, "documents"), order=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
