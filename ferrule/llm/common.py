@@ -83,11 +83,19 @@ def as_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     )
 
 
-def release_memory() -> None:
-    """Give back what earlier tasks of this Python worker have freed; Spark reuses workers for many tasks."""
+#: What tasks of one operator keep for the next ones; tasks of any other make it ``forget``.
+KEPT: list = []
+
+
+def release_memory(keep: object = None) -> None:
+    """Give back what earlier tasks of this Python worker have freed or left, but
+    for ``keep``; Spark reuses workers for many tasks, of other operators too."""
     import ctypes
     import gc
 
+    for x in KEPT:
+        if x is not keep:
+            x.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -96,9 +104,9 @@ def release_memory() -> None:
         pass
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int, keep: object = None) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of ``column`` (a longer row stands alone)."""
-    release_memory()
+    release_memory(keep)
     for b in batches:
         size = b.column(column).nbytes if b.num_rows else 0
         step = max(1, int(b.num_rows * most / max(size, 1)))

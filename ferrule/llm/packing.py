@@ -49,7 +49,7 @@ def assign(lengths: np.ndarray, most: int, linear: float, quadratic: float) -> t
 
 def packer(path: str, most: int, window: int, linear: float, quadratic: float, schema: pa.Schema):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        one = encoder(path)
         base = None
         ids: list[bytes] = []
         docs: list[int | None] = []
@@ -67,11 +67,11 @@ def packer(path: str, most: int, window: int, linear: float, quadratic: float, s
             ids, docs, held, base = [], [], 0, base + len(caps)
             return out
 
-        for b in small_batches(batches, "text", 8 << 20):
+        for b in small_batches(batches, "text", 8 << 20, keep=one):
             if not b.num_rows:
                 continue
             base = (b.column("scan")[0].as_py() << 32) if base is None else base
-            got = encode(b.column("text").to_pylist())
+            got = one.encode(b.column("text").to_pylist())
             ids += got
             docs += b.column("doc_id").to_pylist()
             held += sum(map(len, got)) // 4

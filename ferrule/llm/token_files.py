@@ -29,17 +29,17 @@ def _open(path: str):
 
 def _writer(folder: str, path: str, dtype: str, end_id: int | None, schema: pa.Schema):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, files, sink = encoder(path).encode, None, None
+        one, files, sink = encoder(path), None, None
         offsets, ids = [np.zeros(1, "<u8")], []
         total = 0
-        for b in small_batches(batches, "text", 8 << 20):
+        for b in small_batches(batches, "text", 8 << 20, keep=one):
             if sink is None:
                 # a name of its own for each attempt: a task that is run twice never writes into the other's file
                 files, where = _open(folder)
                 name = f"{where}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 files.create_dir(where, recursive=True)
                 sink = files.open_output_stream(f"{name}.bin")
-            got = encode(b.column("text").to_pylist(), end_id)
+            got = one.encode(b.column("text").to_pylist(), end_id)
             flat = np.frombuffer(b"".join(got), "<u4")
             if len(flat) and flat.max() > np.iinfo(dtype).max:
                 raise ValueError(f"a token id exceeds {dtype}")

@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from ferrule.llm.common import KEPT
+
 VOCABULARY = "word_bpe_49k.json"
 #: Appended to each document.
 END_ID = 2
@@ -31,6 +33,9 @@ class ChunkEncoder:
         for token, i in self.library.get_vocab().items():
             self.final[i] = token.endswith("</w>")
 
+    def forget(self) -> None:
+        self.now, self.before, self.long = {}, {}, set()
+
     def _words(self, words: list[str]) -> None:
         """Words of plain letters, many in one call: each is one unit of the vocabulary's
         pre-tokenizer, whose last id, and no other, is marked as the end of a word."""
@@ -99,7 +104,9 @@ def encoder(path: str) -> ChunkEncoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return ChunkEncoder(path)
+    one = ChunkEncoder(path)
+    KEPT.append(one)
+    return one
 
 
 def default_path() -> str:
