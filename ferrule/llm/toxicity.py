@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log
 
 import numpy as np
@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import as_batch, learns, saved, small_batches, text_of
+from ferrule.llm.common import as_batch, learns, release_memory, saved, small_batches, text_of
 
 SCHEMA = "doc_id long, score double"
 WORD = re.compile(r"[^\W\d_]+")
@@ -73,7 +73,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
 
 
-def dictionary(samples: list[str], size: int, k: int, d: int) -> bytes:
+def dictionary(samples: Iterable[str], size: int, k: int, d: int) -> bytes:
     """What zstandard's trainer makes of ``samples``; too few for it are a dictionary as they are."""
     body = [f" {x} ".encode() for x in samples if len(x) >= 8]
     try:
@@ -95,9 +95,8 @@ def fit(texts: list[str], toxic: list[int], share: float, ordinary_bytes: int =
     penalised logistic fit over thresholds of 1 to MOST bytes.
     """
     seen = (Counter(), Counter())
-    own = [windows(t) for t in texts]
-    for ws, y in zip(own, toxic, strict=True):
-        seen[y].update(set(ws))
+    for t, y in zip(texts, toxic, strict=True):
+        seen[y].update(set(windows(t)))
     n = (len(toxic) - sum(toxic), sum(toxic))
     if not all(n):
         return None
@@ -112,8 +111,9 @@ def fit(texts: list[str], toxic: list[int], share: float, ordinary_bytes: int =
     telling = {w for w in seen[1] if ratio(w) >= 4 and g2(w) >= least_g2}
     if not telling:
         return None
-    plain = [" ".join(ws) for ws, y in zip(own, toxic, strict=True) if not y]
-    marked = [" ".join(sorted(telling.intersection(ws))) for ws, y in zip(own, toxic, strict=True) if y]
+    del seen
+    plain = (" ".join(windows(t)) for t, y in zip(texts, toxic, strict=True) if not y)
+    marked = (" ".join(sorted(telling.intersection(windows(t)))) for t, y in zip(texts, toxic, strict=True) if y)
     room = 4096 + 4 * sum(len(w.encode()) + 1 for w in telling)
     bare = lambda *d: Model(*d, 0, np.zeros(1), np.ones(1), np.zeros(1), level)
     dicts = dictionary(marked, room, 32, 6), dictionary(plain, ordinary_bytes, 16, 8)
@@ -178,22 +178,21 @@ def _scorer(model: Model | None, schema: pa.Schema):
     return run
 
 
-def _row_scorer(model: Model | None, name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
-        for b in small_batches(batches, "text", 4 << 20):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            score = model.score(texts, cache) if model else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, name])
-
-    return run
-
-
 def with_score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
-    """Every row of ``docs`` as it is, with ``name``, which is ``score_toxicity``'s of that row's text."""
-    from pyspark.sql.types import DoubleType, StructType
+    """Every row of ``docs`` as it is, with ``name``, which is ``score_toxicity``'s
+    of that row's text.  Texts alone go to Python, and scores alone come back."""
 
-    return docs.mapInArrow(_row_scorer(model, name), StructType([*docs.schema.fields]).add(name, DoubleType()))
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cache: dict[str, int] = {}
+        release_memory()
+        for texts in batches:
+            step = max(1, int(len(texts) * (4 << 20) / max(texts.nbytes, 1)))
+            parts = (texts.slice(at, step).to_pylist() for at in range(0, len(texts), step))
+            got = [model.score(part, cache) if model else np.zeros(len(part)) for part in parts]
+            yield pa.array(np.concatenate(got) if got else np.zeros(0))
+
+    return docs.withColumn(name, scores(text_of()))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
