@@ -19,6 +19,8 @@ from ferrule.llm.words import shingles, word_hashes
 
 SETS = "doc_id long, n long, sig string, shared array<long>"
 LINKS = "a long, b long"
+#: Bytes of text in a batch.
+BATCH = 6 << 20
 COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
 
@@ -54,7 +56,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_shingles(rows: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that ``least`` documents of one batch have, sorted, with how
     often those batches have them: at most ``most``, the most frequent first."""
-    counts = from_docs(rows, _common(width, least)).mapInArrow(_pairs, "h long, n long")
+    counts = from_docs(rows, _common(width, least), BATCH).mapInArrow(_pairs, "h long, n long")
     top = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).collect()
     h, n = np.array([r.h for r in top], np.int64).astype(np.uint64), np.array([r.n for r in top], np.uint32)
     order = np.argsort(h)
@@ -158,7 +160,7 @@ def shingle_sets(docs: DataFrame, width: int = 5, percent: int = 80, least: int
 
     slots = parallelism(docs) * SPREAD
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    asked = from_docs(rows, _requests(width, slots, *common_shingles(rows, width, least, most)))
+    asked = from_docs(rows, _requests(width, slots, *common_shingles(rows, width, least, most)), BATCH)
     answered = exchange(asked, _frequencies)
     return deal(answered).mapInArrow(_sets(percent, to_arrow_schema(StructType.fromDDL(SETS))), SETS)
 

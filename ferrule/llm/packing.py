@@ -67,7 +67,7 @@ def packer(path: str, most: int, window: int, linear: float, quadratic: float, s
             ids, docs, held, base = [], [], 0, base + len(caps)
             return out
 
-        for b in small_batches(batches, "text", 8 << 20, keep=one):
+        for b in small_batches(batches, "text", 4 << 20, keep=one):
             if not b.num_rows:
                 continue
             base = (b.column("scan")[0].as_py() << 32) if base is None else base

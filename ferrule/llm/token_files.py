@@ -32,7 +32,7 @@ def _writer(folder: str, path: str, dtype: str, end_id: int | None, schema: pa.S
         one, files, sink = encoder(path), None, None
         offsets, ids = [np.zeros(1, "<u8")], []
         total = 0
-        for b in small_batches(batches, "text", 8 << 20, keep=one):
+        for b in small_batches(batches, "text", 4 << 20, keep=one):
             if sink is None:
                 # a name of its own for each attempt: a task that is run twice never writes into the other's file
                 files, where = _open(folder)

@@ -24,7 +24,7 @@ LONGEST = 64
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
