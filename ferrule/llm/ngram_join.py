@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import as_batch, parallelism, saved, text_of
 from ferrule.llm.components import connected_components
-from ferrule.llm.routing import SPREAD, deal, exchange, from_docs, groups, pack, unpack
+from ferrule.llm.routing import SPREAD, deal, exchange, from_docs, groups, pack
 from ferrule.llm.words import shingles, word_hashes
 
 SETS = "doc_id long, n long, sig string, shared array<long>"
 LINKS = "a long, b long"
 #: Bytes of text in a batch.
 BATCH = 6 << 20
-COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
 
 def _need(n: int, percent: int) -> int:
@@ -41,22 +40,18 @@ def _named(low: np.ndarray, slot: np.ndarray | int) -> np.ndarray:
 def _common(width: int, least: int):
     def run(batch: int, ids: list, texts: list) -> Iterable[tuple[int, int, bytes]]:
         h, n = np.unique(np.concatenate(list(shingles(*word_hashes(texts), width))), return_counts=True)
-        yield 0, batch, pack(h=h[n >= least], n=n[n >= least])
+        often = n >= least
+        for x, c in zip(h[often].astype(np.int64).tolist(), n[often].tolist(), strict=True):
+            yield x, c, b""
 
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for body in b.column("body").to_pylist():
-            x = unpack(body)
-            yield as_batch(COUNTS, [x["h"].astype(np.int64), x["n"]])
-
-
 def common_shingles(rows: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that ``least`` documents of one batch have, sorted, with how
     often those batches have them: at most ``most``, the most frequent first."""
-    counts = from_docs(rows, _common(width, least), BATCH).mapInArrow(_pairs, "h long, n long")
+    # rows of a shingle and a count; a second Python step here would keep a second worker for each task
+    counts = from_docs(rows, _common(width, least), BATCH).select(F.col("slot").alias("h"), F.col("batch").alias("n"))
     top = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).collect()
     h, n = np.array([r.h for r in top], np.int64).astype(np.uint64), np.array([r.n for r in top], np.uint32)
     order = np.argsort(h)
