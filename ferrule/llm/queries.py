@@ -43,8 +43,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferrule.llm.segments import sample_segmentations
 
-    rows = sample_segmentations(_table(spark, sf_dir, "documents"), k=2, seed=0)
-    return rows.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion_log")
+    rows = sample_segmentations(_table(spark, sf_dir, "documents"), k=2, seed=0, decoded=True)
+    return rows.select("doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion_log", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 from math import exp, expm1, log
 
 import numpy as np
@@ -29,6 +29,8 @@ SCHEMA = "doc_id long, sample int, ids binary, n_pieces long, log_prob double, p
 #: Parts that leave a completion behind this many nats have less than 1e-17 of the mass of those before, less than a random number resolves.
 BEYOND = 40.0
 NONE = float("-inf")
+#: How pieces write a blank.
+BLANK = "▁"
 Sample = tuple[bytes, int, float, float, float]
 
 
@@ -432,13 +434,57 @@ def sampler(path: str) -> Sampler:
     return Sampler(path)
 
 
+class Decoder:
+    """The texts of piece ids: the bytes of all pieces stand end to end and are gathered by id."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+
+        def raw(i: int) -> bytes:
+            if sp.is_control(i) or sp.is_unused(i):
+                return b""
+            if sp.is_byte(i):
+                return bytes([int(sp.id_to_piece(i)[3:5], 16)])
+            return (sp.decode([i]) if sp.is_unknown(i) else sp.id_to_piece(i).replace(BLANK, " ")).encode()
+
+        pieces = [raw(i) for i in range(sp.get_piece_size())]
+        self.length = np.array([len(x) for x in pieces], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.marked = np.array([sp.id_to_piece(i).startswith(BLANK) for i in range(len(pieces))])
+        blank = sp.piece_to_id(BLANK)
+        #: whether the model takes one blank off a first piece that begins with it, or all of them
+        self.one, self.all = (not sp.decode([blank] * n) for n in (1, 2))
+
+    def decode(self, samples: list[bytes]) -> list[str]:
+        """Bytes that are not UTF-8 become U+FFFD."""
+        ids = np.frombuffer(b"".join(samples), "<u4")
+        cut = (ids[at : at + (1 << 16)] for at in range(0, len(ids), 1 << 16))
+        whole = b"".join(self.flat[_spans(self.start[x], self.length[x])].tobytes() for x in cut)
+        upto = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.length[ids], out=upto[1:])
+        ends = [0, *upto[np.cumsum([len(x) // 4 for x in samples], dtype=np.int64)].tolist()]
+        # the first piece of each text that has any bytes
+        first = np.searchsorted(upto, ends[:-1], "right") - 1
+        marked = [k < len(ids) and bool(self.marked[ids[k]]) for k in first.tolist()]
+        texts = [whole[a:b].decode("utf-8", "replace") for a, b in pairwise(ends)]
+        return [t if not m else t.lstrip(" ") if self.all else t.removeprefix(" ") if self.one else t for t, m in zip(texts, marked, strict=True)]
+
+
+@lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 0, model: str | None = None) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 0, model: str | None = None, decoded: bool = False) -> DataFrame:
     """``k`` distinct segmentations of every text of ``docs`` (doc_id, text),
     sampled without replacement in proportion to their probability.
 
@@ -447,7 +493,9 @@ def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 0, model: str
     the log of the chance to be among the sample given its threshold (0 where
     all segmentations are returned).  The random numbers depend on ``seed`` and
     doc_id alone, so the same row gives the same samples anywhere.  Pieces are
-    drawn by chances in units of 2**-36.
+    drawn by chances in units of 2**-36.  With ``decoded`` each sample also has
+    text, what its ids stand for; it is made in the same step, so that a task
+    keeps one Python worker.
 
     A text without pieces (null, empty) gives one empty segmentation; texts with
     fewer than ``k`` segmentations give all of them.  Rows of a null doc_id
@@ -456,7 +504,8 @@ def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 0, model: str
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema, path = to_arrow_schema(StructType.fromDDL(SCHEMA)), model or default_path()
+    columns, path = SCHEMA + ", text string" * decoded, model or default_path()
+    schema = to_arrow_schema(StructType.fromDDL(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = sampler(path)
@@ -465,20 +514,24 @@ def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 0, model: str
             got = one.sample(b.column("text").to_pylist(), k, [f"{seed}:{doc}".encode() for doc in ids])
             rows = [(doc, n, *x) for doc, samples in zip(ids, got, strict=True) for n, x in enumerate(samples, 1)]
             if rows:
-                yield as_batch(schema, zip(*rows, strict=True))
+                made = list(zip(*rows, strict=True))
+                yield as_batch(schema, made + ([decoder(path).decode(made[2])] if decoded else []))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, columns)
 
 
 def decode_segmentations(samples: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, sample and the text that the ids of each sample stand for."""
+    """doc_id, sample and the text that the ids of each sample stand for.
+
+    No ids give an empty text; null ids and null doc_ids stay null."""
     path = model or default_path()
     schema = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = sampler(path).sp
+        one = decoder(path)
         for b in small_batches(batches, "ids", 1 << 20):
-            texts = sp.decode([np.frombuffer(x, "<u4").tolist() for x in b.column("ids").to_pylist()])
-            yield as_batch(schema, [b.column("doc_id"), b.column("sample"), texts])
+            ids = b.column("ids").to_pylist()
+            texts = one.decode([x or b"" for x in ids])
+            yield as_batch(schema, [b.column("doc_id"), b.column("sample"), [None if x is None else t for x, t in zip(ids, texts, strict=True)]])
 
     return samples.select("doc_id", "sample", "ids").mapInArrow(run, "doc_id long, sample int, text string")

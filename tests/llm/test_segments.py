@@ -4,7 +4,7 @@ from math import exp, log
 import numpy as np
 import pytest
 
-from ferrule.llm.segments import Sampler, decode_segmentations, default_path, sample_segmentations
+from ferrule.llm.segments import Decoder, Sampler, decode_segmentations, default_path, sample_segmentations
 
 
 def every(s, text):
@@ -82,7 +82,25 @@ def test_round_trip_and_seeds(docs_of, odd, sample):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     for r in decode_segmentations(rows).collect():
         assert r.text == s.sp.decode(s.sp.encode(texts[r.doc_id]))
+    for r in sample_segmentations(docs, 2, 7, decoded=True).collect():
+        assert r.ids == got[r.doc_id, r.sample].ids and r.text == s.sp.decode(s.sp.encode(texts[r.doc_id]))
     for i in texts:
         assert len({bytes(x.ids) for k, x in got.items() if k[0] == i}) == sum(k[0] == i for k in got) >= 1
     assert all(len(np.frombuffer(bytes(r.ids), "<u4")) == r.n_pieces for r in got.values())
     assert sample_segmentations(docs_of([])).count() == 0
+
+
+def test_decoding_is_the_library_s():
+    s, d = Sampler(default_path()), Decoder(default_path())
+    texts = ["", " ", "  a", "a  b ", "\n\n x", "\u4e00\u0002 no", "\U0001f9ff", "\u2581\u2581x", "a\u0000b", "word " * 40_000]
+    ids = [s.sp.encode(t) for t in texts]
+    assert d.decode([np.array(x, "<u4").tobytes() for x in ids]) == s.sp.decode(ids)
+    blank, word = s.sp.piece_to_id("\u2581"), s.sp.encode("word")
+    odd = [[], [0], [1, 2], [blank], [blank] * 3, word[:1], [0, *word, 2], [*word, 0, *word], [1, *word]]
+    assert d.decode([np.array(x, "<u4").tobytes() for x in odd]) == [s.sp.decode(x) for x in odd]
+    assert d.decode([]) == []
+
+
+def test_null_ids_are_decoded_to_null(spark):
+    rows = spark.createDataFrame([(1, 1, None), (None, 1, b"")], "doc_id long, sample int, ids binary")
+    assert {(r.doc_id, r.text) for r in decode_segmentations(rows).collect()} == {(1, None), (None, "")}
