@@ -98,3 +98,15 @@ def test_clashing_names_stay(docs_of):
     docs = docs_of(["a@b.cd"]).select("*", F.lit(1).alias("_text"), F.lit(2).alias("_email"), F.lit(3).alias("at"))
     row = find_pii(docs).first()
     assert (row._text, row._email, row["at"], len(row.pii)) == (1, 2, 3, 1) and redact(docs).columns == docs.columns
+
+
+def test_an_address_of_very_many_labels(docs_of):
+    """A repeated group must not use the stack: 100,000 labels, in every pattern that repeats a group."""
+    long = ["a@b" + ".b" * 100_000, "a@b" + ".b-" * 50_000 + "..", "1.2.3" + ".4" * 4_000, "+1" + "(2)" * 20_000, "DE89" + " AAAA" * 20_000, "4" + "-4" * 4_000, "123-45-6789" + "-1" * 4_000]
+    docs = docs_of(long)
+    began = time.time()
+    got = {r.doc_id: r.base_sha256 for r in digest(find_pii(docs)).collect()}
+    clean = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert time.time() - began < 60
+    assert got == {i: hashlib.sha256(",".join(brute(t)).encode()).hexdigest() for i, t in enumerate(long)}
+    assert clean[0] == "<email>" and clean[1] == "<email>.."
