@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables that each operator at work has saved, the innermost operator last.
+SCRATCH: list[list[str]] = []
+
 #: Spark then drops the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -41,6 +45,8 @@ def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    if SCRATCH:
+        SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -56,6 +62,33 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy_at(f: Callable[..., DataFrame]) -> Callable[..., tuple[DataFrame, str]]:
+    """``f`` with its result as a table, and that table's folder; all else that was saved on the way is removed."""
+
+    @wraps(f)
+    def call(*args, **options) -> tuple[DataFrame, str]:
+        spark = next(x if isinstance(x, SparkSession) else x.sparkSession for x in (*args, *options.values()) if isinstance(x, SparkSession | DataFrame))
+        SCRATCH.append([])
+        path = None
+        try:
+            table, path = saved_at(f(*args, **options))
+        finally:
+            for p in SCRATCH.pop():
+                if p != path:
+                    discard(spark, p)
+        if SCRATCH:
+            SCRATCH[-1].append(path)
+        return table, path
+
+    return call
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``tidy_at`` without the folder."""
+    at = tidy_at(f)
+    return wraps(f)(lambda *args, **options: at(*args, **options)[0])
+
+
 def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import as_batch, release_memory, saved, small_batches
+from ferrule.llm.common import as_batch, release_memory, saved, small_batches, tidy
 
 SCALE, PRIOR = 1_000_000_000, 5
 #: Letters A-Z become a-z, bytes of other ASCII a blank; what is not ASCII stays.
@@ -161,6 +161,7 @@ def _pair_sums(shares: DataFrame, sources: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "one", "other").agg(F.sum("extra").alias("extra"))
 
 
+@tidy
 def audit_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     """(lang, source, part, item, value, rank) of every group (lang, source) of ``docs``.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import as_batch, saved, small_batches
+from ferrule.llm.common import as_batch, saved, small_batches, tidy
 
 FILTERS = "ABCDE"
 #: Fixed values of the filters: words, distinct words and capitals a hundred, and marks.
@@ -33,7 +33,7 @@ def fails(text: bytes) -> int:
     words = text.split()
     n = len(words)
     # a code point is what is not an inner byte
-    points = len(text) - (len(text) - len(text.translate(None, _INNER)))
+    points = len(text.translate(None, _INNER))
     capitals = len(text) - len(text.translate(None, _UPPER))
     return (n < LEAST_WORDS) | (100 * len(set(words)) < DISTINCT * n) << 1 | (100 * capitals > CAPITALS * points) << 2 | any(c in text for c in MARKS) << 3
 
@@ -117,6 +117,7 @@ def orders(alive: list[int], good: list[int], toxic: list[int]) -> Iterator[tupl
 AUDIT = pa.schema([("part", pa.string()), ("filter_order", pa.string()), ("step", pa.int32())] + [(c, pa.int64()) for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")])
 
 
+@tidy
 def audit_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, filter_order, step, kept, removed, redundant, unique_fails,
     good_lost, toxic_lost, shapley): for each part (lang) of ``docs`` and each

@@ -288,20 +288,34 @@ def fingerprint_documents(docs: DataFrame, rank: np.ndarray | None = None) -> Da
     cut = rows.select("key").agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
     bounds = np.unique(np.array(cut, np.int64))
 
-    @pandas_udf("long")
+    def number(key: np.ndarray) -> np.ndarray:
+        return len(bounds) - np.searchsorted(bounds, key, "left")
+
+    @pandas_udf("int")
     def part_of(key):
         import pandas as pd
 
-        return pd.Series(len(bounds) - np.searchsorted(bounds, key.to_numpy(), "left"))
+        return pd.Series(number(key.to_numpy()).astype(np.int32))
 
-    placed = rows.withColumn("part", part_of("key"))
+    # a number for each part that has rows: the largest key of each
     heads = {r.part: r.key for r in rows.select("key").withColumn("part", part_of("key")).groupBy("part").agg(F.max("key").alias("key")).collect()}
     if not heads:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     order = sorted(heads)
-    before = F.create_map(*[F.lit(x) for p, q in zip(order, [order[-1], *order[:-1]], strict=True) for x in (heads[p], q)])
+    first = np.array([heads[p] for p in order], np.int64)
+    before = np.array([order[-1], *order[:-1]], np.int32)
+
+    @pandas_udf("int")
+    def follows(key):
+        """The part that a head row comes behind, -1 for other rows."""
+        import pandas as pd
+
+        k = key.to_numpy()
+        at = np.minimum(np.searchsorted(order, number(k)), len(order) - 1)
+        return pd.Series(np.where(first[at] == k, before[at], -1).astype(np.int32))
+
     # rows at the head of a part go to the part before it as well, behind its own rows
-    own = placed.withColumn("halo", F.lit(False))
-    halo = placed.where(F.col("key").isin(*heads.values())).withColumn("part", before[F.col("key")]).withColumn("halo", F.lit(True))
-    dealt = own.unionByName(halo).repartition(parallelism(docs), "part").sortWithinPartitions("part", "halo", F.desc("key"), "text")
+    own = rows.withColumns({"part": part_of("key"), "halo": F.lit(False)})
+    halo = rows.withColumns({"part": follows("key"), "halo": F.lit(True)}).where("part >= 0")
+    dealt = own.unionByName(halo).repartitionById(parts, "part").sortWithinPartitions("part", "halo", F.desc("key"), "text")
     return dealt.select("part", "halo", "doc_id", "text").mapInArrow(_pairs(rank, to_arrow_schema(StructType.fromDDL(SCHEMA))), SCHEMA)

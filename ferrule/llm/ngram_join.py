@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import as_batch, parallelism, saved, text_of
+from ferrule.llm.common import as_batch, parallelism, saved, text_of, tidy
 from ferrule.llm.components import connected_components
 from ferrule.llm.routing import SPREAD, deal, exchange, from_docs, groups, pack
 from ferrule.llm.words import shingles, word_hashes
@@ -312,6 +312,7 @@ def _components(members: DataFrame, sets: DataFrame, percent: int, block_shingle
     return connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
 
 
+@tidy
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_shingles: int = 250_000, pilots: int = 8, least: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links).
 

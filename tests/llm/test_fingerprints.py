@@ -70,3 +70,43 @@ def test_short_texts_stay_near_when_half_is_kept(spark, sample):
     assert (near == 0).mean() < 0.02 and np.quantile(far, 0.95) < 0.1
     alone = [fingerprints([t], rank)[0] for t in cut[::40]]
     assert all((a == b).all() for a, b in zip(alone, own[::40], strict=True))
+
+
+def plain_fingerprint(data, rank):
+    """Selection and filters with sets and loops: the windows that are the rarest of enough runs of windows."""
+    import ferrule.llm.fingerprints as f
+
+    n = len(data) - WIDTH + 1
+    features = []
+    if n > 0:
+        step = [round(-sum(c / WIDTH * math.log2(c / WIDTH) for c in Counter(data[i : i + WIDTH]).values()) * STEPS / 6) for i in range(n)]
+        size = next((r for r in f.RIVALS if n >= f.SHARE * r), f.RIVALS[-1])
+        # runs go on beyond the text's end, where windows are worse than all
+        wins = Counter(min(range(i, min(i + size, n)), key=lambda j: (rank[step[j]], j)) for i in range(n))
+        features = [data[i : i + WIDTH] for i in sorted(wins) if wins[i] >= size // 4]
+    return features
+
+
+def test_selection_by_brute_force():
+    """Features are the same set whichever way they are found; equal features set equal bits, and bits overlap as sets do."""
+    from ferrule.llm.fingerprints import BITS, FILL, HASHES, _chunks, _select
+
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.choice(np.frombuffer(b"abcdefgh ijklm\n", np.uint8), n)) for n in (40, 95, 130, 200, 300, 700, 2500)]
+    texts += [texts[-1][:1500] + texts[-2]]
+    rank = ranks(histogram(texts))
+    near_half = 0
+    for t in texts:
+        (data, starts), = _chunks([t])
+        at = _select(data, starts, rank)
+        got, want = [t[i : i + WIDTH] for i in at], plain_fingerprint(t, rank)
+        # entropies on the edge between two steps may be told apart either way
+        assert len(set(got) ^ set(want)) <= max(2, len(want) // 50)
+        if len(t) >= 128:
+            f = fingerprints([t], rank)[0]
+            assert f.shape == (-(-len(at) // FILL), BITS // 8)
+            assert np.bitwise_count(f).sum() <= HASHES * len(at) and np.bitwise_count(f).sum() > 0.8 * HASHES * min(len(at), FILL * len(f)) * 0.85
+    a, b = fingerprints(texts[-2:], rank)
+    common = set(plain_fingerprint(texts[-2], rank)) & set(plain_fingerprint(texts[-1], rank))
+    share = len(common) / len(set(plain_fingerprint(texts[-1], rank)))
+    assert 0.3 < share < 0.9 and abs(likeness(a, b) - share) < 0.35

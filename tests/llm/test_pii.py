@@ -110,3 +110,52 @@ def test_an_address_of_very_many_labels(docs_of):
     assert time.time() - began < 60
     assert got == {i: hashlib.sha256(",".join(brute(t)).encode()).hexdigest() for i, t in enumerate(long)}
     assert clean[0] == "<email>" and clean[1] == "<email>.."
+
+
+def test_further_kinds_by_brute_force(docs_of):
+    """Account and insurance numbers, said anew: groups, checksum, shorter forms, context, score."""
+    import random
+
+    def made(country, digits, spaced):
+        rest = int("".join(str(int(c, 36)) for c in digits + country + "00")) % 97
+        s = f"{country}{98 - rest:02}{digits}"
+        return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if spaced else s
+
+    def passes(s):
+        s = s.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+    rng, texts = random.Random(6), []
+    for k in range(150):
+        digits = "".join(rng.choices("0123456789", k=rng.choice([11, 14, 18, 20])))
+        account = made(rng.choice(["DE", "GB", "AT"]), digits, k % 2)
+        if k % 5 == 0:
+            account = account[:-1] + str((int(account[-1]) + 1) % 10)
+        number = f"{rng.choice(['123', '000', '666', '987', '219'])}-{rng.choice(['45', '00'])}-{rng.choice(['6789', '0000', '1234'])}"
+        words = [rng.choice(["bank", "iban:", "see", "Account", "pay", "x" * 40]), account, rng.choice(["EUR", "ok", "AND MORE", "1", "x" * 40]), rng.choice(["social", "security", "SSN", "no", "y" * 40]), number, rng.choice(["end", "1-2", "ssn"])]
+        texts.append(" ".join(words))
+
+    def brute_more(text):
+        out = []
+        for kind, pattern, sure, near in (("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.9, "iban|account|bank|transfer"), ("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.4, "ssn|social|security")):
+            matches = list(re.finditer(pattern, text))
+            for k, m in enumerate(matches):
+                before = text[matches[k - 1].end() if k else 0 : m.start()][-32:]
+                after = text[m.end() : matches[k + 1].start() if k + 1 < len(matches) else len(text)][:32]
+                score = sure + (0.3 if re.search(near, before, re.I) else 0.15 if re.search(near, after, re.I) else 0.0)
+                found = m[0]
+                if kind == "iban":
+                    forms = [m[0]]
+                    for j in (1, 2):
+                        cut = re.sub("(?: [A-Z0-9]{1,4}){%d}$" % j, "", m[0])
+                        forms.append(cut)
+                    found = next((f for f in forms if len(f) >= 15 and passes(f)), None)
+                if found and score >= 0.6:
+                    out.append((kind, m.start(), m.start() + len(found), round(min(score, 1.0), 6)))
+        return out
+
+    got = {r.doc_id: [(s.kind, s.start, s.end, round(s.score, 6)) for s in r.pii if s.kind in ("iban", "ssn")] for r in find_pii(docs_of(texts)).collect()}
+    want = {i: brute_more(t) for i, t in enumerate(texts)}
+    assert got == want
+    kinds = [s[0] for x in want.values() for s in x]
+    assert kinds.count("iban") > 50 and kinds.count("ssn") > 10

@@ -40,6 +40,43 @@ def test_assign_fills_every_sequence():
                 assert at == size[k]
 
 
+def plainly(lengths, caps, linear, quadratic):
+    """The rule as it is said: dearest first, to the cheapest sequence with room for all of it; cut only where none has."""
+    room, cost, out = list(caps), [0.0] * len(caps), []
+    price = lambda n: linear * n + quadratic * float(n) * n
+    for d in sorted(range(len(lengths)), key=lambda d: -price(lengths[d])):
+        start, left = 0, lengths[d]
+        while left:
+            whole = [s for s in range(len(caps)) if room[s] >= left]
+            s = min(whole or [s for s in range(len(caps)) if room[s] == max(room)], key=lambda s: (cost[s], s))
+            n = min(left, room[s])
+            out.append((d, start, n, s, caps[s] - room[s], price(n)))
+            room[s], cost[s], start, left = room[s] - n, cost[s] + price(n), start + n, left - n
+    return out, cost
+
+
+@pytest.mark.parametrize(("linear", "quadratic"), [(1.0, 1 / 2048), (0.0, 1.0), (1.0, 0.0)])
+def test_assign_follows_the_cost_rule(linear, quadratic):
+    rng = np.random.default_rng(5)
+    spread = []
+    for k in range(30):
+        lengths = rng.integers(1, 900 if k % 2 else 60, rng.integers(1, 80))
+        caps = capacities(int(lengths.sum()), 256).tolist()
+        want, cost = plainly(lengths.tolist(), caps, linear, quadratic)
+        got = list(zip(*(x.tolist() for x in assign(lengths, 256, linear, quadratic)), strict=True))
+        assert got == want
+        full = [c for c, cap in zip(cost, caps, strict=True) if cap == 256]
+        # next to sequences filled in the order of the documents
+        ends, pieces = np.cumsum(lengths), np.zeros(len(caps))
+        for s in range(len(full)):
+            inside = np.diff(np.clip(np.concatenate(([0], ends)), 256 * s, 256 * (s + 1)))
+            pieces[s] = (linear * inside + quadratic * inside.astype(float) ** 2).sum()
+        if k % 2 == 0 and len(full) > 2:
+            spread.append((np.std(full), np.std(pieces[: len(full)])))
+    if quadratic:
+        assert np.mean([a for a, _ in spread]) < np.mean([b for _, b in spread])
+
+
 @pytest.mark.parametrize("window", [500, 2_000_000])
 def test_packing_keeps_every_id(docs_of, odd, sample, window):
     docs = docs_of(odd + TEXTS, range(-1, -100, -1)).unionByName(sample).repartition(3)
