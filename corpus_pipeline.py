@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import fresh, saved, text_of
+from ferrule.llm.common import discard, fresh, text_of, tidy_at
 from ferrule.llm.exact_dedup import exact_groups, normalised
 from ferrule.llm.ngram_join import near_duplicates
 from ferrule.llm.packing import pack_documents
@@ -70,8 +70,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's rows go when the next one's are written; the last one's stay, as the pieces are read from them."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs, path = tidy_at(stage)(spark, docs, sf_dir)
+        if old:
+            discard(spark, old)
+        old = path
     return STAGES[-1][1](spark, docs, sf_dir)
