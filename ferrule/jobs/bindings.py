@@ -206,9 +206,9 @@ def classify_message(spark, d):
     return _table(spark, d, "documents").select("doc_id", paths.classify_message(F.col("text"), F.lit(False), CATEGORIES).alias("classification"))
 
 
-@_query("WITH " + CH + " SELECT project, commit_id, array_to_string(list_slice(list_sort(list(DISTINCT path)), 1, 3), ';') AS files FROM ch GROUP BY ALL")
+@_query("WITH " + CH + " SELECT project, commit_id, array_to_string(list_slice(list_sort(list(DISTINCT path)), 1, 50), ';') AS files FROM ch GROUP BY ALL")
 def changed_files(spark, d):
-    return changes.changed_files(_changes(spark, d), limit=3)
+    return changes.changed_files(_changes(spark, d))
 
 
 @_query("WITH " + CH + " SELECT c.project, c.commit_id, coalesce(array_to_string(list_slice(list_sort(list(DISTINCT path) FILTER (path IS NOT NULL)), 1, 50), ';'), '') AS files FROM c LEFT JOIN ch ON ch.project = c.project AND ch.commit_id = c.commit_id GROUP BY ALL")
@@ -309,6 +309,13 @@ def fix_summary(spark, d):
     return szz.fix_summary(_links(spark, d), _fix_lines(spark, d).where("is_fix")).select("fix", "fix_file_num", "deleted_lines", F.array_join("fixes", ",").alias("fixes"))
 
 
+@_query("WITH " + L + ", f AS (SELECT commit_id, l_partkey AS p, l_partkey || ':' || array_to_string(list(l_linenumber ORDER BY l_linenumber), ',') AS f FROM li WHERE kind = 'R' GROUP BY ALL) SELECT commit_id AS fix, array_to_string(list(f ORDER BY p), ' ') AS bug_fix_files FROM f GROUP BY ALL")
+def bug_fix_files(spark, d):
+    rows = szz.fix_summary(_links(spark, d), _fix_lines(spark, d).where("is_fix"))
+    text = F.transform(F.map_entries("bug_fix_files"), lambda e: F.concat_ws(":", e["key"].cast("string"), F.array_join(F.transform(e["value"], lambda v: v.cast("string")), ",")))
+    return rows.select("fix", F.array_join(text, " ").alias("bug_fix_files"))
+
+
 @_query("WITH " + L + " SELECT round(quantile_cont(g / 86400.0, 0.25), 6) AS q1, round(quantile_cont(g / 86400.0, 0.5), 6) AS median, round(quantile_cont(g / 86400.0, 0.75), 6) AS q3, round(avg(g / 86400.0), 6) AS mean FROM (SELECT min(ft - ot) AS g FROM lk GROUP BY origin)")
 def interval_quantiles(spark, d):
     return _rounded(szz.interval_quantiles(szz.bug_summary(_links(spark, d))).drop("project"))
@@ -460,6 +467,14 @@ def permutation_importance(spark, d):
     return stats.permutation_importance(rows.where("commit_id % 3 = 0"), weights, ["project"], "commit_id", ["la", "ld", "nf"], "label", "effort")
 
 
+@_query()
+def repeated_importance(spark, d):
+    rows = _changes(spark, d).groupBy("project", "commit_id").agg(F.sum("added").alias("la"), F.sum("deleted").alias("ld"), F.count("*").alias("nf"))
+    rows = rows.withColumns({"label": (F.col("nf") * 7 + F.col("ld") > F.expr("20 + commit_id % 40")).cast("int"), "effort": (F.col("la") + F.col("ld")).cast("double")})
+    scores = stats.repeated_importance(rows, ["project"], "commit_id", ["la", "ld", "nf"], "label", "effort", runs=3, folds=4)
+    return stats.importance_summary(scores, ["project"])
+
+
 # -- lines, reports and lineages ------------------------------------------------
 
 

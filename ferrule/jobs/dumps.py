@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.jobs.bindings import CH, C, _changes, _commits, _query, _table
-from ferrule.operators import changes
+from ferrule.jobs.bindings import CH, C, _changes, _commits, _query, _rounded, _table
+from ferrule.operators import changes, graph, warnings
+from ferrule.operators.history import history
 from ferrule.operators.shared import shared_folder
 from ferrule.sources import logs
 
@@ -56,7 +57,40 @@ r AS (SELECT commit_id, commit_id AS ancestor FROM p WHERE commit_id % 50 = 0 UN
 SELECT commit_id, ancestor FROM r WHERE ancestor <> commit_id""")
 def ancestors(spark, d):
     rows = _parents(spark, d).withColumns({"project": F.lit("all"), "parents": F.array_compact(F.array("one", "two"))})
-    return changes.ancestors(changes.commit_edges(rows), rows.where("commit_id % 50 = 0")).select("commit_id", "ancestor")
+    return graph.ancestors(changes.commit_edges(rows), rows.where("commit_id % 50 = 0")).select("commit_id", "ancestor")
+
+
+# files by their brand, touched by one of seven authors; each customer's orders are a graph of their own
+PAST = P + """, e AS (SELECT commit_id, one AS parent, true AS first FROM p WHERE one IS NOT NULL UNION ALL SELECT commit_id, two, false FROM p WHERE two IS NOT NULL AND commit_id % 3 = 0),
+f AS (SELECT l_orderkey AS commit_id, p_brand AS file, CAST(sum(CAST(l_quantity AS BIGINT)) - sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS net FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+t AS (SELECT f.*, commit_id % 7 AS author, time_stamp FROM f JOIN c USING (commit_id)),
+tree AS (SELECT commit_id, parent FROM e WHERE first UNION SELECT tree.commit_id, e.parent FROM tree JOIN e ON e.commit_id = tree.parent AND e.first),
+r AS (SELECT commit_id, parent FROM e WHERE FOLLOWED UNION SELECT r.commit_id, e.parent FROM r JOIN e ON e.commit_id = r.parent AND FOLLOWED),
+d AS (SELECT x.commit_id, count(DISTINCT y.author) AS ndev, count(DISTINCT (y.author, y.time_stamp)) AS uses FROM t x JOIN r USING (commit_id) JOIN t y ON y.commit_id = r.parent AND y.file = x.file GROUP BY ALL),
+a AS (SELECT x.commit_id, x.file, any_value(x.time_stamp) AS now, max(y.time_stamp) AS last FROM t x JOIN r USING (commit_id) JOIN t y ON y.commit_id = r.parent AND y.file = x.file GROUP BY ALL),
+b AS (SELECT commit_id, sum((now - last) / 86400.0) AS days FROM a GROUP BY ALL),
+l AS (SELECT x.commit_id, sum(y.net) AS lines FROM t x JOIN tree USING (commit_id) JOIN t y ON y.commit_id = tree.parent AND y.file = x.file GROUP BY ALL),
+n AS (SELECT commit_id, count(*) AS nf FROM t GROUP BY ALL)
+SELECT n.commit_id, coalesce(ndev, 0) AS ndev, round(coalesce(uses, 0) / nf, 6) AS nuc, round(coalesce(days, 0) / nf, 6) AS age, round(coalesce(lines, 0) / nf, 6) AS lt FROM n LEFT JOIN d USING (commit_id) LEFT JOIN b USING (commit_id) LEFT JOIN l USING (commit_id)"""
+
+
+def _past(spark: SparkSession, d: str, parents: str) -> DataFrame:
+    rows = _parents(spark, d).withColumns({"project": F.lit("all"), "parents": F.array_compact(F.array("one", "two"))})
+    part = _table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("lineage"))
+    touched = _table(spark, d, "lineitem").join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("commit_id"), "lineage").agg(F.sum(F.col("l_quantity").cast("long")).alias("added"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("deleted"))
+    touched = touched.join(rows.select("project", "commit_id", "time_stamp", "pos"), "commit_id").withColumn("author", F.col("commit_id") % 7)
+    out = history(touched, rows.select("project", "commit_id"), changes.commit_edges(rows), parents)
+    return _rounded(out).select("commit_id", "ndev", "nuc", "age", "lt")
+
+
+@_query("WITH RECURSIVE " + PAST.replace("FOLLOWED", "first"))
+def history_first_parent(spark, d):
+    return _past(spark, d, "first")
+
+
+@_query("WITH RECURSIVE " + PAST.replace("FOLLOWED", "true"))
+def history_all_parents(spark, d):
+    return _past(spark, d, "all")
 
 
 # -- change statistics ----------------------------------------------------------
@@ -83,10 +117,13 @@ def _numbers(spark: SparkSession, d: str) -> DataFrame:
     return logs.read_numstat(spark, _dump(_blocks(_stats(spark, d), _lines("commit: ", _hash("commit_id")), _numbers_line(), ["commit_id"]), F.col("value")))
 
 
-def _kinds(spark: SparkSession, d: str) -> DataFrame:
+def _kinds_line() -> Column:
     letter = F.when(F.col("added") % 4 == 0, "A").when(F.col("added") % 4 == 1, "M").when(F.col("added") % 4 == 2, "D").otherwise("T")
-    line = F.when(F.col("ren"), F.concat(F.lit("R100\t"), "path", F.lit("\t"), "other")).otherwise(F.concat(letter, F.lit("\t"), "path"))
-    return logs.read_namestat(spark, _dump(_blocks(_stats(spark, d), _lines("commit: ", _hash("commit_id")), line, ["commit_id"]), F.col("value")))
+    return F.when(F.col("ren"), F.concat(F.lit("R100\t"), "path", F.lit("\t"), "other")).otherwise(F.concat(letter, F.lit("\t"), "path"))
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    return logs.read_namestat(spark, _dump(_blocks(_stats(spark, d), _lines("commit: ", _hash("commit_id")), _kinds_line(), ["commit_id"]), F.col("value")))
 
 
 NUMBERS = f"{_h('commit_id')} AS commit_id, path AS modified_path, CASE WHEN ren THEN other END AS current_path, CASE WHEN bin THEN 0 ELSE added END AS added, CASE WHEN bin THEN 0 ELSE deleted END AS deleted"
@@ -115,6 +152,15 @@ def read_merge_stats(spark, d):
     return logs.read_merge_stats(spark, _dump(blocks, F.col("value"))).select("commit_id", "base_commit", "modified_path", "current_path", "added")
 
 
+@_query(f"WITH {ST} SELECT {_h('commit_id')} AS commit_id, {_h('commit_id + b')} AS base_commit, path AS modified_path, CASE WHEN ren THEN other END AS current_path, {KIND} FROM st, (SELECT unnest([1, 2]) AS b) WHERE commit_id % 2 = 0 AND b = 2 OR commit_id % 2 = 1 AND b = 1")
+def read_merge_kinds(spark, d):
+    # blocks of even commits against both parents; the last one counts
+    rows = _stats(spark, d).withColumn("b", F.explode(F.array(F.lit(1), F.lit(2)))).where("commit_id % 2 = 0 or b = 1")
+    blocks = _blocks(rows, _lines(_hash("commit_id"), " (from ", _hash(F.col("commit_id") + F.col("b")), ") merge"), _kinds_line(), ["commit_id", "b"])
+    folder = _dump(blocks.repartition("commit_id").sortWithinPartitions("commit_id", "b"), F.col("value"))
+    return logs.read_merge_kinds(spark, folder, all_parents=False).select("commit_id", "base_commit", "modified_path", "current_path", "change_type")
+
+
 @_query(f"""WITH {P}, {ST[len(C) + 2:]}, s AS (SELECT parent, string_agg({_h('child')}, ',' ORDER BY {_h('child')}) AS sons FROM (SELECT one AS parent, commit_id AS child FROM p UNION ALL SELECT two, commit_id FROM p WHERE commit_id % 3 = 0) WHERE parent IS NOT NULL GROUP BY parent)
 SELECT {_h('commit_id')} || ';' || coalesce({_h('one')}, '') || CASE WHEN commit_id % 3 = 0 AND two IS NOT NULL THEN ',' || {_h('two')} ELSE '' END || ';' || coalesce(sons, '') || ';all;' || author || '@x.org;' || time_stamp || ';of ' || project AS value FROM p LEFT JOIN s ON parent = commit_id
 UNION ALL SELECT CASE WHEN ren THEN other ELSE path END || ';' || {_h('commit_id')} || ';;' || CASE WHEN ren THEN 'R' WHEN added % 4 = 0 THEN 'A' WHEN added % 4 = 2 THEN 'D' ELSE 'M' END || ';' || CASE WHEN bin THEN 0 ELSE added END || ';' || CASE WHEN bin THEN 0 ELSE deleted END || ';' || CASE WHEN ren THEN path ELSE '' END FROM st""")
@@ -184,6 +230,24 @@ def read_violations(spark, d):
     return rows.select("path", F.col("line_no").cast("long").alias("line_no"), "priority", "rule")
 
 
+@_query("SELECT 'p & ' || l_partkey || '.java' AS path, CAST(l_suppkey AS INTEGER) AS line_no, CAST(1 + l_linenumber % 5 AS INTEGER) AS priority, 'Rule' || l_linestatus AS rule FROM lineitem WHERE l_linenumber <> 2")
+def read_violations_xml(spark, d):
+    line = F.when(F.col("l_linenumber") == 2, "").otherwise(F.col("l_suppkey").cast("string"))
+    item = _lines('<violation beginline="', line, '" endline="', F.col("l_suppkey") + 3, '" priority="', F.col("l_linenumber") % 5 + 1, '" rule="Rule', F.col("l_linestatus"), '">\nsays &lt;no&gt;\n</violation>')
+    files = _table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_join(F.sort_array(F.collect_list(item)), "\n").alias("body"))
+    folder = _dump(files, _lines('<file name="p &amp; ', F.col("l_partkey"), '.java">\n', F.col("body"), "\n</file>"))
+    return logs.read_violations_xml(spark, folder, "p", "c").select("path", "line_no", "priority", "rule")
+
+
+@_query("SELECT 'p & ' || l_partkey || '.java' AS path, count(*) FILTER (l_linenumber % 5 = 0) AS block, count(*) FILTER (l_linenumber % 5 = 1) AS critical, count(*) FILTER (l_linenumber % 5 > 1) AS major FROM lineitem WHERE l_linenumber <> 2 GROUP BY ALL")
+def warning_counts_xml(spark, d):
+    line = F.when(F.col("l_linenumber") == 2, "").otherwise(F.col("l_suppkey").cast("string"))
+    item = _lines('<violation beginline="', line, '" endline="1" priority="', F.col("l_linenumber") % 5 + 1, '" rule="r"/>')
+    files = _table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("body"))
+    folder = _dump(files, _lines('<file name="p &amp; ', F.col("l_partkey"), '.java">', F.col("body"), "</file>"))
+    return warnings.warning_counts(logs.read_violations_xml(spark, folder, "p", "c"), ["path"], at_least_major=True)
+
+
 @_query("WITH " + CH + ", s AS (SELECT project, commit_id, any_value(time_stamp) AS time_stamp, CAST(sum(added) AS BIGINT) AS la, avg(deleted) AS mean FROM ch GROUP BY project, commit_id) SELECT kind, project, commit_id, time_stamp, la, round(mean, 6) AS mean FROM s, (SELECT unnest(['csv', 'parquet']) AS kind)")
 def write_features(spark, d):
     rows = _changes(spark, d).groupBy("project", "commit_id").agg(F.first("time_stamp").alias("time_stamp"), F.sum("added").alias("la"), F.avg("deleted").alias("mean"))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.c_code import is_c_file, metrics
 from ferrule.functions.paths import directory_of, subsystem_of
-from ferrule.operators.running import running
-from ferrule.operators.shared import kept
+from ferrule.operators.graph import ancestors  # noqa: F401  (these two are among a commit's changes, too)
+from ferrule.operators.history import history  # noqa: F401
+from ferrule.operators.running import running, same_group
+from ferrule.operators.shared import Tables
 
 KEY = ["project", "commit_id"]
 
 
 def commit_edges(commits: DataFrame) -> DataFrame:
-    """(project, parent_id, child_id) of commits with ``parents`` arrays."""
-    return commits.select("project", F.explode("parents").alias("parent_id"), F.col("commit_id").alias("child_id"))
+    """(project, parent_id, child_id, parent_no) of commits with ``parents`` arrays; the first parent has number 0."""
+    return commits.select("project", F.posexplode("parents").alias("parent_no", "parent_id"), F.col("commit_id").alias("child_id")).select("project", "parent_id", "child_id", "parent_no")
 
 
 def roots(commits: DataFrame) -> DataFrame:
@@ -30,14 +32,13 @@ def dedupe_identical(commits: DataFrame) -> DataFrame:
     """Of commits with the same committer and second, the first in the log."""
     keys = ["project", "committer_email", "time_stamp"]
     first = commits.groupBy(*keys).agg(F.min("pos").alias("pos"))
-    return commits.join(first, [*keys, "pos"])
+    return same_group(commits, first, [*keys, "pos"], "left_semi")
 
 
 def file_changes(numstat: DataFrame, namestat: DataFrame) -> DataFrame:
     """Numbers and kinds of the changes matched by path; those without a kind are left out."""
     kinds = namestat.select("project", "commit_id", F.col("base_commit").alias("_base"), "modified_path", "change_type")
-    on = [numstat[c] == kinds[c] for c in ("project", "commit_id", "modified_path")] + [numstat["base_commit"].eqNullSafe(kinds["_base"])]
-    return numstat.join(kinds, on).select(numstat["*"], kinds["change_type"])
+    return same_group(numstat, kinds.withColumnRenamed("_base", "base_commit"), ["project", "commit_id", "base_commit", "modified_path"])
 
 
 def diffusion(changes: DataFrame) -> DataFrame:
@@ -63,78 +64,81 @@ def diffusion(changes: DataFrame) -> DataFrame:
 
 def experience(commits: DataFrame) -> DataFrame:
     """exp: the author's earlier commits, in order of time_stamp, then pos."""
-    out = running(commits, ["project", "author"], F.col("time_stamp"), [F.col("pos")], {})
+    out = running(commits, ["project", "author"], F.col("time_stamp"), [F.col("pos")], {}, spread=F.col("pos"))
     return out.select(*KEY, (F.col("rank") - 1).alias("exp"))
 
 
-def recent_experience(commits: DataFrame, block: int = 4096, year: float = 86400 * 365.0) -> DataFrame:
+def recent_experience(commits: DataFrame, block: int = 512, year: float = 86400 * 365.0) -> DataFrame:
     """rexp: sum over the author's earlier commits of 1 / (years since + 1).
 
-    An author's commits are cut into blocks of bounded size; each pair of blocks
-    is one array computation, so a busy author is spread over many tasks."""
-    placed = running(commits, ["project", "author"], F.col("time_stamp"), [F.col("pos")], {}).withColumn("b", ((F.col("rank") - 1) / block).cast("long"))
-    blocks = placed.groupBy("project", "author", "b").agg(F.array_sort(F.collect_list(F.struct("rank", "time_stamp", "commit_id"))).alias("rows"))
-    left, right = blocks, blocks.select("project", "author", F.col("b").alias("b2"), F.col("rows").alias("rows2"))
-    pairs = left.join(right, ["project", "author"]).where("b2 <= b")
-    kind = commits.schema["commit_id"].dataType.simpleString()
+    An author's commits are cut into blocks of ``block``.  Within a block sums are
+    exact.  For all that stands before it, 1 / (1 + x) is the sum of 96 exponentials
+    (the integral of exp(u - (1 + x) e^u) in steps of 0.4), off by less than 1e-9 of
+    itself for up to 1000 years; and a sum of exponentials is carried from block to block.
+    So a commit costs ``block`` and the terms, however many its author has, and
+    only a row for each block goes along an author's history.
+    A null project or author is one like any other."""
+    keys, kind = ["project", "author"], dict(commits.dtypes)
+    placed = running(commits, keys, F.col("time_stamp"), [F.col("pos")], {}, spread=F.col("pos")).withColumn("b", F.floor((F.col("rank") - 1) / block).cast("long"))
+    rows = placed.groupBy(*keys, "b").agg(F.array_sort(F.collect_list(F.struct("rank", "time_stamp", "commit_id"))).alias("r"))
+    types = ", ".join(f"{k} {kind[k]}" for k in keys)
+
+    def terms():
+        import numpy as np
+
+        u = np.arange(-86, 10) * 0.4
+        return np.exp(u) / year, 0.4 * np.exp(u - np.exp(u))
+
+    def of_block(frames):
+        import numpy as np
+
+        rate, _ = terms()
+        for f in frames:
+            sums = [np.exp(-(t[-1] - np.asarray(t, float))[:, None] * rate).sum(0).tolist() for t in f["t"]]
+            yield f[[*keys, "b"]].assign(end=[float(t[-1]) for t in f["t"]], s=sums)
+
+    def along(frames):
+        import numpy as np
+
+        rate, _ = terms()
+        who, now, last = (), None, 0.0
+        for f in frames:
+            out = []
+            for *key, b, end, s in f[[*keys, "b", "end", "s"]].itertuples(index=False, name=None):
+                if who != tuple(key) or b == 0:
+                    who, now, last = tuple(key), np.zeros(len(rate)), end
+                out.append((last, now.tolist()))
+                now, last = now * np.exp(-(end - last) * rate) + np.asarray(s), end
+            yield f[[*keys, "b"]].assign(last=[x[0] for x in out], a=[x[1] for x in out])
 
     def sums(frames):
         import numpy as np
         import pandas as pd
 
+        rate, weight = terms()
         for f in frames:
             out = []
-            for project, mine, theirs in zip(f["project"], f["rows"], f["rows2"], strict=True):
-                t, r = (np.array([x[k] for x in mine], float) for k in ("time_stamp", "rank"))
-                s, q = (np.array([x[k] for x in theirs], float) for k in ("time_stamp", "rank"))
-                for at in range(0, len(t), 256):
-                    gap = (t[at : at + 256, None] - s[None, :]) / year + 1
-                    part = np.where(q[None, :] < r[at : at + 256, None], 1 / gap, 0.0).sum(1)
-                    out += [(project, x["commit_id"], v) for x, v in zip(mine[at : at + 256], part, strict=True)]
-            yield pd.DataFrame(out, columns=["project", "commit_id", "rexp"])
+            for project, times, ids, b, last, a in f[["project", "t", "ids", "b", "last", "a"]].itertuples(index=False, name=None):
+                t = np.asarray(times, float)
+                near = np.tril(1 / ((t[:, None] - t[None, :]) / year + 1), -1).sum(1)
+                far = np.exp(-(t - last)[:, None] * rate) @ (weight * np.asarray(a)) if b else 0.0
+                out.append(pd.DataFrame({"project": [project] * len(t), "commit_id": list(ids), "rexp": near + far}))
+            yield pd.concat(out) if out else pd.DataFrame({"project": [], "commit_id": [], "rexp": []})
 
-    project = commits.schema["project"].dataType.simpleString()
-    parts = pairs.select("project", "rows", "rows2").mapInPandas(sums, f"project {project}, commit_id {kind}, rexp double")
-    return parts.groupBy(*KEY).agg(F.sum("rexp").alias("rexp"))
+    with Tables(commits.sparkSession) as tables:
+        blocks = tables.put(rows.select(*keys, "b", F.col("r.time_stamp").alias("t"), F.col("r.commit_id").alias("ids")))
+        ends = blocks.select(*keys, "b", "t").mapInPandas(of_block, f"{types}, b long, end double, s array<double>")
+        carried = ends.repartition(*keys).sortWithinPartitions(*keys, "b").mapInPandas(along, f"{types}, b long, last double, a array<double>")
+        parts = same_group(blocks, carried, [*keys, "b"]).select("project", "t", "ids", "b", "last", "a")
+        return tables.keep(tables.put(parts.mapInPandas(sums, f"project {kind['project']}, commit_id {kind['commit_id']}, rexp double")))
 
 
 def subsystem_experience(commits: DataFrame, touched: DataFrame) -> DataFrame:
     """sexp: over the commit's subsystems (``touched``), the mean of the author's earlier commits there; 0 without files."""
-    rows = touched.select(*KEY, "subsystem").distinct().join(commits.select(*KEY, "author", "time_stamp", "pos"), KEY)
-    ranked = running(rows, ["project", "author", "subsystem"], F.col("time_stamp"), [F.col("pos")], {})
+    rows = same_group(touched.select(*KEY, "subsystem").distinct(), commits.select(*KEY, "author", "time_stamp", "pos"), KEY)
+    ranked = running(rows, ["project", "author", "subsystem"], F.col("time_stamp"), [F.col("pos")], {}, spread=F.col("pos"))
     mean = ranked.groupBy(*KEY).agg(F.avg(F.col("rank") - 1).alias("sexp"))
-    return commits.select(*KEY).join(mean, KEY, "left").withColumn("sexp", F.coalesce("sexp", F.lit(0.0)))
-
-
-def history(touches: DataFrame) -> DataFrame:
-    """ndev, nuc, age, lt by commit from touches (project, commit_id, lineage,
-    author, time_stamp, pos, added, deleted) of an unbranched history.
-
-    ndev: developers who touched any of its files before; nuc: earlier changes
-    (author, time) of its files over their number; age: mean days since a file's
-    last touch; lt: mean lines of its files before.  A file's earlier touches
-    are joined only by their first touch of each developer, and by distinct
-    change, never as pairs of rows kept.
-    """
-    file = ["project", "lineage"]
-    one = touches.groupBy(*KEY, "lineage").agg(F.first("author").alias("author"), F.min("time_stamp").alias("time_stamp"), F.min("pos").alias("pos"), F.sum(F.col("added") - F.col("deleted")).alias("net"))
-    order = F.struct("time_stamp", "pos")
-    one = one.withColumn("at", order)
-    w = Window.partitionBy(*file).orderBy("time_stamp", "pos")
-    size = one.withColumns({"last": F.lag("time_stamp").over(w), "lines": F.coalesce(F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    own = size.groupBy(*KEY).agg(F.count("*").alias("nf"), F.sum(F.coalesce((F.col("time_stamp") - F.col("last")) / 86400.0, F.lit(0.0))).alias("_days"), F.avg("lines").alias("lt"))
-    firsts = one.groupBy(*file, "author").agg(F.min("at").alias("then")).withColumnRenamed("author", "dev")
-    devs = one.join(firsts, file).where("then < at").groupBy(*KEY).agg(F.count_distinct("dev").alias("ndev"))
-    # a commit of one file has its file's distinct earlier changes, a running count; only commits of several files need pairs, as these may share changes
-    same = Window.partitionBy(*file, "author", "time_stamp").orderBy("pos")
-    counted = one.withColumn("new", (F.row_number().over(same) == 1).cast("long"))
-    counted = counted.withColumns({"sofar": F.coalesce(F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "files": F.count("*").over(Window.partitionBy(*KEY))})
-    past = one.select(*file, F.col("at").alias("then"), F.col("author").alias("dev"))
-    many = counted.where("files > 1").join(past, file).where("then < at").groupBy(*KEY).agg(F.count_distinct(F.struct("dev", "then.time_stamp")).alias("_uses"))
-    uses = many.unionByName(counted.where("files = 1").select(*KEY, F.col("sofar").alias("_uses")))
-    zero = F.lit(0).cast("long")
-    out = own.join(devs, KEY, "left").join(uses, KEY, "left")
-    return out.select(*KEY, F.coalesce("ndev", zero).alias("ndev"), (F.coalesce("_uses", zero) / F.col("nf")).alias("nuc"), (F.col("_days") / F.col("nf")).alias("age"), "lt")
+    return same_group(commits.select(*KEY), mean, KEY, "left").withColumn("sexp", F.coalesce("sexp", F.lit(0.0)))
 
 
 def c_features(hunks: DataFrame, body_only: bool = False) -> DataFrame:
@@ -149,20 +153,20 @@ def c_features(hunks: DataFrame, body_only: bool = False) -> DataFrame:
     rows = hunks.where(is_c_file(F.col("path"))).select(*KEY, body.alias("body")).select(*KEY, *[c.alias(n) for n, c in metrics(F.col("body")).items()])
     names = list(metrics(F.lit("")))
     sums = rows.groupBy(*KEY).agg(*[(F.max if n == "maxpointerdepth" else F.sum)(n).alias(n) for n in names])
-    return hunks.select(*KEY).distinct().join(sums, KEY, "left").na.fill(0, names)
+    return same_group(hunks.select(*KEY).distinct(), sums, KEY, "left").na.fill(0, names)
 
 
 def combine_features(meta: DataFrame, *parts: DataFrame) -> DataFrame:
     """One row per commit: ``meta`` left-joined by each part on (project, commit_id)."""
     for p in parts:
-        meta = meta.join(p, KEY, "left")
+        meta = same_group(meta, p, KEY, "left")
     return meta
 
 
 def combine_values_annotations(meta: DataFrame, purpose: DataFrame, history: DataFrame, experience: DataFrame, size: DataFrame, diffusion: DataFrame) -> DataFrame:
     """The values of each commit that has a history, and what its log says of it, newest first."""
     values = combine_features(history, experience, size, diffusion)
-    return order_report(values.join(combine_features(meta, purpose), KEY))
+    return order_report(same_group(values, combine_features(meta, purpose), KEY))
 
 
 def to_report_json(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -185,7 +189,7 @@ def export_code_repo(commits: DataFrame, numbers: DataFrame, kinds: DataFrame) -
     (id, parents, sons, project, email, time, message on one line) and their
     files (path, commit, parent, status letter, added, deleted, old path)."""
     sons = commit_edges(commits).groupBy("project", F.col("parent_id").alias("commit_id")).agg(F.array_sort(F.collect_list("child_id")).alias("sons"))
-    rows = commits.join(sons, KEY, "left")
+    rows = same_group(commits, sons, KEY, "left")
     listed = lambda c: F.concat_ws(",", F.col(c).cast("array<string>"))
     text = lambda *cs: F.concat_ws(";", *[F.coalesce(c.cast("string"), F.lit("")) for c in cs]).alias("value")
     head = rows.select(text(F.col("commit_id"), listed("parents"), listed("sons"), F.col("project"), F.col("author_email"), F.col("time_stamp"), F.regexp_replace("message", r"\s+", " ")))
@@ -198,18 +202,18 @@ def export_code_repo(commits: DataFrame, numbers: DataFrame, kinds: DataFrame) -
 def file_level_features(files: DataFrame, commits: DataFrame, buggy: DataFrame) -> DataFrame:
     """One row per commit and file: the file's own columns, the commit's, and whether ``buggy`` (project, commit_id, path) has it."""
     marked = buggy.select(*KEY, "path").distinct().withColumn("contains_bug", F.lit(True))
-    rows = files.join(commits, KEY).join(marked, [*KEY, "path"], "left")
+    rows = same_group(same_group(files, commits, KEY), marked, [*KEY, "path"], "left")
     return rows.withColumn("contains_bug", F.coalesce("contains_bug", F.lit(False)))
 
 
 def merge_c_features(common: DataFrame, c: DataFrame) -> DataFrame:
-    return common.join(c, KEY, "left").na.fill(0, [x for x in c.columns if x not in KEY])
+    return same_group(common, c, KEY, "left").na.fill(0, [x for x in c.columns if x not in KEY])
 
 
 def complete_until_last_fix(features: DataFrame, required: list[str]) -> DataFrame:
     """Commits with all of ``required``, up to the project's last fix in log order (all, if it has none)."""
     last = features.groupBy("project").agg(F.max(F.when(F.col("is_fix"), F.col("pos"))).alias("_last"))
-    rows = features.join(last, "project").where(F.col("_last").isNull() | (F.col("pos") <= F.col("_last")))
+    rows = same_group(features, last, ["project"]).where(F.col("_last").isNull() | (F.col("pos") <= F.col("_last")))
     return rows.dropna(subset=required).drop("_last")
 
 
@@ -231,21 +235,6 @@ def order_report(df: DataFrame, limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
-def ancestors(edges: DataFrame, commits: DataFrame) -> DataFrame:
-    """(project, commit_id, ancestor) of the given ``commits``: all that their parents lead to.
-
-    Each round goes one parent further from what the last one found; rounds are
-    checkpointed, and what is known already is not followed again."""
-    parent = edges.select("project", F.col("child_id").alias("ancestor"), "parent_id")
-    found = kept(commits.select("project", "commit_id", F.col("commit_id").alias("ancestor")).distinct())
-    known, fresh = found.limit(0), found
-    while not fresh.isEmpty():
-        step = fresh.join(parent, ["project", "ancestor"]).select("project", "commit_id", F.col("parent_id").alias("ancestor")).distinct()
-        fresh = kept(step.join(known, ["project", "commit_id", "ancestor"], "left_anti"))
-        known = kept(known.unionByName(fresh))
-    return known
-
-
 def file_lineage(touches: DataFrame) -> DataFrame:
     """``touches`` (project, commit_id, time_stamp, pos, path, new_path,
     change_type) with ``lineage``: one name for a file through all its renames.
@@ -256,22 +245,25 @@ def file_lineage(touches: DataFrame) -> DataFrame:
     its chain's first: (path, number of the stretch).  Chains are followed by
     doubling, in a number of rounds logarithmic in the longest; renames alone
     take part in that."""
-    order = [F.col("time_stamp"), F.col("pos"), F.col("into")]
     renamed = F.col("change_type") == "rename"
     columns = [*KEY, "time_stamp", "pos", "path", "new_path", "change_type"]
     own = touches.select(*columns, F.col("path").alias("at"), F.lit(0).alias("into"), (F.col("change_type") == "add").cast("int").alias("starts"), (renamed | (F.col("change_type") == "delete")).cast("int").alias("ends"))
     moved = touches.where(renamed).select(*columns, F.col("new_path").alias("at"), F.lit(1).alias("into"), F.lit(1).alias("starts"), F.lit(0).alias("ends"))
-    w = Window.partitionBy("project", "at").orderBy(*order)
-    stretch = F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = kept(own.unionByName(moved).withColumn("name", F.concat_ws("#", "at", stretch.cast("string"))))
-    key = [*KEY, "pos", "path", "new_path"]
-    old = placed.where("into = 0 and change_type = 'rename'").select(*key, F.col("name").alias("root"))
-    links = kept(placed.where("into = 1").select(*key, "name").join(old, key).select("project", "name", "root"))
-    while True:
-        up = links.select("project", F.col("name").alias("root"), F.col("root").alias("further"))
-        joined = links.join(up, ["project", "root"], "left")
-        if joined.where("further is not null").isEmpty():
-            break
-        links = kept(joined.select("project", "name", F.coalesce("further", "root").alias("root")))
-    out = placed.where("into = 0").join(links, ["project", "name"], "left")
-    return out.select(*columns, F.coalesce("root", "name").alias("lineage"))
+    # a busy path is numbered in slices; what ends at a touch counts for the next one
+    order = [F.col("pos"), F.col("into")]
+    sums = {"_begun": F.col("starts") + F.col("ends")}
+    with Tables(touches.sparkSession) as tables:
+        numbered = running(own.unionByName(moved), ["project", "at"], F.col("time_stamp").cast("double"), order, sums, spread=F.col("pos"))
+        stretch = F.col("_begun") - F.col("ends")
+        placed = tables.put(numbered.withColumn("name", F.concat_ws("#", "at", stretch.cast("string"))).drop("rank", "_begun"))
+        key = [*KEY, "pos", "path", "new_path"]
+        old = placed.where("into = 0 and change_type = 'rename'").select(*key, F.col("name").alias("root"))
+        links = tables.put(same_group(placed.where("into = 1").select(*key, "name"), old, key).select("project", "name", "root"))
+        while True:
+            up = links.select("project", F.col("name").alias("root"), F.col("root").alias("further"))
+            joined = same_group(links, up, ["project", "root"], "left")
+            if joined.where("further is not null").isEmpty():
+                break
+            links = tables.put(joined.select("project", "name", F.coalesce("further", "root").alias("root")), links)
+        out = same_group(placed.where("into = 0"), links, ["project", "name"], "left")
+        return tables.keep(tables.put(out.select(*columns, F.coalesce("root", "name").alias("lineage"))))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Groups of fewer rows than this are one slice.
+LEAST_ROWS = 4096
+
 
 def same_group(df: DataFrame, other: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """``df`` joined with ``other`` on ``by``, where a missing key is a key like any other."""
@@ -12,31 +15,47 @@ def same_group(df: DataFrame, other: DataFrame, by: list[str], how: str = "inner
     return df.join(other, [F.col(f"`{b}`").eqNullSafe(F.col(f"`_j_{b}`")) for b in by], how).drop(*[f"_j_{b}" for b in by])
 
 
-def running(df: DataFrame, by: list[str], key: Column, ties: list[Column], sums: dict[str, Column], descending: bool = False, slices: int = 16) -> DataFrame:
+def sliced(df: DataFrame, by: list[str], key: Column, descending: bool = False, slices: int = 16, spread: Column | None = None) -> DataFrame:
+    """``df`` with ``_key`` and ``_slice``: a group's rows in the order of ``key``
+    are cut at its quantiles, so that a group with a third of all rows is spread over ``slices`` tasks.
+
+    Equal keys share a slice, unless ``spread`` is given: then a key that makes up
+    whole slices is cut at quantiles of that.  Null keys come first."""
+    more = {"_spread": spread.cast("double")} if spread is not None else {}
+    rows = df.withColumns({"_key": key.cast("double")} | more)
+    points = [i / slices for i in range(1, slices)]
+    quantiles = lambda c: F.percentile_approx(c, points, 1000)
+    cuts = rows.groupBy(*by).agg(quantiles("_key").alias("_cuts"), F.count("*").alias("_rows"), *[quantiles("_spread").alias("_inner")] * bool(more))
+    rows = same_group(rows, cuts.where(F.col("_rows") >= LEAST_ROWS).drop("_rows"), by, "left")
+    past = (lambda c: c > F.col("_key")) if descending else (lambda c: c < F.col("_key"))
+    count = lambda a, f: F.coalesce(F.size(F.filter(a, f)), F.lit(0))
+    slot = F.when(F.col("_key").isNull(), -1).otherwise(count("_cuts", past)) * (2 * slices)
+    if more:
+        # a key that is two cuts or more fills a slice by itself
+        often = count("_cuts", lambda c: c == F.col("_key")) >= 2
+        slot = slot + F.when(often, count("_inner", lambda c: c < F.col("_spread"))).otherwise(0)
+    return rows.withColumn("_slice", slot).drop("_cuts", "_inner", "_spread")
+
+
+def running(df: DataFrame, by: list[str], key: Column, ties: list[Column], sums: dict[str, Column], descending: bool = False, slices: int = 16, spread: Column | None = None, most: dict[str, Column] | None = None) -> DataFrame:
     """``df`` with ``rank`` (1, 2, ...) and, for each of ``sums``, its running
-    total up to and including the row, in the order of ``key``, then ``ties``.
+    total up to and including the row, in the order of ``key``, then ``ties``;
+    for each of ``most``, the largest value so far (null where there is none).
 
-    A group is cut into slices at quantiles of ``key`` (equal keys share one),
-    each slice is ordered by itself, and the totals of the slices before are
-    added: a group with a third of all rows is spread over ``slices`` tasks.
-    Null keys come first.
+    Each slice of a group (``sliced``) is ordered by itself, and what the slices
+    before come to is added.  ``spread`` is a number that never falls along
+    ``ties``.  Null keys come first.
     """
-    by_cols = [F.col(f"`{b}`") for b in by]
-    rows = df.withColumns({"_key": key.cast("double"), "_one": F.lit(1).cast("long")} | {f"_s_{n}": c for n, c in sums.items()})
-    cuts = rows.groupBy(*by).agg(F.percentile_approx("_key", [i / slices for i in range(1, slices)], 1000).alias("_cuts"))
-    for b in by:
-        cuts = cuts.withColumnRenamed(b, f"_g_{b}")
-    same = [F.col(f"`{b}`").eqNullSafe(F.col(f"`_g_{b}`")) for b in by]
-    rows = rows.join(cuts, same, "left").drop(*[f"_g_{b}" for b in by])
-    past = (lambda c: c > F.col("_key")) if descending else (lambda c: c < F.col("_key"))
-    slot = F.when(F.col("_key").isNull(), -1).otherwise(F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), past)))
-    rows = rows.withColumn("_slice", slot).drop("_cuts")
+    most = most or {}
+    values = {f"_s_{n}": c for n, c in sums.items()} | {f"_m_{n}": c for n, c in most.items()}
+    rows = sliced(df.withColumns({"_one": F.lit(1).cast("long")} | values), by, key, descending, slices, spread)
     parts = {"rank": "_one"} | {n: f"_s_{n}" for n in sums}
-    totals = rows.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in parts.items()])
+    totals = rows.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in parts.items()], *[F.max(f"_m_{n}").alias(f"_t_{n}") for n in most])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(f"`{b}`").alias(f"_g_{b}") for b in by], F.col("_slice").alias("_g_slice"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in parts])
-    rows = rows.join(totals, [*same, F.col("_slice") == F.col("_g_slice")]).drop(*[f"_g_{b}" for b in by], "_g_slice")
+    earlier = [F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in parts] + [F.max(f"_t_{n}").over(before).alias(f"_o_{n}") for n in most]
+    rows = same_group(rows, totals.select(*[F.col(f"`{b}`") for b in by], "_slice", *earlier), [*by, "_slice"])
     order = F.col("_key").desc() if descending else F.col("_key").asc()
-    w = Window.partitionBy(*by_cols, "_slice").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*[F.col(f"`{b}`") for b in by], "_slice").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = {n: (F.sum(c).over(w) + F.col(f"_o_{n}")) for n, c in parts.items()}
-    return rows.withColumns(out).drop("_key", "_one", "_slice", *[f"_s_{n}" for n in sums], *[f"_o_{n}" for n in parts])
+    out |= {n: F.greatest(F.max(f"_m_{n}").over(w), F.col(f"_o_{n}")) for n in most}
+    return rows.withColumns(out).drop("_key", "_one", "_slice", *values, *[f"_o_{n}" for n in [*parts, *most]])

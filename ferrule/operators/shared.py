@@ -21,7 +21,50 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ferrule-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Tables written to the shared folder while an operator works: what follows
+    does not compute them again, whichever executors are lost.
+
+    ``put`` writes one, ``drop`` removes one that nothing reads any more; with
+    ``with``, all are removed in the end but those that ``keep`` has named."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path, _ in self.paths.values():
+            self._remove(path)
+        self.paths = {}
+
+    def put(self, df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+        """``df`` as a table; ``instead`` was one of these and is removed."""
+        path = shared_folder(self.spark)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        # the frame is held, so that no other gets its id
+        self.paths[id(out)] = path, out
+        if instead is not None:
+            self.drop(instead)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, one of these tables, whose files stay."""
+        self.paths.pop(id(df), None)
+        return df
+
+    def drop(self, df: DataFrame) -> None:
+        if id(df) in self.paths:
+            self._remove(self.paths.pop(id(df))[0])
+
+    def _remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint: what follows does not compute them again, whichever executors are lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows as a table in the shared folder that stays, for what reads them later."""
+    tables = Tables(df.sparkSession)
+    return tables.keep(tables.put(df))

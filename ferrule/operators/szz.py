@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators.running import same_group
+
 
 def szz_link(fix_lines: DataFrame, blame: DataFrame, commits: DataFrame) -> DataFrame:
     """(project, fix, origin, path, origin_path, origin_line, fix_time, origin_time) of each deleted
     line of a fix (project, commit_id, path, line_no) that blame traces; boundary hits are dropped."""
     hits = blame.where(~F.coalesce("is_boundary", F.lit(False))).withColumnRenamed("at_commit", "commit_id")
     time = commits.select("project", "commit_id", "time_stamp")
-    rows = fix_lines.join(hits, ["project", "commit_id", "path", "line_no"]).withColumnsRenamed({"commit_id": "fix", "origin_commit": "origin"})
-    rows = rows.join(time.withColumnsRenamed({"commit_id": "fix", "time_stamp": "fix_time"}), ["project", "fix"])
-    rows = rows.join(time.withColumnsRenamed({"commit_id": "origin", "time_stamp": "origin_time"}), ["project", "origin"])
+    rows = same_group(fix_lines, hits, ["project", "commit_id", "path", "line_no"]).withColumnsRenamed({"commit_id": "fix", "origin_commit": "origin"})
+    rows = same_group(rows, time.withColumnsRenamed({"commit_id": "fix", "time_stamp": "fix_time"}), ["project", "fix"])
+    rows = same_group(rows, time.withColumnsRenamed({"commit_id": "origin", "time_stamp": "origin_time"}), ["project", "origin"])
     return rows.select("project", "fix", "origin", "path", "origin_path", "origin_line", "fix_time", "origin_time")
 
 
@@ -25,22 +27,22 @@ def bug_summary(links: DataFrame) -> DataFrame:
 
 
 def fix_summary(links: DataFrame, fix_lines: DataFrame) -> DataFrame:
-    """Per fix: fixes (the origins), and of its deleted lines the number of files and of lines.
-
-    ``lines_by_file`` of the same lines is the map of files to lines."""
+    """Per fix: fixes (the origins), and of its deleted lines the number of files
+    and of lines, and bug_fix_files, the map of files to lines."""
     origins = links.select("project", "fix", "origin").distinct().groupBy("project", "fix").agg(F.array_sort(F.collect_list("origin")).alias("fixes"))
     files = fix_lines.groupBy("project", F.col("commit_id").alias("fix")).agg(F.count_distinct("path").alias("fix_file_num"), F.count("*").alias("deleted_lines"))
-    return files.join(origins, ["project", "fix"], "left")
+    listed = lines_by_file(fix_lines.withColumnRenamed("commit_id", "fix"), ["project", "fix"], "path", "line_no").withColumnRenamed("lines", "bug_fix_files")
+    return same_group(same_group(files, listed, ["project", "fix"]), origins, ["project", "fix"], "left")
 
 
 def lines_by_file(lines: DataFrame, key: list[str], path: str, line: str) -> DataFrame:
     """path -> line numbers, as a map, for each ``key``."""
-    files = lines.groupBy(*key, path).agg(F.array_sort(F.collect_list(line)).alias("_l"))
+    files = lines.where(F.col(path).isNotNull()).groupBy(*key, path).agg(F.array_sort(F.collect_list(line)).alias("_l"))
     return files.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(path, "_l")))).alias("lines"))
 
 
 def clean_files(touched: DataFrame, buggy: DataFrame) -> DataFrame:
-    return touched.join(buggy, ["project", "commit_id", "path"], "left_anti")
+    return same_group(touched, buggy.select("project", "commit_id", "path"), ["project", "commit_id", "path"], "left_anti")
 
 
 def clean_lines(added: DataFrame, buggy: DataFrame, commits: DataFrame) -> DataFrame:
@@ -48,8 +50,8 @@ def clean_lines(added: DataFrame, buggy: DataFrame, commits: DataFrame) -> DataF
 
     ``added`` (project, commit_id, path, line_no, is_noise) has added lines; noise is left out."""
     key = ["project", "commit_id"]
-    plain = commits.where(~F.coalesce("is_merge", F.lit(False))).select(*key).join(buggy.select(*key).distinct(), key, "left_anti")
-    return lines_by_file(added.where("not is_noise").join(plain, key, "left_semi"), key, "path", "line_no")
+    plain = same_group(commits.where(~F.coalesce("is_merge", F.lit(False))).select(*key), buggy.select(*key).distinct(), key, "left_anti")
+    return lines_by_file(same_group(added.where("not is_noise"), plain, key, "left_semi"), key, "path", "line_no")
 
 
 def valid_modified_files(lines: DataFrame) -> DataFrame:

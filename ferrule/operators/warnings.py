@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators.running import running, same_group
+
 LEVELS = {"block": 1, "critical": 2, "major": 3}
 
 
 def _levels(at_least_major: bool = False) -> list:
+    # a linter may number what is less than major, too
     return [F.count_if(F.col("priority") >= p if at_least_major and p == 3 else F.col("priority") == p).alias(n) for n, p in LEVELS.items()]
 
 
 def warnings_on_added_lines(violations: DataFrame, added: DataFrame) -> DataFrame:
-    return violations.join(added.select("project", "commit_id", "path", "line_no").distinct(), ["project", "commit_id", "path", "line_no"], "left_semi")
+    keys = ["project", "commit_id", "path", "line_no"]
+    return same_group(violations, added.select(*keys).distinct(), keys, "left_semi")
 
 
 def warning_counts(violations: DataFrame, keys: list[str], at_least_major: bool = False) -> DataFrame:
@@ -46,8 +50,6 @@ def running_totals(counts: DataFrame) -> DataFrame:
     Each touch changes the total by its counts less the file's last ones; a file
     that is gone counts 0.  Only these differences are summed along the commits.
     """
-    from ferrule.operators.running import running
-
     w = Window.partitionBy("project", "path").orderBy("pos")
     now = {n: F.when(F.col("gone"), 0).otherwise(F.col(n)) for n in LEVELS}
     deltas = counts.withColumns({f"_{n}": c - F.coalesce(F.lag(c).over(w), F.lit(0)) for n, c in now.items()})

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.paths import is_noise_line, parse_hunk_header, parse_namestat_line, parse_numstat_line
+from ferrule.operators.running import same_group
 
 COMMIT = "commit: "
 HASH = "^[0-9a-f]{40}$"
@@ -60,21 +59,45 @@ def read_namestat(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("project", "commit_id", F.lit(None).cast("string").alias("base_commit"), F.col("f.old").alias("modified_path"), F.col("f.new").alias("current_path"), "f.change_type").where("change_type is not null")
 
 
+MERGE = r"^([0-9a-f]{40}) \(from ([0-9a-f]{40})\)"
+
+
+def _merge_lines(spark: SparkSession, path: str, all_parents: bool) -> DataFrame:
+    """(project, commit_id, base_commit, line) of blocks headed ``<hash> (from <hash>) subject``.
+
+    Files are read in splits, as any text.  A line's header is the last one before it;
+    where a split begins within a block, that is the last header of the splits before."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), _project().alias("project"), F.monotonically_increasing_id().alias("row"))
+    part = lambda i: F.regexp_extract("value", MERGE, i)
+    rows = raw.withColumn("head", F.when(part(1) != "", F.struct(F.col("split"), F.col("row"), part(1).alias("commit_id"), part(2).alias("base_commit"))))
+    # rows of a split are numbered in its order
+    last = rows.groupBy("file", "split").agg(F.max("head").alias("_last"))
+    carried = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("file", "split", F.max("_last").over(carried).alias("_before"))
+    here = Window.partitionBy("file", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(last, ["file", "split"]).withColumn("head", F.coalesce(F.max("head").over(here), "_before"))
+    rows = rows.where(F.col("head").isNotNull() & F.col("value").contains("\t") & ~F.col("value").rlike(MERGE))
+    if not all_parents:
+        final = rows.groupBy("project", "head.commit_id").agg(F.max(F.struct("file", "head")).alias("_final"))
+        rows = rows.withColumn("commit_id", F.col("head.commit_id"))
+        rows = same_group(rows, final, ["project", "commit_id"]).where(F.col("_final.head") == F.col("head"))
+    return rows.select("project", "head.commit_id", "head.base_commit", F.col("value").alias("line"))
+
+
 def read_merge_stats(spark: SparkSession, path: str, all_parents: bool = True) -> DataFrame:
     """Numbers of merges against a parent, from blocks headed ``<hash> (from <hash>) subject``.
 
-    Without ``all_parents`` the last block of each merge counts."""
-    raw = spark.read.text(path, wholetext=True).withColumn("project", _project())
-    blocks = raw.select("project", F.posexplode(F.split("value", "(?m)^(?=[0-9a-f]{40} )")).alias("pos", "block"))
-    head = lambda i: F.regexp_extract("block", r"^([0-9a-f]{40}) \(from ([0-9a-f]{40})\)", i)
-    rows = blocks.select("project", "pos", head(1).alias("commit_id"), head(2).alias("base_commit"), F.regexp_replace("block", r"^.*\n", "").alias("body")).where("commit_id <> ''")
-    if not all_parents:
-        last = rows.groupBy("project", "commit_id").agg(F.max("pos").alias("pos"))
-        rows = rows.join(last, ["project", "commit_id", "pos"], "left_semi")
-    rows = _lines(rows).where(F.col("line").contains("\t")).withColumn("f", parse_numstat_line(F.col("line")))
+    Without ``all_parents`` the last block of each merge that has changes counts."""
+    rows = _merge_lines(spark, path, all_parents).withColumn("f", parse_numstat_line(F.col("line")))
     return rows.select("project", "commit_id", "base_commit", F.col("f.old").alias("modified_path"), F.col("f.new").alias("current_path"), "f.added", "f.deleted", F.col("f.new").isNotNull().alias("is_rename"))
 
 
+def read_merge_kinds(spark: SparkSession, path: str, all_parents: bool = True) -> DataFrame:
+    """Kinds of the changes of merges against a parent, from blocks headed as those of ``read_merge_stats``."""
+    rows = _merge_lines(spark, path, all_parents).withColumn("f", parse_namestat_line(F.col("line")))
+    return rows.select("project", "commit_id", "base_commit", F.col("f.old").alias("modified_path"), F.col("f.new").alias("current_path"), "f.change_type").where("change_type is not null")
+
+
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:
     """(project, commit_id, diff_text) of a dump of ``commit: <hash>`` records with each commit's diff."""
     return _records(spark, path).where("commit_id is not null").select("project", "commit_id", F.col("body").alias("diff_text"))
@@ -134,6 +157,20 @@ def read_violations(spark: SparkSession, path: str, project: str, commit_id: str
     return rows.where("priority is not null")
 
 
+def read_violations_xml(spark: SparkSession, path: str, project: str, commit_id: str) -> DataFrame:
+    """A linter's XML: ``file`` elements with a ``name``, and in them ``violation``
+    elements with ``beginline``, ``endline``, ``priority`` and ``rule``.
+
+    A violation counts on its first line; one without a number for it or for its
+    priority is left out.  Elements are found wherever a file is split."""
+    one = "array<struct<_beginline: string, _endline: string, _priority: string, _rule: string, _VALUE: string>>"
+    files = spark.read.format("xml").option("rowTag", "file").schema(f"_name string, violation {one}").load(path)
+    rows = files.select(F.col("_name").alias("path"), F.explode("violation").alias("v"))
+    n = lambda c: F.trim(F.col(f"v.{c}")).try_cast("int")
+    out = rows.select(F.lit(project).alias("project"), F.lit(commit_id).alias("commit_id"), "path", n("_beginline").alias("line_no"), n("_priority").alias("priority"), F.col("v._rule").alias("rule"))
+    return out.where("line_no is not null and priority is not null")
+
+
 def write_features(df: DataFrame, path: str, kind: str = "parquet", spread: int = 16) -> None:
     """The feature table as Parquet or CSV, a folder for each project, newest first within files.
 
@@ -150,13 +187,17 @@ def read_features(spark: SparkSession, path: str, kind: str = "parquet", schema:
     return reader.load(path)
 
 
-def read_table(spark: SparkSession, url: str, table: str, projects: list[str] | None = None, **properties: str) -> DataFrame:
-    """A table of a database, one task for each of ``projects``, whose rows alone are asked for."""
-    rows = spark.read.jdbc(url, table, properties=properties)
+def read_table(spark: SparkSession, url: str, table: str, projects: list[str] | None = None, column: str = "project", **properties: str) -> DataFrame:
+    """A table of a database, read by one scan with one task for each of
+    ``projects``, which asks for that project's rows alone; None is a null project.
+
+    Names are quoted as the database does it."""
     if projects is None:
-        return rows
-    # the filters are pushed down in the database's own spelling of the name
-    return reduce(DataFrame.unionByName, [rows.where(F.col("project") == p) for p in projects], rows.limit(0))
+        return spark.read.jdbc(url, table, properties=properties)
+    column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    quoted = {p: "'" + p.replace("'", "''") + "'" for p in projects if p is not None}
+    predicates = [f"{column} IS NULL" if p is None else f"{column} = {quoted[p]}" for p in dict.fromkeys(projects)]
+    return spark.read.jdbc(url, table, predicates=predicates or ["1 = 0"], properties=properties)
 
 
 def write_table(df: DataFrame, url: str, table: str, mode: str = "append", **properties: str) -> None:

@@ -54,3 +54,50 @@ def test_path_functions(spark):
     text = spark.createDataFrame([("prefix it", False), ("docs", False), ("x", True), ("zzz", False)], "m string, g boolean")
     kinds = [r[0] for r in text.select(paths.classify_message(F.col("m"), F.col("g"), [("Corrective", ["fix"]), ("Non Functional", ["doc"])])).collect()]
     assert kinds == ["Corrective", "Non Functional", "Merge", "None"]
+
+
+def test_merge_dumps_in_many_splits(spark, tmp_path):
+    """Headers carry over to lines of later splits; whole files give the same."""
+    import random
+
+    rng = random.Random(1)
+    want, kinds, text, names = [], [], "noise\n1\t1\tnot a block\n", ""
+    for k in range(200):
+        head = f"{k // 2:040x} (from {k + 1000:040x}) merge\tof {k}\n"
+        paths = [f"d{rng.randrange(9)}/f{j}.c" for j in range(rng.randrange(30))]
+        text += head + "".join(f"{j}\t1\t{p}\n" for j, p in enumerate(paths)) + "\n"
+        names += head + "".join(f"{'AMD'[j % 3]}\t{p}\n" for j, p in enumerate(paths)) + "\n"
+        want += [(f"{k // 2:040x}", f"{k + 1000:040x}", p, j) for j, p in enumerate(paths)]
+        kinds += [(f"{k // 2:040x}", f"{k + 1000:040x}", p, ("add", "modify", "delete")[j % 3]) for j, p in enumerate(paths)]
+    m, n = write(tmp_path, "merge.log", text), write(tmp_path, "kinds.log", names)
+    last = {}
+    for c, b, *_ in want:
+        last[c] = b
+    for size in ("700b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            assert size == "128m" or spark.read.text(m).rdd.getNumPartitions() > 50
+            got = sorted((r.commit_id, r.base_commit, r.modified_path, r.added) for r in logs.read_merge_stats(spark, m).collect())
+            assert got == sorted(want)
+            got = sorted((r.commit_id, r.base_commit, r.modified_path, r.change_type) for r in logs.read_merge_kinds(spark, n).collect())
+            assert got == sorted(kinds)
+            got = sorted((r.commit_id, r.base_commit, r.modified_path, r.change_type) for r in logs.read_merge_kinds(spark, n, all_parents=False).collect())
+            assert got == sorted(r for r in kinds if last[r[0]] == r[1])
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_violations_of_xml(spark, tmp_path):
+    x = write(tmp_path, "pmd.xml", """<?xml version="1.0"?>
+<pmd version="6"><file name="a &lt;b&gt;.java">
+<violation beginline="3" endline="9" priority="2" rule="R1">says "no" &amp; more</violation>
+<violation beginline=" 4 " endline="4" priority="5" rule="R2"/>
+<violation endline="4" priority="1" rule="R3"/><violation beginline="x" endline="4" priority="1" rule="R3"/>
+</file><file name="none.java"></file><file name="one.java"><violation beginline="1" endline="1" priority="1" rule="R1"/></file></pmd>""")
+    rows = logs.read_violations_xml(spark, x, "p", "c")
+    assert sorted((r.project, r.commit_id, r.path, r.line_no, r.priority, r.rule) for r in rows.collect()) == [("p", "c", "a <b>.java", 3, 2, "R1"), ("p", "c", "a <b>.java", 4, 5, "R2"), ("p", "c", "one.java", 1, 1, "R1")]
+    from ferrule.operators.warnings import warning_counts
+
+    assert {r.path: (r.block, r.critical, r.major) for r in warning_counts(rows, ["path"], at_least_major=True).collect()} == {"a <b>.java": (0, 1, 1), "one.java": (1, 0, 0)}
