@@ -17,54 +17,58 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 WIDTH, RIVALS = 32, (64, 32, 16, 8)
 #: A text has at least so many windows for each that competes, down to the least of RIVALS.
 SHARE = 8
-#: Texts under TINY bytes have the GRAM bytes up to each of their bytes as features as well.
-TINY, GRAM = 128, 4
+#: Texts under TINY bytes are also looked at by shorter windows, one up to each of their bytes, of which so many compete.
+TINY, SHORT, SHORT_RIVALS = 128, 8, 4
 #: Bits of a filter, bits a feature sets, features a filter takes before the next is chained.
 BITS, HASHES, FILL = 2048, 5, 160
 #: Filters with fewer bits are compared without the dead zone of fuller ones.
 SPARSE = 256
 #: Entropies are told apart in this many steps.
 STEPS = 1000
-#: c * log2(c) for counts, as integers, so that running sums are exact.
-_CLOGC = np.round(np.arange(WIDTH + 1) * np.log2(np.maximum(np.arange(WIDTH + 1), 1)) * (1 << 16)).astype(np.int64)
 
 
-def entropies(data: np.ndarray) -> np.ndarray:
-    """The entropy step (0..STEPS) of every window of WIDTH bytes.
+def entropies(data: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The entropy step (0..STEPS) of every window of ``width`` bytes.
 
     A window's sum of c * log2(c) follows from the one before: one byte leaves
-    and one comes in, and how often each is among the WIDTH - 1 bytes between
+    and one comes in, and how often each is among the ``width`` - 1 bytes between
     is counted by comparing the data with itself at each distance.
     """
     n = len(data)
-    if n < WIDTH:
+    if n < width:
         return np.zeros(0, np.int64)
+    # c * log2(c) for counts, as integers, so that running sums are exact
+    c = np.arange(width + 1)
+    clogc = np.round(c * np.log2(np.maximum(c, 1)) * (1 << 16)).astype(np.int64)
     behind, ahead = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-    for k in range(1, WIDTH):
+    for k in range(1, width):
         same = (data[k:] == data[:-k]).view(np.uint8)
         behind[k:] += same
         ahead[:-k] += same
-    gain = np.diff(_CLOGC)
+    gain = np.diff(clogc)
     total = np.cumsum(gain[behind])
     # ``ahead`` of the byte that leaves is what it has left in the window without it
-    total[WIDTH:] -= np.cumsum(gain[ahead[: n - WIDTH]])
-    bits = np.log2(WIDTH) - total[WIDTH - 1 :] / (WIDTH << 16)
+    total[width:] -= np.cumsum(gain[ahead[: n - width]])
+    bits = np.log2(width) - total[width - 1 :] / (width << 16)
     return np.round(bits * (STEPS / 6)).astype(np.int64)
 
 
 def histogram(texts: list[bytes]) -> np.ndarray:
-    """How many windows of the texts have each entropy step."""
-    out = np.zeros(STEPS + 1, np.int64)
+    """How many windows of the texts have each entropy step: a row for windows of WIDTH bytes, one for those of SHORT."""
+    out = np.zeros((2, STEPS + 1), np.int64)
     for data, starts in _chunks(texts):
-        step = entropies(data)
-        out += np.bincount(step[_inside(starts, len(step))], minlength=STEPS + 1)
+        for k, width in enumerate((WIDTH, SHORT)):
+            step = entropies(data, width)
+            out[k] += np.bincount(step[_inside(starts, len(step), width)], minlength=STEPS + 1)
     return out
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
-    """Precedence of each entropy step: 0 for the rarest in the corpus, ties to the higher entropy.
+    """Precedence of each entropy step: 0 for the rarest in the corpus, ties to the higher entropy; row by row of ``counts``.
 
     Steps below a tenth of the range are runs of a few bytes, which say little; they come last."""
+    if counts.ndim > 1:
+        return np.stack([ranks(c) for c in counts])
     order = sorted(range(STEPS + 1), key=lambda e: (e < STEPS // 10, counts[e], -e))
     rank = np.empty(STEPS + 1, np.int64)
     rank[order] = np.arange(STEPS + 1)
@@ -84,11 +88,11 @@ def _chunks(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[np.ndarra
         yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)])
 
 
-def _inside(starts: np.ndarray, n: int) -> np.ndarray:
+def _inside(starts: np.ndarray, n: int, width: int = WIDTH) -> np.ndarray:
     """Which windows lie in one text."""
     ok = np.ones(n, bool)
     for s in starts[1:-1].tolist():
-        ok[max(s - WIDTH + 1, 0) : s] = False
+        ok[max(s - width + 1, 0) : s] = False
     return ok
 
 
@@ -134,32 +138,46 @@ def _feature_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xC4CEB9FE1A85EC53) ^ h >> np.uint64(29)
 
 
-def _gram_hashes(data: np.ndarray, start: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the GRAM bytes that end at ``at``, of which those before ``start`` are zero."""
-    words = np.zeros(len(at), np.uint64)
-    for k in range(GRAM):
-        words |= np.where(at - k >= start, data[np.maximum(at - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+def _short_features(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the windows of SHORT bytes that are the rarest of some SHORT_RIVALS in a row.
+
+    A window goes up to each byte of a text, so that a text of any length has
+    some; what it reaches back beyond the start is zero bytes."""
+    data = np.frombuffer(b"".join(bytes(SHORT - 1) + t for t in texts) + bytes(SHORT_RIVALS), np.uint8)
+    length = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), length)
+    first = np.cumsum(length) - length
+    at = np.arange(len(owner)) + (SHORT - 1) * owner
+    order = np.full(len(data), (STEPS + 1) * (len(data) + 1))
+    order[at] = rank[entropies(data, SHORT)[at]] * (len(data) + 1) + at
+    best = np.lib.stride_tricks.sliding_window_view(order, SHORT_RIVALS)[at].copy()
+    # a row of windows ends with its text
+    beyond = np.arange(len(owner))[:, None] + np.arange(SHORT_RIVALS) >= (first + length)[owner][:, None]
+    best[beyond] = (STEPS + 1) * (len(data) + 1)
+    won = np.unique(best.min(1) % (len(data) + 1))
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SHORT)[won]).view("<u8")[:, 0]
     h = (words ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ h >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ h >> np.uint64(29)
+    return owner[np.searchsorted(at, won)], h ^ h >> np.uint64(29)
 
 
 def fingerprints(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """Each text's chained filters, as an array of (filters, BITS / 8) bytes.
 
-    Short texts have the GRAM bytes up to each of their bytes as features as well.
+    Short texts have windows of SHORT bytes as features as well, ranked by their own rarity.
     A longer one without a rare window is one feature, the whole of it; an empty
     one has no filter."""
     out: list[np.ndarray] = []
+    long_rank, short_rank = rank if rank.ndim > 1 else (rank, rank)
     for data, starts in _chunks(texts):
-        at = _select(data, starts, rank)
+        at = _select(data, starts, long_rank)
         owner = np.searchsorted(starts, at, "right") - 1
         h = _feature_hashes(data, at) if len(at) else np.zeros(0, np.uint64)
         length = np.diff(starts)
-        tiny = np.repeat(np.arange(len(length)), np.where(length < TINY, length, 0))
+        tiny = np.flatnonzero((length < TINY) & (length > 0))
         if len(tiny):
-            at = np.flatnonzero(np.repeat(length < TINY, length))
-            h, owner = np.append(h, _gram_hashes(data, starts[tiny], at)), np.append(owner, tiny)
+            whose, more = _short_features([data[starts[k] : starts[k + 1]].tobytes() for k in tiny.tolist()], short_rank)
+            h, owner = np.append(h, more), np.append(owner, tiny[whose])
         found = np.bincount(owner, minlength=len(length))
         for k in np.flatnonzero((found == 0) & (length > 0)):  # every byte alike
             whole = hashlib.blake2b(data[starts[k] : starts[k + 1]].tobytes(), digest_size=8).digest()
@@ -213,18 +231,19 @@ def from_string(s: str) -> np.ndarray:
 
 def fit_ranks(docs: DataFrame) -> np.ndarray:
     """Precedence by rarity over all windows of all texts; what reaches the
-    driver is one row of counts a partition, at most STEPS + 1 of them in sum."""
+    driver is one row of counts a partition, at most 2 * (STEPS + 1) of them in sum."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(STEPS + 1, np.int64)
+        total = np.zeros((2, STEPS + 1), np.int64)
         for b in small_batches(batches, "text", 2 << 20):
             total += histogram([t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()])
+        total = total.ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["step", "n"])
 
-    counts = np.zeros(STEPS + 1, np.int64)
+    counts = np.zeros(2 * (STEPS + 1), np.int64)
     for r in docs.select(text_of().alias("text")).mapInArrow(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():
         counts[r.step] = r.n
-    return ranks(counts)
+    return ranks(counts.reshape(2, -1))
 
 
 def edited(text: str, following: str) -> str:

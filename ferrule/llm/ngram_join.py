@@ -279,15 +279,19 @@ def _part(seed: int, n: str) -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
 
 
-def _components(members: DataFrame, sets: DataFrame, percent: int, block_shingles: int, pilots: int) -> DataFrame:
-    """(node, component) of linked documents, from members (family, doc_id, w) and
-    their ``sets`` (doc_id, n, shared); w is the number of shared shingles.
+def _components(members: DataFrame, sets: DataFrame, tied: DataFrame, percent: int, block_shingles: int, pilots: int) -> DataFrame:
+    """(node, component) of linked documents, from members (family, doc_id, w),
+    their ``sets`` (doc_id, n, shared) and the groups that they are ``tied`` in
+    (doc_id, tie); w is the number of shared shingles.
 
     A family is cut into blocks of ``block_shingles``, and each is searched by
     itself together with the family's pilots, a few of its documents.  So the
     copies of one text come into one component, in work that grows with the
     family.  Then whoever is not in the family's largest component is searched
-    for in every block: links within that component would add nothing.
+    for among those that it is tied with, as any partner is; links within that
+    component would add nothing.  Ties are groups of one list of documents, so
+    a family held together by passages comes apart into its passages.  A tie of
+    more than ``block_shingles`` is cut into blocks, too.
     """
     blocks = members.groupBy("family").agg(F.ceil(F.sum("w") / block_shingles).cast("int").alias("m"))
     placed = members.join(blocks, "family").withColumns({"j": _part(0, "m"), "comp": F.col("doc_id"), "side": F.lit(0)})
@@ -299,14 +303,20 @@ def _components(members: DataFrame, sets: DataFrame, percent: int, block_shingle
     first = connected_components(links)
     if large.isEmpty():
         return first
-    named = large.drop("comp").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    named = large.select("family", "doc_id", "w").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     named = saved(named)
     largest = named.groupBy("family", "comp").agg(F.count("*").alias("k")).groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
-    others = named.join(largest, "family").where("comp <> largest").drop("largest")
-    chunks = others.groupBy("family").agg(F.ceil(F.sum("w") / block_shingles).cast("int").alias("q"))
-    asking = others.join(chunks, "family").withColumns({"i": _part(2, "q"), "side": F.lit(1)}).withColumn("j", _upto("m")).drop("q")
-    asked = named.join(chunks, "family").withColumn("i", _upto("q")).drop("q")
-    across = saved(_searched(asking.unionByName(asked), sets, percent))
+    outside = named.join(largest, "family").select("doc_id", "w", "comp", (F.col("comp") != F.col("largest")).alias("out"))
+    # from here on a tie is what a family was
+    ties = saved(tied.join(outside, "doc_id").withColumnRenamed("tie", "family"))
+    sizes = ties.groupBy("family").agg(F.ceil(F.sum("w") / block_shingles).cast("int").alias("m"), F.ceil(F.sum(F.when(F.col("out"), F.col("w"))) / block_shingles).cast("int").alias("q"), F.min("comp").alias("_low"), F.max("comp").alias("_high"))
+    # nobody to search for, or all joined already: nothing to add
+    sizes = saved(sizes.where("q is not null and _low < _high").drop("_low", "_high"))
+    cut = ties.join(sizes, "family")
+    asking = cut.where("out").withColumns({"i": _part(2, "q"), "side": F.lit(1), "j": _upto("m")})
+    asked = cut.withColumns({"j": _part(0, "m"), "side": F.lit(0)}).withColumn("i", _upto("q"))
+    columns = ["family", "i", "j", "doc_id", "comp", "side"]
+    across = saved(_searched(asking.select(*columns).unionByName(asked.select(*columns)), sets, percent))
     if across.isEmpty():
         return first
     return connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
@@ -320,8 +330,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_sh
     sets of ``width``-word shingles (hashes of 48 bits and up to 15 of a slot).
     Equal sets are one class, and only one member of a class is searched with.
     Classes that share a rare shingle, of those that any partner must share one
-    of, form a family; a family is searched in blocks (``_components``), so no
-    task holds more than two of them.  Every link between different sets is
+    of, form a family; a family is searched in blocks, then by what ties its documents
+    (``_components``), so no task holds more than two blocks.  Every link between different sets is
     found; ones that join what is joined already are not looked up.
 
     A text without words (null or empty too) links with nothing.  Repeated
@@ -334,10 +344,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_sh
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "shared")
     needed = F.ceil(F.col("n") * percent / 100).cast("int")
     words = reps.select("doc_id", F.explode(F.slice("shared", F.lit(1), F.size("shared") - needed + 1)).alias("h"))
-    hubs = words.groupBy("h").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).where("k > 1")
-    family = connected_components(words.join(hubs, "h").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
+    # the documents of a shingle as one number: all shingles of a passage have the same ones, and are one tie
+    hubs = words.groupBy("h").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("doc_id")).alias("_s")).where("k > 1")
+    tied = saved(words.join(hubs, "h").groupBy("doc_id", F.xxhash64("hub", "k", "_s").alias("tie")).agg(F.min("hub").alias("hub")))
+    family = connected_components(tied.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
+    tied = tied.drop("hub")
     members = reps.select("doc_id", F.size("shared").alias("w")).join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-    joined = _components(saved(members), reps, percent, block_shingles, pilots).select(F.col("node").alias("rep"), F.col("component"))
+    joined = _components(saved(members), reps, tied, percent, block_shingles, pilots).select(F.col("node").alias("rep"), F.col("component"))
     named = able.select("doc_id", "n", "sig").join(classes.select("n", "sig", "rep"), ["n", "sig"]).join(joined, "rep", "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return named.unionByName(sets.where("sig is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

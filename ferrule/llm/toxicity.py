@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import as_batch, learns, release_memory, saved, small_batches, text_of
+from ferrule.llm.common import as_batch, discard, learns, release_memory, saved_at, small_batches, text_of
 
 SCHEMA = "doc_id long, score double"
 WORD = re.compile(r"[^\W\d_]+")
@@ -158,13 +158,14 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, rows:
     chosen = first(0).unionByName(first(1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where(F.octet_length("text") <= most_bytes)
     # at most 2 * rows identifiers are broadcast
-    one = saved(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    one, path = saved_at(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
     room, ids = most_bytes, []
     for r in one.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():
         if r.n <= room:
             room -= r.n
             ids.append(r.doc_id)
     got = one.where(F.col("doc_id").isin(ids)).orderBy("doc_id").collect() if ids else []
+    discard(docs.sparkSession, path)
     return fit([r.text for r in got], [r.y for r in got], sizes[1] / sum(sizes.values())) if got else None
 
 

@@ -98,8 +98,8 @@ def test_selection_by_brute_force():
     near_half = 0
     for t in texts:
         (data, starts), = _chunks([t])
-        at = _select(data, starts, rank)
-        got, want = [t[i : i + WIDTH] for i in at], plain_fingerprint(t, rank)
+        at = _select(data, starts, rank[0])
+        got, want = [t[i : i + WIDTH] for i in at], plain_fingerprint(t, rank[0])
         # entropies on the edge between two steps may be told apart either way
         assert len(set(got) ^ set(want)) <= max(2, len(want) // 50)
         if len(t) >= 128:
@@ -107,6 +107,23 @@ def test_selection_by_brute_force():
             assert f.shape == (-(-len(at) // FILL), BITS // 8)
             assert np.bitwise_count(f).sum() <= HASHES * len(at) and np.bitwise_count(f).sum() > 0.8 * HASHES * min(len(at), FILL * len(f)) * 0.85
     a, b = fingerprints(texts[-2:], rank)
-    common = set(plain_fingerprint(texts[-2], rank)) & set(plain_fingerprint(texts[-1], rank))
-    share = len(common) / len(set(plain_fingerprint(texts[-1], rank)))
+    common = set(plain_fingerprint(texts[-2], rank[0])) & set(plain_fingerprint(texts[-1], rank[0]))
+    share = len(common) / len(set(plain_fingerprint(texts[-1], rank[0])))
     assert 0.3 < share < 0.9 and abs(likeness(a, b) - share) < 0.35
+
+
+def test_short_windows_by_brute_force():
+    """Windows up to each byte, the rarest of each four in a row, whole texts apart from each other."""
+    from ferrule.llm.fingerprints import SHORT, _short_features
+
+    rng = np.random.default_rng(4)
+    rank = rng.permutation(STEPS + 1)
+    texts = [bytes(rng.choice(np.frombuffer(b"abcde f\x00", np.uint8), n)) for n in (1, 2, 3, 4, 5, 8, 20, 60, 127)] + [b"a" * 50]
+    whose, h = _short_features(texts, rank)
+    for k, t in enumerate(texts):
+        padded = bytes(SHORT - 1) + t
+        windows = [padded[i : i + SHORT] for i in range(len(t))]
+        step = [round((3 + sum(-c / SHORT * math.log2(c / SHORT) - 0 for c in Counter(w).values()) - 3) * STEPS / 6) for w in windows]
+        won = {min(range(i, min(i + 4, len(t))), key=lambda j: (rank[step[j]], j)) for i in range(len(t))}
+        mine = h[whose == k]
+        assert len(mine) == len(won) and len(set(mine.tolist())) == len({windows[j] for j in won})

@@ -112,3 +112,30 @@ def test_chains_across_blocks(docs_of):
     texts = [" ".join(words[4 * k : 4 * k + 80]) for k in range(60)] + [" ".join(words[300 + 30 * k : 330 + 30 * k]) for k in range(8)]
     got = {tuple(r) for r in near_duplicates(docs_of(texts), block_shingles=200, pilots=2).select("doc_id", "n_shingles", "component_id").collect()}
     assert got == brute(list(enumerate(texts))) and len({c for *_, c in got}) < 20
+
+
+def passages(n, seed, pool=60, of=5, words=30):
+    rng = random.Random(seed)
+    parts = [" ".join(f"p{k}x{i}" for i in range(words)) for k in range(pool)]
+    return [" ".join(rng.sample(parts, of)) for _ in range(n)]
+
+
+def test_texts_of_shared_passages(docs_of):
+    """A family that passages hold together: hardly anyone is in its largest component, some link."""
+    texts = passages(160, 1, pool=14)
+    texts += [t + " and more" for t in texts[::7]] + [" ".join(reversed(t.split())) for t in texts[:5]]
+    got = {tuple(r) for r in near_duplicates(docs_of(texts), block_shingles=2000, pilots=3).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == brute(list(enumerate(texts)))
+    assert len({c for *_, c in got}) > 50
+
+
+def test_work_on_shared_passages_follows_the_pairs(docs_of):
+    """Twice the documents of five of sixty passages: about twice the time, while pairs are few beside it."""
+    import time
+
+    took = []
+    for n in (500, 1000):
+        began = time.time()
+        assert near_duplicates(docs_of(passages(n, 2)), block_shingles=50_000).count() == n
+        took.append(time.time() - began)
+    assert took[1] < 2.5 * took[0] + 5
