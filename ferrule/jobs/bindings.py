@@ -309,7 +309,7 @@ def fix_summary(spark, d):
     return szz.fix_summary(_links(spark, d), _fix_lines(spark, d).where("is_fix")).select("fix", "fix_file_num", "deleted_lines", F.array_join("fixes", ",").alias("fixes"))
 
 
-@_query("WITH " + L + ", f AS (SELECT commit_id, l_partkey AS p, l_partkey || ':' || array_to_string(list(l_linenumber ORDER BY l_linenumber), ',') AS f FROM li WHERE kind = 'R' GROUP BY ALL) SELECT commit_id AS fix, array_to_string(list(f ORDER BY p), ' ') AS bug_fix_files FROM f GROUP BY ALL")
+@_query("WITH " + L + ", f AS (SELECT commit_id, l_partkey AS p, l_partkey || ':' || array_to_string(list(l_linenumber ORDER BY l_linenumber), ',') AS f FROM li WHERE kind = 'R' GROUP BY commit_id, l_partkey) SELECT commit_id AS fix, array_to_string(list(f ORDER BY p), ' ') AS bug_fix_files FROM f GROUP BY ALL")
 def bug_fix_files(spark, d):
     rows = szz.fix_summary(_links(spark, d), _fix_lines(spark, d).where("is_fix"))
     text = F.transform(F.map_entries("bug_fix_files"), lambda e: F.concat_ws(":", e["key"].cast("string"), F.array_join(F.transform(e["value"], lambda v: v.cast("string")), ",")))

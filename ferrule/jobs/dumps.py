@@ -230,12 +230,18 @@ def read_violations(spark, d):
     return rows.select("path", F.col("line_no").cast("long").alias("line_no"), "priority", "rule")
 
 
+def _xml_dump(files: DataFrame, value: Column, documents: int = 16) -> str:
+    """The folder of XML files, each a document with some of ``files``."""
+    body = files.groupBy((F.col("l_partkey") % documents).cast("int").alias("d")).agg(F.array_join(F.sort_array(F.collect_list(value)), "\n").alias("b"))
+    return _dump(body.repartitionById(documents, "d"), _lines("<pmd>\n", F.col("b"), "\n</pmd>"))
+
+
 @_query("SELECT 'p & ' || l_partkey || '.java' AS path, CAST(l_suppkey AS INTEGER) AS line_no, CAST(1 + l_linenumber % 5 AS INTEGER) AS priority, 'Rule' || l_linestatus AS rule FROM lineitem WHERE l_linenumber <> 2")
 def read_violations_xml(spark, d):
     line = F.when(F.col("l_linenumber") == 2, "").otherwise(F.col("l_suppkey").cast("string"))
     item = _lines('<violation beginline="', line, '" endline="', F.col("l_suppkey") + 3, '" priority="', F.col("l_linenumber") % 5 + 1, '" rule="Rule', F.col("l_linestatus"), '">\nsays &lt;no&gt;\n</violation>')
     files = _table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_join(F.sort_array(F.collect_list(item)), "\n").alias("body"))
-    folder = _dump(files, _lines('<file name="p &amp; ', F.col("l_partkey"), '.java">\n', F.col("body"), "\n</file>"))
+    folder = _xml_dump(files, _lines('<file name="p &amp; ', F.col("l_partkey"), '.java">\n', F.col("body"), "\n</file>"))
     return logs.read_violations_xml(spark, folder, "p", "c").select("path", "line_no", "priority", "rule")
 
 
@@ -244,7 +250,7 @@ def warning_counts_xml(spark, d):
     line = F.when(F.col("l_linenumber") == 2, "").otherwise(F.col("l_suppkey").cast("string"))
     item = _lines('<violation beginline="', line, '" endline="1" priority="', F.col("l_linenumber") % 5 + 1, '" rule="r"/>')
     files = _table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("body"))
-    folder = _dump(files, _lines('<file name="p &amp; ', F.col("l_partkey"), '.java">', F.col("body"), "</file>"))
+    folder = _xml_dump(files, _lines('<file name="p &amp; ', F.col("l_partkey"), '.java">', F.col("body"), "</file>"))
     return warnings.warning_counts(logs.read_violations_xml(spark, folder, "p", "c"), ["path"], at_least_major=True)
 
 

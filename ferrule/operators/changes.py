@@ -253,7 +253,10 @@ def file_lineage(touches: DataFrame) -> DataFrame:
     order = [F.col("pos"), F.col("into")]
     sums = {"_begun": F.col("starts") + F.col("ends")}
     with Tables(touches.sparkSession) as tables:
-        numbered = running(own.unionByName(moved), ["project", "at"], F.col("time_stamp").cast("double"), order, sums, spread=F.col("pos"))
+        when = F.col("time_stamp")
+        if dict(touches.dtypes)["time_stamp"] in ("date", "timestamp", "timestamp_ntz"):
+            when = F.unix_micros(when.cast("timestamp"))
+        numbered = running(own.unionByName(moved), ["project", "at"], when, order, sums, spread=F.col("pos"))
         stretch = F.col("_begun") - F.col("ends")
         placed = tables.put(numbered.withColumn("name", F.concat_ws("#", "at", stretch.cast("string"))).drop("rank", "_begun"))
         key = [*KEY, "pos", "path", "new_path"]

@@ -162,7 +162,7 @@ def read_violations_xml(spark: SparkSession, path: str, project: str, commit_id:
     elements with ``beginline``, ``endline``, ``priority`` and ``rule``.
 
     A violation counts on its first line; one without a number for it or for its
-    priority is left out.  Elements are found wherever a file is split."""
+    priority is left out.  A file of XML has one root, as XML has."""
     one = "array<struct<_beginline: string, _endline: string, _priority: string, _rule: string, _VALUE: string>>"
     files = spark.read.format("xml").option("rowTag", "file").schema(f"_name string, violation {one}").load(path)
     rows = files.select(F.col("_name").alias("path"), F.explode("violation").alias("v"))
