@@ -61,9 +61,9 @@ def ancestors(spark, d):
 
 
 # files by their brand, touched by one of seven authors; each customer's orders are a graph of their own
-PAST = P + """, e AS (SELECT commit_id, one AS parent, true AS first FROM p WHERE one IS NOT NULL UNION ALL SELECT commit_id, two, false FROM p WHERE two IS NOT NULL AND commit_id % 3 = 0),
-f AS (SELECT l_orderkey AS commit_id, p_brand AS file, CAST(sum(CAST(l_quantity AS BIGINT)) - sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS net FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
-t AS (SELECT f.*, commit_id % 7 AS author, time_stamp FROM f JOIN c USING (commit_id)),
+PAST = P + """, e AS MATERIALIZED (SELECT commit_id, one AS parent, true AS first FROM p WHERE one IS NOT NULL UNION ALL SELECT commit_id, two, false FROM p WHERE two IS NOT NULL AND commit_id % 3 = 0),
+f AS MATERIALIZED (SELECT l_orderkey AS commit_id, p_brand AS file, CAST(sum(CAST(l_quantity AS BIGINT)) - sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS net FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+t AS MATERIALIZED (SELECT f.*, commit_id % 7 AS author, time_stamp FROM f JOIN c USING (commit_id)),
 tree AS (SELECT commit_id, parent FROM e WHERE first UNION SELECT tree.commit_id, e.parent FROM tree JOIN e ON e.commit_id = tree.parent AND e.first),
 r AS (SELECT commit_id, parent FROM e WHERE FOLLOWED UNION SELECT r.commit_id, e.parent FROM r JOIN e ON e.commit_id = r.parent AND FOLLOWED),
 d AS (SELECT x.commit_id, count(DISTINCT y.author) AS ndev, count(DISTINCT (y.author, y.time_stamp)) AS uses FROM t x JOIN r USING (commit_id) JOIN t y ON y.commit_id = r.parent AND y.file = x.file GROUP BY ALL),

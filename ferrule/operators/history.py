@@ -62,10 +62,12 @@ def history(touches: DataFrame, commits: DataFrame | None = None, edges: DataFra
         # a number for each (project, file), so that what follows joins by it
         placed = tables.put(placed)
         files = tables.put(placed.groupBy("project", "lineage").agg(F.count("*").alias("touches")).withColumn("file", F.monotonically_increasing_id()))
+        # a change's name is never null, so that joins by it are plain ones
+        change = F.concat(F.coalesce(F.col("time_stamp").cast("string"), F.lit("")), F.when(F.col("author").isNull(), "?").otherwise(F.concat(F.lit(":"), F.col("author").cast("string"))))
         # a commit's own touches are at odd places, right after what it brings in as a merge
-        own = tables.put(same_group(placed, files, ["project", "lineage"]).select("node", "file", "touches", "chain", (F.col("at") * 2 + 1).alias("at"), F.struct("author", "time_stamp").alias("change"), "net"))
+        own = tables.put(same_group(placed, files, ["project", "lineage"]).select("node", "file", "touches", "chain", (F.col("at") * 2 + 1).alias("at"), change.alias("change"), "author", F.col("time_stamp").cast("double").alias("time"), "net"))
         asked = _asked(own, lines)
-        all_ = own.select("node", "file", "chain", "at", "change")
+        all_ = own.select("file", "chain", "at", "change", "author", "time")
         if arrive is not None:
             all_ = all_.unionByName(_arrived(own, asked, arrive))
         # of what lies before a commit, only chains on which the file was touched
@@ -104,7 +106,7 @@ def _arrived(own: DataFrame, asked: DataFrame, arrive: DataFrame) -> DataFrame:
     ranges = arrive.select("from_chain", (F.col("low") * 2 + 1).alias("low"), (F.col("high") * 2 + 1).alias("high"), F.col("chain").alias("_by"), (F.col("at") * 2).alias("_place"))
     ranges = ranges.withColumn("_step", F.explode(F.sequence(F.floor((F.col("low") + 1) / STEP), cut("high"))))
     rows = own.withColumn("_step", cut("at")).join(ranges.withColumnRenamed("from_chain", "chain"), ["chain", "_step"]).where("at > low and at <= high")
-    rows = rows.select("node", "file", F.col("_by").alias("chain"), F.col("_place").alias("at"), "change")
+    rows = rows.select("file", F.col("_by").alias("chain"), F.col("_place").alias("at"), "change", "author", "time")
     return rows.join(asked.select("file", "chain").distinct(), ["file", "chain"], "left_semi")
 
 
@@ -127,14 +129,14 @@ def _lines_before(own: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _age(all_: DataFrame, asked: DataFrame, own: DataFrame) -> DataFrame:
-    found = latest(all_.select("file", "chain", "at", F.col("change.time_stamp").cast("double").alias("value")), asked, ["file", "chain"], "at")
+    found = latest(all_.select("file", "chain", "at", F.col("time").alias("value")), asked, ["file", "chain"], "at")
     last = found.groupBy("node", "file").agg(F.max("value").alias("value"))
-    rows = own.select("node", "file", F.col("change.time_stamp").cast("double").alias("_t")).join(last, ["node", "file"])
+    rows = own.select("node", "file", F.col("time").alias("_t")).join(last, ["node", "file"])
     return rows.groupBy("node").agg(F.sum((F.col("_t") - F.col("value")) / 86400.0).alias("days"))
 
 
 def _developers(all_: DataFrame, asked: DataFrame, lines: DataFrame | None) -> DataFrame:
-    first = _first_on_the_way(all_.select("file", F.col("change.author").alias("dev"), "chain", "at"), ["file", "dev"], lines)
+    first = _first_on_the_way(all_.select("file", F.col("author").alias("dev"), "chain", "at"), ["file", "dev"], lines)
     rows = asked.withColumnRenamed("at", "_upto").join(first, ["file", "chain"]).where("at <= _upto")
     # a null developer is one, too
     return rows.groupBy("node").agg(F.count_distinct(F.struct("dev")).alias("ndev"))
@@ -147,8 +149,9 @@ def _changes(tables: Tables, own: DataFrame, all_: DataFrame, asked: DataFrame,
     sets = sets.select("node", F.when(F.col("_n") == 1, F.array("_one")).otherwise(F.col("_hot")).alias("files"), "_n").where("size(files) > 0")
     name = F.when(F.size("files") == 1, F.col("files")[0].cast("string")).otherwise(F.sha2(F.array_join(F.transform("files", lambda f: f.cast("string")), ","), 256))
     sets = tables.put(sets.select("node", name.alias("set"), "files", "_n"))
-    members = sets.select("set", "files").distinct().select("set", F.explode("files").alias("file"))
-    events = all_.join(members, "file").select("set", "change", "chain", "at")
+    # a set's files, on the chains where one of its commits looks for them
+    members = sets.select("node", "set", F.explode("files").alias("file")).join(asked, ["node", "file"]).select("set", "file", "chain").distinct()
+    events = all_.join(members, ["file", "chain"]).select("set", "change", "chain", "at")
     first = tables.put(_first_on_the_way(events, ["set", "change"], lines))
     way = asked.select("node", "chain", "at").distinct()
     ask = way.join(sets.select("node", "set"), "node")
@@ -159,7 +162,7 @@ def _changes(tables: Tables, own: DataFrame, all_: DataFrame, asked: DataFrame,
     cold = asked.join(cold, ["node", "file"]).withColumnRenamed("at", "_upto")
     listed = cold.join(all_.select("file", "chain", "at", "change"), ["file", "chain"]).where("at <= _upto").select("node", "change").distinct()
     with_set = listed.join(sets.select("node", "set"), "node")
-    theirs = same_group(with_set, first, ["set", "change"]).join(way.withColumnRenamed("at", "_upto"), ["node", "chain"]).where("at <= _upto").select("node", "change").distinct()
-    left = same_group(listed, theirs, ["node", "change"], "left_anti").groupBy("node").agg(F.count("*").alias("_listed"))
+    theirs = with_set.join(first, ["set", "change"]).join(way.withColumnRenamed("at", "_upto"), ["node", "chain"]).where("at <= _upto").select("node", "change").distinct()
+    left = listed.join(theirs, ["node", "change"], "left_anti").groupBy("node").agg(F.count("*").alias("_listed"))
     both = own.select("node").distinct().join(counted, "node", "left").join(left, "node", "left")
     return both.select("node", (F.coalesce("_together", F.lit(0)) + F.coalesce("_listed", F.lit(0))).alias("uses"))
