@@ -127,15 +127,3 @@ def test_texts_of_shared_passages(docs_of):
     got = {tuple(r) for r in near_duplicates(docs_of(texts), block_shingles=2000, pilots=3).select("doc_id", "n_shingles", "component_id").collect()}
     assert got == brute(list(enumerate(texts)))
     assert len({c for *_, c in got}) > 50
-
-
-def test_work_on_shared_passages_follows_the_pairs(docs_of):
-    """Twice the documents of five of sixty passages: about twice the time, while pairs are few beside it."""
-    import time
-
-    took = []
-    for n in (500, 1000):
-        began = time.time()
-        assert near_duplicates(docs_of(passages(n, 2)), block_shingles=50_000).count() == n
-        took.append(time.time() - began)
-    assert took[1] < 2.5 * took[0] + 5
