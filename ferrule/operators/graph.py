@@ -179,6 +179,7 @@ def merged_in(tables: Tables, trees: DataFrame, lines: DataFrame, parents: DataF
     rows = tables.put(beyond.join(place, "source"))
     # what earlier merges on the way have brought in: the most of the same chain before this place
     ask = rows.select("source", "chain", "by", (F.col("place") - 1).alias("place")).unionByName(rows.join(lines.withColumnRenamed("chain", "by"), "by").select("source", "chain", F.col("above").alias("by"), F.col("upto").alias("place")))
+    ask = tables.put(ask)
     before = latest(rows.select("by", "chain", "place", F.col("high").alias("value")), ask, ["by", "chain"], "place")
     before = before.groupBy("source", "chain").agg(F.max("value").alias("_had"))
     rows = rows.join(before, ["source", "chain"], "left").withColumn("low", F.greatest("low", F.col("_had"))).where("high > low")

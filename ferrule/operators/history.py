@@ -48,7 +48,7 @@ def history(touches: DataFrame, commits: DataFrame | None = None, edges: DataFra
         raise ValueError(f"parents: {parents}")
     with Tables(touches.sparkSession) as tables:
         one = touches.groupBy(*KEY, "lineage").agg(F.min(F.struct("time_stamp", "pos", "author")).alias("t"), F.sum(F.col("added") - F.col("deleted")).alias("net"))
-        one = one.select(*KEY, "lineage", "t.author", "t.time_stamp", "t.pos", "net")
+        one = tables.put(one.select(*KEY, "lineage", "t.author", "t.time_stamp", "t.pos", "net"))
         lines = arrive = None
         if parents == "line":
             placed = _in_line(tables, one)
@@ -60,23 +60,24 @@ def history(touches: DataFrame, commits: DataFrame | None = None, edges: DataFra
             lines = lines.withColumn("upto", F.col("upto") * 2 + 1)
             placed = same_group(one, nodes, KEY).join(trees.select("node", "chain", "at"), "node")
         # a number for each (project, file), so that what follows joins by it
-        placed = tables.put(placed)
+        placed = tables.put(placed, one)
         files = tables.put(placed.groupBy("project", "lineage").agg(F.count("*").alias("touches")).withColumn("file", F.monotonically_increasing_id()))
         # a change's name is never null, so that joins by it are plain ones
         change = F.concat(F.coalesce(F.col("time_stamp").cast("string"), F.lit("")), F.when(F.col("author").isNull(), "?").otherwise(F.concat(F.lit(":"), F.col("author").cast("string"))))
         # a commit's own touches are at odd places, right after what it brings in as a merge
         own = tables.put(same_group(placed, files, ["project", "lineage"]).select("node", "file", "touches", "chain", (F.col("at") * 2 + 1).alias("at"), change.alias("change"), "author", F.col("time_stamp").cast("double").alias("time"), "net"))
-        asked = _asked(own, lines)
+        asked = tables.put(_asked(own, lines))
         all_ = own.select("file", "chain", "at", "change", "author", "time")
         if arrive is not None:
-            all_ = all_.unionByName(_arrived(own, asked, arrive))
+            all_ = tables.put(all_.unionByName(_arrived(own, asked, arrive)))
         # of what lies before a commit, only chains on which the file was touched
         there = all_.select("file", "chain").distinct()
-        asked = tables.put(asked.join(there, ["file", "chain"], "left_semi"))
-        all_ = tables.put(all_)
+        if lines is not None:
+            asked = tables.put(asked.join(there, ["file", "chain"], "left_semi"), asked)
         out = own.groupBy("node").agg(F.count("*").alias("nf"))
-        for part in (_lines_before(own, asked), _age(all_, asked, own), _developers(all_, asked, lines), _changes(tables, own, all_, asked, lines, hot)):
-            out = out.join(part, "node", "left")
+        # one by one, so that what is shuffled for a part is gone before the next
+        for part in (lambda: _lines_before(own, asked), lambda: _age(all_, asked, own), lambda: _developers(all_, asked, lines), lambda: _changes(tables, own, all_, asked, lines, hot)):
+            out = out.join(tables.put(part()), "node", "left")
         zero = F.lit(0).cast("long")
         out = out.select("node", F.coalesce("ndev", zero).alias("ndev"), (F.coalesce("uses", zero) / F.col("nf")).alias("nuc"), (F.coalesce("days", F.lit(0.0)) / F.col("nf")).alias("age"), (F.coalesce("lines", zero) / F.col("nf")).alias("lt"))
         names = placed.select("node", *KEY).distinct()
@@ -85,7 +86,7 @@ def history(touches: DataFrame, commits: DataFrame | None = None, edges: DataFra
 
 def _in_line(tables: Tables, one: DataFrame) -> DataFrame:
     """Touches with their commit's number and its place in the project's only chain."""
-    commits = one.groupBy(*KEY).agg(F.min(F.struct("time_stamp", "pos")).alias("t")).select(*KEY, "t.time_stamp", "t.pos")
+    commits = tables.put(one.groupBy(*KEY).agg(F.min(F.struct("time_stamp", "pos")).alias("t")).select(*KEY, "t.time_stamp", "t.pos"))
     order = running(commits, ["project"], F.col("time_stamp"), [F.col("pos"), F.col("commit_id")], {}, spread=F.col("pos"))
     order = tables.put(order.select(*KEY, F.lit(0).cast("long").alias("chain"), F.col("rank").alias("at"), F.monotonically_increasing_id().alias("node")))
     return same_group(one, order, KEY)
@@ -154,15 +155,19 @@ def _changes(tables: Tables, own: DataFrame, all_: DataFrame, asked: DataFrame,
     events = all_.join(members, ["file", "chain"]).select("set", "change", "chain", "at")
     first = tables.put(_first_on_the_way(events, ["set", "change"], lines))
     way = asked.select("node", "chain", "at").distinct()
-    ask = way.join(sets.select("node", "set"), "node")
+    ask = tables.put(way.join(sets.select("node", "set"), "node"))
     counted = latest(first.select("set", "chain", "at", F.lit(1).cast("long").alias("n")), ask, ["set", "chain"], "at", {"n": F.col("n")}).groupBy("node").agg(F.sum("n").alias("_together"))
+    counted = tables.put(counted, ask)
     # the other files' changes, one by one, without those that the set has, too
     single = sets.where("_n = 1").select("node")
     cold = own.where(F.col("touches") <= hot).select("node", "file").join(single, "node", "left_anti")
     cold = asked.join(cold, ["node", "file"]).withColumnRenamed("at", "_upto")
-    listed = cold.join(all_.select("file", "chain", "at", "change"), ["file", "chain"]).where("at <= _upto").select("node", "change").distinct()
-    with_set = listed.join(sets.select("node", "set"), "node")
-    theirs = with_set.join(first, ["set", "change"]).join(way.withColumnRenamed("at", "_upto"), ["node", "chain"]).where("at <= _upto").select("node", "change").distinct()
+    listed = cold.join(all_.select("file", "chain", "at", "change"), ["file", "chain"]).where("at <= _upto").select("node", "change")
+    # of most commits no file is hot, and theirs need no more than counting
+    plain = listed.join(sets.select("node"), "node", "left_anti").groupBy("node").agg(F.size(F.collect_set("change")).cast("long").alias("_listed"))
+    listed = tables.put(listed.join(sets.select("node", "set"), "node").distinct())
+    theirs = listed.join(first, ["set", "change"]).join(way.withColumnRenamed("at", "_upto"), ["node", "chain"]).where("at <= _upto").select("node", "change").distinct()
     left = listed.join(theirs, ["node", "change"], "left_anti").groupBy("node").agg(F.count("*").alias("_listed"))
+    left = tables.put(left, listed).unionByName(tables.put(plain))
     both = own.select("node").distinct().join(counted, "node", "left").join(left, "node", "left")
     return both.select("node", (F.coalesce("_together", F.lit(0)) + F.coalesce("_listed", F.lit(0))).alias("uses"))
