@@ -117,3 +117,13 @@ def test_large_arrow_batches(spark):
 def test_no_rows(docs_of):
     assert katz_scores(docs_of([])).count() == 0
     assert katz_scores(docs_of(["a", "b"]), mod=1, held=0).count() == 2
+
+
+def test_query_takes_the_operators_order(monkeypatch):
+    from ferrule.llm import katz, queries
+
+    seen = {}
+    monkeypatch.setattr(queries, "_table", lambda *_: None)
+    monkeypatch.setattr(katz, "katz_scores", lambda docs, **more: seen.update(more))
+    queries.op10_katz(None, "")
+    assert seen.get("order", 3) == 3
