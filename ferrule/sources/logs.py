@@ -59,6 +59,8 @@ def read_namestat(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("project", "commit_id", F.lit(None).cast("string").alias("base_commit"), F.col("f.old").alias("modified_path"), F.col("f.new").alias("current_path"), "f.change_type").where("change_type is not null")
 
 
+#: Lines of a dump of merges that are ordered together.
+BLOCK = 16384
 MERGE = r"^([0-9a-f]{40}) \(from ([0-9a-f]{40})\)"
 
 
@@ -70,12 +72,15 @@ def _merge_lines(spark: SparkSession, path: str, all_parents: bool) -> DataFrame
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), _project().alias("project"), F.monotonically_increasing_id().alias("row"))
     part = lambda i: F.regexp_extract("value", MERGE, i)
     rows = raw.withColumn("head", F.when(part(1) != "", F.struct(F.col("split"), F.col("row"), part(1).alias("commit_id"), part(2).alias("base_commit"))))
-    # rows of a split are numbered in its order
-    last = rows.groupBy("file", "split").agg(F.max("head").alias("_last"))
-    carried = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.select("file", "split", F.max("_last").over(carried).alias("_before"))
-    here = Window.partitionBy("file", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(last, ["file", "split"]).withColumn("head", F.coalesce(F.max("head").over(here), "_before"))
+    rows = rows.where(F.col("head").isNotNull() | F.col("value").contains("\t"))
+    # rows of a split are numbered in its order; a block of them is what one window holds
+    block = ["file", "split", "block"]
+    rows = rows.withColumn("block", F.floor(F.col("row") / BLOCK))
+    last = rows.groupBy(*block).agg(F.max("head").alias("_last"))
+    carried = Window.partitionBy("file").orderBy("split", "block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*block, F.max("_last").over(carried).alias("_before"))
+    here = Window.partitionBy(*block).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(last, block).withColumn("head", F.coalesce(F.max("head").over(here), "_before"))
     rows = rows.where(F.col("head").isNotNull() & F.col("value").contains("\t") & ~F.col("value").rlike(MERGE))
     if not all_parents:
         final = rows.groupBy("project", "head.commit_id").agg(F.max(F.struct("file", "head")).alias("_final"))

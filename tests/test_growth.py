@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import effort, running
 from ferrule.operators.shared import Tables
+from ferrule.sources import logs
 
 
 @pytest.fixture
@@ -73,3 +74,15 @@ def test_first_by_hash(spark):
         got = [(r.g, r.id) for r in effort.first_by_hash(tables, df, ["g"], "id", limits, 1).collect()]
     of = lambda g: [i for _, i in sorted(groups[g, 0] + groups[g, 1])]
     assert sorted(got) == sorted([("a", of("a")[0])] + [("b", i) for i in of("b")])
+
+
+@pytest.mark.parametrize("all_parents", [True, False])
+def test_blocks_of_merges(spark, tmp_path, monkeypatch, all_parents):
+    """A merge's lines may lie in many blocks of lines, none of which one window holds whole."""
+    (tmp_path / "p").mkdir()
+    merges = [(f"{k:040x}", f"{k + b:040x}", b) for k in (1, 5) for b in (1, 2)]
+    text = "".join(f"{m} (from {base}) merge\n\n" + "".join(f"M\tf{b}-{i}\n" for i in range(50)) for m, base, b in merges)
+    (tmp_path / "p" / "dump").write_text(text)
+    monkeypatch.setattr(logs, "BLOCK", 7)
+    got = sorted((r.commit_id, r.base_commit, r.modified_path) for r in logs.read_merge_kinds(spark, str(tmp_path / "p"), all_parents).collect())
+    assert got == sorted((m, base, f"f{b}-{i}") for m, base, b in merges if all_parents or b == 2 for i in range(50))
