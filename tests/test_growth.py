@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import effort, running
+from ferrule.operators import effort, running, stats
 from ferrule.operators.shared import Tables
 from ferrule.sources import logs
 
@@ -76,6 +76,16 @@ def test_first_by_hash(spark):
     assert sorted(got) == sorted([("a", of("a")[0])] + [("b", i) for i in of("b")])
 
 
+def test_rounds_of_a_fit(spark):
+    """With next to no penalty the likelihood's rounding is no reason to halve a step."""
+    df = spark.range(0, 240_000, 1, 4).selectExpr("if(id % 61 = 0, null, id % 61) grp", "floor(60 * rand(3)) a", "floor(20 * rand(1)) b", "cast(60 * rand(3) + (4 + id % 61 / 2) * randn(2) > 30 as int) y")
+    # sums in whole tasks or in rounds
+    whole, parts = ({r.grp: r for r in stats.fit_logistic(df, ["grp"], ["a", "b"], "y", c=1e6, rounds=14, most_rows=n).collect()} for n in (10**9, 0))
+    assert len(whole) == 61 and whole.keys() == parts.keys()
+    for g in whole:
+        assert whole[g].settled and parts[g].settled and parts[g].weights == pytest.approx(whole[g].weights, abs=1e-7)
+
+
 @pytest.mark.parametrize("all_parents", [True, False])
 def test_blocks_of_merges(spark, tmp_path, monkeypatch, all_parents):
     """A merge's lines may lie in many blocks of lines, none of which one window holds whole."""
