@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.jobs.bindings import CH, C, _changes, _commits, _query, _rounded, _table
+from ferrule.jobs.bindings import CH, C, _changes, _commits, _dealt, _query, _rounded, _table
 from ferrule.operators import changes, graph, warnings
 from ferrule.operators.history import history
 from ferrule.operators.shared import shared_folder
@@ -21,10 +21,10 @@ def _h(x: str) -> str:
     return f"(md5(CAST({x} AS VARCHAR)) || left(md5(CAST({x} AS VARCHAR)), 8))"
 
 
-def _dump(rows: DataFrame, value: Column) -> str:
+def _dump(rows: DataFrame, value: Column, compression: str = "none") -> str:
     """The folder of text files that hold ``value`` of each row; its name is the project's."""
     folder = shared_folder(rows.sparkSession) + "/dump"
-    rows.select(value.alias("value")).write.text(folder)
+    rows.select(value.alias("value")).write.text(folder, compression=compression)
     return folder
 
 
@@ -184,7 +184,10 @@ b AS (SELECT *, {BODY} AS body FROM d)"""
 def _diffs(spark: SparkSession, d: str) -> DataFrame:
     ext = F.element_at(F.array(*[F.lit(x) for x in (".c", ".h", ".cpp", ".sh")]), (F.col("l_partkey") % 4 + 1).cast("int"))
     q, n = F.col("q"), F.col("l_linenumber")
-    rows = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.concat(F.lit("src dir/"), F.col("l_partkey").cast("string"), ext).alias("path"), "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
+    items = _table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    # line items are dealt by order before text is made of them: grouping by file and by commit needs no further shuffle
+    items = _dealt(items, items.count(), "l_orderkey")
+    rows = items.select(F.col("l_orderkey").alias("commit_id"), F.concat(F.lit("src dir/"), F.col("l_partkey").cast("string"), ext).alias("path"), "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
     body = _lines(
         "@@ -", n, " +", n + 1, " @@\n+goto end", n, " ;\n", F.repeat(_lines("+a[", n, "]++;\n"), (q % 4).cast("int")), F.repeat(F.lit("-*p = **q--;\n"), (n % 3).cast("int")),
         "+x = realloc(y); z = calloc(1); w = malloc(2); free(w); // goto out;\n", F.when(q % 2 == 0, "-/* malloc(\n-*/ ***r;\n").otherwise(""),
@@ -192,7 +195,8 @@ def _diffs(spark: SparkSession, d: str) -> DataFrame:
     files = rows.groupBy("commit_id", "path").agg(F.array_join(F.sort_array(F.collect_list(body)), "").alias("hunks"))
     part = _lines("diff --git a/", F.col("path"), " b/", F.col("path"), "\n--- a/", F.col("path"), "\n+++ b/", F.col("path"), "\n", F.col("hunks"))
     texts = files.groupBy("commit_id").agg(F.array_join(F.sort_array(F.collect_list(part)), "").alias("text"))
-    return logs.read_diffs(spark, _dump(texts, _lines("commit: ", _hash("commit_id"), "\n", F.col("text"))))
+    # a file holds the diffs of one part, so files that are read whole do not grow with the table
+    return logs.read_diffs(spark, _dump(texts, _lines("commit: ", _hash("commit_id"), "\n", F.col("text")), "gzip"))
 
 
 @_query(f"""WITH {D}, l AS (SELECT commit_id, path, l_linenumber, unnest(string_split(body, chr(10))[2:]) AS line, generate_subscripts(string_split(body, chr(10))[2:], 1) AS i, body FROM b),

@@ -7,10 +7,13 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule.jobs import bindings, dumps
 from ferrule.operators import effort, running, stats
 from ferrule.operators.shared import Tables
 from ferrule.sources import logs
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture
 def unaided(spark):
@@ -96,3 +99,26 @@ def test_blocks_of_merges(spark, tmp_path, monkeypatch, all_parents):
     monkeypatch.setattr(logs, "BLOCK", 7)
     got = sorted((r.commit_id, r.base_commit, r.modified_path) for r in logs.read_merge_kinds(spark, str(tmp_path / "p"), all_parents).collect())
     assert got == sorted((m, base, f"f{b}-{i}") for m, base, b in merges if all_parents or b == 2 for i in range(50))
+
+
+def test_parts_follow_rows(spark, monkeypatch):
+    """A task's share of the changes does not grow with the table."""
+    assert bindings._changes(spark, SF).rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(bindings, "TASK_ROWS", 500)
+    items = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert bindings._changes(spark, SF).rdd.getNumPartitions() == -(-items // 500) > 4
+
+
+def test_diffs_are_dealt_before_they_are_text(unaided, monkeypatch):
+    """Line items are shuffled once, as they are, and the dump is compressed."""
+    plans, dump = [], dumps._dump
+
+    def seen(rows, value, *compression):
+        plans.append(plan_of(rows))
+        out = dump(rows, value, *compression)
+        plans.append(unaided.read.text(out).inputFiles())
+        return out
+
+    monkeypatch.setattr(dumps, "_dump", seen)
+    dumps._diffs(unaided, SF)
+    assert plans[0].count("Exchange") == 1 and plans[1] and all(f.endswith(".gz") for f in plans[1])
