@@ -114,7 +114,7 @@ def _numbers_line() -> Column:
 
 
 def _numbers(spark: SparkSession, d: str) -> DataFrame:
-    return logs.read_numstat(spark, _dump(_blocks(_stats(spark, d), _lines("commit: ", _hash("commit_id")), _numbers_line(), ["commit_id"]), F.col("value")))
+    return logs.read_numstat(spark, _dump(_blocks(_stats(spark, d), _lines("commit: ", _hash("commit_id")), _numbers_line(), ["commit_id"]), F.col("value"), "gzip"))
 
 
 def _kinds_line() -> Column:
@@ -123,7 +123,7 @@ def _kinds_line() -> Column:
 
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
-    return logs.read_namestat(spark, _dump(_blocks(_stats(spark, d), _lines("commit: ", _hash("commit_id")), _kinds_line(), ["commit_id"]), F.col("value")))
+    return logs.read_namestat(spark, _dump(_blocks(_stats(spark, d), _lines("commit: ", _hash("commit_id")), _kinds_line(), ["commit_id"]), F.col("value"), "gzip"))
 
 
 NUMBERS = f"{_h('commit_id')} AS commit_id, path AS modified_path, CASE WHEN ren THEN other END AS current_path, CASE WHEN bin THEN 0 ELSE added END AS added, CASE WHEN bin THEN 0 ELSE deleted END AS deleted"

@@ -122,3 +122,5 @@ def test_diffs_are_dealt_before_they_are_text(unaided, monkeypatch):
     monkeypatch.setattr(dumps, "_dump", seen)
     dumps._diffs(unaided, SF)
     assert plans[0].count("Exchange") == 1 and plans[1] and all(f.endswith(".gz") for f in plans[1])
+    dumps._numbers(unaided, SF), dumps._kinds(unaided, SF)
+    assert all(f.endswith(".gz") for f in plans[3] + plans[5])
