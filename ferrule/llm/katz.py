@@ -2,14 +2,17 @@
 
 A batch is the words of some documents as numbers.  Each order is one exchange:
 a batch sends its distinct n-grams to slots by their context, and a slot counts
-them (training) or looks them up (scoring).  Counts and backoff weights are
-tables of such slots in the shared folder.
+them and answers with what it has counted.  Texts that are scored, but not
+trained on, send theirs along, so each n-gram travels once.  For a model that
+scores other tables, counts and backoff weights are tables of such slots in the
+shared folder, in which a slot looks up what is asked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ END, START = np.uint64(0xE4D), np.uint64(0x57A87)
 K = 5
 #: Added to each context's count, so that some mass for unseen words is always left.
 FLOOR = 0.01
+#: Bytes of text of a batch, and parts in which n-grams of three words or more travel, so that fewer are on disk at once.
+BATCH, TURNS = 3 << 20, 2
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 #: Slots of statistics, and kinds of rows (in the place of a batch's number).
 STATS, HOT = -1, -2
@@ -61,17 +66,6 @@ class Unigrams:
         return np.where(c > 0, self.d[np.minimum(c, K + 1) % (K + 1)] * c / (self.n + FLOOR), self.unseen)
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """40 bits of each hash, enough to tell the words apart that follow one context."""
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :5].copy()
-
-
-def _long(short: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(short), 8), np.uint8)
-    out[:, :5] = short
-    return out.view(np.uint64).ravel()
-
-
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes, the end of each text included, and how many each text has."""
     h, n = word_hashes(texts)
@@ -91,6 +85,15 @@ def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * _JOIN + word)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each value is, in the order of values, and which of these each is."""
+    order = np.argsort(x)
+    new = np.concatenate(([True], x[order[1:]] != x[order[:-1]]))
+    inv = np.empty(len(x), np.int64)
+    inv[order] = np.cumsum(new) - 1
+    return order[new], inv
+
+
 def _keys(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each token's k - 1 words before it, and of these with it; texts start with START as often as needed."""
     start, gram, context = np.full(1, START), h, h
@@ -102,21 +105,39 @@ def _keys(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return context, gram
 
 
+def _chance(c: np.ndarray, before: np.ndarray, d: np.ndarray, a: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """log10 chances of n-grams of count ``c``: a discounted share of the context's count, or what a shorter context gives."""
+    seen = np.log10(_share(np.maximum(c, 1), before, d))
+    return np.where(c > 0, seen, np.where(before > 0, a + low, low))
+
+
+def _share(c: np.ndarray, before: np.ndarray, d: np.ndarray) -> np.ndarray:
+    # d[0] is 1, as for counts beyond K
+    return d[np.minimum(c, K + 1) % (K + 1)] * c / (before + FLOOR)
+
+
 class Batch:
-    """A batch's state: what is known of its n-grams of ``level`` words."""
-
-    def __init__(self, facts: dict, uni: Unigrams, ends: int):
-        self.facts, self.level, n = facts, facts["level"], facts["n"]
-        self.h, self.first = facts["own"][facts["inv"]], np.cumsum(n) - n
-        c1 = facts["c1"][facts["inv"]].astype(np.int64)
-        if self.level == 1:
-            self.c, self.p = c1, np.log10(uni(c1))
-        else:
-            inv = np.unique(_keys(self.h, self.first, self.level)[1], return_inverse=True)[1]
-            self.c, self.p = facts["c"][inv].astype(np.int64), facts["p"][inv]
-        # how often the words before each token occur
-        self.before = np.concatenate((self.c[:1], self.c[:-1]))
-        self.before[self.first] = ends
+    """A batch's state: what is known of its n-grams of up to ``level`` words.
+
+    Facts are counts, and weights where there is no count; chances follow from them."""
+
+    def __init__(self, facts: dict, uni: Unigrams, ends: int, d: dict[int, np.ndarray]):
+        self.facts, self.level, n, self.ends = facts, facts["level"], facts["n"], ends
+        own = np.cumsum(facts["own"]).astype(np.uint64)
+        self.w, self.h, self.first = own[facts["inv"]], mix(own + _JOIN)[facts["inv"]], np.cumsum(n) - n
+        self.c = facts["c1"][facts["inv"]].astype(np.int64)
+        # under: how often the words before each token occur at this level, before: at the next
+        self.p, self.under, self.before = np.log10(uni(self.c)), None, self._preceding()
+        for k in range(2, self.level + 1):
+            inv = _distinct(_keys(self.h, self.first, k)[1])[1]
+            self.c = facts[f"c{k}"].astype(np.int64)[inv]
+            self.p = _chance(self.c, self.before, d[k], facts[f"a{k}"][inv], self.p)
+            self.under, self.before = self.before, self._preceding()
+
+    def _preceding(self) -> np.ndarray:
+        out = np.concatenate((self.c[:1], self.c[:-1]))
+        out[self.first] = self.ends
+        return out
 
     def grams(self, slots: int, share: int) -> Grams:
         return Grams(self, self.level + 1, slots, share)
@@ -127,12 +148,15 @@ class Grams:
 
     def __init__(self, of: Batch, k: int, slots: int, share: int):
         context, gram = _keys(of.h, of.first, k)
-        _, at, self.inv = np.unique(gram, return_index=True, return_inverse=True)
-        v, w, self.before, self.low, self.low_c = context[at], of.h[at], of.before[at], of.p[at], of.c[at]
+        at, self.inv = _distinct(gram)
+        v, w, self.before, self.low, self.low_c = context[at], of.w[at], of.before[at], of.p[at], of.c[at]
+        self.under = None if of.under is None else of.under[at]
         wide = self.before // share + 1
         self.hot = wide > 1
         slot = (_slot(mix(v), slots) + np.where(self.hot, (mix(w) % wide.astype(np.uint64)).astype(np.int64), 0)) % slots
-        self.order = np.lexsort((v, slot))
+        # by slot, then context; stable, as answers come back in this order
+        bits = np.uint64(int(slots).bit_length())
+        self.order = np.argsort((slot.astype(np.uint64) << (np.uint64(64) - bits)) | (mix(v) >> bits), kind="stable")
         self.cut = np.searchsorted(slot[self.order], np.arange(slots + 1))
         self.v, self.w = v, w
 
@@ -144,13 +168,18 @@ class Grams:
             yield s, part, np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
 
     def named(self, part: np.ndarray, edge: np.ndarray) -> dict:
-        return {"v": self.v[part][edge], "n": _small(np.diff(np.append(edge, len(part)))), "w": _short(self.w[part])}
+        return {"v": self.v[part][edge], "n": _small(np.diff(np.append(edge, len(part)))), "w": _small(self.w[part])}
 
 
-def _sequences(batch: int, ids: list, texts: list) -> Iterable[tuple[int, int, bytes]]:
+def _sequences(batch: int, ids: list, texts: list, trains: list) -> Iterable[tuple[int, int, bytes]]:
     h, n = _tokens(texts)
     own, inv = np.unique(h, return_inverse=True)
-    yield batch, FACTS, pack(ids=ids, n=n, own=own, inv=inv.astype(np.uint32))
+    yield batch, FACTS, pack(ids=ids, n=n, own=own, inv=inv.astype(np.uint32), trains=np.array(trains, bool))
+
+
+def _trained_on(facts: dict) -> np.ndarray:
+    """For each token, whether its text counts."""
+    return np.repeat(facts["trains"], facts["n"])
 
 
 def _each(rows: DataFrame, f: Callable[[int, dict], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
@@ -167,7 +196,7 @@ def _by_word(slots: int, counts: bool):
 
     def run(batch: int, x: dict) -> Iterable[tuple[int, int, bytes]]:
         cut = np.searchsorted(_slot(x["own"], slots), np.arange(slots + 1))
-        c = np.bincount(x["inv"], minlength=len(x["own"])) if counts else None
+        c = np.bincount(x["inv"], _trained_on(x), len(x["own"])).astype(np.int64) if counts else None
         for s in np.flatnonzero(np.diff(cut)).tolist():
             part = slice(cut[s], cut[s + 1])
             yield s, batch, pack(h=x["own"][part], **({"c": _small(c[part])} if counts else {}))
@@ -179,11 +208,26 @@ def _rates(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(c, K + 2), minlength=K + 3)[: K + 2]
 
 
-def _word_totals(slot: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int, int, bytes]]:
-    own, inv = np.unique(np.concatenate([x["h"] for _, x in rows]), return_inverse=True)
-    total = np.bincount(inv, np.concatenate([x["c"] for _, x in rows]), len(own)).astype(np.int64)
-    yield slot, WORDS, pack(h=own, c=_small(total))
-    yield STATS, slot, pack(n=int(total.sum()), v=len(own), r=_rates(total))
+def _word_totals(slots: int):
+    """Counts of a slot's words, and their numbers, by which they go from then on; words not trained on all have number 0."""
+
+    def run(slot: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int, int, bytes]]:
+        own, inv = np.unique(np.concatenate([x["h"] for _, x in rows]), return_inverse=True)
+        total = np.bincount(inv, np.concatenate([x["c"] for _, x in rows]), len(own)).astype(np.int64)
+        known = total > 0
+        yield STATS, slot, pack(n=int(total.sum()), v=int(known.sum()), r=_rates(total))
+        yield slot, WORDS, pack(h=own[known], c=_small(total[known]))
+        number, at = np.where(known, _number(np.cumsum(known) - 1, slot, slots), 0), 0
+        for batch, x in rows:
+            mine = inv[at : at + len(x["h"])]
+            at += len(mine)
+            yield batch, slot, pack(c=_small(total[mine]), w=_small(number[mine]))
+
+    return run
+
+
+def _number(at: np.ndarray, slot: int, slots: int) -> np.ndarray:
+    return at * slots + slot + 1
 
 
 def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
@@ -194,80 +238,111 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: fl
     return np.where(keys[at] == wanted, values[at], np.array(missing, values.dtype))
 
 
-def _word_answers(slot: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int, int, bytes]]:
-    table = next((x for kind, x in rows if kind == WORDS), {"h": np.zeros(0, np.uint64), "c": np.zeros(0, np.uint8)})
-    for batch, x in rows:
-        if batch >= 0:
-            yield batch, slot, pack(c=_small(_found(table["h"], table["c"].astype(np.int64), x["h"], 0)))
+def _word_answers(slots: int):
+    def run(slot: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int, int, bytes]]:
+        table = next((x for kind, x in rows if kind == WORDS), {"h": np.zeros(0, np.uint64), "c": np.zeros(0, np.uint8)})
+        number = _number(np.arange(len(table["h"])), slot, slots)
+        for batch, x in rows:
+            if batch >= 0:
+                yield batch, slot, pack(c=_small(_found(table["h"], table["c"].astype(np.int64), x["h"], 0)), w=_small(_found(table["h"], number, x["h"], 0)))
+
+    return run
 
 
 def _with_words(batch: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int, int, bytes]]:
     facts = next(x for kind, x in rows if kind == FACTS)
-    c = [x["c"] for kind, x in rows if kind >= 0]  # in the order of slots, which is that of the words
-    yield batch, FACTS, pack(**facts, level=1, c1=_small(np.concatenate(c)))
+    # in the order of slots, which is that of the words' hashes; numbers ascend in a slot, so their steps are small
+    c, w = (np.concatenate([x[name] for kind, x in rows if kind >= 0]) for name in ("c", "w"))
+    steps = np.diff(w.astype(np.int64), prepend=0)
+    yield batch, FACTS, pack(**(facts | {"own": steps.astype(np.int32) if len(w) and w.max() < 1 << 31 else steps}), level=1, c1=_small(c))
 
 
-def _counted(uni: Unigrams, ends: int, slots: int, share: int):
-    """A batch's n-grams one word longer than its state, with their counts and what a shorter context gives them."""
+def _counted(places: Places, turns: int, turn: int):
+    """A batch's n-grams one word longer than its state, with their counts and what a shorter context's chance follows from; those of one turn."""
 
     def run(batch: int, facts: dict) -> Iterable[tuple[int, int, bytes]]:
-        state = Batch(facts, uni, ends)
-        grams = state.grams(slots, share)
-        c = np.bincount(grams.inv)
-        low = grams.low_c.astype(np.uint32) if state.level == 1 else grams.low  # words' chances follow from their counts
+        state = Batch(facts, places.uni, places.ends, places.d)
+        grams = state.grams(places.slots, places.share)
+        c = np.bincount(grams.inv, _trained_on(facts)).astype(np.int64)
         for s, part, edge in grams.parts():
-            yield s, batch, pack(**grams.named(part, edge), hot=grams.hot[part][edge], c=_small(c[part]), low=low[part])
+            if s % turns == turn:
+                under = {} if grams.under is None else {"under": _small(grams.under[part][edge])}
+                yield s, batch, pack(**grams.named(part, edge), hot=grams.hot[part][edge], c=_small(c[part]), low=_small(grams.low_c[part]), **under)
 
     return run
 
 
-def _totals(uni: Unigrams, level: int):
-    """Counts of a slot's n-grams; for each context, how many words after it have count 1..K, and their chances by a shorter context."""
+def _totals(places: Places, level: int, tables: bool):
+    """Counts of a slot's n-grams; for each context, how many words after it have count 1..K, and their chances by a shorter context.
+
+    Each batch gets the counts of its n-grams, and of a context before one without a count what its weight will follow from."""
 
     def run(slot: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int, int, bytes]]:
         cat = lambda f: np.concatenate([f(x) for _, x in rows])
-        v, w, c, low = cat(lambda x: np.repeat(x["v"], x["n"])), cat(lambda x: _long(x["w"])), cat(lambda x: x["c"]), cat(lambda x: x["low"])
+        v, w, c, low = cat(lambda x: np.repeat(x["v"], x["n"])), cat(lambda x: x["w"]).astype(np.uint64), cat(lambda x: x["c"]), cat(lambda x: x["low"])
         hot = cat(lambda x: np.repeat(x["hot"], x["n"]))
         order = np.lexsort((w, v))
         v, w = v[order], w[order]
-        edge = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+        new = np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+        edge = np.flatnonzero(new)
         total = np.add.reduceat(c[order].astype(np.int64), edge)
         one, v, w = order[edge], v[edge], w[edge]
         yield STATS, slot, pack(r=_rates(total))
         starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         n = np.diff(np.append(starts, len(v)))
         at = np.repeat(np.arange(len(n)), n)
-        m = np.zeros((len(n), K + 1), np.int64)
-        few = total <= K
-        np.add.at(m, (at[few], total[few]), 1)
-        taken = np.bincount(at, uni(low[one].astype(np.int64)) if level == 2 else 10.0 ** low[one], len(n))
+        few = (total > 0) & (total <= K)
+        m = np.bincount(at[few] * (K + 1) + total[few], minlength=len(n) * (K + 1)).reshape(-1, K + 1)
+        low = low[one].astype(np.int64)
+        if level == 2:
+            chance = places.uni(low)
+        else:
+            chance = _share(low, cat(lambda x: np.repeat(x["under"], x["n"]))[one].astype(np.int64), places.d[level - 1])
+        taken = np.bincount(at, np.where(total > 0, chance, 0.0), len(n))
         whole, is_hot = np.add.reduceat(total, starts), hot[one][starts]
-        yield slot, GRAMS, pack(v=v[starts], n=_small(n), w=_short(w), c=_small(total))
-        yield slot, CONTEXTS, pack(m=m.astype(np.uint32), taken=taken, total=whole, hot=is_hot)
+        if tables:
+            yield slot, GRAMS, pack(v=v[starts], n=_small(n), w=_small(w), c=_small(total))
+            yield slot, CONTEXTS, pack(m=m.astype(np.uint32), taken=taken, total=whole, hot=is_hot)
         if is_hot.any():
             yield HOT, slot, pack(v=v[starts][is_hot], m=m[is_hot], taken=taken[is_hot], total=whole[is_hot])
+        rest = _log_rest(np.where(is_hot, 0.5, taken), whole)
+        place, i = np.empty(len(order), np.int64), 0
+        place[order] = np.cumsum(new) - 1
+        for batch, x in rows:
+            n = x["n"].astype(np.int64)
+            first = np.cumsum(n) - n
+            mine = place[i : i + int(n.sum())]
+            i += len(mine)
+            c, context = total[mine], at[mine[first]]
+            asked = (np.add.reduceat(c == 0, first) > 0) & (whole[context] > 0) & ~is_hot[context]
+            few = context[asked]
+            yield batch, slot, pack(c=_small(c), asked=np.packbits(asked), m=_small(m[few, 1:]), rest=rest[few])
 
     return run
 
 
-def _log_backoff(m: np.ndarray, taken: np.ndarray, total: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """What the discounts leave, over the mass of the words not seen after a context."""
-    rest = (1 - d) * np.arange(K + 1)
-    return np.log10(FLOOR + m @ rest) - np.log10(total + FLOOR) - np.log10(1 - taken)
+def _log_backoff(m: np.ndarray, rest: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What the discounts leave, over the mass of the words not seen after a context; the last columns of ``m`` do."""
+    left = ((1 - d) * np.arange(K + 1))[-m.shape[-1] :]
+    return np.log10(FLOOR + m @ left) - rest
+
+
+def _log_rest(taken: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.log10(total + FLOOR) + np.log10(1 - taken)
 
 
 def _weights(d: np.ndarray):
     def run(slot: int, x: dict) -> Iterable[tuple[int, int, bytes]]:
         # a context with several slots has its weight with the model's statistics
         whole = np.where(x["hot"], 0.5, x["taken"])
-        yield slot, BACKOFF, pack(a=_log_backoff(x["m"], whole, x["total"], d))
+        yield slot, BACKOFF, pack(a=_log_backoff(x["m"], _log_rest(whole, x["total"]), d))
 
     return run
 
 
-def _asked(uni: Unigrams, ends: int, slots: int, share: int):
+def _asked(places: Places):
     def run(batch: int, facts: dict) -> Iterable[tuple[int, int, bytes]]:
-        grams = Batch(facts, uni, ends).grams(slots, share)
+        grams = Batch(facts, places.uni, places.ends, places.d).grams(places.slots, places.share)
         for s, part, edge in grams.parts():
             yield s, batch, pack(**grams.named(part, edge))
 
@@ -279,56 +354,62 @@ def _answers(slot: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int, int
     table = dict(r for r in rows if r[0] in (GRAMS, BACKOFF))
     if table:
         g = table[GRAMS]
-        key = _joined(np.repeat(g["v"], g["n"]), _long(g["w"]))
+        key = _joined(np.repeat(g["v"], g["n"]), g["w"].astype(np.uint64))
         order = np.argsort(key)
         key, count, v, weight = key[order], g["c"].astype(np.int64)[order], g["v"], table[BACKOFF]["a"]
     else:
         key, count, v, weight = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)
     for batch, x in rows:
         if batch >= 0:
-            c = _found(key, count, _joined(np.repeat(x["v"], x["n"]), _long(x["w"])), 0)
+            c = _found(key, count, _joined(np.repeat(x["v"], x["n"]), x["w"].astype(np.uint64)), 0)
             n = x["n"].astype(np.int64)
             new = np.add.reduceat(c == 0, np.cumsum(n) - n) > 0
             yield batch, slot, pack(c=_small(c), a=np.where(new, _found(v, weight, x["v"], 0.0), 0.0))
 
 
-def _evaluated(uni: Unigrams, ends: int, slots: int, share: int, d: np.ndarray, hot: tuple[np.ndarray, np.ndarray]):
-    """The state one word longer: a count, and the chance that it or a shorter context gives."""
+def _evaluated(places: Places, k: int, hot: tuple[np.ndarray, np.ndarray]):
+    """The state's n-grams of ``k`` words: a count, the context's weight where there is none, and the chance that these give."""
 
-    def run(batch: int, rows: list[tuple[int, dict]]) -> tuple[dict, Batch, Grams, np.ndarray, np.ndarray]:
+    def run(batch: int, rows: list[tuple[int, dict]]) -> tuple[dict, Batch, Grams, np.ndarray, np.ndarray, np.ndarray]:
         facts = next(x for kind, x in rows if kind == FACTS)
         answers = {kind: x for kind, x in rows if kind >= 0}
-        state = Batch(facts, uni, ends)
-        grams = state.grams(slots, share)
+        state = Batch(facts, places.uni, places.ends, places.d)
+        grams = state.grams(places.slots, places.share)
         c, a = np.zeros(len(grams.v), np.int64), np.zeros(len(grams.v))
         for s, part, edge in grams.parts():
-            c[part] = answers[s]["c"]
-            a[part] = np.repeat(answers[s]["a"], np.diff(np.append(edge, len(part))))
-        a = np.where(grams.hot, _found(*hot, grams.v, 0.0), a)
-        seen = np.log10(d[np.minimum(c, K + 1) % (K + 1)] * np.maximum(c, 1) / (grams.before + FLOOR))
-        p = np.where(c > 0, seen, np.where(grams.before > 0, a + grams.low, grams.low))
-        return facts, state, grams, c, p
+            x = answers[s]
+            c[part] = x["c"]
+            if "a" in x:
+                weights = x["a"]
+            else:
+                weights = np.zeros(len(edge))
+                weights[np.unpackbits(x["asked"], count=len(edge)) > 0] = _log_backoff(x["m"], x["rest"], places.d[k])
+            a[part] = np.repeat(weights, np.diff(np.append(edge, len(part))))
+        a = np.where(c > 0, 0.0, np.where(grams.hot, _found(*hot, grams.v, 0.0), a))
+        return facts, state, grams, c, a, _chance(c, grams.before, places.d[k], a, grams.low)
 
     return run
 
 
 def _next_state(evaluate):
     def run(batch: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int, int, bytes]]:
-        facts, state, _, c, p = evaluate(batch, rows)
-        yield batch, FACTS, pack(**(facts | {"level": state.level + 1, "c": _small(c), "p": p}))
+        facts, state, _, c, a, _ = evaluate(batch, rows)
+        k = state.level + 1
+        yield batch, FACTS, pack(**(facts | {"level": k, f"c{k}": _small(c), f"a{k}": a}))
 
     return run
 
 
-def _sums(uni: Unigrams, ends: int, evaluate, schema: pa.Schema):
+def _sums(places: Places, evaluate, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uni = places.uni
         for batch, rows in groups(batches):
             if evaluate:
-                facts, state, grams, _, p = evaluate(batch, rows)
+                facts, state, grams, *_, p = evaluate(batch, rows)
                 p = p[grams.inv]
             else:
                 facts = next(x for kind, x in rows if kind == FACTS)
-                state = Batch(facts, uni, ends)
+                state = Batch(facts, uni, places.ends, places.d)
                 p = state.p
             c1 = facts["c1"][facts["inv"]].astype(np.int64)
             total = lambda x: np.add.reduceat(x, state.first)  # noqa: B023, E731
@@ -343,6 +424,18 @@ def _collected(table: DataFrame, kind: int) -> list[dict]:
     return [unpack(bytes(r.body)) for r in table.where(F.col("slot") == kind).select("body").toLocalIterator()]
 
 
+@dataclass
+class Places:
+    """What tasks need to know of a model: it decides where an n-gram is (a context's
+    count beyond a share of all is spread over slots), and chances by counts."""
+
+    uni: Unigrams
+    ends: int
+    slots: int
+    share: int
+    d: dict[int, np.ndarray]
+
+
 @dataclass
 class Model:
     """A trained model: tables of counts and backoff weights in the shared
@@ -352,79 +445,88 @@ class Model:
     slots: int
     uni: Unigrams
     ends: int
-    words: DataFrame
+    words: DataFrame | None
     grams: dict[int, DataFrame] = field(default_factory=dict)
     backoff: dict[int, DataFrame] = field(default_factory=dict)
     d: dict[int, np.ndarray] = field(default_factory=dict)
     hot: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @property
-    def places(self) -> tuple[Unigrams, int, int, int]:
-        """What decides where an n-gram is: a context's count beyond a share of all is spread over slots."""
-        return self.uni, self.ends, self.slots, max(1, self.uni.n // (2 * self.slots))
+    def places(self) -> Places:
+        return Places(self.uni, self.ends, self.slots, max(1, self.uni.n // (2 * self.slots)), self.d)
 
 
 def _batches(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The words of ``docs`` as written batches, so that all later steps see the same ones."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return saved_at(from_docs(rows, _sequences))
+    """The words of ``docs`` (doc_id, text, trains) as written batches, so that all later steps see the same ones."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), "trains")
+    return saved_at(from_docs(rows, _sequences, BATCH, ["trains"]))
 
 
-def _known_words(batches: DataFrame, model: Model) -> tuple[DataFrame, str]:
-    answers = exchange(_each(batches, _by_word(model.slots, False)).unionByName(model.words), _word_answers)
-    return saved_at(exchange(batches.unionByName(answers), _with_words))
+def _with_answers(state: DataFrame, path: str, tables: list[tuple[DataFrame, str]], f) -> tuple[DataFrame, str]:
+    """The next state of each batch by ``f``, from what ``tables`` answer; they and the state before go."""
+    after, now = saved_at(exchange(_and_answers(state, tables), f))
+    for p in (path, *[p for _, p in tables]):
+        discard(state.sparkSession, p)
+    return after, now
 
 
-def _asked_and_answered(state: DataFrame, model: Model, k: int) -> tuple[DataFrame, str]:
-    return saved_at(exchange(_each(state, _asked(*model.places)).unionByName(model.grams[k]).unionByName(model.backoff[k]), _answers))
+def _and_answers(state: DataFrame, tables: list[tuple[DataFrame, str]]) -> DataFrame:
+    for t, _ in tables:
+        state = state.unionByName(t.where("slot >= 0 and batch >= 0"))
+    return state
 
 
-def fit(docs: DataFrame, order: int = 3) -> Model:
-    """Train a model of ``order`` words on every text of ``docs`` (doc_id, text).
-
-    Counts are discounted after Good and Turing, each order by its own counts of
-    counts.  A context's backoff weight is what the discounts leave over the
-    mass of the words not seen after it, so each context's chances sum to one.
-    All counts stay in tables of slots in the shared folder; the driver gets
-    counts of counts, and the weights of the contexts that are spread over
-    several slots, of which there are fewer than twice as many as slots.
-    """
-    spark, slots = docs.sparkSession, parallelism(docs) * SPREAD
+def _train(docs: DataFrame, order: int, tables: bool) -> tuple[Model, DataFrame, list[tuple[DataFrame, str]]]:
+    """A model of the texts of ``docs`` that are marked as ``trains``; the state of all
+    of them, but for the last order, whose answers come with it (none for order 1)."""
+    slots = parallelism(docs) * SPREAD
     batches, path = _batches(docs)
-    table = saved(exchange(_each(batches, _by_word(slots, True)), _word_totals))
+    table, there = saved_at(exchange(_each(batches, _by_word(slots, True)), _word_totals(slots)))
     stats = _collected(table, STATS)
     uni = Unigrams(sum(s["n"] for s in stats), sum(s["v"] for s in stats), sum((s["r"] for s in stats), np.zeros(K + 2)))
-    model = Model(order, slots, uni, docs.count(), table.where(F.col("batch") == WORDS))
-    if order == 1:
-        discard(spark, path)
-        return model
-    state, now = _known_words(batches, model)
-    discard(spark, path)
+    words = saved(table.where(F.col("batch") == WORDS)) if tables else None
+    model = Model(order, slots, uni, docs.where("trains").count(), words)
+    state, now = _with_answers(batches, path, [(table, there)], _with_words)
+    found: list[tuple[DataFrame, str]] = []
     for k in range(2, order + 1):
-        table = saved(exchange(_each(state, _counted(*model.places)), _totals(uni, k)))
-        d = discounts(sum((s["r"] for s in _collected(table, STATS)), np.zeros(K + 2)))
+        turns = 1 if k == 2 else TURNS
+        found = [saved_at(exchange(_each(state, _counted(model.places, turns, t)), _totals(model.places, k, tables))) for t in range(turns)]
+        d = discounts(sum((s["r"] for t, _ in found for s in _collected(t, STATS)), np.zeros(K + 2)))
         sums: dict[int, list] = {}
-        for x in _collected(table, HOT):
+        for x in (x for t, _ in found for x in _collected(t, HOT)):
             for v, *parts in zip(x["v"].tolist(), x["m"], x["taken"], x["total"], strict=True):
                 sums[v] = [a + b for a, b in zip(sums.get(v, (0, 0.0, 0)), parts, strict=True)]
         hot = sorted(sums)
         m, taken, total = (np.array([sums[v][i] for v in hot]) for i in range(3))
-        model.d[k], model.hot[k] = d, (np.array(hot, np.uint64), _log_backoff(m, taken, total, d) if hot else np.zeros(0))
-        model.grams[k] = table.where(F.col("batch") == GRAMS)
-        model.backoff[k] = saved(_each(table.where(F.col("batch") == CONTEXTS), _weights(d)))
+        model.d[k], model.hot[k] = d, (np.array(hot, np.uint64), _log_backoff(m, _log_rest(taken, total), d) if hot else np.zeros(0))
+        if tables:
+            kind = lambda x: reduce(DataFrame.unionByName, [t.where(F.col("batch") == x) for t, _ in found])  # noqa: B023, E731
+            model.grams[k], model.backoff[k] = saved(kind(GRAMS)), saved(_each(kind(CONTEXTS), _weights(d)))
         if k < order:
-            state, now = _evaluate(state, now, model, k)
-    discard(spark, now)
-    return model
+            state, now = _with_answers(state, now, found, _next_state(_evaluated(model.places, k, model.hot[k])))
+    return model, state, found
 
 
-def _evaluate(state: DataFrame, path: str, model: Model, k: int) -> tuple[DataFrame, str]:
-    spark = state.sparkSession
-    answers, there = _asked_and_answered(state, model, k)
-    after, now = saved_at(exchange(state.unionByName(answers), _next_state(_evaluated(*model.places, model.d[k], model.hot[k]))))
-    discard(spark, there)
-    discard(spark, path)
-    return after, now
+def _known_words(batches: DataFrame, path: str, model: Model) -> tuple[DataFrame, str]:
+    answers = saved_at(exchange(_each(batches, _by_word(model.slots, False)).unionByName(model.words), _word_answers(model.slots)))
+    return _with_answers(batches, path, [answers], _with_words)
+
+
+def _asked_and_answered(state: DataFrame, model: Model, k: int) -> list[tuple[DataFrame, str]]:
+    return [saved_at(exchange(_each(state, _asked(model.places)).unionByName(model.grams[k]).unionByName(model.backoff[k]), _answers))]
+
+
+def fit(docs: DataFrame, order: int = 3) -> Model:
+    """Train a model of ``order`` words on every text of ``docs`` (doc_id, text).
+
+    Counts are discounted after Good and Turing, each order by its own counts of
+    counts.  A context's backoff weight is what the discounts leave over the
+    mass of the words not seen after it, so each context's chances sum to one.
+    All counts stay in tables of slots in the shared folder; the driver gets
+    counts of counts, and the weights of the contexts that are spread over
+    several slots, of which there are fewer than twice as many as slots.
+    """
+    return _train(docs.withColumn("trains", F.lit(True)), order, True)[0]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -433,31 +535,31 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Orders are evaluated one after another, each from the one before: an n-gram
     with a count has its discounted share of its context; one without has the
     shorter one's chance, times the context's weight if the context is known."""
+    state, now = _known_words(*_batches(docs.withColumn("trains", F.lit(False))), model)
+    for k in range(2, model.order):
+        state, now = _with_answers(state, now, _asked_and_answered(state, model, k), _next_state(_evaluated(model.places, k, model.hot[k])))
+    return _scored(model, state, _asked_and_answered(state, model, model.order) if model.order > 1 else [])
+
+
+def _scored(model: Model, state: DataFrame, answers: list[tuple[DataFrame, str]]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    spark, schema = docs.sparkSession, to_arrow_schema(StructType.fromDDL(SCORES))
-    batches, path = _batches(docs)
-    state, now = _known_words(batches, model)
-    discard(spark, path)
-    for k in range(2, model.order):
-        state, now = _evaluate(state, now, model, k)
-    evaluate, rows = None, state
-    if model.order > 1:
-        evaluate = _evaluated(*model.places, model.d[model.order], model.hot[model.order])
-        rows = state.unionByName(_asked_and_answered(state, model, model.order)[0])
-    return deal(rows).mapInArrow(_sums(model.uni, model.ends, evaluate, schema), SCORES)
+    schema = to_arrow_schema(StructType.fromDDL(SCORES))
+    evaluate = _evaluated(model.places, model.order, model.hot[model.order]) if model.order > 1 else None
+    return deal(_and_answers(state, answers)).mapInArrow(_sums(model.places, evaluate, schema), SCORES)
 
 
 @tidy
 def katz_scores(docs: DataFrame, mod: int = 5, held: int = 1, order: int = 3) -> DataFrame:
-    """``score`` of every text of ``docs`` (doc_id, text) under a model of those
-    whose crc32(doc_id as text) mod ``mod`` is not ``held``, with held_out.
+    """What ``score`` gives for every text of ``docs`` (doc_id, text) under a model of those
+    whose crc32(doc_id as text) mod ``mod`` is not ``held``, with held_out.  Counting
+    and looking up are one exchange an order, and no table of counts is kept.
 
     Tokens are the words (split at white space, A-Z lower-cased) and one end.
     Null or empty texts are an end alone; a long text is scored whole.  Repeated
     rows count and are scored each; a null doc_id counts as the text ''.  No
     rows give no rows; other columns of ``docs`` play no part.
     """
-    scored = score(docs, fit(docs.where(learns("doc_id", mod, held)), order))
+    scored = _scored(*_train(docs.withColumn("trains", learns("doc_id", mod, held)), order, False))
     return scored.select("doc_id", (~learns("doc_id", mod, held)).alias("held_out"), *[c.split()[0] for c in SCORES.split(", ")[1:]])

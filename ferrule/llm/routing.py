@@ -8,7 +8,7 @@ what it has for one key range (a slot) into arrays, and Spark shuffles those.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +60,13 @@ def emit(rows: Iterable[tuple[int, int, bytes]], most: int = 8 << 20) -> Iterato
         yield as_batch(ARROW, zip(*held, strict=True))
 
 
-def from_docs(docs: DataFrame, f: Callable[[int, list, list], Iterable[tuple[int, int, bytes]]], text_bytes: int = 10 << 20) -> DataFrame:
+def from_docs(docs: DataFrame, f: Callable[..., Iterable[tuple[int, int, bytes]]], text_bytes: int = 10 << 20, more: Sequence[str] = ()) -> DataFrame:
     """Packed rows from ``f(batch number, ids, texts)`` over batches of ``docs``
-    (doc_id, text).  The number is made of the partition's and a count, so the
+    (doc_id, text); values of the columns ``more`` follow the texts.  The number is made of the partition's and a count, so the
     same scan gives the same numbers again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ids, texts, size = None, [], [], 0
+        n, ids, texts, size, others = None, [], [], 0, [[] for _ in more]
         # slices of few rows, so that a batch stays below MOST_DOCS however many rows Arrow hands over
         for whole in small_batches(batches, "text", 2 << 20):
             for b in (whole.slice(at, 8192) for at in range(0, whole.num_rows, 8192)):
@@ -74,14 +74,16 @@ def from_docs(docs: DataFrame, f: Callable[[int, list, list], Iterable[tuple[int
                 ids += b.column("doc_id").to_pylist()
                 texts += b.column("text").to_pylist()
                 size += b.column("text").nbytes
+                for held, c in zip(others, more, strict=True):
+                    held += b.column(c).to_pylist()
                 if size > text_bytes or len(ids) > MOST_DOCS - 8192:
-                    yield from emit(f(n, ids, texts))
-                    n, ids, texts, size = n + 1, [], [], 0
+                    yield from emit(f(n, ids, texts, *others))
+                    n, ids, texts, size, others = n + 1, [], [], 0, [[] for _ in more]
         if ids:
-            yield from emit(f(n, ids, texts))
+            yield from emit(f(n, ids, texts, *others))
 
     # the number of the scan's own partition, which stays the same below a union
-    return docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("scan")).mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text", *more, F.spark_partition_id().cast("long").alias("scan")).mapInArrow(run, PACKED)
 
 
 def deal(rows: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -127,3 +127,22 @@ def test_query_takes_the_operators_order(monkeypatch):
     monkeypatch.setattr(katz, "katz_scores", lambda docs, **more: seen.update(more))
     queries.op10_katz(None, "")
     assert seen.get("order", 3) == 3
+
+
+def test_what_travels(sample, monkeypatch):
+    """Texts are read once; of an n-gram few bytes travel, and few stay with its batch."""
+    from ferrule.llm import katz
+
+    reads, sent, kept = [], [], []
+    from_docs, exchange, saved_at = katz.from_docs, katz.exchange, katz.saved_at
+    size = lambda df: sum(len(r.body) for r in df.where("slot >= 0").select("body").collect())
+
+    def seen(name, into, df, f):
+        into.append(size(df))
+        return f(df)
+
+    monkeypatch.setattr(katz, "from_docs", lambda *a, **k: reads.append(1) or from_docs(*a, **k))
+    monkeypatch.setattr(katz, "exchange", lambda rows, f: seen("sent", sent, rows, lambda r: exchange(r, f)))
+    monkeypatch.setattr(katz, "saved_at", lambda df: seen("kept", kept, df, saved_at))
+    n = sum(r.n_tokens for r in katz_scores(sample, order=3).collect())
+    assert len(reads) == 1 and max(sent) < 8 * n and max(kept) < 5 * n
