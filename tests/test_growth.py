@@ -124,3 +124,19 @@ def test_diffs_are_dealt_before_they_are_text(unaided, monkeypatch):
     assert plans[0].count("Exchange") == 1 and plans[1] and all(f.endswith(".gz") for f in plans[1])
     dumps._numbers(unaided, SF), dumps._kinds(unaided, SF)
     assert all(f.endswith(".gz") for f in plans[3] + plans[5])
+
+
+def test_rows_take_their_ranks_as_they_are(spark, monkeypatch):
+    """No row for each feature is shuffled; null and equal values, and a null group, are as before."""
+    plans, put = [], Tables.put
+    monkeypatch.setattr(Tables, "put", lambda self, df, *more: plans.append(plan_of(df)) or put(self, df, *more))
+    rows = [("g", k, float(k % 5), None if k % 4 == 0 else float(k % 3), None) for k in range(60)] + [(None, 99, 1.0, 2.0, None), ("none", 98, None, None, None)]
+    df = spark.createDataFrame(rows, "g string, id long, a double, b double, c double")
+    got = {(r.g, r.a, r.b): r.rho for r in stats.spearman_matrix(df, ["g"], "id", ["a", "b", "c"]).collect()}
+    mean = lambda v: {x: sum(y < x for y in v) + (v.count(x) + 1) / 2 for x in v}
+    of_a, of_b = mean([r[2] for r in rows[:60]]), mean([r[3] for r in rows[:60] if r[3] is not None])
+    x, y = zip(*[(of_a[r[2]], of_b[r[3]]) for r in rows[:60] if r[3] is not None])
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    rho = sum((p - mx) * (q - my) for p, q in zip(x, y)) / (sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y)) ** 0.5
+    assert got == {("g", "a", "b"): pytest.approx(rho), ("g", "a", "c"): None, ("g", "b", "c"): None}
+    assert plans and "id#" not in plans[-1] and plans[-1].count("Expand [") == 1
