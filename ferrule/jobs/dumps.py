@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.jobs.bindings import CH, C, _changes, _commits, _dealt, _query, _rounded, _table
+from ferrule.jobs.bindings import CH, C, TASK_ROWS, _changes, _commits, _dealt, _query, _rounded, _table
 from ferrule.operators import changes, graph, warnings
 from ferrule.operators.history import history
 from ferrule.operators.shared import shared_folder
@@ -234,8 +234,9 @@ def read_violations(spark, d):
     return rows.select("path", F.col("line_no").cast("long").alias("line_no"), "priority", "rule")
 
 
-def _xml_dump(files: DataFrame, value: Column, documents: int = 16) -> str:
-    """The folder of XML files, each a document with some of ``files``."""
+def _xml_dump(files: DataFrame, value: Column, items: int) -> str:
+    """The folder of XML files, each a document with some of ``files``, which have ``items`` in all: of at most TASK_ROWS items on average."""
+    documents = max(16, -(-items // TASK_ROWS))
     body = files.groupBy((F.col("l_partkey") % documents).cast("int").alias("d")).agg(F.array_join(F.sort_array(F.collect_list(value)), "\n").alias("b"))
     return _dump(body.repartitionById(documents, "d"), _lines("<pmd>\n", F.col("b"), "\n</pmd>"))
 
@@ -245,7 +246,7 @@ def read_violations_xml(spark, d):
     line = F.when(F.col("l_linenumber") == 2, "").otherwise(F.col("l_suppkey").cast("string"))
     item = _lines('<violation beginline="', line, '" endline="', F.col("l_suppkey") + 3, '" priority="', F.col("l_linenumber") % 5 + 1, '" rule="Rule', F.col("l_linestatus"), '">\nsays &lt;no&gt;\n</violation>')
     files = _table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_join(F.sort_array(F.collect_list(item)), "\n").alias("body"))
-    folder = _xml_dump(files, _lines('<file name="p &amp; ', F.col("l_partkey"), '.java">\n', F.col("body"), "\n</file>"))
+    folder = _xml_dump(files, _lines('<file name="p &amp; ', F.col("l_partkey"), '.java">\n', F.col("body"), "\n</file>"), _table(spark, d, "lineitem").count())
     return logs.read_violations_xml(spark, folder, "p", "c").select("path", "line_no", "priority", "rule")
 
 
@@ -254,7 +255,7 @@ def warning_counts_xml(spark, d):
     line = F.when(F.col("l_linenumber") == 2, "").otherwise(F.col("l_suppkey").cast("string"))
     item = _lines('<violation beginline="', line, '" endline="1" priority="', F.col("l_linenumber") % 5 + 1, '" rule="r"/>')
     files = _table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("body"))
-    folder = _xml_dump(files, _lines('<file name="p &amp; ', F.col("l_partkey"), '.java">', F.col("body"), "</file>"))
+    folder = _xml_dump(files, _lines('<file name="p &amp; ', F.col("l_partkey"), '.java">', F.col("body"), "</file>"), _table(spark, d, "lineitem").count())
     return warnings.warning_counts(logs.read_violations_xml(spark, folder, "p", "c"), ["path"], at_least_major=True)
 
 

@@ -140,3 +140,14 @@ def test_rows_take_their_ranks_as_they_are(spark, monkeypatch):
     rho = sum((p - mx) * (q - my) for p, q in zip(x, y)) / (sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y)) ** 0.5
     assert got == {("g", "a", "b"): pytest.approx(rho), ("g", "a", "c"): None, ("g", "b", "c"): None}
     assert plans and "id#" not in plans[-1] and plans[-1].count("Expand [") == 1
+
+
+def test_xml_documents_follow_rows(spark, monkeypatch):
+    """A document's share of the line items does not grow with the table."""
+    monkeypatch.setattr(dumps, "TASK_ROWS", 200)
+    folders, dump = [], dumps._dump
+    monkeypatch.setattr(dumps, "_dump", lambda *a: folders.append(dump(*a)) or folders[-1])
+    items = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert dumps.read_violations_xml(spark, SF).count() > 0 and dumps.warning_counts_xml(spark, SF).count() > 0
+    for folder in folders:
+        assert spark.read.text(folder).where("value = '<pmd>'").count() == -(-items // 200) > 16
