@@ -54,6 +54,11 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
+def _kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The discount of each count; d[0] is 1, as for counts beyond K."""
+    return np.append(d, d[0])[np.minimum(c, K + 1)]
+
+
 class Unigrams:
     """Discounted probabilities of words by their count; those of count 0 are one event."""
 
@@ -63,7 +68,7 @@ class Unigrams:
         self.unseen = left / (n + FLOOR)
 
     def __call__(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.d[np.minimum(c, K + 1) % (K + 1)] * c / (self.n + FLOOR), self.unseen)
+        return np.where(c > 0, _kept(c, self.d) * c / (self.n + FLOOR), self.unseen)
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +90,28 @@ def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * _JOIN + word)
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where one of each value is, in the order of values, and which of these each is."""
-    order = np.argsort(x)
-    new = np.concatenate(([True], x[order[1:]] != x[order[:-1]]))
-    inv = np.empty(len(x), np.int64)
-    inv[order] = np.cumsum(new) - 1
-    return order[new], inv
+def _sorted(key: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``key``, in which equal n-grams stand together, and where each of these begins."""
+    order = np.argsort(key)
+    k, g = key[order], gram[order]
+    new = g[1:] != g[:-1]
+    if (new & (k[1:] == k[:-1])).any():
+        # n-grams with one key: whichever others are sorted along, these have an order
+        order = np.lexsort((gram, key))
+        g = gram[order]
+        new = g[1:] != g[:-1]
+    return order, np.concatenate((np.zeros(1, np.int64), np.flatnonzero(new) + 1))
+
+
+def _grouped(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order of ``v``, then ``w`` (below 2^40), of fewer than 2^24 pairs."""
+    order = np.argsort(v)
+    x = v[order]
+    at = np.empty(len(v), np.uint64)
+    at[order] = np.cumsum(np.concatenate(([False], x[1:] != x[:-1]))).astype(np.uint64)
+    if len(v) >= 1 << 24 or int(w.max()) >= 1 << 40:
+        return np.lexsort((w, v))
+    return np.argsort((at << np.uint64(40)) | w)
 
 
 def _keys(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,14 +132,14 @@ def _chance(c: np.ndarray, before: np.ndarray, d: np.ndarray, a: np.ndarray, low
 
 
 def _share(c: np.ndarray, before: np.ndarray, d: np.ndarray) -> np.ndarray:
-    # d[0] is 1, as for counts beyond K
-    return d[np.minimum(c, K + 1) % (K + 1)] * c / (before + FLOOR)
+    return _kept(c, d) * c / (before + FLOOR)
 
 
 class Batch:
     """A batch's state: what is known of its n-grams of up to ``level`` words.
 
-    Facts are counts, and weights where there is no count; chances follow from them."""
+    Facts are counts of each token's n-gram, and weights where there is no count; chances follow from them,
+    and are worked out only where they are asked for."""
 
     def __init__(self, facts: dict, uni: Unigrams, ends: int, d: dict[int, np.ndarray]):
         self.facts, self.level, n, self.ends = facts, facts["level"], facts["n"], ends
@@ -127,48 +147,74 @@ class Batch:
         self.w, self.h, self.first = own[facts["inv"]], mix(own + _JOIN)[facts["inv"]], np.cumsum(n) - n
         self.c = facts["c1"][facts["inv"]].astype(np.int64)
         # under: how often the words before each token occur at this level, before: at the next
-        self.p, self.under, self.before = np.log10(uni(self.c)), None, self._preceding()
+        self.under, self.before, self._uni, self._d, self._levels = None, self._preceding(), uni, d, [(self.c, None)]
         for k in range(2, self.level + 1):
-            inv = _distinct(_keys(self.h, self.first, k)[1])[1]
-            self.c = facts[f"c{k}"].astype(np.int64)[inv]
-            self.p = _chance(self.c, self.before, d[k], facts[f"a{k}"][inv], self.p)
+            self.c = facts[f"c{k}"].astype(np.int64)
+            self._levels.append((self.c, self.before))
             self.under, self.before = self.before, self._preceding()
 
+    def chances(self) -> np.ndarray:
+        """log10 chances of all tokens at this level."""
+        p = np.log10(self._uni(self._levels[0][0]))
+        for k, (c, before) in enumerate(self._levels[1:], 2):
+            a = np.zeros(len(c))
+            a[c == 0] = self.facts[f"a{k}"]
+            p = _chance(c, before, self._d[k], a, p)
+        return p
+
     def _preceding(self) -> np.ndarray:
         out = np.concatenate((self.c[:1], self.c[:-1]))
         out[self.first] = self.ends
         return out
 
-    def grams(self, slots: int, share: int) -> Grams:
-        return Grams(self, self.level + 1, slots, share)
+    def grams(self, slots: int, share: int, turns: int = 1, turn: int = 0) -> Grams:
+        return Grams(self, self.level + 1, slots, share, turns, turn)
 
 
 class Grams:
-    """The distinct n-grams of a batch, by slot, then context; a frequent context has several slots, by the word after it."""
+    """The distinct n-grams of a batch, by slot, then context; a frequent context has several slots, by the word after it.
+
+    They are sorted once, by slot and some bits of the context and the n-gram: where contexts share these bits, one
+    may come in several stretches, which the slots add up. Of several ``turns``, only the slots of one are sorted."""
 
-    def __init__(self, of: Batch, k: int, slots: int, share: int):
+    def __init__(self, of: Batch, k: int, slots: int, share: int, turns: int = 1, turn: int = 0):
         context, gram = _keys(of.h, of.first, k)
-        at, self.inv = _distinct(gram)
-        v, w, self.before, self.low, self.low_c = context[at], of.w[at], of.before[at], of.p[at], of.c[at]
+        wide, spread = of.before // share + 1, mix(context)
+        slot, hot = _slot(spread, slots), wide > 1
+        far = np.flatnonzero(hot)
+        slot[far] = (slot[far] + (mix(of.w[far]) % wide[far].astype(np.uint64)).astype(np.int64)) % slots
+        bits = int(slots).bit_length()
+        key = (slot.astype(np.uint64) << np.uint64(64 - bits)) | ((spread & np.uint64((1 << 22) - 1)) << np.uint64(42 - bits)) | (gram >> np.uint64(22 + bits))
+        if turns > 1:
+            here = np.flatnonzero(slot % turns == turn)
+            self.order, self.start = _sorted(key[here], gram[here]) if len(here) else (here, here)
+            self.order = here[self.order]
+        else:
+            self.order, self.start = _sorted(key, gram)
+        self.at = at = self.order[self.start]
+        self.cut = np.searchsorted(slot[at], np.arange(slots + 1))
+        self.v, self.w, self.hot, self.low_c = context[at], of.w[at], hot[at], of.c[at]
         self.under = None if of.under is None else of.under[at]
-        wide = self.before // share + 1
-        self.hot = wide > 1
-        slot = (_slot(mix(v), slots) + np.where(self.hot, (mix(w) % wide.astype(np.uint64)).astype(np.int64), 0)) % slots
-        # by slot, then context; stable, as answers come back in this order
-        bits = np.uint64(int(slots).bit_length())
-        self.order = np.argsort((slot.astype(np.uint64) << (np.uint64(64) - bits)) | (mix(v) >> bits), kind="stable")
-        self.cut = np.searchsorted(slot[self.order], np.arange(slots + 1))
-        self.v, self.w = v, w
-
-    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+
+    def counts(self, counted: np.ndarray) -> np.ndarray:
+        """How many of each n-gram's tokens are ``counted``."""
+        return np.add.reduceat(counted[self.order].astype(np.int64), self.start) if len(self.start) else np.zeros(0, np.int64)
+
+    def of_tokens(self, x: np.ndarray) -> np.ndarray:
+        """A value of each n-gram for each of its tokens."""
+        out = np.empty(len(self.order), x.dtype)
+        out[self.order] = np.repeat(x, np.diff(np.append(self.start, len(self.order))))
+        return out
+
+    def parts(self) -> Iterator[tuple[int, slice, np.ndarray]]:
         """(slot, its n-grams, where a context starts among them)."""
         for s in np.flatnonzero(np.diff(self.cut)).tolist():
-            part = self.order[self.cut[s] : self.cut[s + 1]]
+            part = slice(self.cut[s], self.cut[s + 1])
             v = self.v[part]
             yield s, part, np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
 
-    def named(self, part: np.ndarray, edge: np.ndarray) -> dict:
-        return {"v": self.v[part][edge], "n": _small(np.diff(np.append(edge, len(part)))), "w": _small(self.w[part])}
+    def named(self, part: slice, edge: np.ndarray) -> dict:
+        return {"v": self.v[part][edge], "n": _small(np.diff(np.append(edge, part.stop - part.start))), "w": _small(self.w[part])}
 
 
 def _sequences(batch: int, ids: list, texts: list, trains: list) -> Iterable[tuple[int, int, bytes]]:
@@ -261,13 +307,11 @@ def _counted(places: Places, turns: int, turn: int):
     """A batch's n-grams one word longer than its state, with their counts and what a shorter context's chance follows from; those of one turn."""
 
     def run(batch: int, facts: dict) -> Iterable[tuple[int, int, bytes]]:
-        state = Batch(facts, places.uni, places.ends, places.d)
-        grams = state.grams(places.slots, places.share)
-        c = np.bincount(grams.inv, _trained_on(facts)).astype(np.int64)
+        grams = Batch(facts, places.uni, places.ends, places.d).grams(places.slots, places.share, turns, turn)
+        c = grams.counts(_trained_on(facts))
         for s, part, edge in grams.parts():
-            if s % turns == turn:
-                under = {} if grams.under is None else {"under": _small(grams.under[part][edge])}
-                yield s, batch, pack(**grams.named(part, edge), hot=grams.hot[part][edge], c=_small(c[part]), low=_small(grams.low_c[part]), **under)
+            under = {} if grams.under is None else {"under": _small(grams.under[part][edge])}
+            yield s, batch, pack(**grams.named(part, edge), hot=grams.hot[part][edge], c=_small(c[part]), low=_small(grams.low_c[part]), **under)
 
     return run
 
@@ -281,7 +325,7 @@ def _totals(places: Places, level: int, tables: bool):
         cat = lambda f: np.concatenate([f(x) for _, x in rows])
         v, w, c, low = cat(lambda x: np.repeat(x["v"], x["n"])), cat(lambda x: x["w"]).astype(np.uint64), cat(lambda x: x["c"]), cat(lambda x: x["low"])
         hot = cat(lambda x: np.repeat(x["hot"], x["n"]))
-        order = np.lexsort((w, v))
+        order = _grouped(v, w)
         v, w = v[order], w[order]
         new = np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
         edge = np.flatnonzero(new)
@@ -368,9 +412,9 @@ def _answers(slot: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int, int
 
 
 def _evaluated(places: Places, k: int, hot: tuple[np.ndarray, np.ndarray]):
-    """The state's n-grams of ``k`` words: a count, the context's weight where there is none, and the chance that these give."""
+    """For each token of the state, its n-gram of ``k`` words: a count, and the context's weight where there is none."""
 
-    def run(batch: int, rows: list[tuple[int, dict]]) -> tuple[dict, Batch, Grams, np.ndarray, np.ndarray, np.ndarray]:
+    def run(batch: int, rows: list[tuple[int, dict]]) -> tuple[dict, Batch, np.ndarray, np.ndarray]:
         facts = next(x for kind, x in rows if kind == FACTS)
         answers = {kind: x for kind, x in rows if kind >= 0}
         state = Batch(facts, places.uni, places.ends, places.d)
@@ -384,18 +428,19 @@ def _evaluated(places: Places, k: int, hot: tuple[np.ndarray, np.ndarray]):
             else:
                 weights = np.zeros(len(edge))
                 weights[np.unpackbits(x["asked"], count=len(edge)) > 0] = _log_backoff(x["m"], x["rest"], places.d[k])
-            a[part] = np.repeat(weights, np.diff(np.append(edge, len(part))))
-        a = np.where(c > 0, 0.0, np.where(grams.hot, _found(*hot, grams.v, 0.0), a))
-        return facts, state, grams, c, a, _chance(c, grams.before, places.d[k], a, grams.low)
+            a[part] = np.repeat(weights, np.diff(np.append(edge, part.stop - part.start)))
+        far = np.flatnonzero(grams.hot)
+        a[far] = _found(*hot, grams.v[far], 0.0)
+        return facts, state, grams.of_tokens(c), grams.of_tokens(a)
 
     return run
 
 
 def _next_state(evaluate):
     def run(batch: int, rows: list[tuple[int, dict]]) -> Iterable[tuple[int, int, bytes]]:
-        facts, state, _, c, a, _ = evaluate(batch, rows)
+        facts, state, c, a = evaluate(batch, rows)
         k = state.level + 1
-        yield batch, FACTS, pack(**(facts | {"level": k, f"c{k}": _small(c), f"a{k}": a}))
+        yield batch, FACTS, pack(**(facts | {"level": k, f"c{k}": _small(c), f"a{k}": a[c == 0]}))
 
     return run
 
@@ -405,12 +450,12 @@ def _sums(places: Places, evaluate, schema: pa.Schema):
         uni = places.uni
         for batch, rows in groups(batches):
             if evaluate:
-                facts, state, grams, *_, p = evaluate(batch, rows)
-                p = p[grams.inv]
+                facts, state, c, a = evaluate(batch, rows)
+                p = _chance(c, state.before, places.d[state.level + 1], a, state.chances())
             else:
                 facts = next(x for kind, x in rows if kind == FACTS)
                 state = Batch(facts, uni, places.ends, places.d)
-                p = state.p
+                p = state.chances()
             c1 = facts["c1"][facts["inv"]].astype(np.int64)
             total = lambda x: np.add.reduceat(x, state.first)  # noqa: B023, E731
             base = total(np.log10((c1 + 0.5) / (uni.n + 0.5 * (uni.v + 1))))

@@ -29,14 +29,18 @@ MOST_DOCS = 1 << 16
 def _split(a):
     """A short-integer array as its bytes by significance, which compress better apart."""
     if isinstance(a, np.ndarray) and a.ndim == 1 and a.dtype.kind in "iu" and a.dtype.itemsize in (2, 4) and len(a) > 64:
-        return ("planes", a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
+        return ("planes", a.dtype.str, b"".join((a >> (8 * i)).astype(np.uint8).tobytes() for i in range(a.dtype.itemsize)))
     return a
 
 
 def _whole(a):
     if isinstance(a, tuple) and len(a) == 3 and a[0] == "planes":
         kind = np.dtype(a[1])
-        return np.ascontiguousarray(np.frombuffer(a[2], np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+        planes = np.frombuffer(a[2], np.uint8).reshape(kind.itemsize, -1)
+        out = np.empty((planes.shape[1], kind.itemsize), np.uint8)
+        for i, plane in enumerate(planes):
+            out[:, i] = plane
+        return out.view(kind).ravel()
     return a
 
 

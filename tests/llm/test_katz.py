@@ -4,9 +4,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from ferrule.llm import katz
 from ferrule.llm.katz import FLOOR, K, discounts, fit, katz_scores, score
+from ferrule.llm.routing import unpack
 
 
 def tokens(text):
@@ -146,3 +149,21 @@ def test_what_travels(sample, monkeypatch):
     monkeypatch.setattr(katz, "saved_at", lambda df: seen("kept", kept, df, saved_at))
     n = sum(r.n_tokens for r in katz_scores(sample, order=3).collect())
     assert len(reads) == 1 and max(sent) < 8 * n and max(kept) < 5 * n
+
+
+def test_a_turn_sorts_its_own_ngrams_only():
+    """Turns have the n-grams of the whole between them, in its order, and none sorts those of another."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 500) for _ in range(20)]
+    facts = unpack(next(iter(katz._sequences(0, list(range(20)), texts, [True] * 20)))[2])
+    own = np.arange(len(facts["own"]))
+    facts |= {"own": np.diff(own, prepend=0), "level": 1, "c1": np.bincount(facts["inv"])}
+    state = katz.Batch(facts, katz.Unigrams(int(facts["n"].sum()), len(own), katz._rates(facts["c1"])), 20, {})
+    whole, turns = state.grams(12, 50), [state.grams(12, 50, 2, t) for t in range(2)]
+    pairs = lambda g: {s: (g.v[p].tolist(), g.w[p].tolist()) for s, p, _ in g.parts()}
+    assert sum(len(t.order) for t in turns) == len(whole.order) and pairs(turns[0]) | pairs(turns[1]) == pairs(whole)
+    # each n-gram once, however few bits contexts share, and its tokens counted
+    assert len(set(zip(whole.v.tolist(), whole.w.tolist(), strict=True))) == len(whole.v) and whole.counts(np.ones(len(whole.order), bool)).sum() == len(whole.order)
+    gram = rng.integers(0, 50, 2000).astype(np.uint64)
+    order, start = katz._sorted(gram % np.uint64(5), gram)
+    assert len(start) == len(set(gram.tolist())) and np.array_equal(gram[order][start], np.array(sorted(set(gram.tolist()), key=lambda x: (x % 5, x)), np.uint64))
