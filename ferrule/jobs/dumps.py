@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ferrule.jobs.bindings import CH, C, TASK_ROWS, _changes, _commits, _dealt, _query, _rounded, _table
 from ferrule.operators import changes, graph, warnings
 from ferrule.operators.history import history
-from ferrule.operators.shared import shared_folder
+from ferrule.operators.shared import Tables, shared_folder
 from ferrule.sources import logs
 
 
@@ -56,8 +56,10 @@ def read_commit_log(spark, d):
 r AS (SELECT commit_id, commit_id AS ancestor FROM p WHERE commit_id % 50 = 0 UNION SELECT r.commit_id, e.parent FROM r JOIN e ON e.commit_id = r.ancestor)
 SELECT commit_id, ancestor FROM r WHERE ancestor <> commit_id""")
 def ancestors(spark, d):
-    rows = _parents(spark, d).withColumns({"project": F.lit("all"), "parents": F.array_compact(F.array("one", "two"))})
-    return graph.ancestors(changes.commit_edges(rows), rows.where("commit_id % 50 = 0")).select("commit_id", "ancestor")
+    rows = _parents(spark, d).select("commit_id", F.lit("all").alias("project"), F.array_compact(F.array("one", "two")).alias("parents"))
+    with Tables(spark) as tables:
+        rows = tables.put(rows)
+        return graph.ancestors(changes.commit_edges(rows), rows.where("commit_id % 50 = 0")).select("commit_id", "ancestor")
 
 
 # files by their brand, touched by one of seven authors; each customer's orders are a graph of their own

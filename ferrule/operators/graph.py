@@ -2,7 +2,8 @@
 
 Each commit's first parent makes a forest.  Its sizes come from ranking the tour
 that goes down and up every tree (pointers that double: a number of joins
-logarithmic in the history's length, whatever its shape).  Each commit continues
+logarithmic in the history's length, whatever its shape), on which commits with
+one child each are one step.  Each commit continues
 the chain of its heaviest child, so the way from a commit to its root crosses few
 chains (at most log2 of the tree's size), and "all up to a place of a chain" stands for all
 commits of it that come before.  What merges bring in is found chain by chain.
@@ -22,16 +23,21 @@ MOST_ROUNDS = 60
 
 def ranked(tables: Tables, links: DataFrame) -> DataFrame:
     """(x, last, total) of ``links`` (x, next, weight): where following ``next``
-    ends, and the weights on the way, x's own and the end's too."""
+    ends, and the weights on the way, x's own and the end's too.  Other columns stay with x.
+
+    A round looks for the ends of those that have none yet, and writes these only."""
+    more = [c for c in links.columns if c not in ("x", "next", "weight")]
     end = F.when(F.col("next").isNull(), F.col("x"))
-    now = tables.put(links.select("x", "next", F.col("weight").cast("long").alias("total"), end.alias("last")))
-    for _ in range(MOST_ROUNDS):
-        if now.where("next is not null").isEmpty():
-            return now
-        far = now.select(F.col("x").alias("_x"), F.col("next").alias("_next"), F.col("total").alias("_total"), F.col("last").alias("_last"))
-        # those at their end look for nothing, each by a number of its own
-        step = now.join(far, F.coalesce("next", -1 - F.col("x")) == F.col("_x"), "left")
-        now = tables.put(step.select("x", F.col("_next").alias("next"), (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total"), F.coalesce("last", "_last").alias("last")), now)
+    with Tables(tables.spark) as own:
+        now = own.put(links.select("x", "next", F.col("weight").cast("long").alias("total"), end.alias("last"), *more))
+        done, left = now.where("next is null"), now.where("next is not null")
+        for _ in range(MOST_ROUNDS):
+            if left.isEmpty():
+                return tables.put(done.select("x", "last", "total", *more))
+            far = done.unionByName(left).select(F.col("x").alias("_x"), F.col("next").alias("_next"), F.col("total").alias("_total"), F.col("last").alias("_last"))
+            step = left.join(far, F.col("next") == F.col("_x"), "left")
+            now = own.put(step.select("x", F.col("_next").alias("next"), (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total"), F.col("_last").alias("last"), *more))
+            done, left = done.unionByName(now.where("next is null")), now.where("next is not null")
     raise ValueError("the parents of some commits form a circle")
 
 
@@ -55,9 +61,9 @@ def numbered(tables: Tables, commits: DataFrame, edges: DataFrame) -> tuple[Data
     rows = edges.select("project", F.col("child_id").alias("commit_id"), "parent_id", no.alias("_no"))
     rows = same_group(rows, nodes, ["project", "commit_id"])
     rows = same_group(rows.select("project", "node", "_no", F.col("parent_id").alias("commit_id")), nodes.withColumnRenamed("node", "parent"), ["project", "commit_id"])
-    pairs = rows.groupBy("node", "parent").agg(F.min(F.struct("_no", "commit_id")).alias("_at"))
-    firsts = pairs.groupBy("node").agg(F.min("_at").alias("_first"))
-    return nodes, tables.put(pairs.join(firsts, "node").select("node", "parent", (F.col("_at") == F.col("_first")).alias("first")))
+    # dealt by commit, which has few parents: nothing is shuffled again
+    pairs = rows.repartition("node").groupBy("node", "parent").agg(F.min(F.struct("_no", "commit_id")).alias("_at"))
+    return nodes, tables.put(pairs.select("node", "parent", (F.col("_at") == F.min("_at").over(Window.partitionBy("node"))).alias("first")))
 
 
 def forest(tables: Tables, nodes: DataFrame, parents: DataFrame) -> DataFrame:
@@ -66,28 +72,39 @@ def forest(tables: Tables, nodes: DataFrame, parents: DataFrame) -> DataFrame:
     A commit's descendants are the ``size`` commits from ``tin`` on of its root's
     tree.  ``chain`` is the first commit of its chain, ``at`` its place there, from 0."""
     tree = parents.where("first").select("node", "parent")
-    all_ = nodes.select("node").join(tree, "node", "left")
-    # children of one parent by number; a parent's children are few beside the commits
-    beside = tree.select("node", F.lead("node").over(Window.partitionBy("parent").orderBy("node")).alias("beside"))
-    child = tree.groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("child"))
-    rows = all_.join(beside, "node", "left").join(child, "node", "left")
-    down, up = F.col("node") * 2, F.col("node") * 2 + 1
+    # a run goes down from a commit as long as each has one child; it then counts as one, as long as it is
+    lone = tree.groupBy("parent").agg(F.count("*").alias("_n"), F.min("node").alias("node")).where("_n = 1").select("node", F.col("parent").alias("next"))
+    steps = nodes.select("node").join(tree, "node", "left").join(lone, "node", "left")
+    rows = ranked(tables, steps.select(F.col("node").alias("x"), "next", F.lit(1).alias("weight"), "parent"))
+    long = rows.groupBy(F.col("last").alias("run")).agg(F.max("total").alias("length"))
+    tops = rows.where("x = last and parent is not null").select(F.col("x").alias("run"), "parent")
+    up = tops.join(rows.select(F.col("x").alias("parent"), F.col("last").alias("up")), "parent").select("run", "up")
+    runs = tables.put(long.join(up, "run", "left"))
+    below = runs.where("up is not null").select("run", "up")
+    # children of one run by number; a run's children are few beside the commits
+    beside = below.select("run", F.lead("run").over(Window.partitionBy("up").orderBy("run")).alias("beside"))
+    child = below.groupBy(F.col("up").alias("run")).agg(F.min("run").alias("child"))
+    down, back = F.col("run") * 2, F.col("run") * 2 + 1
     tour = F.array(
-        F.struct(down.alias("x"), F.coalesce(F.col("child") * 2, up).alias("next"), F.lit(1).alias("weight")),
-        F.struct(up.alias("x"), F.coalesce(F.col("beside") * 2, F.col("parent") * 2 + 1).alias("next"), F.lit(0).alias("weight")),
+        F.struct(down.alias("x"), F.coalesce(F.col("child") * 2, back).alias("next"), F.col("length").alias("weight")),
+        F.struct(back.alias("x"), F.coalesce(F.col("beside") * 2, F.col("up") * 2 + 1).alias("next"), F.lit(0).cast("long").alias("weight")),
     )
-    way = ranked(tables, rows.select(F.inline(tour)))
-    # weights from a commit on: what is left below it and after it
-    half = lambda odd, name: way.where(F.col("x") % 2 == odd).select(F.shiftright("x", 1).alias("node"), F.shiftright("last", 1).alias("root"), F.col("total").alias(name))
-    sized = half(0, "_in").join(half(1, "_out").drop("root"), "node")
-    top = sized.where("node = root").select("root", F.col("_in").alias("_all"))
-    sized = sized.join(top, "root").select("node", "root", (F.col("_all") - F.col("_in")).alias("tin"), (F.col("_in") - F.col("_out")).alias("size"))
-    sized = tables.put(all_.join(sized, "node"), way)
-    heavy = sized.where("parent is not null").groupBy("parent").agg(F.max(F.struct("size", (-F.col("node")).alias("_n"))).alias("_h")).select((-F.col("_h._n")).alias("node"), F.col("parent").alias("next"))
-    chains = ranked(tables, sized.select("node").join(heavy, "node", "left").select(F.col("node").alias("x"), "next", F.lit(1).alias("weight")))
-    place = chains.select(F.col("x").alias("node"), F.col("last").alias("chain"), (F.col("total") - 1).alias("at"))
-    out = tables.put(sized.join(place, "node"), sized)
+    way = ranked(tables, runs.join(beside, "run", "left").join(child, "run", "left").select(F.inline(tour)))
+    # weights from a run on: what is left below it and after it
+    half = lambda odd, name: way.where(F.col("x") % 2 == odd).select(F.shiftright("x", 1).alias("run"), F.shiftright("last", 1).alias("root"), F.col("total").alias(name))
+    sized = half(0, "_in").join(half(1, "_out").drop("root"), "run")
+    top = sized.where("run = root").select("root", F.col("_in").alias("_all"))
+    sized = sized.join(top, "root").select("run", "root", (F.col("_all") - F.col("_in")).alias("tin"), (F.col("_in") - F.col("_out")).alias("size"))
+    sized = tables.put(runs.join(sized, "run"), way)
+    tables.drop(runs)
+    heavy = sized.where("up is not null").groupBy("up").agg(F.max(F.struct("size", (-F.col("run")).alias("_n"))).alias("_h")).select((-F.col("_h._n")).alias("run"), F.col("up").alias("next"))
+    chains = ranked(tables, sized.select("run", "length").join(heavy, "run", "left").select(F.col("run").alias("x"), "next", F.col("length").alias("weight")))
+    place = sized.join(chains.select(F.col("x").alias("run"), F.col("last").alias("chain"), "total"), "run").select(F.col("run").alias("last"), "root", "tin", "size", "chain", (F.col("total") - F.col("length")).alias("at"))
+    here = F.col("total") - 1
+    out = rows.join(place, "last").select(F.col("x").alias("node"), "parent", "root", (F.col("tin") + here).alias("tin"), (F.col("size") - here).alias("size"), "chain", (F.col("at") + here).alias("at"))
+    out = tables.put(out, sized)
     tables.drop(chains)
+    tables.drop(rows)
     return out
 
 
@@ -108,7 +125,9 @@ def hops(trees: DataFrame, parents: DataFrame) -> DataFrame:
     """(chain, at, to_chain, to_at): from a place of a chain to that of a parent on another one."""
     place = trees.select("node", "chain", "at")
     far = place.withColumnsRenamed({"node": "parent", "chain": "to_chain", "at": "to_at"})
-    rows = parents.join(place, "node").join(far, "parent")
+    # a commit's first parent is on its own chain but where that begins
+    heads = trees.where("at = 0 and parent is not null").select("chain", "at", "parent")
+    rows = heads.unionByName(parents.where("not first").join(place, "node").select("chain", "at", "parent")).join(far, "parent")
     return rows.where("chain <> to_chain").select("chain", "at", "to_chain", "to_at")
 
 
@@ -146,12 +165,12 @@ def ancestors(edges: DataFrame, commits: DataFrame) -> DataFrame:
         ids = [edges.select("project", F.col(c).alias("commit_id")) for c in ("child_id", "parent_id")]
         nodes, parents = numbered(tables, ids[0].unionByName(ids[1]).where("commit_id is not null"), edges)
         trees = forest(tables, nodes, parents)
-        wanted = same_group(commits.select("project", "commit_id").distinct(), nodes, ["project", "commit_id"]).select("node")
+        wanted = tables.put(same_group(commits.select("project", "commit_id").distinct(), nodes, ["project", "commit_id"]).select("project", "commit_id", "node"))
         start = wanted.join(trees, "node").select(F.col("node").alias("source"), "chain", "at")
         found = reach(tables, None, start, tables.put(hops(trees, parents)))
-        name = nodes.withColumnRenamed("commit_id", "ancestor").join(trees.select("node", "chain", F.col("at").alias("_at")), "node")
-        rows = found.join(name, "chain").where("_at <= at and source <> node").select(F.col("source").alias("node"), "ancestor")
-        return tables.keep(tables.put(nodes.join(rows, "node").select("project", "commit_id", "ancestor")))
+        rows = found.join(trees.select("node", "chain", F.col("at").alias("_at")), "chain").where("_at <= at and source <> node").select("source", "node")
+        rows = rows.join(nodes.select("node", F.col("commit_id").alias("ancestor")), "node").select(F.col("source").alias("node"), "ancestor")
+        return tables.keep(tables.put(wanted.join(rows, "node").select("project", "commit_id", "ancestor")))
 
 
 def paths_of(trees: DataFrame, lines: DataFrame) -> DataFrame:

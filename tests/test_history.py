@@ -6,7 +6,9 @@ import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from ferrule.operators import graph as graphs
 from ferrule.operators.graph import ancestors, forest, lines_above, numbered, paths_of, with_bases
 from ferrule.operators.history import history
 from ferrule.operators.shared import Tables
@@ -170,3 +172,14 @@ def test_a_file_that_all_touch(spark):
         took.append(time.time() - began)
         assert (last.ndev, round(last.nuc * 3)) == (50, n - 1)
     assert took[1] < 3 * took[0] + 5
+
+
+def test_a_run_of_commits_is_one_step_of_the_tour(spark, monkeypatch):
+    """Only branching commits are gone down and up; a round looks for ends of those that have none yet."""
+    seen, plain = [], graphs.ranked
+    monkeypatch.setattr(graphs, "ranked", lambda tables, links: seen.append(links.count()) or plain(tables, links))
+    # one line of 100 commits, on which two more begin at commit 50
+    edges = spark.createDataFrame([("p", x - 1, x) for x in range(2, 101)] + [("p", 50, 200), ("p", 200, 201)], "project string, parent_id long, child_id long")
+    rows = ancestors(edges, edges.selectExpr("project", "child_id as commit_id").where("commit_id in (100, 201)"))
+    assert {(r.commit_id, r.n) for r in rows.groupBy("commit_id").agg(F.count("*").alias("n")).collect()} == {(100, 99), (201, 51)}
+    assert seen == [102, 6, 3]
