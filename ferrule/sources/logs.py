@@ -143,10 +143,13 @@ BLAME = r"^(\^?)([0-9a-f]{39,40}) +(\S.*?) +(\d+) \(.*?(\d+)\) ?(.*)$"
 
 def read_blame(spark: SparkSession, path: str, at_commit: str) -> DataFrame:
     """Lines of ``blame -f -n -l``: origin commit ('^' marks a boundary), its file (which may have blanks) and line."""
-    part = lambda i: F.regexp_extract("value", BLAME, i)
+    # a line is matched once, and its fields are parted by what no line of text holds
+    fields = F.split(F.regexp_replace("value", BLAME, "\n$1\n$2\n$3\n$4\n$5\n"), "\n")
     raw = spark.read.text(path).withColumn("project", _project())
-    rows = raw.select("project", F.lit(at_commit).alias("at_commit"), part(3).alias("path"), part(5).try_cast("int").alias("line_no"), part(2).alias("origin_commit"), part(3).alias("origin_path"), part(4).try_cast("int").alias("origin_line"), (part(1) == "^").alias("is_boundary"))
-    return rows.where("origin_commit <> ''")
+    # what is no line of blame stays as it is, and has no second field
+    rows = raw.select("project", F.explode(F.filter(F.array(fields), lambda f: F.size(f) > 1)).alias("f"))
+    part = lambda i: F.get("f", F.lit(i))
+    return rows.select("project", F.lit(at_commit).alias("at_commit"), part(3).alias("path"), part(5).try_cast("int").alias("line_no"), part(2).alias("origin_commit"), part(3).alias("origin_path"), part(4).try_cast("int").alias("origin_line"), (part(1) == "^").alias("is_boundary"))
 
 
 def rejected_blame(spark: SparkSession, path: str) -> DataFrame:

@@ -101,3 +101,12 @@ def test_violations_of_xml(spark, tmp_path):
     from ferrule.operators.warnings import warning_counts
 
     assert {r.path: (r.block, r.critical, r.major) for r in warning_counts(rows, ["path"], at_least_major=True).collect()} == {"a <b>.java": (0, 1, 1), "one.java": (1, 0, 0)}
+
+
+def test_a_line_of_blame_is_matched_once(spark, tmp_path):
+    (tmp_path / "proj").mkdir()
+    (tmp_path / "proj" / "b.txt").write_text(f"^{'a' * 39} a b.c 7 (Ann (x) 2020-01-01 3) f(1);\nnothing\n{'b' * 40} c\td.c 2 (B 99999999999)\n\n", encoding="utf-8")
+    rows = logs.read_blame(spark, str(tmp_path / "proj"), "h")
+    assert sorted((r.path, r.line_no, r.origin_commit, r.origin_line, r.is_boundary) for r in rows.collect()) == [("a b.c", 3, "a" * 39, 7, True), ("c\td.c", None, "b" * 40, 2, False)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9a-f]") == 1, plan
