@@ -183,3 +183,19 @@ def test_a_run_of_commits_is_one_step_of_the_tour(spark, monkeypatch):
     rows = ancestors(edges, edges.selectExpr("project", "child_id as commit_id").where("commit_id in (100, 201)"))
     assert {(r.commit_id, r.n) for r in rows.groupBy("commit_id").agg(F.count("*").alias("n")).collect()} == {(100, 99), (201, 51)}
     assert seen == [102, 6, 3]
+
+
+def test_few_touches_on_a_chain_are_listed(spark, monkeypatch):
+    """A file of many touches, but of few on each chain, needs no running totals along chains."""
+    from ferrule.operators import history as module
+
+    def none(*_, **__):
+        raise AssertionError("counted along chains")
+
+    monkeypatch.setattr(module, "latest", none)
+    n = 12
+    commits = spark.createDataFrame([("p", 3 * k + i) for k in range(n) for i in range(3)], "project string, commit_id long")
+    edges = spark.createDataFrame([("p", 3 * k + i, 3 * k + i + 1, 0) for k in range(n) for i in range(2)], "project string, parent_id long, child_id long, parent_no int")
+    touches = spark.createDataFrame([("p", 3 * k + i, "f", None if i else "a", 86400 * i, i, 5, 3) for k in range(n) for i in range(3)], "project string, commit_id long, lineage string, author string, time_stamp long, pos long, added long, deleted long")
+    got = {r.commit_id: tuple(r)[2:] for r in history(touches, commits, edges, "first", hot=4).select("project", "commit_id", "ndev", "nuc", "age", "lt").collect()}
+    assert got == {3 * k + i: (min(i, 2), float(i), float(i > 0), 2.0 * i) for k in range(n) for i in range(3)}
