@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ferrule.jobs.bindings import CH, C, TASK_ROWS, _changes, _commits, _dealt, _query, _rounded, _table
 from ferrule.operators import changes, graph, warnings
 from ferrule.operators.history import history
-from ferrule.operators.shared import Tables, shared_folder
+from ferrule.operators.shared import Tables, shared_folder, shuffle_files_go
 from ferrule.sources import logs
 
 
@@ -24,7 +24,9 @@ def _h(x: str) -> str:
 def _dump(rows: DataFrame, value: Column, compression: str = "none") -> str:
     """The folder of text files that hold ``value`` of each row; its name is the project's."""
     folder = shared_folder(rows.sparkSession) + "/dump"
-    rows.select(value.alias("value")).write.text(folder, compression=compression)
+    # what was shuffled to get there is not needed again
+    with shuffle_files_go(rows.sparkSession):
+        rows.select(value.alias("value")).write.text(folder, compression=compression)
     return folder
 
 
@@ -124,6 +126,13 @@ def _kinds_line() -> Column:
     return F.when(F.col("ren"), F.concat(F.lit("R100\t"), "path", F.lit("\t"), "other")).otherwise(F.concat(letter, F.lit("\t"), "path"))
 
 
+def _merges(spark: SparkSession, d: str, line: Column) -> str:
+    """The folder of a dump with a block for each commit, and a second one, against another parent, after that of an even one."""
+    own = _stats(spark, d).groupBy("commit_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("_b"))
+    block = lambda b: _lines(_hash("commit_id"), " (from ", _hash(F.col("commit_id") + b), ") merge\n", F.col("_b"), "\n")
+    return _dump(own, F.concat_ws("\n", block(1), F.when(F.col("commit_id") % 2 == 0, block(2))), "gzip")
+
+
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
     return logs.read_namestat(spark, _dump(_blocks(_stats(spark, d), _lines("commit: ", _hash("commit_id")), _kinds_line(), ["commit_id"]), F.col("value"), "gzip"))
 
@@ -149,18 +158,13 @@ def file_changes(spark, d):
 
 @_query(f"WITH {ST} SELECT {_h('commit_id')} AS commit_id, {_h('commit_id + b')} AS base_commit, path AS modified_path, CASE WHEN ren THEN other END AS current_path, CASE WHEN bin THEN 0 ELSE added END AS added FROM st, (SELECT unnest([1, 2]) AS b) WHERE commit_id % 2 = 0 OR b = 1")
 def read_merge_stats(spark, d):
-    rows = _stats(spark, d).withColumn("b", F.explode(F.array(F.lit(1), F.lit(2)))).where("commit_id % 2 = 0 or b = 1")
-    blocks = _blocks(rows, _lines(_hash("commit_id"), " (from ", _hash(F.col("commit_id") + F.col("b")), ") merge"), _numbers_line(), ["commit_id", "b"])
-    return logs.read_merge_stats(spark, _dump(blocks, F.col("value"))).select("commit_id", "base_commit", "modified_path", "current_path", "added")
+    return logs.read_merge_stats(spark, _merges(spark, d, _numbers_line())).select("commit_id", "base_commit", "modified_path", "current_path", "added")
 
 
 @_query(f"WITH {ST} SELECT {_h('commit_id')} AS commit_id, {_h('commit_id + b')} AS base_commit, path AS modified_path, CASE WHEN ren THEN other END AS current_path, {KIND} FROM st, (SELECT unnest([1, 2]) AS b) WHERE commit_id % 2 = 0 AND b = 2 OR commit_id % 2 = 1 AND b = 1")
 def read_merge_kinds(spark, d):
-    # blocks of even commits against both parents; the last one counts
-    rows = _stats(spark, d).withColumn("b", F.explode(F.array(F.lit(1), F.lit(2)))).where("commit_id % 2 = 0 or b = 1")
-    blocks = _blocks(rows, _lines(_hash("commit_id"), " (from ", _hash(F.col("commit_id") + F.col("b")), ") merge"), _kinds_line(), ["commit_id", "b"])
-    folder = _dump(blocks.repartition("commit_id").sortWithinPartitions("commit_id", "b"), F.col("value"))
-    return logs.read_merge_kinds(spark, folder, all_parents=False).select("commit_id", "base_commit", "modified_path", "current_path", "change_type")
+    # of even commits the last block counts
+    return logs.read_merge_kinds(spark, _merges(spark, d, _kinds_line()), all_parents=False).select("commit_id", "base_commit", "modified_path", "current_path", "change_type")
 
 
 @_query(f"""WITH {P}, {ST[len(C) + 2:]}, s AS (SELECT parent, string_agg({_h('child')}, ',' ORDER BY {_h('child')}) AS sons FROM (SELECT one AS parent, commit_id AS child FROM p UNION ALL SELECT two, commit_id FROM p WHERE commit_id % 3 = 0) WHERE parent IS NOT NULL GROUP BY parent)

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.paths import is_noise_line, parse_hunk_header, parse_namestat_line, parse_numstat_line
-from ferrule.operators.running import same_group
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 COMMIT = "commit: "
 HASH = "^[0-9a-f]{40}$"
 
 
 def _project() -> Column:
-    return F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1)
+    # no pattern: one would be tried from each place of the path, for every row
+    return F.substring_index(F.substring_index(F.input_file_name(), "/", -2), "/", 1)
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
@@ -59,34 +65,78 @@ def read_namestat(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("project", "commit_id", F.lit(None).cast("string").alias("base_commit"), F.col("f.old").alias("modified_path"), F.col("f.new").alias("current_path"), "f.change_type").where("change_type is not null")
 
 
-#: Lines of a dump of merges that are ordered together.
+#: Lines of a block of a dump of merges that travel as one row.
 BLOCK = 16384
 MERGE = r"^([0-9a-f]{40}) \(from ([0-9a-f]{40})\)"
 
 
+def _merge_blocks(block: int, last_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines (key, row, head, value) in the order of their splits as blocks of up to ``block`` lines below one header.
+
+    A header is null where a split begins within a block.  With ``last_only`` a block
+    goes if the next one has the same commit, split and lines, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split, known = None, (None, None, None)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            value, key, head = b.column("value"), b.column("key").to_numpy(), b.column("head").to_numpy(zero_copy_only=False)
+            turn = np.append(split is None or key[0] != split, key[1:] != key[:-1])
+            at = np.flatnonzero(head | turn | (np.arange(n) % block == 0))
+            heads = np.flatnonzero(head)
+            names = value.take(pa.array(heads))
+            # the header known from the batch before comes first
+            rows = pa.concat_arrays([pa.array([known[0]], pa.int64()), b.column("row").take(pa.array(heads))])
+            commits = pa.concat_arrays([pa.array([known[1]], pa.string()), pc.utf8_slice_codeunits(names, 0, 40)])
+            bases = pa.concat_arrays([pa.array([known[2]], pa.string()), pc.utf8_slice_codeunits(names, 47, 87)])
+            number = np.cumsum(head)[at]
+            # none, where the split has turned since
+            since = np.maximum.accumulate(np.where(turn, np.arange(n), -1))[at]
+            place = np.append(-1, heads)[number]
+            number = pa.array(number, mask=(since >= 0) & (place < since))
+            size = np.add.reduceat(~head, at, dtype=np.int64)
+            lines = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), value.filter(pa.array(~head)))
+            out = pa.RecordBatch.from_arrays([pa.array(key[at]), rows.take(number), commits.take(number), bases.take(number), lines], ["key", "row", "commit_id", "base_commit", "lines"])
+            split, known = key[-1], tuple(x.take(number)[-1].as_py() for x in (rows, commits, bases))
+            out = out.filter(pa.array(size > 0))
+            if last_only and out.num_rows > 1:
+                c, r, k = out.column("commit_id"), out.column("row"), out.column("key").to_numpy()
+                same = pc.and_(pc.equal(c[1:], c[:-1]), pc.not_equal(r[1:], r[:-1])).fill_null(False).to_numpy(zero_copy_only=False)
+                out = out.filter(pa.array(np.append(~(same & (k[1:] == k[:-1])), True)))
+            yield out
+
+    return run
+
+
 def _merge_lines(spark: SparkSession, path: str, all_parents: bool) -> DataFrame:
     """(project, commit_id, base_commit, line) of blocks headed ``<hash> (from <hash>) subject``.
 
     Files are read in splits, as any text.  A line's header is the last one before it;
-    where a split begins within a block, that is the last header of the splits before."""
+    where a split begins within a block, that is the last header of the splits before.
+    Only without ``all_parents`` are lines shuffled, once and in blocks."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), _project().alias("project"), F.monotonically_increasing_id().alias("row"))
+    raw = raw.withColumns({"key": F.xxhash64("file", "split"), "head": F.col("value").rlike(MERGE)}).where(F.col("head") | F.col("value").contains("\t"))
     part = lambda i: F.regexp_extract("value", MERGE, i)
-    rows = raw.withColumn("head", F.when(part(1) != "", F.struct(F.col("split"), F.col("row"), part(1).alias("commit_id"), part(2).alias("base_commit"))))
-    rows = rows.where(F.col("head").isNotNull() | F.col("value").contains("\t"))
-    # rows of a split are numbered in its order; a block of them is what one window holds
-    block = ["file", "split", "block"]
-    rows = rows.withColumn("block", F.floor(F.col("row") / BLOCK))
-    last = rows.groupBy(*block).agg(F.max("head").alias("_last"))
-    carried = Window.partitionBy("file").orderBy("split", "block").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.select(*block, F.max("_last").over(carried).alias("_before"))
-    here = Window.partitionBy(*block).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(last, block).withColumn("head", F.coalesce(F.max("head").over(here), "_before"))
-    rows = rows.where(F.col("head").isNotNull() & F.col("value").contains("\t") & ~F.col("value").rlike(MERGE))
+    head = F.when(F.col("head"), F.struct("split", "row", part(1).alias("commit_id"), part(2).alias("base_commit")))
+    splits = raw.groupBy("key", "file", "split", "project").agg(F.max(head).alias("_last"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("key", "file", "split", "project", F.max("_last").over(earlier).alias("_before"))
+    blocks = raw.select("key", "row", "head", "value").mapInArrow(_merge_blocks(BLOCK, not all_parents), "key long, row long, commit_id string, base_commit string, lines array<string>")
+    # a row for each split of a file, which the driver has listed, too
+    rows = blocks.join(F.broadcast(splits), "key")
+    own = F.when(F.col("commit_id").isNotNull(), F.struct("split", "row", "commit_id", "base_commit"))
+    rows = rows.select("project", "file", F.coalesce(own, "_before").alias("head"), "lines").where("head is not null")
     if not all_parents:
-        final = rows.groupBy("project", "head.commit_id").agg(F.max(F.struct("file", "head")).alias("_final"))
-        rows = rows.withColumn("commit_id", F.col("head.commit_id"))
-        rows = same_group(rows, final, ["project", "commit_id"]).where(F.col("_final.head") == F.col("head"))
-    return rows.select("project", "head.commit_id", "head.base_commit", F.col("value").alias("line"))
+        last = Window.partitionBy("project", "commit_id")
+        at = F.struct("file", "head.split", "head.row")
+        rows = rows.select("*", "head.commit_id").withColumn("_final", F.max(at).over(last)).where(at == F.col("_final"))
+    return rows.select("project", "head.commit_id", "head.base_commit", F.explode("lines").alias("line"))
 
 
 def read_merge_stats(spark: SparkSession, path: str, all_parents: bool = True) -> DataFrame:

@@ -151,3 +151,12 @@ def test_xml_documents_follow_rows(spark, monkeypatch):
     assert dumps.read_violations_xml(spark, SF).count() > 0 and dumps.warning_counts_xml(spark, SF).count() > 0
     for folder in folders:
         assert spark.read.text(folder).where("value = '<pmd>'").count() == -(-items // 200) > 16
+
+
+def test_merges_are_shuffled_in_blocks(unaided, monkeypatch):
+    """Lines of merges go to their commit once, not to blocks, headers and commits; the dump is compressed, a folder's name no search."""
+    folders, dump = [], dumps._dump
+    monkeypatch.setattr(dumps, "_dump", lambda *a: folders.append(dump(*a)) or folders[-1])
+    plan = plan_of(dumps.read_merge_kinds(unaided, SF))
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(project") == 1 and "regexp_extract(input_file_name" not in plan
+    assert all(f.endswith(".gz") for f in unaided.read.text(folders[0]).inputFiles())
