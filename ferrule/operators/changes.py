@@ -10,7 +10,7 @@ from ferrule.functions.paths import directory_of, subsystem_of
 from ferrule.operators.graph import ancestors  # noqa: F401  (these two are among a commit's changes, too)
 from ferrule.operators.history import history  # noqa: F401
 from ferrule.operators.running import running, same_group
-from ferrule.operators.shared import Tables
+from ferrule.operators.shared import Tables, kept
 
 KEY = ["project", "commit_id"]
 
@@ -36,9 +36,16 @@ def dedupe_identical(commits: DataFrame) -> DataFrame:
 
 
 def file_changes(numstat: DataFrame, namestat: DataFrame) -> DataFrame:
-    """Numbers and kinds of the changes matched by path; those without a kind are left out."""
-    kinds = namestat.select("project", "commit_id", F.col("base_commit").alias("_base"), "modified_path", "change_type")
-    return same_group(numstat, kinds.withColumnRenamed("_base", "base_commit"), ["project", "commit_id", "base_commit", "modified_path"])
+    """Numbers and kinds of the changes matched by path; those without a kind are left out.
+
+    Both are dealt by commit, in one exchange, so what a commit's rows have in common is next to each other there."""
+    key = [*KEY, "base_commit", "modified_path"]
+    kind = F.struct("change_type").alias("_kind")
+    numbers = numstat.withColumn("_kind", F.lit(None).cast(namestat.select(kind).schema["_kind"].dataType))
+    kinds = namestat.select(*[F.col(c) if c in key else F.lit(None).cast(t).alias(c) for c, t in numstat.dtypes], kind)
+    # a missing key is a key like any other
+    both = numbers.unionByName(kinds).repartition(*KEY).withColumn("_kinds", F.collect_list("_kind").over(Window.partitionBy(*key)))
+    return both.where("_kind is null").select(*numstat.columns, F.explode("_kinds").alias("_kind")).select(*numstat.columns, "_kind.change_type")
 
 
 def diffusion(changes: DataFrame) -> DataFrame:
@@ -188,11 +195,17 @@ def export_code_repo(commits: DataFrame, numbers: DataFrame, kinds: DataFrame) -
     """Two tables of one text column ``value``, fields joined by ';': commits
     (id, parents, sons, project, email, time, message on one line) and their
     files (path, commit, parent, status letter, added, deleted, old path)."""
-    sons = commit_edges(commits).groupBy("project", F.col("parent_id").alias("commit_id")).agg(F.array_sort(F.collect_list("child_id")).alias("sons"))
-    rows = same_group(commits, sons, KEY, "left")
+    edges = commit_edges(commits).select("project", F.col("parent_id").alias("commit_id"), F.col("child_id").alias("_son"))
+    own = F.struct(*[c for c in commits.columns if c not in KEY]).alias("_own")
+    one = commits.select(*KEY, own, F.lit(None).cast(edges.schema["_son"].dataType).alias("_son"))
+    # commits and edges meet in one exchange
+    both = one.unionByName(edges.withColumn("_own", F.lit(None).cast(one.schema["_own"].dataType))).withColumn("_sons", F.collect_list("_son").over(Window.partitionBy(*KEY)))
+    rows = both.where("_own is not null").select(*KEY, "_own.*", F.array_sort("_sons").alias("sons"))
     listed = lambda c: F.concat_ws(",", F.col(c).cast("array<string>"))
     text = lambda *cs: F.concat_ws(";", *[F.coalesce(c.cast("string"), F.lit("")) for c in cs]).alias("value")
     head = rows.select(text(F.col("commit_id"), listed("parents"), listed("sons"), F.col("project"), F.col("author_email"), F.col("time_stamp"), F.regexp_replace("message", r"\s+", " ")))
+    # written first, so that what is shuffled for it is gone before the files; hashes are half as long in zstd
+    head = kept(head, "zstd")
     letter = F.upper(F.substring("change_type", 1, 1))
     new, old = F.coalesce("current_path", "modified_path"), F.when(F.col("current_path").isNotNull(), F.col("modified_path"))
     files = file_changes(numbers, kinds).select(text(new, F.col("commit_id"), F.col("base_commit"), letter, F.col("added"), F.col("deleted"), old))

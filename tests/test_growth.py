@@ -160,3 +160,18 @@ def test_merges_are_shuffled_in_blocks(unaided, monkeypatch):
     plan = plan_of(dumps.read_merge_kinds(unaided, SF))
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(project") == 1 and "regexp_extract(input_file_name" not in plan
     assert all(f.endswith(".gz") for f in unaided.read.text(folders[0]).inputFiles())
+
+
+def test_changes_of_a_commit_meet_in_one_exchange(unaided):
+    """Numbers and kinds are dealt by commit, not each row by its whole name; repeated rows and missing names match as in a join."""
+    from ferrule.operators import changes
+
+    numbers = unaided.createDataFrame([(None, "c", None, "f", 1), (None, "c", None, "f", 2), ("p", "c", "b", "f", 3), ("p", "d", None, None, 4), ("p", "d", None, "g", 5)], "project string, commit_id string, base_commit string, modified_path string, added long")
+    kinds = unaided.createDataFrame([(None, "c", None, "f", "add"), (None, "c", None, "f", None), ("p", "c", None, "f", "add"), ("p", "d", None, None, "delete")], "project string, commit_id string, base_commit string, modified_path string, change_type string")
+    out = changes.file_changes(numbers, kinds)
+    plan = plan_of(out)
+    assert sorted((r.added, str(r.change_type)) for r in out.collect()) == [(1, "None"), (1, "add"), (2, "None"), (2, "add"), (4, "delete")]
+    assert out.columns == [*numbers.columns, "change_type"] and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    commits = unaided.createDataFrame([("p", c, parents, "a", 1, "m") for c, parents in (("d", ["c"]), ("c", []), ("e", ["d", "c"]))], "project string, commit_id string, parents array<string>, author_email string, time_stamp long, message string")
+    head, _ = changes.export_code_repo(commits, numbers, kinds)
+    assert sorted(r.value for r in head.collect()) == ["c;;d,e;p;a;1;m", "d;c;e;p;a;1;m", "e;d,c;;p;a;1;m"] and "Exchange" not in plan_of(head)
