@@ -173,5 +173,17 @@ def test_changes_of_a_commit_meet_in_one_exchange(unaided):
     assert sorted((r.added, str(r.change_type)) for r in out.collect()) == [(1, "None"), (1, "add"), (2, "None"), (2, "add"), (4, "delete")]
     assert out.columns == [*numbers.columns, "change_type"] and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
     commits = unaided.createDataFrame([("p", c, parents, "a", 1, "m") for c, parents in (("d", ["c"]), ("c", []), ("e", ["d", "c"]))], "project string, commit_id string, parents array<string>, author_email string, time_stamp long, message string")
-    head, _ = changes.export_code_repo(commits, numbers, kinds)
+    head, _ = changes.export_code_repo(commits, numbers.selectExpr("*", "added deleted", "cast(null as string) current_path"), kinds)
     assert sorted(r.value for r in head.collect()) == ["c;;d,e;p;a;1;m", "d;c;e;p;a;1;m", "e;d,c;;p;a;1;m"] and "Exchange" not in plan_of(head)
+
+
+def test_hashes_need_no_quantiles(spark, monkeypatch):
+    """Large groups are ranked by hash in slices that are known beforehand; a missing group is one."""
+    monkeypatch.setattr(running, "LEAST_ROWS", 100)
+    monkeypatch.setattr(running, "SLICE_ROWS", 10)
+    df = spark.createDataFrame([(g, t) for g in ("a", None, "b") for t in range(40 if g == "b" else 900)], "g string, t long")
+    ranked = effort._hash_rank(df, ["g"], "t", 1)
+    assert "percentile_approx" not in plan_of(ranked) and ranked.columns == ["g", "t", "rank"]
+    order = sorted(range(900), key=lambda t: hashlib.md5(f"{t}:1".encode()).hexdigest())
+    want = {(g, t): k + 1 for g in ("a", None) for k, t in enumerate(order)} | {("b", t): k + 1 for k, t in enumerate(t for t in order if t < 40)}
+    assert {(r.g, r.t): r["rank"] for r in ranked.collect()} == want
